@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mulberry.llm.bpe import op3_bpe
 from mulberry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from mulberry.llm.mixing import op5_mixing
 from mulberry.llm.near_dedup import op6_near_dedup
@@ -9,6 +10,7 @@ from mulberry.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
