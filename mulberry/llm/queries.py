@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from mulberry.llm.bpe import op3_bpe
 from mulberry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from mulberry.llm.html_text import op2_html_text
 from mulberry.llm.mixing import op5_mixing
 from mulberry.llm.near_dedup import op6_near_dedup
 from mulberry.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_text": op2_html_text,
     "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
