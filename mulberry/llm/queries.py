@@ -7,6 +7,8 @@ from mulberry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from mulberry.llm.html_text import op2_html_text
 from mulberry.llm.mixing import op5_mixing
 from mulberry.llm.near_dedup import op6_near_dedup
+from mulberry.llm.quality import op9_quality
+from mulberry.llm.substring_dedup import op4_substring_dedup
 from mulberry.llm.topk import OP7_SQL, op7_topk
 from mulberry.llm.toxicity import op1_toxicity
 
@@ -14,10 +16,12 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
     "op3_bpe": op3_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
     "op7_topk": op7_topk,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
 }
 
 ORACLES = {"op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL}
