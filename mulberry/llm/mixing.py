@@ -112,12 +112,13 @@ def mixed_rows(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_co
     """
     cols = docs.columns
     keys = [F.col(id_col), F.col(source_col), word_count(F.col(text_col))]
-    planned = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").alias("_c"), F.collect_list(F.struct("from1", "to1", "from2", "to2")).alias("_p"))
+    planned = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m"), F.collect_list(F.struct("from1", "to1", "from2", "to2")).alias("_p"))
     parts = F.flatten(F.transform("_p", lambda p: F.array(F.struct(p["from1"].alias("a"), p["to1"].alias("b")), F.struct(p["from2"].alias("a"), p["to2"].alias("b")))))
     parts = F.filter(parts, lambda p: p["b"] > p["a"])
-    planned = planned.select("_i", "_s", "_z", "_c", parts.alias("_p")).filter("_c > 0 or size(_p) > 0")
+    planned = planned.select("_i", "_s", "_z", "_c", "_m", parts.alias("_p")).filter("_c > 0 or size(_p) > 0")
     once = docs.withColumns({"_k1": keys[0], "_k2": keys[1], "_k3": keys[2]})
     rows = once.join(planned, F.col("_k1").eqNullSafe(F.col("_i")) & F.col("_k2").eqNullSafe(F.col("_s")) & (F.col("_k3") == F.col("_z")))
+    rows = rows.filter("_m = 1").unionByName(rows.filter("_m > 1").dropDuplicates(["_k1", "_k2", "_k3"]))
     whole = F.struct(F.lit(0).cast("long").alias("a"), F.col("_z").alias("b"))
     rows = rows.withColumn("_p", F.explode(F.concat(F.array_repeat(whole, F.col("_c").cast("int")), F.col("_p"))))
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
