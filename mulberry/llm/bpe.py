@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from mulberry.llm.common import table
 
 #: Words whose tokens a task keeps, letters of the longest of those, and bytes beyond the lookahead that are merged at once.
-KEPT_WORDS, KEPT_LETTERS, STRIDE = 250_000, 40, 256
+KEPT_WORDS, KEPT_LETTERS, STRIDE = 300_000, 40, 256
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _LOWER_ALONE = {0x3A3: "σ"}  # str.lower() looks at a sigma's neighbours; the normaliser doesn't
 
@@ -119,6 +119,11 @@ class Encoder:
         """The tokens of one word as they become final."""
         v, letters = self.v, self.v.letters
         data = word.encode("utf-8", "surrogatepass")
+        if len(data) <= STRIDE:  # the end is in sight
+            symbols = [letters[b] for b in data]
+            symbols[-1] += v.suffix
+            yield from merge(symbols, v.ranks, v.made)
+            return
         held: list[str] = []  # tokens after the last final one, merged anew as more is read
         room, i, n = v.lookahead + STRIDE, 0, len(data)
         while n - i + sum(map(len, held)) > room:
@@ -209,14 +214,18 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(Vocabulary(held.value))
         v = encoder.v
+        plain = Decoder(v, plain=True)
+        # words met since the last turn and before it: what is still met stays
         known: dict[str, tuple[int, str, str]] = {}
+        older: dict[str, tuple[int, str, str]] = {}
 
         def digest_piece(ids: list[int]) -> tuple[int, str, str]:
-            plain = Decoder(v, plain=True)
+            plain.started = False
             return len(ids), " ".join(map(str, ids)), "".join(map(plain.feed, ids))
 
         def of_text(text: str | None) -> tuple[int, str, str]:
             n, one, two = 0, hashlib.sha256(), hashlib.sha256()
+            nonlocal known, older
             ids_out: list[str] = []
             text_out: list[str] = []
             gap = False
@@ -237,8 +246,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                         got = digest_piece([v.special[w]])
                     elif len(w) <= KEPT_LETTERS:
                         if len(known) >= KEPT_WORDS:
-                            known.clear()
-                        got = known[w] = digest_piece([v.ids[t] for t in encoder.word(w)])
+                            known, older = {}, known
+                        got = known[w] = older.get(w) or digest_piece([v.ids[t] for t in encoder.word(w)])
                     else:
                         part: list[int] = []
                         for t in encoder.word(w):
