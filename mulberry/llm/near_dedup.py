@@ -5,7 +5,9 @@
 2.  Documents of equal sets are one class; classes are represented by their
     least identifier.  Copies are never paired.
 3.  Register values are banded.  In each bucket every class is compared with
-    the bucket's least class only, so a bucket of n classes makes n - 1 pairs.
+    one leader only, so a bucket of n classes makes n - 1 pairs.  The leader is
+    the class that meets most others in all its buckets: of a family of near
+    copies the one in the middle, to which most others are linked.
 4.  Pairs are estimated from their registers; what is clearly apart goes, the
     rest is confirmed on the full sets.
 5.  Components of the links.  Buckets that still hold several components have
@@ -34,7 +36,7 @@ from mulberry.llm.components import connected_components
 KEPT_WORDS = 500_000
 BANDS, ROWS = 40, 5
 #: Standard errors by which an estimate must miss the threshold for a pair to be dropped without verification.
-SIGMAS = 7.0
+SIGMAS = 5.0
 
 
 class Shingler:
@@ -146,15 +148,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     size = 2 * rows
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * size, size)) for i in range(bands)])).alias("band")
     banded = classes.select("id", band)
-    shared = cut(banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most"))
-    members = cut(banded.join(shared.select("band", "least"), "band"))
-    pairs = members.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    shared = cut(banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).filter("least < most"))
+    members = cut(banded.join(shared.select("band", "n"), "band"))
+    central = members.groupBy("id").agg(F.sum("n").alias("c"))
+    members = cut(members.join(central, "id").select("band", "id", "c"))
+    leaders = cut(members.groupBy("band").agg(F.max(F.struct("c", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("leader")))
+    members = cut(members.select("band", "id").join(leaders, "band"))
+    pairs = members.filter("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = _links(pairs, classes, docs, width, per_cent, id_col, text_col)
     comps = cut(connected_components(links))
     # buckets that hold several components: compare across those
-    placed = cut(members.select("band", "id", "least").join(comps, F.col("id") == F.col("vertex"), "left").select("band", "id", "least", F.coalesce("component", "id").alias("component")))
+    placed = cut(members.join(comps, F.col("id") == F.col("vertex"), "left").select("band", "id", "leader", F.coalesce("component", "id").alias("component")))
     split = cut(placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 < c1 and n > 2").select("band"))
-    rest = placed.join(split, "band").filter("id <> least")
+    rest = placed.join(split, "band").filter("id <> leader")
     sized = classes.select("id", F.col("n_shingles").alias("n"))
     rest = cut(rest.join(sized, "id"))
     x, y = (rest.select("band", F.col("id").alias(i), F.col("component").alias(c), F.col("n").alias(n)) for i, c, n in (("a", "ca", "na"), ("b", "cb", "nb")))
