@@ -1,6 +1,473 @@
-"""The registered queries and, for those that SQL can express, their SQL."""
+"""The registered queries and, for those that SQL can express, their SQL.
+
+Queries over literal rows write the same rows into both.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mulberry.functions import html as H
+from mulberry.functions import normalize as N
+from mulberry.functions.titles import parse_titles, repair_jamo, standard_name, valid_genre
+from mulberry.operators import archives, cache, genres, keywords, naming, reports, routing
+from mulberry.plans.catalogue import page_catalogue
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).upper()
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """A table of literal rows for SQL, of the columns of a schema text."""
+    names, kinds = zip(*[c.split() for c in columns.split(", ")], strict=True)
+    to = {"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    cast = ", ".join(f"CAST({n} AS {to[k]}) AS {n}" for n, k in zip(names, kinds, strict=True))
+    body = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
+    return f"(SELECT {cast} FROM (VALUES {body}) AS raw({', '.join(names)}))"
+
+
+def expected(rows: list[tuple], columns: str) -> str:
+    return f"SELECT * FROM {values(rows, columns)} AS x"
+
+
+# --- reports -----------------------------------------------------------------------------------
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) FILTER (o_orderstatus = 'O') AS skipped,
+       round(count(*) FILTER (o_orderstatus = 'F') / count(*) * 100, 1) AS success_rate FROM orders""")
+def status_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.run_summary(t(spark, sf, "orders"), "o_orderstatus", "F", "P", "O")
+
+
+@query("""
+SELECT source AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, row_number() OVER (ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY source""")
+def genre_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.distribution(t(spark, sf, "documents"), "source")
+
+
+@query("SELECT event_type AS value, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, row_number() OVER (ORDER BY count(*) DESC, event_type) AS rank FROM events GROUP BY event_type")
+def method_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.distribution(t(spark, sf, "events"), "event_type")
+
+
+@query("SELECT round(coalesce(avg(value) FILTER (value > 0), 0), 6) AS mean_positive FROM events")
+def mean_positive(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.mean_positive(t(spark, sf, "events"), "value")
+
+
+@query("SELECT count(*) FILTER (quality = 0) AS n_0, count(*) FILTER (quality = 1) AS n_1, count(*) FILTER (toxic = 1) AS n_checked FROM labels")
+def level_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.level_counts(t(spark, sf, "labels"), "quality", [0, 1], F.col("toxic") == 1)
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (l_returnflag = 'A') AS success, count(*) FILTER (l_returnflag <> 'A') AS failed, count(*) FILTER (l_returnflag IN ('A', 'R')) AS processed,
+       round(count(*) FILTER (l_returnflag = 'A') / count(*), 6) AS hit_rate FROM lineitem""")
+def batch_stats(spark: SparkSession, sf: str) -> DataFrame:
+    flag = F.when(F.col("l_returnflag") == "A", "success").when(F.col("l_returnflag") == "R", "failed").otherwise("error")
+    return reports.batch_stats(t(spark, sf, "lineitem").select(flag.alias("outcome")), "outcome")
+
+
+@query("""
+SELECT c_custkey, c_name, rank FROM (
+  SELECT c_custkey, c_name, row_number() OVER (ORDER BY length(c_name) + 2 * length(regexp_replace(c_name, '[A-Za-z0-9_ ]', '', 'g')) DESC, c_custkey) AS rank FROM customer) WHERE rank <= 10""")
+def complexity_top10(spark: SparkSession, sf: str) -> DataFrame:
+    c = t(spark, sf, "customer").select("c_custkey", "c_name")
+    return reports.ranked(c, [F.desc(N.complexity(F.col("c_name"))), F.col("c_custkey").asc()], limit=10)
+
+
+@query("""
+SELECT o_orderkey, row_number() OVER (ORDER BY (o_orderstatus = 'F') DESC, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, lower(o_orderstatus), o_orderkey) AS rank FROM orders""")
+def default_sort_rank(spark: SparkSession, sf: str) -> DataFrame:
+    level = F.create_map(*map(F.lit, ("1-URGENT", "high", "2-HIGH", "medium", "3-MEDIUM", "low")))
+    o = t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("checked"), F.try_element_at(level, F.col("o_orderpriority")).alias("confidence"), F.col("o_orderstatus").alias("name"))
+    return reports.ranked(o, [*reports.default_order(), F.col("o_orderkey").asc()]).select("o_orderkey", "rank")
+
+
+# --- text functions ----------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, lower(trim(p_name)) AS key FROM part")
+def norm_cache_key(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "part").select("p_partkey", N.cache_key(F.col("p_name")).alias("key"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g')) AS title FROM part")
+def norm_similarity_title(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "part").select("p_partkey", N.similarity_title(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("title"))
+
+
+@query("""
+SELECT a.p_partkey AS p_partkey, round(1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity,
+       1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)) >= 0.85 AS similar
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def levenshtein_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    p = t(spark, sf, "part")
+    b = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    x, y = F.col("p_name"), F.col("other")
+    return p.join(b, "p_partkey").select("p_partkey", F.round(N.similarity(x, y), 6).alias("similarity"), N.is_similar(x, y).alias("similar"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_field(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+_JSON = [(1, '{"genre": "무협"}'), (2, '{"genre": ["판타지", "SF"]}'), (3, "{broken"), (4, '{"name": 1}'), (5, None)]
+
+
+@query(expected([(1, "무협"), (2, "판타지|SF"), (3, ""), (4, ""), (5, "")], "id long, genres string"))
+def json_genre(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame(_JSON, "id long, text string")
+    return df.select("id", F.array_join(N.json_genres(F.col("text")), "|").alias("genres"))
+
+
+_NAMES = [
+    (1, "바보 성녀님은 2회차가 낯설어 1-371 完.txt", "바보 성녀님은 2회차가 낯설어", "", "1-371", True, "", "바보 성녀님은 2회차가 낯설어 1-371 (완)"),
+    (2, "예시 100화 完.txt", "예시", "", "1-100", True, "", "예시 1-100 (완)"),
+    (3, "예시 100화완.txt", "예시", "", "1-100", True, "", "예시 1-100 (완)"),
+    (4, "무엇 1-546 完 2부 212", "무엇", "", "1-546 (완) 2부 1-212", False, "", "무엇 1-546 (완) 2부 1-212"),
+    (5, "ㄷH공ㅂlㄱr", "대공비가", "", "", False, "", "대공비가"),
+    (6, "무엇 1부完", "무엇", "1부", "", True, "", "무엇 1부 (완)"),
+    (7, "회귀했더니 입대 전날 1-529 完 에필 및 외전 포함.txt", "회귀했더니 입대 전날", "", "1-529", True, "에필, 외전", "회귀했더니 입대 전날 1-529 (완) + 에필, 외전"),
+    (8, "[선협] 어살 1-1014 完 (AI번역) @EE", "어살", "", "1-1014", True, "", "[선협] 어살 1-1014 (완)"),
+    (9, "500조 재벌가 천재아들 1-324본편 및 외전 完, 후기 포함", "500조 재벌가 천재아들", "", "1-324", True, "외전, 후기", "500조 재벌가 천재아들 1-324 (완) + 외전, 후기"),
+    (10, "초가류방 - 부황, 자공간유둔량 1-452 (완) + 외전", "초가류방 - 부황, 자공간유둔량", "", "1-452", True, "외전", "초가류방 - 부황, 자공간유둔량 1-452 (완) + 외전"),
+    (11, "[임아소] 신선이 되자, 자손들이 저에게 출산해달라 부탁합니다. (완)", "신선이 되자, 자손들이 저에게 출산해달라 부탁합니다", "", "", True, "", "신선이 되자, 자손들이 저에게 출산해달라 부탁합니다 (완)"),
+    (12, "100층의 올마스터 120 ", "100층의 올마스터", "", "1-120", False, "", "100층의 올마스터 1-120"),
+    (13, "[현대 판타지 AI번역] 무엇 1-10", "무엇", "", "1-10", False, "", "[현판] 무엇 1-10"),
+    (14, "제목 [개정판] 1-5 (완)", "제목", "", "1-5", True, "", "제목 [개정판] 1-5 (완)"),
+    (15, "금병매지 1-20 完", "금병매지", "", "1-20", True, "", "금병매지 1-20 (완)"),
+    (16, "", "", "", "", False, "", ""),
+]
+
+
+def _parsed(spark: SparkSession) -> DataFrame:
+    return parse_titles(spark.createDataFrame([r[:2] for r in _NAMES], "pos long, raw_name string"))
+
+
+@query(expected([(r[0], *r[2:7]) for r in _NAMES], "pos long, title string, volume_info string, range_info string, is_completed boolean, side_story string"))
+def title_parse_golden(spark: SparkSession, sf: str) -> DataFrame:
+    return _parsed(spark).select("pos", "title", "volume_info", "range_info", "is_completed", "side_story")
+
+
+@query(expected([(r[0], r[7]) for r in _NAMES], "pos long, standard_name string"))
+def standard_names(spark: SparkSession, sf: str) -> DataFrame:
+    name = standard_name(valid_genre(F.col("original_genre")), *map(F.col, ("title", "edition_info", "volume_info", "range_info", "is_completed", "side_story")))
+    return _parsed(spark).select("pos", name.alias("standard_name"))
+
+
+@query(expected([(1, "대공비가"), (2, "렙 1"), (3, "km 당"), (4, "해리 porter")], "id long, name string"))
+def visual_jamo_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(1, "ㄷH공ㅂlㄱr"), (2, "ㄹㅔㅂ 1"), (3, "km 당"), (4, "해리 porter")]
+    return spark.createDataFrame(rows, "id long, n string").select("id", repair_jamo(F.col("n")).alias("name"))
+
+
+_FILES = [("나 혼자 소드 마스터 1-1031 (완) + 외전 1-79, 에필.txt", "나 혼자 소드 마스터"), ("눈 감고 3점 슛 1-424 (완).txt", "눈 감고 3점 슛"), ("화산귀환 1-50화.txt", "화산귀환"), ("[판타지] 전지적 독자 시점 1-551 (완).epub", "전지적 독자 시점"), ("금리낭자 1-141 (완).txt", "금리낭자"), ("나혼자만레벨업_001.txt", "나혼자만레벨업")]
+
+
+@query(expected(_FILES, "file string, title string"))
+def plain_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_FILES, "file string, x string").select("file", N.plain_title(F.col("file")).alias("title"))
+
+
+# --- genres ------------------------------------------------------------------------------------
+
+_GENRES = [("현대 판타지", "현판"), ("전쟁·밀리터리", "역사"), ("패러디", "판타지"), ("공포", "미분류"), ("", "미분류"), (None, "미분류"), ("로맨스 판타지 소설", "로판"), ("무협", "무협")]
+
+
+@query(expected(_GENRES, "name string, genre string"))
+def genre_map_exact_or_longest(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_GENRES, "name string, x string").select("name", genres.map_genre(F.col("name")).alias("genre"))
+
+
+_KEYWORDS = [(0, "a", 0, "tion", 2), (0, "a", 1, "ation", 5), (1, "b", 0, "the", 1), (1, "b", 1, "thea", 4), (1, "b", 2, "x", 9), (2, "c", 0, "ing", 3), (2, "c", 1, "eding", 6), (3, "d", 0, "lich", 3), (3, "d", 1, "heit", 3)]
+_KW = "genre_pos int, genre string, pos int, keyword string, weight int"
+_SCORES = f"""
+WITH k AS {values(_KEYWORDS, _KW)},
+m AS (SELECT d.doc_id, k.* FROM documents d JOIN k ON length(k.keyword) >= 2 AND contains(lower(d.text), k.keyword)),
+kept AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.genre = m.genre AND o.keyword <> m.keyword AND contains(o.keyword, m.keyword))),
+n AS (SELECT genre, count(*) AS n FROM k GROUP BY genre),
+s AS (SELECT doc_id, genre_pos, genre, sum(weight) / sqrt(any_value(n)) AS score FROM kept JOIN n USING (genre) GROUP BY ALL)
+"""
+
+
+def _doc_scores(spark: SparkSession, sf: str) -> DataFrame:
+    kw = spark.createDataFrame(_KEYWORDS, _KW)
+    return keywords.genre_scores(keywords.keyword_matches(t(spark, sf, "documents"), kw, "doc_id", "text"), kw, "doc_id")
+
+
+@query(_SCORES + "SELECT doc_id, genre, round(score, 6) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, genre_pos) AS rank FROM s QUALIFY rank <= 3")
+def keyword_theta_score(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.top_genres(_doc_scores(spark, sf), "doc_id").select("doc_id", "genre", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    _SCORES
+    + """, w AS (SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS nxt, sum(score) OVER (PARTITION BY doc_id) AS total FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY score DESC, genre_pos))
+SELECT doc_id, genre, round(score, 6) AS score, round(score - coalesce(nxt, 0), 6) AS gap,
+       round(CASE WHEN nxt IS NULL THEN 1.0 ELSE least(1.0, score / total + least((score - nxt) / score, 0.3)) END, 6) AS confidence FROM w WHERE rank = 1"""
+)
+def keyword_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.best_with_confidence(_doc_scores(spark, sf), "doc_id")
+
+
+_PAIRS = [("a", "tion", "the"), ("a", "ation", "heit"), ("c", "ing", "and"), ("d", "lich", "heit")]
+
+
+@query(f"SELECT doc_id, genre, count(*) AS n_pairs FROM documents JOIN {values(_PAIRS, 'genre string, kw1 string, kw2 string')} k ON contains(lower(text), kw1) AND contains(lower(text), kw2) GROUP BY ALL")
+def compound_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.compound_pairs(t(spark, sf, "documents"), spark.createDataFrame(_PAIRS, "genre string, kw1 string, kw2 string"), "doc_id", "text")
+
+
+@query("SELECT c_mktsegment AS keyword, count(DISTINCT c_nationkey) AS n_genres, CASE count(DISTINCT c_nationkey) WHEN 1 THEN 5 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS specificity FROM customer GROUP BY 1")
+def keyword_specificity(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.specificity(t(spark, sf, "customer").select(F.col("c_mktsegment").alias("keyword"), F.col("c_nationkey").alias("genre")))
+
+
+_LISTED = [("a", "the"), ("a", "the"), ("a", "ing"), ("b", "lich")]
+
+
+@query(f"SELECT doc_id, genre, count(*) AS score FROM documents JOIN {values(_LISTED, 'genre string, keyword string')} k ON contains(lower(text), keyword) GROUP BY ALL")
+def list_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return keywords.list_scores(t(spark, sf, "documents"), spark.createDataFrame(_LISTED, "genre string, keyword string"), "doc_id", "text")
+
+
+_AUTHORS = [(0, "김 용", "무협"), (1, "홍길동", "역사"), (2, "김용", "선협"), (3, "이순", "현판")]
+
+
+@query(expected([("김용", "선협"), ("홍 길동", "역사"), ("이순신", "현판"), ("길동", "역사"), ("", None), ("없음", None)], "author string, author_genre string"))
+def author_genres(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame([("김용",), ("홍 길동",), ("이순신",), ("길동",), ("",), ("없음",)], "author string")
+    return keywords.author_genre(df, spark.createDataFrame(_AUTHORS, "pos int, author string, genre string"))
+
+
+_REMAP = [("현판", "축구 감독의 회귀", "스포츠"), ("판타지", "조선 왕조 연대기", "역사"), ("판타지", "회귀한 용사", "퓨판"), ("무협", "축구 감독", "무협"), ("판타지", "VR 게임 레벨업", "겜판"), ("현판", "축구", "현판"), ("판타지", "조선 왕조 마법", "판타지"), ("", "축구 감독", "")]
+
+
+@query(expected(_REMAP, "genre string, title string, remapped string"))
+def title_remap(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame(_REMAP, "genre string, title string, x string")
+    return df.select("genre", "title", genres.remap_by_title(F.col("genre"), F.col("title")).alias("remapped"))
+
+
+_TEXTS = [(1, 0, "무협 소설"), (1, 1, "무협 판타지"), (2, 0, "판타지"), (3, 0, "야구"), (4, 0, "현대 판타지"), (4, 1, "현판 로판"), (4, 2, "로맨스 판타지, 현판"), (5, 0, "nothing")]
+
+
+@query(expected([(1, "무협", 2, 0.74), (2, "판타지", 1, 0.67), (4, "현대판타지", 3, 0.81)], "query_id long, genre string, score long, confidence double"))
+def genre_evidence_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame(_TEXTS, "query_id long, n long, text string").withColumn("key", F.struct("query_id", "n"))
+    e = genres.text_evidence(df, "key", "text").select("key.query_id", "genre", (F.col("key.n") * 100 + F.col("pos")).alias("pos"))
+    out = genres.resolve_evidence(e, "query_id")
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+_FUSE = [
+    (1, "제목", "리디북스", "판타지", 0.95, False, False), (1, "제목", "문피아", "현판", 0.92, False, False),
+    (2, "제목", "네이버시리즈", "판타지", 0.88, False, True), (2, "제목", "카카오페이지", "겜판", 0.90, False, False),
+    (3, "제목", "네이버시리즈", "현판", 0.88, True, False), (3, "제목", "노벨피아", "판타지", 0.92, False, False),
+    (4, "제목", "교보문고", "소설", 0.85, False, False), (5, "축구 감독", "조아라", "현판", 0.85, False, False), (6, "제목", "리디북스", "", 0.95, False, False),
+]
+_FUSED = [(1, "문피아", "현판", 0.92), (2, "카카오페이지", "겜판", 0.9), (3, "노벨피아", "판타지", 0.92), (4, "교보문고", "소설", 0.85), (5, "조아라", "스포츠", 0.85)]
+
+
+@query(expected(_FUSED, "query_id long, platform string, genre string, confidence double"))
+def platform_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return genres.fuse_platforms(spark.createDataFrame(_FUSE, "query_id long, title string, platform string, genre string, confidence double, needs_sports_check boolean, needs_fantasy_refinement boolean"))
+
+
+_MERGE = [("무협", 0.5, 1, None, None, "무협", 0.5, "keyword_only"), ("미분류", 0.1, 0, "현판", 0.9, "현판", 0.9, "naver_only"), ("무협", 0.5, 3, "무협", 0.6, "무협", 0.8, "both_agree"), ("무협", 0.9, 3, "현판", 0.85, "현판", 0.85, "naver_high_confidence"), ("무협", 0.9, 3, "현판", 0.5, "무협", 0.9, "keyword_high_confidence"), ("무협", 0.9, 1, "현판", 0.7, "현판", 0.63, "naver_higher_confidence"), ("무협", 0.7, 2, "현판", 0.65, "무협", 0.63, "keyword_higher_confidence")]
+
+
+@query(expected([(i, *r[5:]) for i, r in enumerate(_MERGE)], "id long, genre string, confidence double, method string"))
+def merge_results(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(_MERGE)], "id long, kg string, kc double, n int, sg string, sc double")
+    return df.select("id", genres.merge_results(*map(F.col, ("kg", "kc", "n", "sg", "sc"))).alias("r")).select("id", "r.*")
+
+
+# --- search hits and pages ---------------------------------------------------------------------
+
+
+@query("""
+SELECT page_id, CASE WHEN contains(u, 'ridibooks.com/books/') THEN 'ridibooks' WHEN contains(u, 'novelpia.com/novel/') THEN 'novelpia' WHEN contains(u, 'yes24.com/product/goods/') THEN 'yes24' END AS platform, split_part(u, '?', 1) AS bare
+FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://ridibooks.com/books/' || page_id || '?q=1' WHEN 1 THEN 'https://novelpia.com/novel/' || page_id WHEN 2 THEN 'http://www.yes24.com/product/goods/' || page_id ELSE url END AS u FROM pages)""")
+def url_platform_route(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("page_id")
+    u = F.when(i % 4 == 0, F.concat(F.lit("https://ridibooks.com/books/"), i.cast("string"), F.lit("?q=1"))).when(i % 4 == 1, F.concat(F.lit("https://novelpia.com/novel/"), i.cast("string"))).when(i % 4 == 2, F.concat(F.lit("http://www.yes24.com/product/goods/"), i.cast("string"))).otherwise(F.col("url"))
+    return t(spark, sf, "pages").select("page_id", u.alias("u")).select("page_id", routing.platform_of(F.col("u")).alias("platform"), N.bare_url(F.col("u")).alias("bare"))
+
+
+@query("SELECT min(page_id) AS page_id, split_part(url, '?', 1) AS bare FROM pages GROUP BY 2")
+def url_first_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    p = t(spark, sf, "pages").select(F.lit(0).alias("g"), "page_id", "url")
+    return routing.first_by_url(p, "g", "page_id", "url").select("page_id", N.bare_url(F.col("url")).alias("bare"))
+
+
+@query("SELECT page_id, host FROM (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 3")
+def top3_per_host(spark: SparkSession, sf: str) -> DataFrame:
+    p = t(spark, sf, "pages").select(F.lit(0).alias("g"), "page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+    return routing.best_hits(p, "g", "page_id", "host").select("page_id", "host")
+
+
+_LINKS = [("https://ssn.so/novel/12345", True), ("https://ssn.so/profile/user1", False), ("https://ssn.so/board/comments/999", False), ("https://other-site.com/info", True)]
+
+
+@query(expected(_LINKS, "link string, kept boolean"))
+def url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_LINKS, "link string, x boolean").select("link", routing.is_novel_page(F.col("link")).alias("kept"))
+
+
+@query(expected([("리디북스", 1), ("문피아", 2), ("네이버시리즈", 3), ("소설넷", 4), ("카카오페이지", 5), ("노벨피아", 6), ("조아라", 7), ("웹툰가이드", 8), ("미스터블루", 9), ("교보문고", 10), ("YES24", 11), ("알라딘", 12)], "platform string, ord int"))
+def platform_order(spark: SparkSession, sf: str) -> DataFrame:
+    from mulberry.sources.dictionaries import platforms
+
+    return routing.platform_order(platforms(spark)).select("platform", "ord")
+
+
+@query("SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS genre, arg_min(o_orderstatus, o_orderkey) AS query FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey")
+def best_first_result(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("genre"), F.col("o_orderstatus").alias("query"))
+    return routing.first_result(o, "o_custkey", "o_orderkey")
+
+
+_QUERY_ROWS = [(1, "영마스터3여행기", "", "저자"), (2, "나 혼자 소드 마스터", "부제", ""), (3, "검", None, None)]
+_QUERIES_OUT = [(1, 0, "영마스터3여행기 저자", 1), (1, 1, "영마스터3여행기", 2), (1, 2, "영마스터3여행기", 3), (1, 3, "영마스터 3 여행기", 4), (1, 4, "영마스터 3 여행기 저자", 5), (2, 0, "나 혼자 소드 마스터", 2), (2, 1, "소설 나 혼자 소드 마스터", 3), (2, 2, "부제", 4), (3, 0, "소설 검", 2), (3, 1, "검", 3)]
+
+
+@query(expected(_QUERIES_OUT, "id long, ord int, query string, priority int"))
+def search_queries(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame(_QUERY_ROWS, "id long, title string, subtitle string, author string")
+    return df.select("id", F.posexplode(routing.search_queries(F.col("title"), F.col("subtitle"), F.col("author"))).alias("ord", "q")).select("id", "ord", "q.query", "q.priority")
+
+
+@query("""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+       len(regexp_extract_all(html, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS n_links FROM pages""")
+def page_titles_and_links(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", H.page_title(F.col("html")).alias("title"), F.size(H.links(F.col("html"))).cast("long").alias("n_links"))
+
+
+@query()
+def page_visible_text(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", H.visible_text(F.col("html")).alias("text"))
+
+
+@query()
+def page_genres(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "pages").select("page_id", H.genre_of_page(F.col("html")).alias("g")).select("page_id", "g.*")
+
+
+@query()
+def page_catalogue_names(spark: SparkSession, sf: str) -> DataFrame:
+    return page_catalogue(spark, sf)
+
+
+# --- cache and joins ---------------------------------------------------------------------------
+
+
+def _cache(spark: SparkSession, sf: str) -> DataFrame:
+    p = t(spark, sf, "part")
+    return p.groupBy(N.cache_key(F.col("p_name")).alias("key")).agg(F.min("p_brand").alias("genre"), F.lit("high").alias("confidence"), F.min("p_type").alias("source"), F.lit("2024-01-01").alias("cached_at"))
+
+
+@query("""
+WITH c AS (SELECT lower(trim(p_name)) AS key, min(p_brand) AS genre FROM part WHERE p_size > 25 GROUP BY 1) SELECT p_partkey, c.genre AS cached_genre FROM part LEFT JOIN c ON lower(trim(p_name)) = key""")
+def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    p = t(spark, sf, "part")
+    c = p.filter("p_size > 25").groupBy(N.cache_key(F.col("p_name")).alias("key")).agg(F.min("p_brand").alias("genre"), F.lit("high").alias("confidence"), F.lit("x").alias("source"))
+    return cache.lookup(p.select("p_partkey", "p_name"), c, "p_name").select("p_partkey", "cached_genre")
+
+
+@query("""
+WITH old AS (SELECT lower(trim(p_name)) AS key, min(p_brand) AS genre, min(p_type) AS source FROM part GROUP BY 1),
+new AS (SELECT lower(trim(p_name)) AS key, 'new' AS genre, 'x' AS source FROM part WHERE p_size > 40 GROUP BY 1)
+SELECT old.key AS key, coalesce(new.genre, old.genre) AS genre, coalesce(new.source, old.source) AS source FROM old LEFT JOIN new USING (key)""")
+def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    new = t(spark, sf, "part").filter("p_size > 40").select(F.col("p_name").alias("title"), F.lit("new").alias("genre"), F.lit("high").alias("confidence"), F.lit("x").alias("source"), F.lit("2025-01-01").alias("cached_at"))
+    return cache.upsert(_cache(spark, sf), new).select("key", "genre", "source")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unresolved_anti(spark: SparkSession, sf: str) -> DataFrame:
+    return cache.without(t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE lower(trim(p_name)) IN (SELECT lower(trim(p_name)) FROM part WHERE p_size > 45)")
+def cache_semi(spark: SparkSession, sf: str) -> DataFrame:
+    p = t(spark, sf, "part")
+    return cache.has(p.select("p_partkey", "p_name"), p.filter("p_size > 45").select(N.cache_key(F.col("p_name")).alias("key")).distinct(), "p_name").select("p_partkey")
+
+
+@query("""
+SELECT o_orderkey AS filename, CASE WHEN o_orderstatus = 'O' AND c_mktsegment <> 'BUILDING' THEN c_mktsegment WHEN o_orderstatus = 'O' THEN '미분류' ELSE o_orderstatus END AS genre FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def retry_update_join(spark: SparkSession, sf: str) -> DataFrame:
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("filename"), "o_custkey", F.when(F.col("o_orderstatus") == "O", "미분류").otherwise(F.col("o_orderstatus")).alias("genre"), F.lit("low").alias("confidence"), F.lit("-").alias("source"))
+    seg = F.when(F.col("c_mktsegment") == "BUILDING", "미분류").otherwise(F.col("c_mktsegment"))
+    r = o.select("filename", "o_custkey").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("filename", seg.alias("genre"), F.lit("high").alias("confidence"), F.lit("retry").alias("source"))
+    return cache.update_from_retry(o, r).select("filename", "genre")
+
+
+# --- naming and archives -----------------------------------------------------------------------
+
+
+@query("""
+SELECT p_partkey AS original, CASE WHEN n = 1 THEN p_brand ELSE p_brand || ' (' || n || ')' END AS standard_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)""")
+def duplicate_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    return naming.number_duplicates(t(spark, sf, "part").select(F.col("p_partkey").alias("original"), "p_brand"), "original", "p_brand", "original").select("original", "standard_name")
+
+
+_NEW = [(1, "f", "a.txt"), (2, "f", "a.txt"), (3, "f", "b.txt"), (4, "g", "a.txt"), (5, "f", "a.txt")]
+_HAVE = [("f", "a.txt"), ("f", "a (2).txt"), ("f", "a (4).txt")]
+
+
+@query(expected([(1, "a (1).txt"), (2, "a (3).txt"), (3, "b.txt"), (4, "a.txt"), (5, "a (5).txt")], "pos long, free_name string"))
+def collision_numbering(spark: SparkSession, sf: str) -> DataFrame:
+    return naming.free_names(spark.createDataFrame(_NEW, "pos long, folder string, name string"), spark.createDataFrame(_HAVE, "folder string, name string")).select("pos", "free_name")
+
+
+_MEMBERS = [
+    ("one", "content.txt", 1000, False), ("big", "main.txt", 2_000_000, False), ("big", "readme.txt", 100, False), ("big", "info.txt", 50, False),
+    ("dirs", "folder1/image1.jpg", 5, False), ("dirs", "folder1/image2.jpg", 5, False), ("dirs", "folder2/image3.jpg", 5, False),
+    *[("all", f"t{i}.txt", 100_000, False) for i in range(5)], ("all", "image.jpg", 9, False), ("lone", "book.epub", 9, False),
+]
+_METHODS = [("one", "extract_single_file", "content.txt"), ("big", "extract_single_file", "main.txt"), ("dirs", "extract_and_recompress_folders", None), ("all", "extract_all", None), ("lone", "extract_single_file", "book.epub"), ("none", "move_as_is", None)]
+
+
+@query(expected(_METHODS, "archive string, method string, member string"))
+def archive_disposition(spark: SparkSession, sf: str) -> DataFrame:
+    members = spark.createDataFrame(_MEMBERS, "archive string, name string, size long, is_dir boolean")
+    return archives.archive_methods(members, spark.createDataFrame([(m[0],) for m in _METHODS], "archive string"))
+
+
+_FOLDERS = [*[("x/few", f"{i}.txt", True) for i in range(3)], *[("x/many", f"{i}.txt", True) for i in range(4)], ("x/two", "a.zip", True), ("x/two", "b.RAR", True), ("x/two", "c.txt", True), ("x/single", "a.7z", True), ("x/single", "n.txt", True)]
+
+
+@query(expected([*[(f, n, "copy", "") for f, n, _ in _FOLDERS[:3]], *[(f, n, "copy", "many") for f, n, _ in _FOLDERS[3:7]], *[(f, n, "copy", "two") for f, n, _ in _FOLDERS[7:10]], ("x/single", "a.7z", "process_archive", "single"), ("x/single", "n.txt", "copy", "single")], "folder string, name string, action string, destination string"))
+def folder_disposition(spark: SparkSession, sf: str) -> DataFrame:
+    return archives.folder_plan(spark.createDataFrame(_FOLDERS, "folder string, name string, is_file boolean"))
