@@ -23,6 +23,8 @@ from mulberry.llm.common import cut, table
 QUERY_TILE, TILE = 1024, 4096
 #: Query tiles go to every shard, so shards cost shuffled bytes; more shards are more tasks.
 SHARDS, MAX_SHARDS, SHARD_ROWS = 12, 256, 65_536
+#: A score below all others that can be negated, and the id of no vector.
+LOWEST, NO_ID = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).min
 
 
 def floor_scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -99,7 +101,7 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_col
 
         def done() -> pd.DataFrame:
             s, ids = best
-            real = ids >= np.iinfo(np.int64).min + 1
+            real = ids != NO_ID
             n = real.sum(1)
             return pd.DataFrame({"query_id": np.repeat(q_ids, n), "vec_id": ids[real], "score": s[real]})
 
@@ -114,15 +116,14 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_col
                 c_id = np.frombuffer(c_ids, "<i8")
                 s = _exact_product(q, np.frombuffer(c_m, "<i8").reshape(len(c_id), d))
                 own = q_ids[:, None] == c_id[None, :]
-                low = np.iinfo(np.int64).min
-                s[own] = low
+                s[own] = LOWEST
                 # candidates below the k-th best score can't be in the list; of those at it the smaller ids are chosen
                 keep = min(k + int(own.sum(1).max(initial=0)), s.shape[1])
                 edge = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
                 width = int((s >= edge[:, None]).sum(1).max())
                 top = np.argpartition(-s, min(width, s.shape[1]) - 1, axis=1)[:, :width]
                 s, i = np.take_along_axis(s, top, 1), c_id[top]
-                i = np.where(s == low, low, i)
+                i = np.where(s == LOWEST, NO_ID, i)
                 if best is not None:
                     s, i = np.hstack([best[0], s]), np.hstack([best[1], i])
                 best = _best(s, i, k)
