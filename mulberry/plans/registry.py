@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mulberry.functions import html as H
+from mulberry.functions import matching
 from mulberry.functions import normalize as N
 from mulberry.functions.titles import parse_titles, repair_jamo, standard_name, valid_genre
-from mulberry.operators import archives, cache, genres, keywords, naming, reports, routing
+from mulberry.operators import archives, cache, genres, inference, keywords, naming, reports, routing
 from mulberry.plans.catalogue import page_catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +472,41 @@ _FOLDERS = [*[("x/few", f"{i}.txt", True) for i in range(3)], *[("x/many", f"{i}
 @query(expected([*[(f, n, "copy", "") for f, n, _ in _FOLDERS[:3]], *[(f, n, "copy", "many") for f, n, _ in _FOLDERS[3:7]], *[(f, n, "copy", "two") for f, n, _ in _FOLDERS[7:10]], ("x/single", "a.7z", "process_archive", "single"), ("x/single", "n.txt", "copy", "single")], "folder string, name string, action string, destination string"))
 def folder_disposition(spark: SparkSession, sf: str) -> DataFrame:
     return archives.folder_plan(spark.createDataFrame(_FOLDERS, "folder string, name string, is_file boolean"))
+
+
+# --- inference and matching --------------------------------------------------------------------
+
+_INFER = [(1, "갓겜 이야기", "겜판", "high"), (2, "재벌집 검사", "현판", "high"), (3, "조선의 왕", "역사", "high"), (4, "유조선 선장", None, "low"), (5, "천마님 방송하신다", "현판", "high"), (6, "천마 강림", "무협", "high"), (7, "sss급 무언가", "퓨판", "medium"), (8, "가나다라마바사", None, "low"), (9, "감독 이야기", None, "low"), (10, "1999년의 한국", "현판", "high"), (11, "마나와 엘프", "판타지", "high"), (12, "협 하나", "무협", "medium"), (13, "엘프 하나", None, "low"), (14, "병장의 검", "퓨판", "medium")]
+_INFER_KW = [(0, "판타지", "마나"), (0, "판타지", "엘프"), (1, "무협", "협")]
+
+
+@query(expected([(r[0], *r[2:]) for r in _INFER], "pos long, genre string, confidence string"))
+def legacy_inference(spark: SparkSession, sf: str) -> DataFrame:
+    names = spark.createDataFrame([r[:2] for r in _INFER], "pos long, raw_name string")
+    return inference.infer_genre(names, spark.createDataFrame(_INFER_KW, "genre_pos int, genre string, keyword string"))
+
+
+_MATCH = [("신세계의 사령술사", "신세계 사령술사 - 판타지 웹소설 - 리디", True), ("마왕", "마왕 2권", True), ("전혀 다른 긴 제목입니다", "무관한 것", False), ("Re 영웅 이야기들", "[완결] Re 영웅 이야기들 - 문피아", True)]
+
+
+@query(expected(_MATCH, "a string, b string, same boolean"))
+def title_verification(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame(_MATCH, "a string, b string, x boolean")
+    return df.select("a", "b", matching.same_title(F.col("a"), F.col("b"), F.lit(""), F.lit("")).alias("same"))
+
+
+_FUZZY = [("영웅왕 그 미래는", "영웅왕 그의 미래는", True), ("영마스터여행기", "영 마스터 여행기", True), ("올 리셋 라이프", "올리셋라이프", True), ("가나다", "라마바", False)]
+
+
+@query(expected(_FUZZY, "a string, b string, matched boolean"))
+def fuzzy_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(_FUZZY, "a string, b string, x boolean").select("a", "b", matching.is_fuzzy_match(F.col("a"), F.col("b")).alias("matched"))
+
+
+_PARTS = [("구룡겁 - 천중행,천중화", "구룡겁", None, "천중행, 천중화"), ("초능력 연대기 1부 더 맨이터", "초능력 연대기", "1부 더 맨이터", None), ("초능력 연대기(맨이터)", "초능력 연대기", "맨이터", None), ("제목 (완) - 홍길동", "제목", None, "홍길동"), ("트립한국 1913 1-126화", "트립한국 1913", None, None)]
+
+
+@query(expected(_PARTS, "title string, main_title string, subtitle string, author string"))
+def title_part_structs(spark: SparkSession, sf: str) -> DataFrame:
+    df = spark.createDataFrame([(p[0],) for p in _PARTS], "title string")
+    return df.select("title", matching.title_parts(F.col("title")).alias("p")).select("title", "p.*")
