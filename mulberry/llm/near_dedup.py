@@ -10,9 +10,13 @@
     copies the one in the middle, to which most others are linked.
 4.  Pairs are estimated from their registers; what is clearly apart goes, the
     rest is confirmed on the full sets.
-5.  Components of the links.  Buckets that still hold several components have
-    the pairs between those compared as well, so a link is lost only where the
-    two sets share no band.
+5.  Components of the links.  Buckets that still hold several components may
+    hide links between those.  There each class becomes the difference of its
+    set from its leader's, and a prefix filter over the differences, rarest
+    elements first, finds the pairs that can be similar at all: members of a
+    family of near copies differ from each other in what is rare among them.
+    So a link is lost only where the two sets share no band, and a family of
+    classes just below the threshold is not compared pair by pair.
 
 40 bands of 5 of 200 registers miss a pair of similarity 0.8 with a
 probability below 1e-6 and one of 0.9 below 1e-15.
@@ -118,6 +122,11 @@ def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """The full sets of the documents in ``ids`` (column _id)."""
+    return cut(shingle_sets(docs.join(ids.distinct(), F.col(id_col).cast("long") == F.col("_id"), "left_semi"), width, id_col, text_col).dropDuplicates(["id"]))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough, confirmed on the full sets."""
     threshold = per_cent / 100
@@ -125,13 +134,49 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     with_a = pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
     both = with_a.join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
     near = cut(_estimated(both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent), threshold))
-    ids = near.select(F.col("a").alias("_id")).union(near.select(F.col("b").alias("_id"))).distinct()
-    sets = cut(shingle_sets(docs.join(ids, F.col(id_col).cast("long") == F.col("_id"), "left_semi"), width, id_col, text_col).dropDuplicates(["id"]))
+    sets = _sets_of(near.select(F.col("a").alias("_id")).union(near.select(F.col("b").alias("_id"))), docs, width, id_col, text_col)
     full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return cut(full.filter(100 * shared >= per_cent * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _across(led: DataFrame, docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of one leader and different components that can be similar enough.
+
+    ``led`` has leader, id, component.  With d the difference of a set from the
+    leader's, |x ^ y| = |dx ^ dy|, and x and y are similar enough iff
+    |x ^ y| <= k * (|x| + |y|) for k = (1 - t) / (1 + t).  So dx and dy must
+    share (gx + gy) / 2 elements or more, where g = |d| - k * |set|.  In any
+    one order of elements, the first shared one then stands among the first
+    k * |set| + 1 of the side of the smaller g and the first
+    (1 - t) / t * |set| + 1 of the other, and leaves room for the rest.  Where
+    gx + gy <= 0 both are linked to the leader, thus in one component.
+    """
+    high, low = 100 + per_cent, 100 - per_cent
+    sets = _sets_of(led.select(F.col("id").alias("_id")).union(led.select(F.col("leader").alias("_id"))), docs, width, id_col, text_col)
+    both = led.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("set").alias("led_by")), "leader")
+    apart = both.select("leader", "id", "component", F.size("set").cast("long").alias("n"), F.concat(F.array_except("set", "led_by"), F.array_except("led_by", "set")).alias("d"))
+    items = cut(apart.select("leader", "id", "component", "n", F.size("d").cast("long").alias("nd"), F.explode("d").alias("e")))
+    # elements of one class only are the first of all: they are counted, not kept
+    often = items.groupBy("leader", "e").agg(F.count("*").alias("f")).filter("f > 1")
+    ordered = items.join(often, ["leader", "e"]).groupBy("leader", "id", "component", "n", "nd").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o"))
+    placed = ordered.select("leader", "id", "component", "n", "nd", F.size("o").alias("size"), F.posexplode("o").alias("i", "fe"))
+    at = (F.col("nd") - F.col("size") + F.col("i")).cast("long")  # elements before this one
+    placed = placed.select("leader", F.col("fe.e").alias("e"), "id", "component", "n", (high * F.col("nd") - low * F.col("n")).alias("g"), (F.col("nd") - at).alias("room"), at.alias("at"))
+    placed = cut(placed.filter(F.col("at") * per_cent <= F.col("n") * low))
+
+    def side(df: DataFrame, suffix: str) -> DataFrame:
+        return df.select("leader", "e", *[F.col(c).alias(c + suffix) for c in ("id", "component", "n", "g", "room")])
+
+    x, y = side(placed.filter(F.col("at") * high <= F.col("n") * low), "x"), side(placed, "y")
+    first = (F.col("gx") < F.col("gy")) | ((F.col("gx") == F.col("gy")) & (F.col("idx") < F.col("idy")))
+    room = 2 * high * F.least("roomx", "roomy") >= F.col("gx") + F.col("gy")
+    sizes = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * per_cent
+    same_key = [x["leader"] == y["leader"], x["e"] == y["e"]]
+    found = x.join(y, [*same_key, first, room, sizes, F.col("componentx") != F.col("componenty")])
+    return found.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -160,11 +205,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     # buckets that hold several components: compare across those
     placed = cut(members.join(comps, F.col("id") == F.col("vertex"), "left").select("band", "id", "leader", F.coalesce("component", "id").alias("component")))
     split = cut(placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 < c1 and n > 2").select("band"))
-    rest = placed.join(split, "band").filter("id <> leader")
-    sized = classes.select("id", F.col("n_shingles").alias("n"))
-    rest = cut(rest.join(sized, "id"))
-    x, y = (rest.select("band", F.col("id").alias(i), F.col("component").alias(c), F.col("n").alias(n)) for i, c, n in (("a", "ca", "na"), ("b", "cb", "nb")))
-    across = x.join(y, "band").filter("a < b and ca <> cb and least(na, nb) * 100 >= greatest(na, nb) * %d" % per_cent).select("a", "b").distinct()
+    led = cut(placed.join(split, "band").filter("id <> leader").select("leader", "id", "component").distinct())
+    across = _across(led, docs, width, per_cent, id_col, text_col)
     more = _links(across, classes, docs, width, per_cent, id_col, text_col)
     comps = cut(connected_components(links.unionByName(more)))
     named = own.join(classes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"], "left").join(comps, F.col("id") == F.col("vertex"), "left")
