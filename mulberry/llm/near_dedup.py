@@ -208,7 +208,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     led = cut(placed.join(split, "band").filter("id <> leader").select("leader", "id", "component").distinct())
     across = _across(led, docs, width, per_cent, id_col, text_col)
     more = _links(across, classes, docs, width, per_cent, id_col, text_col)
-    comps = cut(connected_components(links.unionByName(more)))
+    # the components so far stand for their links
+    stars = comps.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
+    comps = cut(connected_components(stars.unionByName(more)))
     named = own.join(classes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"], "left").join(comps, F.col("id") == F.col("vertex"), "left")
     component = F.coalesce("component", "id", "doc_id")
     out = named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
