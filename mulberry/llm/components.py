@@ -14,13 +14,12 @@ from mulberry.llm.common import cut
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Of each vertex, link its larger (else: smaller) neighbours to the least vertex among it and its neighbours."""
+    """``links`` are distinct and go from the larger vertex.  Of each vertex, link its larger (else: smaller) neighbours to the least vertex among it and its neighbours."""
     if large:
         both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
     else:
         both = links.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
-    both = both.filter("x <> y").distinct()
-    least = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")))
+    least = (both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")))
     out = both.join(least, "x")
     if large:
         return out.filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
@@ -33,7 +32,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Links to oneself and repeated links count once; links with a null end are
     left out.  No links give no rows.
     """
-    links = cut(links.select("u", "v").filter("u is not null and v is not null and u <> v").distinct())
+    links = cut(links.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def state(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

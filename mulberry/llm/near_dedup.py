@@ -155,11 +155,12 @@ def _across(led: DataFrame, docs: DataFrame, width: int, per_cent: int, id_col:
     high, low = 100 + per_cent, 100 - per_cent
     sets = _sets_of(led.select(F.col("id").alias("_id")).union(led.select(F.col("leader").alias("_id"))), docs, width, id_col, text_col)
     both = led.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("set").alias("led_by")), "leader")
-    apart = both.select("leader", "id", "component", F.size("set").cast("long").alias("n"), F.concat(F.array_except("set", "led_by"), F.array_except("led_by", "set")).alias("d"))
-    items = cut(apart.select("leader", "id", "component", "n", F.size("d").cast("long").alias("nd"), F.explode("d").alias("e")))
+    apart = cut(both.select("leader", "id", "component", F.size("set").cast("long").alias("n"), F.concat(F.array_except("set", "led_by"), F.array_except("led_by", "set")).alias("d")))
+    items = apart.select("leader", "id", F.explode("d").alias("e"))
     # elements of one class only are the first of all: they are counted, not kept
     often = items.groupBy("leader", "e").agg(F.count("*").alias("f")).filter("f > 1")
-    ordered = items.join(often, ["leader", "e"]).groupBy("leader", "id", "component", "n", "nd").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o"))
+    ordered = items.join(often, ["leader", "e"]).groupBy("leader", "id").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("o"))
+    ordered = ordered.join(apart.select("leader", "id", "component", "n", F.size("d").cast("long").alias("nd")), ["leader", "id"])
     placed = ordered.select("leader", "id", "component", "n", "nd", F.size("o").alias("size"), F.posexplode("o").alias("i", "fe"))
     at = (F.col("nd") - F.col("size") + F.col("i")).cast("long")  # elements before this one
     placed = placed.select("leader", F.col("fe.e").alias("e"), "id", "component", "n", (high * F.col("nd") - low * F.col("n")).alias("g"), (F.col("nd") - at).alias("room"), at.alias("at"))

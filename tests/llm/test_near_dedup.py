@@ -109,3 +109,17 @@ def test_registers_agree_as_often_as_sets_do(docs_of):
 def test_bands_have_the_registers(docs_of):
     r = n.sketches(docs_of([(1, "a b c d")]), 2).select(F.octet_length("regs")).first()[0]
     assert r == 2 * n.BANDS * n.ROWS
+
+
+def test_family_around_the_threshold(docs_of):
+    """Many near copies of which most pairs lie just below the threshold and some above it."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for at in rng.sample(range(150), 8 if i % 3 else 5):
+            t[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(t)))
+    got = n.near_duplicates(docs_of(rows), 2).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 2, 80)
