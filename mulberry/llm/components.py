@@ -12,18 +12,23 @@ from pyspark.sql import functions as F
 
 from mulberry.llm.common import cut
 
+#: Links to a task, and tasks at least: a small graph writes few files a round, a large one keeps all its partitions.
+LINKS_A_TASK, LEAST_TASKS = 20_000, 8
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+
+def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
     """``links`` are distinct and go from the larger vertex.  Of each vertex, link its larger (else: smaller) neighbours to the least vertex among it and its neighbours."""
     if large:
         both = links.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(links.select(F.col("v").alias("x"), F.col("u").alias("y")))
     else:
         both = links.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
-    least = (both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")))
+    least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
     out = both.join(least, "x")
     if large:
-        return out.filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-    return out.select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).filter("u <> v")
+        out = out.filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
+    else:
+        out = out.select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).filter("u <> v")
+    return cut(out.coalesce(tasks).distinct().coalesce(tasks))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -43,6 +48,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        links = cut(_star(cut(_star(links, True).distinct()), False).distinct())
+        tasks = max(LEAST_TASKS, now[0] // LINKS_A_TASK)
+        links = _star(_star(links.coalesce(tasks), True, tasks), False, tasks)
     pairs = links.select(F.greatest("u", "v").alias("vertex"), F.least("u", "v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("vertex"), "component").distinct())
