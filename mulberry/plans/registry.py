@@ -126,13 +126,13 @@ def norm_similarity_title(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT a.p_partkey AS p_partkey, round(1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)), 6) AS similarity,
-       1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)) >= 0.85 AS similar
+       1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name)) >= 0.85 AS is_similar
 FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
 def levenshtein_similarity(spark: SparkSession, sf: str) -> DataFrame:
     p = t(spark, sf, "part")
     b = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
     x, y = F.col("p_name"), F.col("other")
-    return p.join(b, "p_partkey").select("p_partkey", F.round(N.similarity(x, y), 6).alias("similarity"), N.is_similar(x, y).alias("similar"))
+    return p.join(b, "p_partkey").select("p_partkey", F.round(N.similarity(x, y), 6).alias("similarity"), N.is_similar(x, y).alias("is_similar"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
