@@ -4,6 +4,11 @@ A chunk ends where the rolling hash of the bytes before says so, hence the same
 passage is cut alike wherever it stands, and an insertion shifts no chunk but
 those it touches.  Chunks are compared by 128-bit digest.  The document of the
 least identifier owns a chunk; runs of chunks that others own are repeats.
+
+The ends of a passage lie within chunks that differ, so ``passages``, which the
+query runs, takes anchors instead: of every SPREAD strings of ANCHOR bytes in a
+row the one of the least hash.  Any passage of ANCHOR + SPREAD - 1 bytes holds
+one that its other places hold as well; matches are widened over equal bytes.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from mulberry.llm.setsketch import mix64
 LEAST, MOST, MEAN, WINDOW = 24, 256, 32, 16
 #: Bytes of a run of repeated chunks from which it is a passage.
 PASSAGE = 128
+#: Bytes of an anchor, strings in a row of which one is an anchor (anchors of a passage touch), bytes that a match is widened by at most.
+ANCHOR, SPREAD, REACH = 64, 64, 63
 #: One random word for every byte value.
 GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -126,6 +133,140 @@ def repeated_passages(docs: DataFrame, least_bytes: int = PASSAGE, id_col: str =
     return out.select("doc_id", "first_doc_id", "start", "stop", "n_chunks", "n_bytes", "n_words")
 
 
+def anchors(data: np.ndarray) -> np.ndarray:
+    """Starts of the anchors of a text given as bytes; none in texts of less than ANCHOR + SPREAD - 1 bytes."""
+    if len(data) < ANCHOR + SPREAD - 1:
+        return np.empty(0, np.int64)
+    h, k = GEAR[data], 1
+    while k < ANCHOR:
+        wider = h.copy()
+        wider[k:] += h[:-k] << np.uint64(k)
+        h, k = wider, 2 * k
+    h = (h[ANCHOR - 1 :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    least, k = (h << np.uint64(32)) | np.arange(len(h), dtype=np.uint64), 1
+    while k < SPREAD:
+        least, k = np.minimum(least[:-k], least[k:]), 2 * k
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+    v = h[at]
+    if (v[1:] == v[:-1]).any():  # of equal strings in a row no more than are needed
+        kept, places, values = [0], at.tolist(), v.tolist()
+        for i in range(1, len(places)):
+            last = kept[-1]
+            if not (i + 1 < len(places) and values[last] == values[i] == values[i + 1] and places[i + 1] - places[last] <= SPREAD):
+                kept.append(i)
+        at = at[kept]
+    return at
+
+
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, words, key): the anchors of every whole text, the words that begin before each, its 64-bit digest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+            size = 0
+            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                data = np.frombuffer(raw, np.uint8)
+                at = anchors(data)
+                if not len(at):
+                    continue
+                space = (data == 32) | ((data >= 9) & (data <= 13))
+                begins = ~space
+                begins[1:] &= space[:-1]
+                words = np.concatenate(([0], np.cumsum(begins)))[at].astype(np.int32)
+                key = np.array([xxhash.xxh3_64_intdigest(raw[a : a + ANCHOR]) for a in at.tolist()], np.uint64).view(np.int64)
+                for p, v in zip(cols, (np.full(len(at), doc, np.int64), at.astype(np.int32), words, key), strict=True):
+                    p.append(v)
+                size += len(at)
+                if size >= 100_000:
+                    yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(("doc_id", "at", "words", "key"), cols, strict=True)})
+                    cols, size = [[] for _ in range(4)], 0
+            if size:
+                yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(("doc_id", "at", "words", "key"), cols, strict=True)})
+
+    return docs.mapInPandas(run, "doc_id long, at int, words int, key long")
+
+
+def widen(start: int, last: int, words: int, last_words: int, left: bytes, right: bytes, other_start: int, other_last: int, other_left: bytes, other_right: bytes) -> tuple[int, int, int, int]:
+    """Ends of a match of anchors from ``start`` to ``last`` widened over equal bytes, and the words that begin before each end.
+
+    ``left`` has up to REACH + 1 bytes before the first anchor and four of it,
+    ``right`` the byte before the last anchor, the anchor and up to REACH + 1
+    bytes after it.  No end parts a character.
+    """
+    n, m, a = min(start, REACH + 1), min(other_start, REACH + 1), 0
+    while a < min(n, m, REACH) and left[n - 1 - a] == other_left[m - 1 - a]:
+        a += 1
+    i = n - a
+    while i < len(left) and left[i] & 0xC0 == 0x80:
+        i += 1
+    j = min(last, 1) + ANCHOR
+    k, b = min(other_last, 1) + ANCHOR, 0
+    while b < min(len(right) - j, len(other_right) - k, REACH) and right[j + b] == other_right[k + b]:
+        b += 1
+    e = j + b
+    while e < len(right) and right[e] & 0xC0 == 0x80:
+        e -= 1
+
+    def begun(raw: bytes, lo: int, hi: int) -> int:
+        return sum(raw[x] not in _SPACE and (x == 0 or raw[x - 1] in _SPACE) for x in range(lo, hi))
+
+    before = words - begun(left, i, n) + begun(left, n, i)
+    return start - n + i, last - min(last, 1) + e, before, last_words + begun(right, min(last, 1), e)
+
+
+_SPACE = frozenset(b" \t\n\v\f\r")
+
+
+def passages(docs: DataFrame, least_bytes: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per repeat, with the columns of ``repeated_passages``, to its true ends; n_chunks counts anchors.
+
+    Every passage of ``least_bytes`` bytes or more that a document of smaller
+    identifier holds as well is in a row.  A match is widened against the least
+    document that holds its anchor; where that one goes on otherwise, up to
+    REACH bytes at an end can be missing that a later document shares.  Matches
+    that touch are one row, and only then is the length tested.  Matches are
+    verified by the MD5 digest of all their bytes.  Else as there.
+    """
+    if least_bytes < ANCHOR + SPREAD - 1:
+        raise ValueError(f"shorter passages than {ANCHOR + SPREAD - 1} bytes need not hold an anchor")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
+    found = anchor_rows(slim)
+    owners = cut(found.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("key", "owner"))
+    shared = cut(found.join(owners, "key").dropDuplicates(["key", "doc_id", "at"]))
+    first = shared.filter("doc_id = owner").groupBy("key").agg(F.min("at").alias("owner_at"))
+    again = shared.filter("doc_id > owner").join(first, "key").withColumn("shift", F.col("at") - F.col("owner_at"))
+    w = Window.partitionBy("doc_id").orderBy("at", "key")
+    new = F.coalesce((F.lag("owner").over(w) != F.col("owner")) | (F.lag("shift").over(w) != F.col("shift")) | (F.col("at") - F.lag("at").over(w) > ANCHOR), F.lit(True))
+    again = again.withColumn("new", new.cast("int")).withColumn("match", F.sum("new").over(w))
+    matches = again.groupBy("doc_id", "match").agg(F.min("owner").alias("owner"), F.min("at").alias("start"), F.max("at").alias("last"), F.min("owner_at").alias("other_start"), F.max("owner_at").alias("other_last"), F.min("words").alias("words"), F.max("words").alias("last_words"), F.count("*").alias("n"))
+    matches = cut(matches)
+    wanted = matches.select("doc_id", "start", "last").union(matches.select("owner", "other_start", "other_last")).distinct()
+    raw, low = F.col("text").cast("binary"), F.greatest(F.col("start") - REACH - 1, F.lit(0))
+    edge = F.greatest(F.col("last") - 1, F.lit(0))
+    ends = slim.join(wanted, "doc_id").select("doc_id", "start", "last", F.md5(F.substring(raw, F.col("start") + 1, F.col("last") - F.col("start") + ANCHOR)).alias("digest"), F.substring(raw, low + 1, F.col("start") - low + 4).alias("left"), F.substring(raw, edge + 1, F.col("last") - edge + ANCHOR + REACH + 1).alias("right"))
+    ends = cut(ends)
+    others = ends.select(*(F.col(a).alias(b) for a, b in (("doc_id", "owner"), ("start", "other_start"), ("last", "other_last"), ("digest", "digest"), ("left", "other_left"), ("right", "other_right"))))
+    pairs = matches.join(ends, ["doc_id", "start", "last"]).join(others, ["owner", "other_start", "other_last", "digest"])
+    given = ["start", "last", "words", "last_words", "left", "right", "other_start", "other_last", "other_left", "other_right"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [widen(*r) for r in zip(*(pdf[c].tolist() for c in given), strict=True)]
+            yield pdf[["doc_id", "match", "owner", "n"]].join(pd.DataFrame(got, columns=["start", "stop", "w0", "w1"], index=pdf.index, dtype="int64"))
+
+    spans = pairs.select("doc_id", "match", "owner", "n", *given).mapInPandas(run, "doc_id long, match long, owner long, n long, start int, stop int, w0 int, w1 int")
+    spans = spans.repartition("doc_id").dropDuplicates(["doc_id", "match"])
+    by = Window.partitionBy("doc_id").orderBy("start", "stop", "match")
+    far = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("apart", F.coalesce(F.col("start") > far, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(by))
+    out = spans.groupBy("doc_id", "run").agg(F.min("owner").alias("first_doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n_chunks"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"))
+    out = out.withColumn("n_bytes", (F.col("stop") - F.col("start")).cast("long")).filter(F.col("n_bytes") >= least_bytes)
+    return out.select("doc_id", "first_doc_id", "start", "stop", "n_chunks", "n_bytes", "n_words")
+
+
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the repeated passages cut out of their texts; the first of each stays."""
     spans = passages.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start").alias("a"), F.col("stop").alias("b")))).alias("_s"))
@@ -137,4 +278,4 @@ def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id"
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents"))
