@@ -102,39 +102,44 @@ def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Dat
     call; a result without call stays at its own turn.  Of several results or
     calls with one identifier in a conversation the earliest counts, others
     are unlinked and name it in problems.  Null texts are empty contents, null
-    roles "user".  Texts that are no such JSON are plain content.  Repeated
-    rows give repeated events; other columns are not read.
+    roles "user".  Texts that are no such JSON are plain content.  Calls without
+    id are unlinked and say so in problems.  Repeated rows give
+    repeated events; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    # only texts that can be such objects are parsed
-    parsed = F.when(text.rlike(r'^\s*\{.*"(tool_calls|tool_call_id)"'), F.from_json(text, TURN))
+    # only texts that can be objects are parsed; keys may be escaped or on any line
+    parsed = F.when(text.rlike(r'^\s*\{'), F.from_json(text, TURN))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), text.alias("text"), parsed.alias("p"))
-    calls_in = F.coalesce(F.size(F.filter("p.tool_calls", lambda c: c["id"].isNotNull())), F.lit(0))
+    calls_in = F.coalesce(F.size(F.filter("p.tool_calls", lambda c: c.isNotNull())), F.lit(0))
     kind = F.when((F.col("role") == "tool") & F.col("p.tool_call_id").isNotNull(), "result").when(calls_in > 0, "calls").otherwise("message")
     rows = rows.withColumn("kind", kind)
     none = F.array().cast("array<string>")
     plain = rows.filter((F.col("kind") == "message") | ((F.col("kind") == "calls") & (F.coalesce("p.content", F.lit("")) != "")))
     content = F.when(F.col("kind") == "calls", F.col("p.content")).otherwise(F.col("text"))
     messages = plain.select("conv_id", "turn", F.lit(0).alias("place"), F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("boolean").alias("linked"), none.alias("problems"), F.to_json(F.struct(content.alias("content"), F.col("role"))).alias("json"))
-    made = rows.filter("kind = 'calls'").select("conv_id", "turn", F.posexplode("p.tool_calls").alias("part", "c")).filter("c.id is not null")
-    made = made.select("conv_id", "turn", "part", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"), F.coalesce("c.after", none).alias("after"))
-    given = rows.filter("kind = 'result'").select("conv_id", "turn", F.col("p.tool_call_id").alias("call_id"), F.coalesce("p.content", F.lit("")).alias("content"))
+    made = rows.filter("kind = 'calls'").select("conv_id", "turn", F.posexplode("p.tool_calls").alias("part", "c")).filter("c is not null")
+    # a key of its own for every call: its identifier or, without one, its place
+    key = F.coalesce(F.concat(F.lit("i"), F.col("c.id")), F.concat_ws(":", F.lit("n"), "turn", "part"))
+    needs = F.transform(F.coalesce("c.after", none), lambda x: F.concat(F.lit("i"), x))
+    made = made.select("conv_id", "turn", "part", F.col("c.id").alias("call_id"), key.alias("key"), F.col("c.name").alias("name"), F.coalesce("c.arguments", F.lit("{}")).alias("arguments"), needs.alias("after"))
+    given = rows.filter("kind = 'result'").select("conv_id", "turn", F.col("p.tool_call_id").alias("call_id"), F.concat(F.lit("i"), "p.tool_call_id").alias("key"), F.coalesce("p.content", F.lit("")).alias("content"))
     made, given = cut(made), cut(given)
     if made.isEmpty() and given.isEmpty():
         return messages
     call_key = F.struct("turn", "part")
-    first_call = made.groupBy("conv_id", "call_id").agg(F.min(call_key).alias("at"))
-    first_result = given.groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
-    depth = cut(_places(made.join(first_call, ["conv_id", "call_id"]).filter(call_key == F.col("at")).groupBy("conv_id", "call_id").agg(F.first("after").alias("after"))))
-    c = made.join(first_call, ["conv_id", "call_id"]).join(first_result, ["conv_id", "call_id"], "left").join(depth, ["conv_id", "call_id"])
+    first_call = made.groupBy("conv_id", "key").agg(F.min(call_key).alias("at"))
+    first_result = given.groupBy("conv_id", "key").agg(F.min("turn").alias("result_turn"))
+    firsts = made.join(first_call, ["conv_id", "key"]).filter(call_key == F.col("at")).groupBy("conv_id", "key").agg(F.first("after").alias("after"))
+    depth = cut(_places(firsts.withColumnRenamed("key", "call_id")).withColumnRenamed("call_id", "key"))
+    c = made.join(first_call, ["conv_id", "key"]).join(first_result, ["conv_id", "key"], "left").join(depth, ["conv_id", "key"])
     first = call_key == F.col("at")
     problems = violations(F.col("name"), F.col("arguments"), schemas) if schemas else none
-    problems = F.concat(problems, F.when(~first, F.array(F.lit("repeated id"))).otherwise(none), F.when(F.col("depth") < 0, F.array(F.lit("cycle"))).otherwise(none), F.when(canonical(F.col("arguments")).isNull(), F.array(F.lit("no JSON"))).otherwise(none))
+    problems = F.concat(problems, F.when(F.col("call_id").isNull(), F.array(F.lit("no id"))).otherwise(none), F.when(~first & F.col("call_id").isNotNull(), F.array(F.lit("repeated id"))).otherwise(none), F.when(F.col("depth") < 0, F.array(F.lit("cycle"))).otherwise(none), F.when(canonical(F.col("arguments")).isNull(), F.array(F.lit("no JSON"))).otherwise(none))
     args = F.coalesce(canonical(F.col("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     line = F.concat(F.lit('{"arguments":'), args, F.lit(","), F.expr("substring(to_json(struct(call_id AS id, coalesce(name, '') AS name, 'assistant' AS role)), 2)"))
     place = 2 * F.greatest("depth", F.lit(0))
     calls = c.select("conv_id", "turn", (place + 1).alias("place"), "part", F.lit("call").alias("kind"), "call_id", (first & F.col("result_turn").isNotNull()).alias("linked"), problems.alias("problems"), line.alias("json"))
-    r = given.join(first_call, ["conv_id", "call_id"], "left").join(first_result, ["conv_id", "call_id"]).join(depth, ["conv_id", "call_id"], "left")
+    r = given.join(first_call, ["conv_id", "key"], "left").join(first_result, ["conv_id", "key"]).join(depth, ["conv_id", "key"], "left")
     ok = F.col("at").isNotNull() & (F.col("turn") == F.col("result_turn"))
     why = F.concat(F.when(F.col("at").isNull(), F.array(F.lit("no call"))).otherwise(none), F.when(F.col("turn") != F.col("result_turn"), F.array(F.lit("repeated id"))).otherwise(none))
     results = r.select("conv_id", F.when(ok, F.col("at.turn")).otherwise(F.col("turn")).alias("turn"), F.when(ok, place + 2).otherwise(F.lit(0)).alias("place"), F.when(ok, F.col("at.part")).otherwise(F.lit(0)).alias("part"), F.lit("result").alias("kind"), "call_id", ok.alias("linked"), why.alias("problems"), F.to_json(F.struct("content", F.lit("tool").alias("role"), F.col("call_id").alias("tool_call_id"))).alias("json"))
