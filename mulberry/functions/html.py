@@ -48,10 +48,11 @@ def by_class(page: Column, tag: str, css_class: str) -> Column:
     return collapse(unescape(F.regexp_replace(F.regexp_extract(page, rf"""(?is)<{tag}\s[^>]*class\s*=\s*["'][^"']*\b{css_class}\b[^"']*["'][^>]*>(.*?)</{tag}>""", 1), "<[^>]*>", "")))
 
 
-def visible_text(page: Column, most: int = 3000) -> Column:
-    """Text without scripts, styles, headers, footers and menus; its first characters, as many as evidence is looked for in."""
+def visible_text(page: Column, most: int | None = None) -> Column:
+    """Text without scripts, styles, headers, footers and menus; whole, or its first ``most`` characters (the reference looks for evidence in 3000)."""
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, r"(?s)<!--.*?-->", " "), _APART, " "), "<[^>]*>", " ")
-    return F.substring(collapse(unescape(bare)), 1, most)
+    text = collapse(unescape(bare))
+    return text if most is None else F.substring(text, 1, most)
 
 
 def jsonld(page: Column) -> Column:
