@@ -21,8 +21,8 @@ from mulberry.llm.common import cut, table
 
 CALL = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 TURN = f"struct<content:string,tool_calls:{CALL},tool_call_id:string>"
-#: Links of the longest chain of calls that is followed; one round each.
-MOST_ROUNDS = 100
+#: Open needs, at most, that the driver orders by itself; more are settled by a round of joins a link.
+FEW_NEEDS = 100_000
 #: JSON schema types by the variant types that they admit.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
 
@@ -74,24 +74,49 @@ def _places(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): the longest chain of calls before each; -1 on a cycle or after one.
 
     ``calls`` has conv_id, call_id and after.  Depths grow by one round a link;
-    a call is settled when all it needs is.
+    a call is settled when all it needs is, and rounds go on until none is.
     """
     needs = cut(calls.select("conv_id", "call_id", F.explode("after").alias("need")).filter("need is not null").distinct())
     known = calls.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("real")).distinct()
     needs = cut(needs.join(known, ["conv_id", "need"]))  # what isn't called is waited for by none
-    waiting = needs.select("conv_id", "call_id").distinct()
     every = calls.select("conv_id", "call_id").distinct()
-    settled = cut(every.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)))
-    for depth in range(1, MOST_ROUNDS):
-        open_calls = waiting.join(settled, ["conv_id", "call_id"], "left_anti")
-        state = needs.join(open_calls, ["conv_id", "call_id"]).join(settled.select("conv_id", F.col("call_id").alias("need"), "depth"), ["conv_id", "need"], "left")
-        ready = cut(state.groupBy("conv_id", "call_id").agg(F.bool_and(F.col("depth").isNotNull()).alias("all")).filter("all").select("conv_id", "call_id", F.lit(depth).alias("depth")))
-        if ready.isEmpty():
+    front = cut(every.join(needs, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)))
+    settled, depth = front, 0
+    while not front.isEmpty():
+        met = front.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("met"))
+        state = needs.join(met, ["conv_id", "need"], "left")
+        if len(needs.limit(FEW_NEEDS + 1).select("conv_id").collect()) <= FEW_NEEDS:
+            rows = _chains([tuple(r) for r in state.select("conv_id", "call_id", "need", "met").collect()], depth)
+            settled = settled.unionByName(calls.sparkSession.createDataFrame(rows, settled.schema))
             break
-        settled = cut(settled.unionByName(ready))
+        depth += 1
+        rest = cut(state.filter("met is null").drop("met"))
+        front = cut(needs.select("conv_id", "call_id").distinct().join(rest, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(depth)))
+        settled, needs = cut(settled.unionByName(front)), rest
     return every.join(settled, ["conv_id", "call_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(-1)))
 
 
+def _chains(rows: list[tuple], depth: int) -> list[tuple]:
+    """(conv_id, call_id, depth) of the calls that can be settled, of (conv_id, call_id, need, met); what is met has ``depth``."""
+    open_needs, waited_by = {}, {}
+    for conv, call, need, met in rows:
+        open_needs[conv, call] = open_needs.get((conv, call), 0) + (not met)
+        if not met:
+            waited_by.setdefault((conv, need), []).append((conv, call))
+    level, out = [c for c, n in open_needs.items() if not n], []
+    while level:
+        depth += 1
+        out += [(*c, depth) for c in level]
+        later = []
+        for c in level:
+            for x in waited_by.get(c, []):
+                open_needs[x] -= 1
+                if not open_needs[x]:
+                    later.append(x)
+        level = later
+    return out
+
+
 def format_chat(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row per event: conv_id, turn, place, part, kind, call_id, linked, problems, json.
 
