@@ -64,18 +64,20 @@ def targets(sources: DataFrame, weights: list[int], share: float, most: float) -
     return s.withColumn("target", F.least("cap", F.col("weight") * F.col("level"))).select(*sources.columns, "source_no", "target", "total")
 
 
-def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digest: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, taken, and how ``taken`` comes about.
 
     taken = copies * size + the words [from1, to1) and [from2, to2) of the
     document.  Null texts have size 0 and null sources are a source of their
     own, the last.  Repeated rows are documents of their own.  The selection
     depends on seed, identifiers and sizes only, so reruns agree.  A mix of no
-    words takes none.
+    words takes none.  With ``digest`` the plan has that of each text as well,
+    which tells documents of one identifier, source and size apart.
     """
     weights = weights or [5, 2, 1]
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.lit("place"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).cast("int"))
+    more = ["digest"] if digest else []
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *(F.md5(F.col(text_col).cast("binary")).alias(c) for c in more)).withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(CELLS)).cast("int"))
     slim = cut(slim)
     cells = slim.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.count("*").alias("cell_rows"))
     cells = cut(cells)
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, m
     shards = sainte_lague(shards, ["source_no"], "shard_size", "source_blocks", ["shard"]).select("source_no", "shard", "shard_size", "quota")
     plan = cut(cells.join(shards, ["source_no", "shard"]).select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), "source_no", "source_size", "target", "shard", "shard_size", "quota"))
     rows = slim.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("_cell"))).drop("_source", "_cell")
-    end = F.sum("size").over(Window.partitionBy("source_no", "shard").orderBy(key, "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    end = F.sum("size").over(Window.partitionBy("source_no", "shard").orderBy(key, "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     words = F.least(F.col("quota") * block, F.floor(most * F.col("shard_size")))
     rows = rows.withColumn("copies", F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long"))
@@ -101,24 +103,26 @@ def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, m
     first, last = F.col("first"), F.col("first") + F.col("run")
     rows = rows.withColumns({"from1": within(first), "to1": within(last), "from2": within(first - F.col("shard_size")), "to2": within(last - F.col("shard_size"))})
     taken = F.col("copies") * F.col("size") + F.col("to1") - F.col("from1") + F.col("to2") - F.col("from2")
-    return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), "copies", "from1", "to1", "from2", "to2")
+    return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), "copies", "from1", "to1", "from2", "to2", *more)
 
 
 def mixed_rows(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows with the columns of ``docs``: whole copies, and the words taken of a document besides them with the white space before each.
 
     The identifiers, sources and sizes in ``docs`` are those ``plan`` was made
-    of; of rows repeated with the same three, each gets its share once.
+    of; of rows repeated with the same three, each gets its share once.  Where
+    their texts can differ, the plan must have their digests.
     """
     cols = docs.columns
     keys = [F.col(id_col), F.col(source_col), word_count(F.col(text_col))]
-    planned = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m"), F.collect_list(F.struct("from1", "to1", "from2", "to2")).alias("_p"))
+    digest = F.md5(F.col(text_col).cast("binary")) if "digest" in plan.columns else F.lit("")
+    planned = plan.withColumn("digest", F.col("digest") if "digest" in plan.columns else F.lit("")).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("digest").alias("_d")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m"), F.collect_list(F.struct("from1", "to1", "from2", "to2")).alias("_p"))
     parts = F.flatten(F.transform("_p", lambda p: F.array(F.struct(p["from1"].alias("a"), p["to1"].alias("b")), F.struct(p["from2"].alias("a"), p["to2"].alias("b")))))
     parts = F.filter(parts, lambda p: p["b"] > p["a"])
-    planned = planned.select("_i", "_s", "_z", "_c", "_m", parts.alias("_p")).filter("_c > 0 or size(_p) > 0")
-    once = docs.withColumns({"_k1": keys[0], "_k2": keys[1], "_k3": keys[2]})
-    rows = once.join(planned, F.col("_k1").eqNullSafe(F.col("_i")) & F.col("_k2").eqNullSafe(F.col("_s")) & (F.col("_k3") == F.col("_z")))
-    rows = rows.filter("_m = 1").unionByName(rows.filter("_m > 1").dropDuplicates(["_k1", "_k2", "_k3"]))
+    planned = planned.select("_i", "_s", "_z", "_d", "_c", "_m", parts.alias("_p")).filter("_c > 0 or size(_p) > 0")
+    once = docs.withColumns({"_k1": keys[0], "_k2": keys[1], "_k3": keys[2], "_k4": digest})
+    rows = once.join(planned, F.col("_k1").eqNullSafe(F.col("_i")) & F.col("_k2").eqNullSafe(F.col("_s")) & (F.col("_k3") == F.col("_z")) & F.col("_k4").eqNullSafe(F.col("_d")))
+    rows = rows.filter("_m = 1").unionByName(rows.filter("_m > 1").dropDuplicates(["_k1", "_k2", "_k3", "_k4"]))
     whole = F.struct(F.lit(0).cast("long").alias("a"), F.col("_z").alias("b"))
     rows = rows.withColumn("_p", F.explode(F.concat(F.array_repeat(whole, F.col("_c").cast("int")), F.col("_p"))))
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
