@@ -5,8 +5,9 @@ disguised (symbols for letters, letters drawn apart, letters repeated), the
 readings form a lattice; its best path under channel costs and character model
 (Viterbi) is the restored text.  Where a text has one reading only, that is its
 best path.  Restored words are then scored: the evidence of word beginnings is
-learned from labels, and a logistic model turns a document's evidence into a
-probability.
+learned from labels, shrunk by how often they were seen, and a logistic model
+turns a document's evidence into a probability.  That model is fitted on
+evidence by weights of other folds, so a document never vouches for itself.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mulberry.llm.common import table
+from mulberry.llm.common import cut, table
 
 #: Labelled rows that are learned from, about, whatever the corpus; they are picked by a hash of the identifier.
 FIT_ROWS = 60_000
@@ -53,9 +54,17 @@ LOOKALIKES = {
 }
 #: Costs (in nats) of the channel: a symbol for a letter, a symbol left alone, a repeated letter shortened, a gap closed, a gap kept.
 SUBSTITUTE, LEAVE, SHORTEN, CLOSE, KEEP_GAP = 1.0, 8.0, 0.7, 0.3, 6.0
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_@$!|+€£][ .\-_*]|[@$!|+€£][ .\-_*]){3,}[^\W_](?![^\W_])")
+#: Cost of a gap kept beside a part of several letters, and of a doubled letter shortened where most letters aren't doubled.
+KEEP_PART, HALVE = 0.5, 3.0
+#: Folds of the labelled rows, and standard errors that a word beginning's log odds are shrunk by.
+FOLDS, SHRINK = 5, 1.5
+_ONE, _PARTED = r"(?:[^\W_]|[@$!|+€£(])", r"[\s.,/\\\-_*~·]{1,3}"
+_SPACED = re.compile(rf"(?<![^\W_])(?:[^\W\d_]{{2,3}}{_PARTED})?(?:{_ONE}{_PARTED}){{2,}}{_ONE}(?![^\W_])(?:{_PARTED}[^\W\d_]{{2,3}})?(?![\w@$!|+€£(])")
 _LETTER, _SYMBOL = re.compile(r"[^\W\d_]"), re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
-_RUN = re.compile(r"([^\W\d_])\1{2,}")
+#: Parts readings where several are held in one string; no reading holds it.
+PARTS = "\x1f"
+_LETTERS = re.compile(r"([^\W\d_])\1*")
+_RUN = re.compile(r"([^\W\d_])\1{2,}|([^\W\d_])\2.*([^\W\d_])\3")
 _EDGE = re.compile(r"^[^\w@$!|+€£(]+|(?:[!?.,;:*#&%)\]\"'(|+@~^=<>{}/\\-]|\${3,})+$")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -133,17 +142,23 @@ class Decoder:
     def lattice(self, token: str, spaced: bool) -> list[list[tuple[str, float]]]:
         """For each place the readings and their costs."""
         out, i = [], 0
+        runs = [len(m[0]) for m in _LETTERS.finditer(token)]
+        # where most letters are doubled, that is a disguise
+        halve = SHORTEN if 2 * sum(n > 1 for n in runs) >= len(runs) > 2 else HALVE
         while i < len(token):
             ch, j = token[i], i + 1
             while j < len(token) and token[j] == ch:
                 j += 1
             n = j - i
             if ch.isalpha():
-                readings = [(ch, 0.0)] if n == 1 else [(ch * 2, 0.0), (ch, 3.0)] if n == 2 else [(ch, SHORTEN), (ch * 2, SHORTEN)]
+                readings = [(ch, 0.0)] if n == 1 else [(ch * 2, 0.0), (ch, halve)] if n == 2 else [(ch, SHORTEN), (ch * 2, SHORTEN)]
             elif ch in LOOKALIKES:
                 readings = [(x, SUBSTITUTE) for x in LOOKALIKES[ch]] + [(x * 2, SUBSTITUTE) for x in LOOKALIKES[ch] if n > 1] + [(" ", LEAVE)]
             elif spaced:
-                readings = [("", CLOSE), (" ", KEEP_GAP)]
+                while j < len(token) and not token[j].isalnum() and token[j] not in LOOKALIKES:
+                    j += 1
+                beside = token[max(i - 2, 0) : i].isalpha() and i > 1 or token[j : j + 2].isalpha() and j + 1 < len(token)
+                readings = [("", CLOSE), (" ", KEEP_PART if beside else KEEP_GAP)]
             else:
                 readings = [(" ", 0.0)] if ch not in "-_.*" else [(" ", 0.0), ("", CLOSE + 2)]
             out.append(readings)
@@ -194,7 +209,7 @@ class Decoder:
     def tokens(self, text: str | None) -> list[str]:
         """A text's tokens, letters that were drawn apart put together."""
         low = (text or "").lower()
-        low = _SPACED.sub(lambda m: self.best(m[0], True), low)
+        low = _SPACED.sub(lambda m: self.best(m[0], True) if _LETTER.search(m[0]) else m[0], low)
         return low.split()
 
     def restore(self, text: str | None) -> str:
@@ -221,26 +236,26 @@ def restored(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_co
 
 
 class Evidence:
-    """A document's evidence: sum, count, maximum and rate of its tokens' weights."""
+    """A document's evidence: sum, maximum, count, distinct count and rate of its tokens' weights."""
 
     names = ("total", "most", "hits", "distinct", "rate")
 
-    def __init__(self, costs: np.ndarray, weights: dict[int, float]):
-        self.decoder, self.weights, self.known = Decoder(costs), weights, {}
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.known = weights, {}
 
-    def of_token(self, token: str) -> float:
-        words = _WORD.findall(self.decoder.token(token))
-        return max((self.weights.get(p, 0.0) for w in words for p in beginnings(w)), default=0.0)
+    def of_reading(self, reading: str) -> float:
+        places = [p for w in _WORD.findall(reading) for p in beginnings(w)]
+        return float(self.weights[places].max()) if places else 0.0
 
-    def of_text(self, text: str | None) -> tuple[float, float, float, float, float]:
-        known, hits, tokens = self.known, {}, self.decoder.tokens(text)
+    def of(self, tokens: list[str], read: Callable[[str], str]) -> tuple[float, float, float, float, float]:
+        """The evidence of tokens whose reading ``read`` gives."""
+        known, hits, n = self.known, {}, 0
         if len(known) > KEPT_TOKENS:
             known.clear()
-        n = 0
         for t in tokens:
             w = known.get(t)
             if w is None:
-                w = known[t] = self.of_token(t)
+                w = known[t] = self.of_reading(read(t))
             if w:
                 hits[t] = w
                 n += 1
@@ -248,36 +263,83 @@ class Evidence:
         return (math.log1p(total), max(hits.values(), default=0.0), math.log1p(n), math.log1p(len(hits)), math.log1p(1000 * n / (len(tokens) + 20)))
 
 
-def _learned_weights(sample: DataFrame, costs: np.ndarray, least_docs: int = 5, least_weight: float = 1.2) -> dict[int, float]:
-    """Weights (log odds) of the word beginnings that tell toxic documents from others."""
+def _readings(sample: DataFrame, costs: np.ndarray) -> DataFrame:
+    """(fold, toxic, readings) of labelled texts: what their tokens read, in order."""
     held = sample.sparkSession.sparkContext.broadcast(costs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder, known = Decoder(held.value), {}
-        counts = np.zeros((2, PLACES), np.int32)
+
+        def read(text: str | None) -> str:
+            if len(known) > KEPT_TOKENS:
+                known.clear()
+            out = []
+            for t in decoder.tokens(text):
+                r = known.get(t)
+                if r is None:
+                    r = known[t] = decoder.token(t)
+                out.append(r)
+            return PARTS.join(out)
+
+        for pdf in batches:
+            yield pdf[["fold", "toxic"]].assign(readings=[read(t) for t in pdf["text"]])
+
+    return sample.mapInPandas(run, "fold int, toxic int, readings string")
+
+
+def _place_counts(readings: DataFrame, all_neg: int, all_pos: int) -> DataFrame:
+    """(place, fold, neg, pos): documents of either kind with a word beginning there, of the beginnings that toxic ones have more often."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[int]] = {}
+        counts: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
+            for fold, label, text in zip(pdf["fold"], pdf["toxic"], pdf["readings"], strict=True):
                 if len(known) > KEPT_TOKENS:
                     known.clear()
-                places = []
-                for t in set(decoder.tokens(text)):
-                    p = known.get(t)
+                places: list[int] = []
+                for r in set(text.split(PARTS)):
+                    p = known.get(r)
                     if p is None:
-                        p = known[t] = [x for w in _WORD.findall(decoder.token(t)) for x in beginnings(w)]
+                        p = known[r] = [x for w in _WORD.findall(r) for x in beginnings(w)]
                     places += p
-                counts[int(label), np.unique(np.array(places, np.int64))] += 1
-        at = np.flatnonzero(counts.any(0))
-        yield pd.DataFrame({"place": at.astype(np.int32), "neg": counts[0, at], "pos": counts[1, at]})
-
-    n = {int(r["toxic"]): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
-        return {}
-    found = sample.mapInPandas(run, "place int, neg int, pos int").groupBy("place").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    weight = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    rows = found.filter(F.col("pos") >= max(least_docs, pos // 500)).withColumn("weight", weight).filter(F.col("weight") >= least_weight)
-    got = rows.select("place", "weight").toPandas()
-    return dict(zip(got["place"].tolist(), got["weight"].tolist(), strict=True))
+                if fold not in counts:
+                    counts[fold] = np.zeros((2, PLACES), np.int32)
+                counts[fold][min(int(label), 1), np.unique(np.array(places, np.int64))] += 1
+        for fold, c in counts.items():
+            at = np.flatnonzero(c.any(0))
+            yield pd.DataFrame({"fold": np.int32(fold), "place": at.astype(np.int32), "neg": c[0, at], "pos": c[1, at]})
+
+    found = readings.mapInPandas(run, "fold int, place int, neg int, pos int").groupBy("place", "fold").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    by_place = found.groupBy("place").agg(F.collect_list(F.struct("fold", "neg", "pos")).alias("by_fold"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return by_place.filter((F.col("p") > 1) & (F.col("p") * all_neg > F.col("n") * all_pos)).select("place", F.inline("by_fold"))
+
+
+def shrunk_weights(neg: np.ndarray, pos: np.ndarray, all_neg: int, all_pos: int) -> np.ndarray:
+    """Weight of every place: its log odds less SHRINK standard errors, and 0 where nothing is left."""
+    odds = np.log((pos + 0.5) / (all_pos + 1)) - np.log((neg + 0.5) / (all_neg + 1))
+    low = odds - SHRINK * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    return np.where(pos > 0, np.maximum(low, 0), 0).astype(np.float32)
+
+
+def _learned_weights(readings: DataFrame) -> np.ndarray | None:
+    """FOLDS + 1 rows of weights of all places: without each fold, and of all; None without labels of both kinds."""
+    n = np.zeros((FOLDS, 2), np.int64)
+    for r in readings.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect():
+        n[r["fold"], min(r["toxic"], 1)] += r["n"]
+    if not n.sum(0).all():
+        return None
+    # PLACES places of FOLDS folds at most come to the driver, whatever the corpus
+    got = _place_counts(readings, *map(int, n.sum(0))).toPandas()
+    places, at = np.unique(got["place"].to_numpy(), return_inverse=True)
+    counts = np.zeros((2, FOLDS, len(places)), np.int32)
+    for kind, c in enumerate(("neg", "pos")):
+        counts[kind, got["fold"], at] = got[c]
+    weights = np.zeros((FOLDS + 1, PLACES), np.float32)
+    for f in range(FOLDS + 1):
+        others = [g for g in range(FOLDS) if g != f]
+        weights[f, places] = shrunk_weights(*counts[:, others].sum(1), *map(int, n[others].sum(0)))
+    return weights
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,16 +358,58 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w, mean, scale
 
 
-def _evidence(docs: DataFrame, costs: np.ndarray, weights: dict[int, float], keep: list[str]) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast((costs, weights))
+def _fold_evidence(readings: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(toxic, evidence): of each labelled text by the weights of the other folds."""
+    held = readings.sparkSession.sparkContext.broadcast(weights[:FOLDS])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_fold = [Evidence(w) for w in held.value]
+        for pdf in batches:
+            rows = [by_fold[f].of(t.split(PARTS) if t else [], str) for f, t in zip(pdf["fold"], pdf["readings"], strict=True)]
+            yield pdf[["toxic"]].join(pd.DataFrame(rows, columns=Evidence.names, index=pdf.index, dtype=float))
+
+    return readings.mapInPandas(run, ", ".join(["toxic int", *(f"{c} double" for c in Evidence.names)]))
+
+
+def _scores(docs: DataFrame, costs: np.ndarray, model: tuple, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and the score of the column ``text``."""
+    held = docs.sparkSession.sparkContext.broadcast((costs, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        evidence = Evidence(*held.value)
+        costs, (weights, w, b) = held.value
+        decoder, evidence = Decoder(costs), Evidence(weights)
         for pdf in batches:
-            yield pdf[keep].join(pd.DataFrame([evidence.of_text(t) for t in pdf["text"]], columns=Evidence.names, index=pdf.index, dtype=float))
+            x = np.array([evidence.of(decoder.tokens(t), decoder.token) for t in pdf["text"]], float).reshape(len(pdf), len(Evidence.names))
+            yield pdf[keep].assign(score=1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))))
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), *(f"{c} double" for c in Evidence.names)]))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "score double"]))
+
+
+def _held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, tuple | float]:
+    """The character model of all texts, and the learned model or, without labels of both kinds, the share of toxic ones."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~_held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.count()
+    if n > fit_rows:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
+    # the sample has fit_rows rows of two numbers at most, about
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
+    sample = slim.join(F.broadcast(known), "doc_id").select(fold, "toxic", "text")
+    costs = language_model(trigram_counts(slim).toPandas())
+    readings = cut(_readings(sample, costs))
+    weights = _learned_weights(readings)
+    if weights is None:
+        share = readings.agg(F.avg("toxic")).first()[0]
+        return costs, float(share or 0.0)
+    fit = _fold_evidence(readings, weights).toPandas().sort_values([*Evidence.names, "toxic"])
+    w, mean, scale = logistic(fit[list(Evidence.names)].to_numpy(), fit["toxic"].to_numpy(dtype=float))
+    return costs, (weights[FOLDS], w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -317,30 +421,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     labels of both kinds the score is the share of toxic ones (0 if there are
     none).  Null and empty texts have no evidence and get the score of that.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > fit_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    # the sample has fit_rows rows of two numbers at most, about
-    sample = docs.join(F.broadcast(known), "doc_id").select("text", "toxic")
-    costs = language_model(trigram_counts(docs).toPandas())
-    weights = _learned_weights(sample, costs)
-    fit = _evidence(sample, costs, weights, ["toxic"]).toPandas()
-    y = fit["toxic"].to_numpy(dtype=float)
-    if len(y) and 0 < y.sum() < len(y):
-        x = fit.sort_values([*Evidence.names, "toxic"])
-        w, mean, scale = logistic(x[list(Evidence.names)].to_numpy(), x["toxic"].to_numpy(dtype=float))
-        z = F.lit(float(w[-1] - (w[:-1] * mean / scale).sum()))
-        for c, k in zip(Evidence.names, w[:-1] / scale, strict=True):
-            z = z + F.col(c) * float(k)
-        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    else:
-        score = F.lit(float(y.mean()) if len(y) else 0.0)
-    scored = _evidence(docs, costs, weights, ["doc_id"]).withColumn("score", score)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    costs, model = fit_toxicity(docs, labels, id_col, text_col, label_col, fit_rows)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scored = _scores(slim, costs, model, ["doc_id"]) if isinstance(model, tuple) else slim.select("doc_id", F.lit(model).alias("score"))
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns; a row is judged by its own text, whatever its identifier."""
+    costs, model = fit_toxicity(docs, labels, id_col, text_col, label_col, fit_rows)
+    if not isinstance(model, tuple):
+        return docs.filter(F.lit(model < 0.5))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]))
+    return _scores(rows, costs, model, names).filter("score < 0.5").select(*names).toDF(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

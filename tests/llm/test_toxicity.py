@@ -102,3 +102,64 @@ def test_counts_cover_all_texts(docs_of):
     one = t.trigram_counts(docs.limit(1)).agg(F.sum("n")).first()[0]
     all_ = t.trigram_counts(docs).agg(F.sum("n")).first()[0]
     assert all_ >= 49 * one
+
+
+def test_other_disguises_are_restored(docs_of):
+    d = t.Decoder(t.language_model(t.trigram_counts(docs_of(synthetic()[0])).toPandas()))
+    for hidden in ("n i t w i t", "n  i  t  w  i  t", "n/i/t/w/i/t", "n,i,t,w,i,t", "n\ni\nt\nw\ni\nt", "nit w i t", "n i t w it", "nniittwwiitt", "n 1 7 w 1 7"):
+        assert d.restore(f"the {hidden} of") == "the nitwit of", hidden
+    for plain in ("a b", "1 2 3 4 5", "letter and garden"):
+        assert d.restore(plain) == plain
+
+
+def test_scores_are_those_of_a_plain_computation(spark, docs_of):
+    rows, _ = synthetic()
+    rows = rows[:120] + [(900, None), (901, "n 1 t w i t the river")]
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in t.score_toxicity(docs, labels).collect()}
+    fold = {r.i: r.f for r in docs.select(F.col("doc_id").alias("i"), F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(t.FOLDS)).alias("f")).collect()}
+    d = t.Decoder(t.language_model(t.trigram_counts(docs).toPandas()))
+    tokens = {i: [d.token(x) for x in d.tokens(text)] for i, text in rows}
+    places = {i: {p for x in ts for w in t._WORD.findall(x) for p in t.beginnings(w)} for i, ts in tokens.items()}
+    known = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    toxic = {i: i % 4 == 0 for i in known}
+
+    def weights(some):
+        n = [sum(not toxic[i] for i in some), sum(toxic[i] for i in some)]
+        out = {}
+        for p in set().union(*(places[i] for i in known)):
+            all_ = [sum(p in places[i] and toxic[i] == k for i in known) for k in (False, True)]
+            if all_[1] < 2 or all_[1] * sum(not toxic[i] for i in known) <= all_[0] * sum(toxic[i] for i in known):
+                continue
+            a, b = (sum(p in places[i] and toxic[i] == k for i in some) for k in (False, True))
+            w = np.log((b + 0.5) / (n[1] + 1)) - np.log((a + 0.5) / (n[0] + 1)) - t.SHRINK * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+            if b and w > 0:
+                out[p] = np.float32(w)
+        return out
+
+    def evidence(i, w):
+        of = [max((float(w.get(p, 0)) for x in t._WORD.findall(r) for p in t.beginnings(x)), default=0.0) for r in tokens[i]]
+        hit = {r: v for r, v in zip(tokens[i], of, strict=True) if v}
+        n = sum(v > 0 for v in of)
+        return [np.log1p(sum(hit.values())), max(of, default=0.0), np.log1p(n), np.log1p(len(hit)), np.log1p(1000 * n / (len(of) + 20))]
+
+    by_fold = {f: weights([i for i in known if fold[i] != f]) for f in range(t.FOLDS)}
+    w, mean, scale = t.logistic(np.array([evidence(i, by_fold[fold[i]]) for i in known]), np.array([float(toxic[i]) for i in known]))
+    full = weights(known)
+    for i, _ in rows:
+        z = float(((np.array(evidence(i, full)) - mean) / scale) @ w[:-1] + w[-1])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-4), i
+
+
+def test_rows_are_judged_by_their_own_text(spark, docs_of):
+    rows, _ = synthetic()
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    rude, calm = rows[0][1], rows[1][1]
+    docs = docs_of([*rows, (None, rude), (None, calm), (1, rude), (5000, None)]).withColumn("score", F.lit(1)).withColumn("c0", F.lit("x"))
+    left = t.without_toxic(docs, labels)
+    assert left.dtypes == docs.dtypes
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert (None, calm) in got and (None, rude) not in got and (1, calm) in got and (1, rude) not in got and (5000, None) in got
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert t.without_toxic(docs, none).count() == docs.count()
