@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mulberry.operators.lineage import cut
+
 
 def run_summary(tasks: DataFrame, status: str = "status", done: str = "completed", failed: str = "failed", skipped: str = "skipped") -> DataFrame:
     """One row: total, processed, failed, skipped, success_rate in per cent (null for no rows)."""
@@ -44,12 +46,13 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank", limit: int |
 
     A limit keeps the window to that many rows.  Without one the rank comes
     from a range-partitioned sort: places within a partition plus the sizes of
-    those before it.
+    those before it.  Both are read from one checkpoint of the dealt rows, as
+    the bounds of the ranges are sampled anew whenever they are computed.
     """
     if limit is not None:
         return df.orderBy(*order).limit(limit).withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    d = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = d.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return d.join(F.broadcast(sizes.select("_p", "_b")), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")

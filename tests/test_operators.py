@@ -68,6 +68,15 @@ def test_ranks_over_partitions(spark):
     assert got == {i: n + 1 for n, i in enumerate(want)}
 
 
+def test_ranks_of_a_million_rows_with_a_payload(spark):
+    df = spark.range(1_000_000, numPartitions=8).withColumn("k", F.xxhash64("id") % 1000).withColumn("payload", F.sha2(F.col("id").cast("string"), 256))
+    got = reports.ranked(df, [F.col("k").desc(), F.col("id").asc()])
+    want = sorted((-r.k, r.id) for r in df.select("id", "k").collect())
+    place = {i: n + 1 for n, (_, i) in enumerate(want)}
+    rows = got.select("id", "rank", "payload").collect()
+    assert len(rows) == 1_000_000 and all(place[r.id] == r["rank"] for r in rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "original string, name string, pos long, folder string, status string")
     assert naming.number_duplicates(none, "original", "name", "pos").count() == 0
