@@ -14,16 +14,15 @@ from mulberry.llm.common import scratch, table
 from mulberry.llm.exact_dedup import exact_dedup, kept_rows
 from mulberry.llm.mixing import mix, mixed_rows
 from mulberry.llm.near_dedup import near_duplicates
-from mulberry.llm.toxicity import score_toxicity
+from mulberry.llm.toxicity import without_toxic
 
 #: Words of a shingle and similarity (per cent) from which two documents are near-duplicates.
 SHINGLE, SIMILAR = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is scored toxic go; rows without doc_id are scored by no identifier and stay."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(scored, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Documents whose text is scored toxic go, each row by its own text."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
