@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, in the sense of the contracts: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees, as the session names it.
+from mulberry.operators.lineage import cut, scratch, shared_dir
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (a local session, a test) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="mulberry-"))
-        found = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found
+__all__ = ["WORD", "cut", "scratch", "shared_dir", "table", "word_count"]
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared folder and read from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: A word, in the sense of the contracts: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mulberry.llm.bpe import op3_bpe
-from mulberry.llm.chat import op10_chat
+from mulberry.llm.chat import OP10_SQL, op10_chat
 from mulberry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from mulberry.llm.html_text import op2_html_text
 from mulberry.llm.mixing import op5_mixing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_chat": op10_chat,
 }
 
-ORACLES = {"op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
