@@ -1,5 +1,8 @@
 import html
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -63,3 +66,74 @@ def test_long_and_deep(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert sorted(r.n_chars for r in h.extract_pages(df).collect()) == [0, 1, 499_999]
     assert h.extract_pages(df.limit(0)).count() == 0
+
+
+PARAGRAPHS = [f"Paragraph {i} of the article goes on and on with many words of text, and more of them still." for i in range(12)]
+READERS = "".join(f"<p>{p.replace('article', 'comment')}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", ["content ad-free", "social-history", "post-related-science", "menu-recipes", "widget-area-main", "skip-link-target"])
+def test_a_class_name_is_a_sign_only(name):
+    page = f"<body><nav><a href=x>A</a></nav><div class='{name}'>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}</div><div class='comments'>{READERS}</div><p>Copyright by the owner of this page, all rights are reserved</p></body>"
+    assert h.main_text(page) == "\n".join(PARAGRAPHS)
+
+
+def test_a_form_around_all_and_a_title_beside():
+    page = f"<body><form><div class='post'><div class='post-header'><h1>Title</h1></div><div>{''.join(f'<p>{p}</p>' for p in PARAGRAPHS)}</div></div><div class='sidebar'>{READERS}</div></form></body>"
+    assert h.main_text(page) == "\n".join(["Title", *PARAGRAPHS])
+    assert h.main_text(f"<body><article><p>Short.</p></article><div class='comment-list'>{READERS * 5}</div></body>") == "Short."
+
+
+@pytest.mark.parametrize("page", ["<" + "a" * 1_000_000, '<a b="x ' * 125_000, "<a '" * 250_000, '<a b=">" ' * 110_000 + "<a b='x>", '<a ">" ' * 140_000 + "'", "</script " * 110_000, "<script>" + "</script " * 110_000, "<div>" * 100_000 + "</x>" * 125_000, "<b>" * 160_000 + "<p>" * 160_000, "<b><div>" + "<i>" * 160_000 + "</b>" * 125_000, "<p class" + " " * 1_000_000 + ">x", "<a b=" + " " * 1_000_000 + '"x">y', "&#" + "9" * 1_000_000 + ";", "<" * 1_000_000])
+def test_time_grows_with_the_page_only(page):
+    began = time.time()
+    h.main_text(page)
+    assert time.time() - began < 6
+
+
+def test_densities_against_their_definition():
+    rng = random.Random(5)
+
+    def tree(depth):
+        kids = [tree(depth + 1) for _ in range(rng.choice([0, 1, 2, 3]) if depth < 4 else 0)]
+        return (rng.choice(["div", "span", "a", "section"]) if depth else "body", "x" * rng.choice([0, 3, 40]), kids)
+
+    def markup(t):
+        return f"<{t[0]}>{t[1]}{''.join(map(markup, t[2]))}</{t[0]}>"
+
+    def chars(t):
+        return len(t[1]) + sum(map(chars, t[2]))
+
+    def tags(t):
+        return sum(1 + tags(k) for k in t[2])
+
+    def link_chars(t):
+        return chars(t) if t[0] == "a" else sum(map(link_chars, t[2]))
+
+    def link_tags(t):
+        return (t[0] == "a") + sum(map(link_tags, t[2]))
+
+    def density(t, body):
+        if not chars(t):
+            return 0.0
+        c, n, lc, lt = chars(t), max(tags(t), 1), link_chars(t), link_tags(t)
+        base = math.log(c / max(c - lc, 1) * lc + link_chars(body) / max(chars(body), 1) * c + math.e)
+        ratio = math.log(max(c / max(lc, 1) * (n / max(lt, 1)), 1.0))
+        return c / n * (ratio / math.log(base) if base > 1 else ratio or 1.0)
+
+    def walk(t):
+        yield t
+        for k in t[2]:
+            yield from walk(k)
+
+    for _ in range(30):
+        body = tree(0)
+        dom = h.Dom(markup(body))
+        own = [0] * len(dom.tag)
+        for x, raw in dom.flow:
+            own[x] += len(raw or "")
+        got, sums = h._densities(dom, [False] * len(dom.tag), own, [1.0] * len(dom.tag))
+        nodes = list(walk(body))
+        assert dom.tag[1:] == [t[0] for t in nodes]
+        assert got[1:] == pytest.approx([density(t, body) for t in nodes])
+        assert sums[1:] == pytest.approx([sum(density(k, body) for k in t[2]) for t in nodes])
