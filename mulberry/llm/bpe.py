@@ -6,7 +6,9 @@ left by u, and the next merge of the chain, of a later rank, needs a right part
 whose leftmost derivation goes through u.  The heaviest such chain is computed
 from the merge list; it is a lookahead that suffices for every text.  So tokens
 that end that far before the end of what has been read are final, are emitted
-and forgotten: memory doesn't grow with the word or the text.
+and forgotten.  Texts are normalised and split in windows, and a word of many
+windows is read as it comes, so besides the row itself memory grows with
+neither the word nor the text.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import regex
@@ -26,6 +29,10 @@ from mulberry.llm.common import table
 
 #: Words whose tokens a task keeps, letters of the longest of those, and bytes beyond the lookahead that are merged at once.
 KEPT_WORDS, KEPT_LETTERS, STRIDE = 300_000, 40, 256
+#: Characters of a text that are normalised and split at once, and letters from which a word at the end of a window is read piecemeal.
+WINDOW, LONG = 1 << 16, 1024
+#: What a window may begin with: no such character joins with those before it.
+_BREAK = re.compile("[\x00-\x7f\u3001\u3002\u4e00-\u9fff]")
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _LOWER_ALONE = {0x3A3: "σ"}  # str.lower() looks at a sigma's neighbours; the normaliser doesn't
 
@@ -49,6 +56,7 @@ class Vocabulary:
     def __init__(self, spec: str):
         d = json.loads(spec)
         model = d["model"]
+        self.spec = spec
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
         self.special = {a["content"]: a["id"] for a in d["added_tokens"]}
@@ -62,7 +70,9 @@ class Vocabulary:
         if [s["type"] for s in steps] != ["Split", "ByteLevel"] or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("this transducer knows word-based byte-level models with NFC, spaces and lower case only")
         self.words = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", _SPACE))
-        self.breaks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.breaks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self.letter_run, self.other_run = regex.compile(r"\p{L}+"), regex.compile(rf"[^{_SPACE}\p{{L}}\p{{N}}]+")
+        self.characters: Characters | None = None
         self.lookahead = sufficient_lookahead(merges, self.suffix)
 
 
@@ -109,52 +119,176 @@ def merge(symbols: list[str], ranks: dict[tuple[str, str], int], made: list[str]
     return symbols
 
 
+class Characters:
+    """Characters that the tokenizer's library knows otherwise than Python and the pattern engine do.
+
+    Their Unicode tables are of other versions.  The library is asked once for
+    each character met; for texts with others than all agree on, its own
+    normaliser is taken, and a stand-in of the library's class is split.
+    """
+
+    def __init__(self, spec: str):
+        from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+
+        self.normalizer = Tokenizer.from_str(spec).normalizer
+        self.nfc, self.nfd = normalizers.NFC(), normalizers.NFD()
+        self.kinds = {stand_in: pre_tokenizers.Split(Regex(pattern), "removed") for stand_in, pattern in (("x", r"\p{L}"), ("0", r"\p{N}"), (" ", r"\s"))}
+        self.own = {"x": regex.compile(r"\p{L}"), "0": regex.compile(r"\p{N}"), " ": regex.compile(f"[{_SPACE}]")}
+        self.agreed: set[str] = set(map(chr, range(128)))
+        self.stand_ins: dict[int, str] = {}
+
+    def _meet(self, ch: str) -> None:
+        if "\ud800" <= ch <= "\udfff":
+            self.agreed.add(ch)
+            return
+        kind = next((k for k, split in self.kinds.items() if not split.pre_tokenize_str(ch)), "#")
+        own = next((k for k, pattern in self.own.items() if pattern.match(ch)), "#")
+        after = "q\u0301" + ch + "\u0316"
+        same = kind == own and (kind == " " or self.normalizer.normalize_str(ch) == unicodedata.normalize("NFC", ch).translate(_LOWER_ALONE).lower())
+        if same and self.nfd.normalize_str(ch) == unicodedata.normalize("NFD", ch) and self.nfc.normalize_str(after) == unicodedata.normalize("NFC", after):
+            self.agreed.add(ch)
+        else:
+            self.stand_ins[ord(ch)] = kind
+
+    def odd(self, text: str) -> bool:
+        """Whether a text has characters that not all agree on."""
+        met = set(text) - self.agreed
+        for ch in met:
+            if ord(ch) not in self.stand_ins:
+                self._meet(ch)
+        return any(ord(ch) in self.stand_ins for ch in met)
+
+    def normalized(self, text: str) -> tuple[str, str]:
+        """A text as the library normalises it, and with stand-ins for what is split otherwise."""
+        low = self.normalizer.normalize_str(text)
+        self.odd(low)
+        return low, low.translate(self.stand_ins)
+
+
 class Encoder:
-    """Encodes texts; holds of a word no more than lookahead and stride."""
+    """Encodes texts; holds of a word no more than lookahead and stride, and of a text's copies no more than a window."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
-    def word(self, word: str) -> Iterator[str]:
-        """The tokens of one word as they become final."""
+    def word(self, word: str | Iterable[str]) -> Iterator[str]:
+        """The tokens of one word, given whole or in parts, as they become final."""
         v, letters = self.v, self.v.letters
-        data = word.encode("utf-8", "surrogatepass")
-        if len(data) <= STRIDE:  # the end is in sight
-            symbols = [letters[b] for b in data]
-            symbols[-1] += v.suffix
-            yield from merge(symbols, v.ranks, v.made)
-            return
+        if isinstance(word, str):
+            data = word.encode("utf-8", "surrogatepass")
+            if len(data) <= STRIDE:  # the end is in sight
+                symbols = [letters[b] for b in data]
+                symbols[-1] += v.suffix
+                yield from merge(symbols, v.ranks, v.made)
+                return
+            word = (word,)
+        parts = (part[i : i + 1024].encode("utf-8", "surrogatepass") for part in word for i in range(0, len(part), 1024))
         held: list[str] = []  # tokens after the last final one, merged anew as more is read
-        room, i, n = v.lookahead + STRIDE, 0, len(data)
-        while n - i + sum(map(len, held)) > room:
+        room, unread = v.lookahead + STRIDE, b""
+        while True:
             have = sum(map(len, held))
-            symbols = list("".join(held)) + [letters[b] for b in data[i : i + room - have]]
-            i += room - have
-            held, end = merge(symbols, v.ranks, v.made), room
+            while have + len(unread) <= room and (more := next(parts, None)) is not None:
+                unread += more
+            if have + len(unread) <= room:
+                break
+            symbols = list("".join(held)) + [letters[b] for b in unread[: room - have]]
+            unread = unread[room - have :]
+            held = merge(symbols, v.ranks, v.made)
             final, at = 0, 0
             for t in held:
                 at += len(t)
-                if at > end - v.lookahead:
+                if at > room - v.lookahead:
                     break
                 final += 1
             yield from held[:final]
             held = held[final:]
-        symbols = list("".join(held)) + [letters[b] for b in data[i:]]
+        symbols = list("".join(held)) + [letters[b] for b in unread]
         symbols[-1] += v.suffix
         yield from merge(symbols, v.ranks, v.made)
 
-    def pieces(self, text: str) -> Iterator[tuple[str, bool]]:
+    def _normalized(self, text: str) -> tuple[str, str]:
+        """A window in normal form and what is split in its place, mostly the same."""
+        if text.isascii():
+            low = text.lower()
+            return low, low
+        v = self.v
+        if v.characters is None:
+            v.characters = Characters(v.spec)
+        if v.characters.odd(text):
+            return v.characters.normalized(text)
+        text = unicodedata.normalize("NFC", text)
+        low = (text.translate(_LOWER_ALONE) if "Σ" in text else text).lower()
+        return low, low
+
+    def _windows(self, text: str, lo: int, hi: int) -> Iterator[tuple[str, str]]:
+        while lo < hi:
+            end = hi
+            if hi - lo > WINDOW:
+                m = _BREAK.search(text, lo + WINDOW, hi)
+                end = m.start() if m else hi
+            yield self._normalized(text[lo:end])
+            lo = end
+
+    def _words(self, text: str, lo: int, hi: int) -> Iterator[str | Iterator[str]]:
+        """The words of a part of a text; those of many windows as an iterator of their parts, to be read before the next word is."""
+        words = self.v.words
+        if hi - lo <= WINDOW:
+            low, shown = self._normalized(text[lo:hi])
+            if low is shown:
+                yield from words.findall(low)
+            else:
+                yield from (low[m.start() : m.end()] for m in words.finditer(shown))
+            return
+        windows = self._windows(text, lo, hi)
+        low = shown = ""  # what may go on in the next window
+
+        def going_on() -> Iterator[str]:
+            nonlocal low, shown
+            run = self.v.letter_run if self.v.letter_run.match(shown) else self.v.other_run
+            yield low
+            low = shown = ""
+            for more, dim in windows:
+                m = run.match(dim)
+                at = m.end() if m else 0
+                yield more[:at]
+                if at < len(more):
+                    low, shown = more[at:], dim[at:]
+                    return
+
+        while True:
+            more, dim = next(windows, (None, ""))
+            if more is not None:
+                low, shown = low + more, shown + dim
+            last = None
+            for m in words.finditer(shown):
+                if last:
+                    yield low[last[0] : last[1]]
+                last = m.span()
+            if last and (more is None or last[1] < len(low)):
+                yield low[last[0] : last[1]]
+                last = None
+            if more is None:
+                return
+            low, shown = (low[last[0] :], shown[last[0] :]) if last else ("", "")
+            if len(low) > LONG:
+                yield going_on()
+
+    def pieces(self, text: str) -> Iterator[tuple[str | Iterator[str], bool]]:
         """Words of a text, and whether they are special tokens."""
-        for k, part in enumerate(self.v.breaks.split(text) if self.v.breaks else [text]):
-            if k % 2:
-                yield part, True
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                    if "Σ" in part:
-                        part = part.translate(_LOWER_ALONE)
-                for w in self.v.words.findall(part.lower()):
+        if len(text) <= WINDOW and not (self.v.breaks and self.v.breaks.search(text)):
+            low, shown = self._normalized(text)
+            if low is shown:
+                for w in self.v.words.findall(low):
                     yield w, False
+                return
+        at = 0
+        for m in self.v.breaks.finditer(text) if self.v.breaks else ():
+            for w in self._words(text, at, m.start()):
+                yield w, False
+            yield m[0], True
+            at = m.end()
+        for w in self._words(text, at, len(text)):
+            yield w, False
 
     def encode(self, text: str | None) -> Iterator[int]:
         """The ids of a text as they become final."""
@@ -240,11 +374,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     text_out.clear()
 
             for w, special in encoder.pieces(text or ""):
-                got = known.get(w)
+                whole = isinstance(w, str)
+                got = known.get(w) if whole else None
                 if got is None:
                     if special:
                         got = digest_piece([v.special[w]])
-                    elif len(w) <= KEPT_LETTERS:
+                    elif whole and len(w) <= KEPT_LETTERS:
                         if len(known) >= KEPT_WORDS:
                             known, older = {}, known
                         got = known[w] = older.get(w) or digest_piece([v.ids[t] for t in encoder.word(w)])

@@ -80,3 +80,51 @@ def test_digests(docs_of, tools):
     assert got == sorted(want)
     assert bpe.encode_decode(docs_of([]), bpe.tokenizer_path()).count() == 0
     assert bpe.encoded(docs_of(rows[:1]), bpe.tokenizer_path()).first().ids == t.encode(rows[0][1], add_special_tokens=False).ids
+
+
+def test_every_character_between_letters(tools):
+    v, t = tools
+    e = bpe.Encoder(v)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(every), 4096):
+        text = " ".join(f"a{c}b" for c in every[k : k + 4096])
+        got = list(e.encode(text))
+        if got != t.encode(text, add_special_tokens=False).ids:
+            for c in every[k : k + 4096]:
+                same(v, t, f"a{c}b")
+            raise AssertionError(hex(ord(every[k])))
+
+
+def test_marks_are_ordered_and_joined(tools):
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x300, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    rng = random.Random(9)
+    for _ in range(200):
+        same(*tools, "".join(rng.choice(["a", "e", "ᄀ", "ᅡ", "ᆨ", "க", "ो", "\u1100", "\U00011382", "\U000113c9", *rng.sample(marks, 5)]) for _ in range(40)))
+
+
+def test_windows_do_not_show(tools, monkeypatch):
+    v, t = tools
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["word ", "é", "Ʃ", "'s", "''", "l", "'", "12", "漢字", "\n", "ab", "<|endoftext|>", "—", "e\u0301", "\u1c89"]) for _ in range(400)) for _ in range(30)]
+    texts += ["a" * 9000 + "é" * 3000 + "1" * 300 + "-" * 5000 + " b", "漢" * 4000, "=" * 7000 + "'s" * 900, "x" * 64 + "y " * 100]
+    for window, long in ((64, 16), (100, 4), (1 << 16, 1024)):
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        monkeypatch.setattr(bpe, "LONG", long)
+        for text in texts:
+            same(v, t, text)
+
+
+def test_a_word_of_many_windows_is_never_held(tools):
+    v, t = tools
+    e = bpe.Encoder(v)
+    text = "ab" * 200_000
+    [(word, special)] = list(e.pieces(text[: bpe.LONG]))
+    assert word == text[: bpe.LONG] and not special
+    sizes = []
+    for w, _ in e.pieces(text):
+        for part in w:
+            sizes.append(len(part))
+    assert sum(sizes) == len(text) and max(sizes) <= bpe.WINDOW
+    assert list(e.encode(text)) == t.encode(text, add_special_tokens=False).ids
