@@ -31,6 +31,8 @@ LEAST, MOST, MEAN, WINDOW = 24, 256, 32, 16
 PASSAGE = 128
 #: Bytes of an anchor, strings in a row of which one is an anchor (anchors of a passage touch), bytes that a match is widened by at most.
 ANCHOR, SPREAD, REACH = 64, 64, 63
+#: Ends of matches whose texts are looked up by a broadcast at most (24 bytes each); beyond, texts are shuffled to them.
+BROADCAST_ENDS = 500_000
 #: One random word for every byte value.
 GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -233,17 +235,24 @@ def passages(docs: DataFrame, least_bytes: int = PASSAGE, id_col: str = "doc_id"
     if least_bytes < ANCHOR + SPREAD - 1:
         raise ValueError(f"shorter passages than {ANCHOR + SPREAD - 1} bytes need not hold an anchor")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    found = anchor_rows(slim)
+    # offset and words travel as one number
+    found = anchor_rows(slim).select("doc_id", "key", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("words")).alias("place"))
+    # combined before the shuffle, so a hot anchor sends a row a task
     owners = cut(found.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("key", "owner"))
-    shared = cut(found.join(owners, "key").dropDuplicates(["key", "doc_id", "at"]))
+    # nothing after this join needs its partitioning, so the rows of a hot anchor can be split
+    shared = cut(found.join(owners, "key").select("doc_id", "key", "owner", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").cast("int").alias("words")))
     first = shared.filter("doc_id = owner").groupBy("key").agg(F.min("at").alias("owner_at"))
     again = shared.filter("doc_id > owner").join(first, "key").withColumn("shift", F.col("at") - F.col("owner_at"))
-    w = Window.partitionBy("doc_id").orderBy("at", "key")
-    new = F.coalesce((F.lag("owner").over(w) != F.col("owner")) | (F.lag("shift").over(w) != F.col("shift")) | (F.col("at") - F.lag("at").over(w) > ANCHOR), F.lit(True))
-    again = again.withColumn("new", new.cast("int")).withColumn("match", F.sum("new").over(w))
-    matches = again.groupBy("doc_id", "match").agg(F.min("owner").alias("owner"), F.min("at").alias("start"), F.max("at").alias("last"), F.min("owner_at").alias("other_start"), F.max("owner_at").alias("other_last"), F.min("words").alias("words"), F.max("words").alias("last_words"), F.count("*").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("at", "key", "words")
+    before, shift = F.lag("at").over(w), F.lag("shift").over(w)
+    new = F.coalesce((F.lag("owner").over(w) != F.col("owner")) | (shift != F.col("shift")) | (F.col("at") - before > ANCHOR), F.lit(True))
+    repeated = F.coalesce((before == F.col("at")) & (shift == F.col("shift")), F.lit(False))
+    again = again.withColumn("new", new.cast("int")).withColumn("once", (~repeated).cast("int")).withColumn("match", F.sum("new").over(w))
+    matches = again.groupBy("doc_id", "match").agg(F.min("owner").alias("owner"), F.min("at").alias("start"), F.max("at").alias("last"), F.min("owner_at").alias("other_start"), F.max("owner_at").alias("other_last"), F.min("words").alias("words"), F.max("words").alias("last_words"), F.sum("once").alias("n"))
     matches = cut(matches)
-    wanted = matches.select("doc_id", "start", "last").union(matches.select("owner", "other_start", "other_last")).distinct()
+    wanted = cut(matches.select("doc_id", "start", "last").union(matches.select("owner", "other_start", "other_last")).distinct())
+    if wanted.count() <= BROADCAST_ENDS:
+        wanted = F.broadcast(wanted)
     raw, low = F.col("text").cast("binary"), F.greatest(F.col("start") - REACH - 1, F.lit(0))
     edge = F.greatest(F.col("last") - 1, F.lit(0))
     ends = slim.join(wanted, "doc_id").select("doc_id", "start", "last", F.md5(F.substring(raw, F.col("start") + 1, F.col("last") - F.col("start") + ANCHOR)).alias("digest"), F.substring(raw, low + 1, F.col("start") - low + 4).alias("left"), F.substring(raw, edge + 1, F.col("last") - edge + ANCHOR + REACH + 1).alias("right"))
@@ -258,7 +267,8 @@ def passages(docs: DataFrame, least_bytes: int = PASSAGE, id_col: str = "doc_id"
             yield pdf[["doc_id", "match", "owner", "n"]].join(pd.DataFrame(got, columns=["start", "stop", "w0", "w1"], index=pdf.index, dtype="int64"))
 
     spans = pairs.select("doc_id", "match", "owner", "n", *given).mapInPandas(run, "doc_id long, match long, owner long, n long, start int, stop int, w0 int, w1 int")
-    spans = spans.repartition("doc_id").dropDuplicates(["doc_id", "match"])
+    # where unlike texts have one doc_id a match can have several ends: the widest count
+    spans = spans.groupBy("doc_id", "match").agg(F.min("owner").alias("owner"), F.min("n").alias("n"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("w0").alias("w0"), F.max("w1").alias("w1"))
     by = Window.partitionBy("doc_id").orderBy("start", "stop", "match")
     far = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("apart", F.coalesce(F.col("start") > far, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(by))
