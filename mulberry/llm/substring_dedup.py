@@ -240,7 +240,7 @@ def passages(docs: DataFrame, least_bytes: int = PASSAGE, id_col: str = "doc_id"
     # combined before the shuffle, so a hot anchor sends a row a task
     owners = cut(found.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("key", "owner"))
     # nothing after this join needs its partitioning, so the rows of a hot anchor can be split
-    shared = cut(found.join(owners, "key").select("doc_id", "key", "owner", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").cast("int").alias("words")))
+    shared = cut(found.join(owners, "key").select("doc_id", "key", "owner", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("words")))
     first = shared.filter("doc_id = owner").groupBy("key").agg(F.min("at").alias("owner_at"))
     again = shared.filter("doc_id > owner").join(first, "key").withColumn("shift", F.col("at") - F.col("owner_at"))
     w = Window.partitionBy("doc_id").orderBy("at", "key", "words")
