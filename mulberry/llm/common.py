@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mulberry.operators.lineage import cut, scratch, shared_dir
 
-__all__ = ["WORD", "cut", "scratch", "shared_dir", "table", "word_count"]
+__all__ = ["WORD", "cut", "scratch", "shared_dir", "stored", "table", "word_count"]
 
 #: A word, in the sense of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: columns, compressed, where a checkpoint has rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mulberry.llm.common import cut, table
+from mulberry.llm.common import cut, stored, table
 
 #: Labelled rows that are learned from, about, whatever the corpus; they are picked by a hash of the identifier.
-FIT_ROWS = 60_000
+FIT_ROWS = 30_000
 #: Hash places of word beginnings; tokens whose reading a task keeps; characters counted at once.
 PLACES, KEPT_TOKENS, CHARS_AT_ONCE = 1 << 21, 400_000, 4_000_000
 #: Classes of characters: 0 is whatever parts words, 1-26 a-z, 27-58 the Latin-1 letters, 59 any other letter.
@@ -57,7 +57,7 @@ SUBSTITUTE, LEAVE, SHORTEN, CLOSE, KEEP_GAP = 1.0, 8.0, 0.7, 0.3, 6.0
 #: Cost of a gap kept beside a part of several letters, and of a doubled letter shortened where most letters aren't doubled.
 KEEP_PART, HALVE = 0.5, 3.0
 #: Folds of the labelled rows, and standard errors that a word beginning's log odds are shrunk by.
-FOLDS, SHRINK = 5, 1.5
+FOLDS, SHRINK = 3, 1.5
 _ONE, _PARTED = r"(?:[^\W_]|[@$!|+€£(])", r"[\s.,/\\\-_*~·]{1,3}"
 _SPACED = re.compile(rf"(?<![^\W_])(?:[^\W\d_]{{2,3}}{_PARTED})?(?:{_ONE}{_PARTED}){{2,}}{_ONE}(?![^\W_])(?:{_PARTED}[^\W\d_]{{2,3}})?(?![\w@$!|+€£(])")
 _LETTER, _SYMBOL = re.compile(r"[^\W\d_]"), re.compile("[" + re.escape("".join(LOOKALIKES)) + "]")
@@ -236,31 +236,37 @@ def restored(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_co
 
 
 class Evidence:
-    """A document's evidence: sum, maximum, count, distinct count and rate of its tokens' weights."""
+    """A document's evidence: sum, maximum, count, distinct count and rate of its tokens' weights.
+
+    ``weights`` has one row or several of the weights of all places; a token's
+    is the largest of the places of what it reads, and is looked up once.
+    """
 
     names = ("total", "most", "hits", "distinct", "rate")
 
-    def __init__(self, weights: np.ndarray):
-        self.weights, self.known = weights, {}
+    def __init__(self, weights: np.ndarray, read: Callable[[str], str]):
+        self.weights, self.read = weights.reshape(-1, PLACES), read
+        self.known: list[dict[str, float]] = [{} for _ in self.weights]
 
-    def of_reading(self, reading: str) -> float:
-        places = [p for w in _WORD.findall(reading) for p in beginnings(w)]
-        return float(self.weights[places].max()) if places else 0.0
+    def _look_up(self, token: str) -> None:
+        if len(self.known[0]) > KEPT_TOKENS:
+            for k in self.known:
+                k.clear()
+        places = [p for w in _WORD.findall(self.read(token)) for p in beginnings(w)]
+        for k, w in zip(self.known, self.weights, strict=True):
+            k[token] = float(w[places].max()) if places else 0.0
 
-    def of(self, tokens: list[str], read: Callable[[str], str]) -> tuple[float, float, float, float, float]:
-        """The evidence of tokens whose reading ``read`` gives."""
-        known, hits, n = self.known, {}, 0
-        if len(known) > KEPT_TOKENS:
-            known.clear()
+    def of(self, tokens: list[str], row: int = 0) -> tuple[float, float, float, float, float]:
+        known, hits, n = self.known[row], {}, 0
         for t in tokens:
             w = known.get(t)
             if w is None:
-                w = known[t] = self.of_reading(read(t))
+                self._look_up(t)
+                w = known[t]
             if w:
                 hits[t] = w
                 n += 1
-        total = sum(hits.values())
-        return (math.log1p(total), max(hits.values(), default=0.0), math.log1p(n), math.log1p(len(hits)), math.log1p(1000 * n / (len(tokens) + 20)))
+        return (math.log1p(sum(hits.values())), max(hits.values(), default=0.0), math.log1p(n), math.log1p(len(hits)), math.log1p(1000 * n / (len(tokens) + 20)))
 
 
 def _readings(sample: DataFrame, costs: np.ndarray) -> DataFrame:
@@ -287,59 +293,72 @@ def _readings(sample: DataFrame, costs: np.ndarray) -> DataFrame:
     return sample.mapInPandas(run, "fold int, toxic int, readings string")
 
 
-def _place_counts(readings: DataFrame, all_neg: int, all_pos: int) -> DataFrame:
-    """(place, fold, neg, pos): documents of either kind with a word beginning there, of the beginnings that toxic ones have more often."""
+def _place_counts(readings: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """(place, fold, n), by task: texts with a word beginning there, of the places marked in ``only`` if that is given."""
+    held = readings.sparkSession.sparkContext.broadcast(None if only is None else np.packbits(only))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[int]] = {}
         counts: dict[int, np.ndarray] = {}
+        wanted = None if held.value is None else np.unpackbits(held.value)[:PLACES].astype(bool)
         for pdf in batches:
-            for fold, label, text in zip(pdf["fold"], pdf["toxic"], pdf["readings"], strict=True):
+            for fold, text in zip(pdf["fold"], pdf["readings"], strict=True):
                 if len(known) > KEPT_TOKENS:
                     known.clear()
                 places: list[int] = []
                 for r in set(text.split(PARTS)):
                     p = known.get(r)
                     if p is None:
-                        p = known[r] = [x for w in _WORD.findall(r) for x in beginnings(w)]
+                        p = [x for w in _WORD.findall(r) for x in beginnings(w)]
+                        p = known[r] = p if wanted is None else [x for x in p if wanted[x]]
                     places += p
                 if fold not in counts:
-                    counts[fold] = np.zeros((2, PLACES), np.int32)
-                counts[fold][min(int(label), 1), np.unique(np.array(places, np.int64))] += 1
+                    counts[fold] = np.zeros(PLACES, np.int32)
+                counts[fold][np.unique(np.array(places, np.int64))] += 1
         for fold, c in counts.items():
-            at = np.flatnonzero(c.any(0))
-            yield pd.DataFrame({"fold": np.int32(fold), "place": at.astype(np.int32), "neg": c[0, at], "pos": c[1, at]})
+            at = np.flatnonzero(c)
+            yield pd.DataFrame({"place": at.astype(np.int32), "fold": np.int32(fold), "n": c[at]})
 
-    found = readings.mapInPandas(run, "fold int, place int, neg int, pos int").groupBy("place", "fold").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    by_place = found.groupBy("place").agg(F.collect_list(F.struct("fold", "neg", "pos")).alias("by_fold"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return by_place.filter((F.col("p") > 1) & (F.col("p") * all_neg > F.col("n") * all_pos)).select("place", F.inline("by_fold"))
+    return readings.select("fold", "readings").mapInPandas(run, "place int, fold int, n int")
 
 
-def shrunk_weights(neg: np.ndarray, pos: np.ndarray, all_neg: int, all_pos: int) -> np.ndarray:
-    """Weight of every place: its log odds less SHRINK standard errors, and 0 where nothing is left."""
-    odds = np.log((pos + 0.5) / (all_pos + 1)) - np.log((neg + 0.5) / (all_neg + 1))
-    low = odds - SHRINK * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    return np.where(pos > 0, np.maximum(low, 0), 0).astype(np.float32)
+def shrunk_weight(neg: Column, pos: Column, all_neg: int, all_pos: int) -> Column:
+    """Weight of a place: its log odds less SHRINK standard errors; 0 where nothing is left or nothing toxic was seen."""
+    odds = F.log((pos + 0.5) / (all_pos + 1)) - F.log((neg + 0.5) / (all_neg + 1))
+    low = odds - SHRINK * F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    return F.when(pos > 0, F.greatest(low, F.lit(0.0))).otherwise(0.0).cast("float")
 
 
-def _learned_weights(readings: DataFrame) -> np.ndarray | None:
-    """FOLDS + 1 rows of weights of all places: without each fold, and of all; None without labels of both kinds."""
+def _learned_weights(readings: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places with a weight, and FOLDS + 1 rows of their weights: without each fold, and of all; None without labels of both kinds."""
     n = np.zeros((FOLDS, 2), np.int64)
     for r in readings.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect():
         n[r["fold"], min(r["toxic"], 1)] += r["n"]
-    if not n.sum(0).all():
+    all_neg, all_pos = map(int, n.sum(0))
+    if not all_neg or not all_pos:
         return None
-    # PLACES places of FOLDS folds at most come to the driver, whatever the corpus
-    got = _place_counts(readings, *map(int, n.sum(0))).toPandas()
-    places, at = np.unique(got["place"].to_numpy(), return_inverse=True)
-    counts = np.zeros((2, FOLDS, len(places)), np.int32)
-    for kind, c in enumerate(("neg", "pos")):
-        counts[kind, got["fold"], at] = got[c]
-    weights = np.zeros((FOLDS + 1, PLACES), np.float32)
-    for f in range(FOLDS + 1):
-        others = [g for g in range(FOLDS) if g != f]
-        weights[f, places] = shrunk_weights(*counts[:, others].sum(1), *map(int, n[others].sum(0)))
-    return weights
+
+    def by_fold(counts: DataFrame, name: str) -> DataFrame:
+        return counts.groupBy("place").agg(F.sum("n").alias(name), *[F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"{name}{f}") for f in range(FOLDS)])
+
+    # one sighting is none; places are PLACES at most, whatever the corpus
+    pos = cut(by_fold(_place_counts(readings.filter("toxic > 0")), "pos").filter("pos > 1"))
+    seen = np.zeros(PLACES, bool)
+    seen[pos.select("place").toPandas()["place"].to_numpy()] = True
+    neg = by_fold(_place_counts(readings.filter("toxic <= 0"), seen), "neg")
+    by_place = pos.join(neg, "place", "left").na.fill(0)
+    # what toxic texts have less often than others can't have a weight
+    by_place = by_place.filter(F.col("pos") * all_neg > F.col("neg") * all_pos)
+    less = [shrunk_weight(F.col("neg") - F.col(f"neg{f}"), F.col("pos") - F.col(f"pos{f}"), all_neg - int(n[f, 0]), all_pos - int(n[f, 1])).alias(f"w{f}") for f in range(FOLDS)]
+    found = by_place.select("place", *less, shrunk_weight(F.col("neg"), F.col("pos"), all_neg, all_pos).alias(f"w{FOLDS}"))
+    got = found.filter(F.greatest(*[f"w{f}" for f in range(FOLDS + 1)]) > 0).toPandas()
+    return got["place"].to_numpy(), got[[f"w{f}" for f in range(FOLDS + 1)]].to_numpy(np.float32).T.copy()
+
+
+def _dense(places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    out = np.zeros(PLACES, np.float32)
+    out[places] = weights
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -358,14 +377,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w, mean, scale
 
 
-def _fold_evidence(readings: DataFrame, weights: np.ndarray) -> DataFrame:
+def _fold_evidence(readings: DataFrame, places: np.ndarray, weights: np.ndarray) -> DataFrame:
     """(toxic, evidence): of each labelled text by the weights of the other folds."""
-    held = readings.sparkSession.sparkContext.broadcast(weights[:FOLDS])
+    held = readings.sparkSession.sparkContext.broadcast((places, weights[:FOLDS]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_fold = [Evidence(w) for w in held.value]
+        places, weights = held.value
+        evidence = Evidence(np.stack([_dense(places, w) for w in weights]), str)
         for pdf in batches:
-            rows = [by_fold[f].of(t.split(PARTS) if t else [], str) for f, t in zip(pdf["fold"], pdf["readings"], strict=True)]
+            rows = [evidence.of(t.split(PARTS) if t else [], f) for f, t in zip(pdf["fold"], pdf["readings"], strict=True)]
             yield pdf[["toxic"]].join(pd.DataFrame(rows, columns=Evidence.names, index=pdf.index, dtype=float))
 
     return readings.mapInPandas(run, ", ".join(["toxic int", *(f"{c} double" for c in Evidence.names)]))
@@ -376,10 +396,11 @@ def _scores(docs: DataFrame, costs: np.ndarray, model: tuple, keep: list[str]) -
     held = docs.sparkSession.sparkContext.broadcast((costs, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        costs, (weights, w, b) = held.value
-        decoder, evidence = Decoder(costs), Evidence(weights)
+        costs, (places, weights, w, b) = held.value
+        decoder = Decoder(costs)
+        evidence = Evidence(_dense(places, weights), decoder.token)
         for pdf in batches:
-            x = np.array([evidence.of(decoder.tokens(t), decoder.token) for t in pdf["text"]], float).reshape(len(pdf), len(Evidence.names))
+            x = np.array([evidence.of(decoder.tokens(t)) for t in pdf["text"]], float).reshape(len(pdf), len(Evidence.names))
             yield pdf[keep].assign(score=1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -402,14 +423,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")
     sample = slim.join(F.broadcast(known), "doc_id").select(fold, "toxic", "text")
     costs = language_model(trigram_counts(slim).toPandas())
-    readings = cut(_readings(sample, costs))
-    weights = _learned_weights(readings)
-    if weights is None:
+    readings = stored(_readings(sample, costs), "readings")
+    learned = _learned_weights(readings)
+    if learned is None:
         share = readings.agg(F.avg("toxic")).first()[0]
         return costs, float(share or 0.0)
-    fit = _fold_evidence(readings, weights).toPandas().sort_values([*Evidence.names, "toxic"])
+    places, weights = learned
+    fit = _fold_evidence(readings, places, weights).toPandas().sort_values([*Evidence.names, "toxic"])
     w, mean, scale = logistic(fit[list(Evidence.names)].to_numpy(), fit["toxic"].to_numpy(dtype=float))
-    return costs, (weights[FOLDS], w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum()))
+    some = weights[FOLDS] > 0
+    return costs, (places[some], weights[FOLDS][some], w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
