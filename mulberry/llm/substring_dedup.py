@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mulberry.llm.common import cut, table
+from mulberry.llm.common import cut, stored, table
 from mulberry.llm.setsketch import mix64
 
 #: Bytes of a chunk at least and at most, and on average beyond the least; bytes of the rolling window.
@@ -31,8 +31,6 @@ LEAST, MOST, MEAN, WINDOW = 24, 256, 32, 16
 PASSAGE = 128
 #: Bytes of an anchor, strings in a row of which one is an anchor (anchors of a passage touch), bytes that a match is widened by at most.
 ANCHOR, SPREAD, REACH = 64, 64, 63
-#: Ends of matches whose texts are looked up by a broadcast at most (24 bytes each); beyond, texts are shuffled to them.
-BROADCAST_ENDS = 500_000
 #: One random word for every byte value.
 GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -162,11 +160,16 @@ def anchors(data: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, words, key): the anchors of every whole text, the words that begin before each, its 64-bit digest."""
+    """(doc_id, place, key): the anchors of every whole text and their 64-bit digests.
+
+    place is one number of the byte where an anchor begins (32 bits), whether
+    the text has had this anchor before (1 bit), and the words that begin
+    before it (31 bits).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+            cols: list[list[np.ndarray]] = [[], [], []]
             size = 0
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -177,18 +180,20 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 space = (data == 32) | ((data >= 9) & (data <= 13))
                 begins = ~space
                 begins[1:] &= space[:-1]
-                words = np.concatenate(([0], np.cumsum(begins)))[at].astype(np.int32)
+                words = np.concatenate(([0], np.cumsum(begins)))[at]
                 key = np.array([xxhash.xxh3_64_intdigest(raw[a : a + ANCHOR]) for a in at.tolist()], np.uint64).view(np.int64)
-                for p, v in zip(cols, (np.full(len(at), doc, np.int64), at.astype(np.int32), words, key), strict=True):
+                again = np.ones(len(at), np.int64)
+                again[np.unique(key, return_index=True)[1]] = 0
+                for p, v in zip(cols, (np.full(len(at), doc, np.int64), at << 32 | again << 31 | words, key), strict=True):
                     p.append(v)
                 size += len(at)
                 if size >= 100_000:
-                    yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(("doc_id", "at", "words", "key"), cols, strict=True)})
-                    cols, size = [[] for _ in range(4)], 0
+                    yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(("doc_id", "place", "key"), cols, strict=True)})
+                    cols, size = [[], [], []], 0
             if size:
-                yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(("doc_id", "at", "words", "key"), cols, strict=True)})
+                yield pd.DataFrame({c: np.concatenate(p) for c, p in zip(("doc_id", "place", "key"), cols, strict=True)})
 
-    return docs.mapInPandas(run, "doc_id long, at int, words int, key long")
+    return docs.mapInPandas(run, "doc_id long, place long, key long")
 
 
 def widen(start: int, last: int, words: int, last_words: int, left: bytes, right: bytes, other_start: int, other_last: int, other_left: bytes, other_right: bytes) -> tuple[int, int, int, int]:
@@ -235,30 +240,33 @@ def passages(docs: DataFrame, least_bytes: int = PASSAGE, id_col: str = "doc_id"
     if least_bytes < ANCHOR + SPREAD - 1:
         raise ValueError(f"shorter passages than {ANCHOR + SPREAD - 1} bytes need not hold an anchor")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    # offset and words travel as one number
-    found = anchor_rows(slim).select("doc_id", "key", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("words")).alias("place"))
+    found = anchor_rows(slim)
     # combined before the shuffle, so a hot anchor sends a row a task
-    owners = cut(found.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("key", "owner"))
+    in_order = F.col("place").bitwiseAND(F.lit(1 << 31)) == 0
+    owners = found.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.min_by(F.when(in_order, F.col("place")), F.when(in_order, F.col("doc_id"))).alias("owner_place"))
+    owners = stored(owners.filter("owner < last").select("key", "owner", F.shiftright("owner_place", 32).cast("int").alias("owner_at")), "anchors")
     # nothing after this join needs its partitioning, so the rows of a hot anchor can be split
-    shared = cut(found.join(owners, "key").select("doc_id", "key", "owner", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("words")))
-    first = shared.filter("doc_id = owner").groupBy("key").agg(F.min("at").alias("owner_at"))
-    again = shared.filter("doc_id > owner").join(first, "key").withColumn("shift", F.col("at") - F.col("owner_at"))
+    again = stored(found.join(owners, "key").filter("doc_id > owner").select("doc_id", "key", "owner", "owner_at", F.shiftright("place", 32).cast("int").alias("at"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("words")), "repeats")
+    again = again.withColumn("shift", F.col("at") - F.col("owner_at"))
     w = Window.partitionBy("doc_id").orderBy("at", "key", "words")
     before, shift = F.lag("at").over(w), F.lag("shift").over(w)
     new = F.coalesce((F.lag("owner").over(w) != F.col("owner")) | (shift != F.col("shift")) | (F.col("at") - before > ANCHOR), F.lit(True))
     repeated = F.coalesce((before == F.col("at")) & (shift == F.col("shift")), F.lit(False))
     again = again.withColumn("new", new.cast("int")).withColumn("once", (~repeated).cast("int")).withColumn("match", F.sum("new").over(w))
     matches = again.groupBy("doc_id", "match").agg(F.min("owner").alias("owner"), F.min("at").alias("start"), F.max("at").alias("last"), F.min("owner_at").alias("other_start"), F.max("owner_at").alias("other_last"), F.min("words").alias("words"), F.max("words").alias("last_words"), F.sum("once").alias("n"))
-    matches = cut(matches)
-    wanted = cut(matches.select("doc_id", "start", "last").union(matches.select("owner", "other_start", "other_last")).distinct())
-    if wanted.count() <= BROADCAST_ENDS:
-        wanted = F.broadcast(wanted)
+    matches = stored(matches, "matches")
+    # what is asked of a text: the ends of its own matches, and of those that others have with it
+    own = matches.select("doc_id", "start", "last", F.struct("match", "owner", "other_start", "other_last", "words", "last_words", "n").alias("own"))
+    asked = matches.select(F.col("owner").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_last").alias("last")).distinct()
+    wanted = own.unionByName(asked.withColumn("own", F.lit(None).cast(own.schema["own"].dataType)))
     raw, low = F.col("text").cast("binary"), F.greatest(F.col("start") - REACH - 1, F.lit(0))
     edge = F.greatest(F.col("last") - 1, F.lit(0))
-    ends = slim.join(wanted, "doc_id").select("doc_id", "start", "last", F.md5(F.substring(raw, F.col("start") + 1, F.col("last") - F.col("start") + ANCHOR)).alias("digest"), F.substring(raw, low + 1, F.col("start") - low + 4).alias("left"), F.substring(raw, edge + 1, F.col("last") - edge + ANCHOR + REACH + 1).alias("right"))
-    ends = cut(ends)
-    others = ends.select(*(F.col(a).alias(b) for a, b in (("doc_id", "owner"), ("start", "other_start"), ("last", "other_last"), ("digest", "digest"), ("left", "other_left"), ("right", "other_right"))))
-    pairs = matches.join(ends, ["doc_id", "start", "last"]).join(others, ["owner", "other_start", "other_last", "digest"])
+    digest = F.unhex(F.md5(F.substring(raw, F.col("start") + 1, F.col("last") - F.col("start") + ANCHOR)))
+    ends = slim.join(wanted, "doc_id").select("doc_id", "start", "last", "own", digest.alias("digest"), F.substring(raw, low + 1, F.col("start") - low + 4).alias("left"), F.substring(raw, edge + 1, F.col("last") - edge + ANCHOR + REACH + 1).alias("right"))
+    ends = stored(ends, "ends")
+    mine = ends.filter("own is not null").select("doc_id", "start", "last", "digest", "left", "right", "own.*")
+    others = ends.filter("own is null").select(*(F.col(a).alias(b) for a, b in (("doc_id", "owner"), ("start", "other_start"), ("last", "other_last"), ("digest", "digest"), ("left", "other_left"), ("right", "other_right"))))
+    pairs = mine.join(others, ["owner", "other_start", "other_last", "digest"])
     given = ["start", "last", "words", "last_words", "left", "right", "other_start", "other_last", "other_left", "other_right"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
