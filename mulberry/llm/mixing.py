@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from mulberry.llm.common import WORD, cut, table, word_count
+from mulberry.operators.reports import ranked
 
 #: Hash cells a source is cut into, so shards of a source are never more; rows of a shard that are aimed at.
+#: A source of 10^9 rows has shards of about 244,000 rows, which are the most that one task sorts.
 CELLS, SHARD_ROWS = 4096, 64
 
 
@@ -43,25 +45,46 @@ def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, order:
     return d.join(won, keys, "left").withColumn("quota", F.col("_low") + F.coalesce(F.col("_won"), F.lit(0))).drop("_all", "_n", "_low", "_high", "_open", "_won")
 
 
-def targets(sources: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
-    """Add ``source_no``, ``weight`` and ``target`` to (source, source_size).
+def sainte_lague_over_all(df: DataFrame, votes: str, seats: int, order: list[str]) -> DataFrame:
+    """Add ``quota`` as :func:`sainte_lague` does with all rows as one group, however many: no task sees them all."""
+    v = F.col(votes).cast("double")
+    # decimals add up alike in any order
+    n, votes_of_all = df.agg(F.count("*"), F.sum(v.cast("decimal(38,6)")).cast("double")).first()
+    if not n or not votes_of_all or not seats:
+        return df.withColumn("quota", F.lit(0).cast("long"))
+    share = v / votes_of_all
+    low = F.when(v > 0, F.greatest(F.floor(share * (seats - n / 2) + 0.5) - 1, F.lit(0))).otherwise(0).cast("long")
+    high = F.when(v > 0, F.floor(share * (seats + n / 2) + 0.5) + 1).otherwise(0).cast("long")
+    d = cut(df.withColumn("_low", low).withColumn("_high", high))
+    left = seats - d.agg(F.sum("_low")).first()[0]
+    asked = d.filter("_high > _low").select(*order, v.alias("_v"), F.explode(F.sequence(F.col("_low") + 1, F.col("_high"))).alias("_k"))
+    places = ranked(asked, [F.desc(F.col("_v") / (2 * F.col("_k") - 1)), *map(F.col, order), F.col("_k")], "_rank")
+    won = places.filter(F.col("_rank") <= left).groupBy(*order).agg(F.count("*").alias("_won"))
+    return d.join(won, order, "left").withColumn("quota", F.col("_low") + F.coalesce(F.col("_won"), F.lit(0))).drop("_low", "_high", "_won")
+
+
+def targets(sources: DataFrame, weights: list[int], share: float, most: float) -> tuple[DataFrame, float]:
+    """Add ``source_no`` and ``target`` to (source, source_size); and the words of the whole mix.
 
     The targets share ``share`` times all sizes by weight, and stop at ``most``
     times the own size; the excess is shared anew by weight until none is
-    above.  That is the level L with sum(min(cap, weight * L)) = total, found
-    by the order of cap / weight.  Sources are few beside the documents: one
-    row each goes through the windows here.
+    above.  A round is one sum over all sources, and rounds end when no more
+    sources are full; no task sees all sources.
     """
-    alone = Window.partitionBy(F.lit(0))
-    s = sources.withColumn("source_no", F.row_number().over(alone.orderBy(F.asc_nulls_last("source"))))
+    s = ranked(sources, [F.asc_nulls_last("source")], "source_no")
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("source_no") - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    s = s.withColumn("cap", most * F.col("source_size").cast("double")).withColumn("at", F.col("cap") / F.col("weight"))
-    up = alone.orderBy("at", "source_no")
-    s = s.withColumn("before", F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("rest", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("total", share * F.sum(F.col("source_size").cast("double")).over(alone))
-    s = s.withColumn("try", (F.col("total") - F.col("before")) / F.col("rest"))
-    s = s.withColumn("level", F.coalesce(F.min_by(F.when(F.col("at") >= F.col("try"), F.col("try")), F.when(F.col("at") >= F.col("try"), F.col("at"))).over(alone), F.max("at").over(alone)))
-    return s.withColumn("target", F.least("cap", F.col("weight") * F.col("level"))).select(*sources.columns, "source_no", "target", "total")
+    s = cut(s.withColumn("cap", most * F.col("source_size").cast("double")))
+    n, size, weight, caps = s.agg(F.count("*"), F.sum("source_size"), F.sum("weight"), F.sum("cap")).first()
+    # caps may round, shares may not: the mix is what can be taken at all
+    total = min(share * float(size or 0), float(caps or 0))
+    full, full_caps, full_weight, level = -1, 0.0, 0.0, 0.0
+    while n:
+        level = (total - full_caps) / (weight - full_weight) if weight > full_weight else float("inf")
+        now, caps, heavy = s.filter(F.col("cap") <= F.col("weight") * level).agg(F.count("*"), F.sum("cap"), F.sum("weight")).first()
+        if now <= full or not now:
+            break
+        full, full_caps, full_weight = now, caps, heavy
+    return s.withColumn("target", F.least("cap", F.col("weight") * level)).select(*sources.columns, "source_no", "target"), total
 
 
 def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", digest: bool = False) -> DataFrame:
@@ -81,9 +104,9 @@ def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, m
     slim = cut(slim)
     cells = slim.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"), F.count("*").alias("cell_rows"))
     cells = cut(cells)
-    sources = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"), F.sum("cell_rows").alias("source_rows")), weights, share, most)
-    sources = sources.withColumn("shards", F.least(F.lit(CELLS), F.ceil(F.col("source_rows") / SHARD_ROWS)).cast("int")).withColumn("blocks", F.round(F.col("total") / block).cast("long")).withColumn("all", F.lit(0))
-    sources = cut(sainte_lague(sources, ["all"], "target", "blocks", ["source_no"]).withColumnRenamed("quota", "source_blocks").drop("all", "blocks"))
+    sources, total = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"), F.sum("cell_rows").alias("source_rows")), weights, share, most)
+    sources = sources.withColumn("shards", F.least(F.lit(CELLS), F.ceil(F.col("source_rows") / SHARD_ROWS)).cast("int"))
+    sources = cut(sainte_lague_over_all(sources, "target", round(total / block), ["source_no"]).withColumnRenamed("quota", "source_blocks"))
     sources = sources.withColumnRenamed("source", "_source")
     cells = cells.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("shard", F.pmod(F.col("cell"), F.col("shards")))
     shards = cells.groupBy("source_no", "shard", "source_blocks").agg(F.sum("cell_size").alias("shard_size"))
