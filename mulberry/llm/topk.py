@@ -1,10 +1,10 @@
 """Exact top-k search: tiled integer matrix products, partial selection per tile, tree merging of top lists.
 
-Vectors are packed into tiles, a matrix to a row.  Every query tile meets every
-tile of the shards, each shard in a task of its own; a task keeps one running
-top list per query of the tile at hand, so it passes on k rows a query and
-shard; those lists are merged in two levels.  Queries are a stated set, in
-blocks, against all rows.
+Vectors are packed into tiles, a matrix to a row.  Queries are a stated set, in
+blocks, against all rows, in shards.  Every block meets every shard in a task
+of its own, so a task's work has a bound and tasks grow with the product of
+both; a task keeps one running top list per query of the tile at hand, so it
+passes on k rows a query and shard; those lists are merged in two levels.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from mulberry.llm.common import cut, table
 
 #: Vectors to a tile of queries and of candidates; bytes of tiles that go to Python at once.
 QUERY_TILE, TILE = 1024, 4096
-#: Query tiles go to every shard, so shards cost shuffled bytes; more shards are more tasks.
-SHARDS, MAX_SHARDS, SHARD_ROWS = 12, 256, 65_536
+#: Shards of candidates at least; candidates of a shard and queries of a block, about: a task multiplies one block by one shard.
+SHARDS, SHARD_ROWS, BLOCK_ROWS = 12, 65_536, 16_384
 #: A score below all others that can be negated, and the id of no vector.
 LOWEST, NO_ID = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).min
 
@@ -84,17 +84,22 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_col
     """
     spark = vectors.sparkSession
     rows = floor_scaled(vectors, id_col, vec_col, scale)
-    if shards is None:
-        n = vectors.count()
-        shards = max(SHARDS, min(MAX_SHARDS, n // SHARD_ROWS))
     is_query = is_query if is_query is not None else F.col("vec_id") % 50 == 0
+    if shards is None:
+        shards = max(SHARDS, vectors.count() // SHARD_ROWS)
+    blocks = 1 + vectors.select(F.col(id_col).cast("long").alias("vec_id")).filter(is_query).count() // BLOCK_ROWS
     queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    # a few tasks pack the queries, so their tiles are full
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    q = _tiles(queries.withColumn("block", block).repartition(shards, "block").select("vec_id", "v"), [], QUERY_TILE)
-    q = q.select("d", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    c = _tiles(rows.withColumn("shard", block).repartition(shards, "shard"), ["shard"], TILE)
-    pairs = q.join(c.withColumnRenamed("d", "d2"), "shard").filter("d = d2")
+
+    def dealt(n: int, column: str) -> Column:
+        return F.pmod(F.xxhash64("vec_id", F.lit(column)), F.lit(n)).cast("int").alias(column)
+
+    # a task packs whole blocks, so their tiles are full
+    q = _tiles(queries.select("vec_id", "v", dealt(blocks, "block")).repartition(blocks, "block"), ["block"], QUERY_TILE)
+    q = q.select("block", "d", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    c = _tiles(rows.select("vec_id", "v", dealt(shards, "shard")).repartition(shards, "shard"), ["shard"], TILE)
+    c = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumnRenamed("d", "d2")
+    tasks = blocks * shards
+    pairs = q.repartition(tasks, "block", "shard").join(c.repartition(tasks, "block", "shard"), ["block", "shard"]).filter("d = d2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, q_ids, q, best = None, None, None, None
