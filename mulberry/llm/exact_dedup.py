@@ -1,18 +1,23 @@
 """Exact deduplication by a stateful stream over disk-backed keyed state.
 
 Arrivals (digest, byte length, stable identifier, content locator) stream
-through a keyed aggregation whose state lives in RocksDB and never expires, so
-a digest seen once is known for good and a restarted query goes on from its
-checkpoint.  The state holds no text: of each digest it keeps the identifier
-of the row that stays, where that row's content is, and the number of rows.
+through a keyed aggregation whose state lives in RocksDB and never expires.
+With a state folder of one's own a later run goes on from its checkpoint, so a
+digest seen once is known for good; without one the state lives for the run.
+The state holds no text: of each digest it keeps the identifier of the row
+that stays, the file where that row's content is, and the number of rows.
 Whenever a digest is hit more than once, the full bytes of its rows are
-compared; rows whose digests agree but whose bytes don't are told apart.
+compared: those of this run, and of earlier ones what the locators name; rows
+whose digests agree but whose bytes don't are told apart.
 
 Only DataFrame functions run here: no Python on the executors.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +25,10 @@ from mulberry.llm.common import scratch, table
 
 #: Largest number of repeated digests that is broadcast (40 bytes each); more are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
+#: Rows from which a digest is hot: where repeated digests are joined by a shuffle, hot ones are still broadcast, as long as they are that few.
+HOT_GROUP = 10_000
+_ARRIVAL = "digest string, n_bytes long, id long, locator string, sha string"
+_UPDATE = "digest string, n_bytes long, keep_id long, group_size long, locator string"
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -28,16 +37,22 @@ _STATE = {
 }
 
 
-def stream_state(spark: SparkSession, arrivals_path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Drain the arrivals in micro-batches; the state of every digest thereafter.
+def known_state(spark: SparkSession, base: str) -> DataFrame:
+    """The state of every digest that arrived so far: (digest, n_bytes, keep_id, group_size, locator).
 
-    ``arrivals_path`` holds (digest, n_bytes, id, locator).  Each micro-batch
-    adds the changed keys to a table of updates, one folder a batch that a
-    repeated batch overwrites.  Identifiers and counts only grow, so the last
-    state of a key is the maximum of its updates.
+    Identifiers and counts only grow, so the last state of a key is the maximum
+    of its updates.
+    """
+    found = spark.read.schema(_UPDATE).parquet(f"{base}/updates")
+    return found.groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max_by("locator", "group_size").alias("locator"))
+
+
+def stream_state(spark: SparkSession, base: str, files_per_batch: int = 1000) -> None:
+    """Drain what has newly arrived below ``base``/arrivals in micro-batches into the state.
+
+    Each micro-batch adds the changed keys to a table of updates, one folder a
+    batch that a repeated batch overwrites.
     """
-    base = scratch(spark, "exact-dedup")
-    schema = spark.read.parquet(arrivals_path).schema
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
@@ -47,9 +62,10 @@ def stream_state(spark: SparkSession, arrivals_path: str, files_per_batch: int =
 
     try:
         (
-            spark.readStream.schema(schema)
+            spark.readStream.schema(_ARRIVAL)
             .option("maxFilesPerTrigger", files_per_batch)
-            .parquet(arrivals_path)
+            .option("recursiveFileLookup", "true")
+            .parquet(f"{base}/arrivals")
             .groupBy("digest", "n_bytes")
             .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("locator", "id").alias("locator"))
             .writeStream.outputMode("update")
@@ -62,17 +78,9 @@ def stream_state(spark: SparkSession, arrivals_path: str, files_per_batch: int =
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    updates = "digest string, n_bytes long, keep_id long, group_size long, locator string"
-    try:
-        found = spark.read.schema(updates).parquet(f"{base}/updates")
-    except Exception as e:  # no arrivals at all: no batch ran
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], updates)
-    return found.groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max_by("locator", "group_size").alias("locator"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000, digest_bits: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000, digest_bits: int = 256, state_dir: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; null counts as the empty text.  Of
@@ -81,46 +89,92 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     never stays while its group has another, and is kept only if its group has
     none.  Empty tables give empty results.  Other columns are not read.
 
+    With ``state_dir``, a folder that all executors see, what arrived in
+    earlier runs counts too: keep_id and group_size are of all arrivals so far.
+    Earlier rows must then have come from Parquet files that still hold
+    ``text_col``; only the files that hits name are read again.
+
     ``digest_bits`` below 256 shortens the digest used as key; collisions are
     then frequent and found by the comparison of bytes (for tests).
     """
     spark = docs.sparkSession
+    base = state_dir or scratch(spark, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("sha", F.sha2("text", 256)).withColumn("digest", F.substring("sha", 1, digest_bits // 4)).withColumn("n_bytes", F.octet_length("text").cast("long") if digest_bits == 256 else F.lit(0).cast("long"))
-    arrivals = scratch(spark, "arrivals")
+
+    def digested(df: DataFrame) -> DataFrame:
+        return df.withColumn("sha", F.sha2("text", 256)).withColumn("digest", F.substring("sha", 1, digest_bits // 4)).withColumn("n_bytes", F.octet_length("text").cast("long") if digest_bits == 256 else F.lit(0).cast("long"))
+
+    read = digested(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")))
+    # an update of no keys, so the table is there before the first batch
+    spark.createDataFrame([], _UPDATE).write.mode("overwrite").parquet(f"{base}/updates/batch=-1")
+    before = _written(known_state(spark, base), "digests") if state_dir else None
+    arrivals = f"{base}/arrivals/{uuid.uuid4().hex}"
     read.select("digest", "n_bytes", "id", F.input_file_name().alias("locator"), "sha").write.parquet(arrivals)
-    rows = spark.read.parquet(arrivals)
-    state = stream_state(spark, arrivals, files_per_batch)
-    state_path = scratch(spark, "digests")
-    state.write.parquet(state_path)
-    state = spark.read.parquet(state_path)
-    apart = _told_apart(read, state)
-    out = rows.join(state.select("digest", "n_bytes", "keep_id", "group_size"), ["digest", "n_bytes"])
+    rows = spark.read.schema(_ARRIVAL).parquet(arrivals)
+    stream_state(spark, base, files_per_batch)
+    state = known_state(spark, base)
+    if state_dir:
+        state = state.join(rows.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_semi")
+    repeated = _written(state.filter("group_size > 1").drop("locator"), "digests")
+    n = repeated.count()
+    earlier = _located(repeated, before, digested, text_col) if before is not None else None
+    apart = _told_apart(read, repeated, n, earlier) if n else None
+    # a row of a digest that came once stays; only repeated digests are looked up
+    if n <= BROADCAST_DIGESTS:
+        out = rows.join(F.broadcast(repeated), ["digest", "n_bytes"], "left")
+    else:
+        hot = repeated.filter(F.col("group_size") > HOT_GROUP)
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_DIGESTS else hot
+        many = rows.join(hot, ["digest", "n_bytes"])
+        others = rows.join(hot.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_anti")
+        out = others.join(repeated.filter(F.col("group_size") <= HOT_GROUP), ["digest", "n_bytes"], "left").unionByName(many)
+    out = out.select("digest", "id", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "sha")
     if apart is not None:
-        out = out.join(apart.select("digest").distinct(), "digest", "left_anti").select("id", "keep_id", "group_size", "sha").unionByName(apart.select("id", "keep_id", "group_size", "sha"))
+        out = out.join(apart.select("digest").distinct(), "digest", "left_anti").drop("digest").unionByName(apart.select("id", "keep_id", "group_size", "sha"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def _told_apart(read: DataFrame, state: DataFrame) -> DataFrame | None:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to the shared folder and read from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _located(repeated: DataFrame, before: DataFrame, digested: Callable[[DataFrame], DataFrame], text_col: str) -> DataFrame | None:
+    """The texts of earlier rows that stay, of the digests that this run hit: read from the files that their locators name; None if there are none."""
+    spark = before.sparkSession
+    hits = before.join(repeated.select("digest", "n_bytes"), ["digest", "n_bytes"], "left_semi").select("digest", "n_bytes", F.col("keep_id").alias("id"), "group_size", F.col("locator").alias("file"))
+    # names of files, not of rows
+    files = [r["file"] for r in hits.filter("file <> ''").select("file").distinct().collect()]
+    if not files:
+        return None
+    # a row is found in its file by its digest
+    texts = digested(spark.read.parquet(*files).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.input_file_name().alias("file")))
+    found = texts.join(hits, ["digest", "n_bytes", "file"]).select("digest", "n_bytes", "id", "group_size", "text", "sha")
+    return _written(found.groupBy("digest", "n_bytes", "sha").agg(F.max("id").alias("id"), F.max("group_size").alias("group_size"), F.first("text").alias("text")), "earlier")
+
+
+def _told_apart(read: DataFrame, repeated: DataFrame, n: int, earlier: DataFrame | None) -> DataFrame | None:
     """The comparison of full bytes on hits: rows of digests that hold unlike texts, grouped anew by text; None if there are none.
 
     The smallest and the largest text of a digest are equal only if all its
     texts are, and both are combined on the map side, so a hot digest sends one
-    text per task.
+    text per task.  ``earlier`` has the texts of rows of other runs.
     """
-    hits = state.filter("group_size > 1").select("digest", "n_bytes")
-    n = hits.count()
-    if not n:
-        return None
-    texts = read.join(F.broadcast(hits) if n <= BROADCAST_DIGESTS else hits, ["digest", "n_bytes"], "left_semi")
-    unlike = texts.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least <> most").select("digest")
-    path = scratch(read.sparkSession, "collisions")
-    unlike.write.parquet(path)
-    unlike = read.sparkSession.read.parquet(path)
+    hits = repeated.select("digest", "n_bytes")
+    texts = read.join(F.broadcast(hits) if n <= BROADCAST_DIGESTS else hits, ["digest", "n_bytes"], "left_semi").select("digest", "text")
+    if earlier is not None:
+        texts = texts.unionByName(earlier.select("digest", "text"))
+    unlike = _written(texts.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least <> most").select("digest"), "collisions")
     if unlike.isEmpty():
         return None
     own = read.join(unlike, "digest").select("digest", "id", "text", "sha")
-    groups = own.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    each = own.select("digest", "text", "id", F.lit(1).cast("long").alias("n"))
+    if earlier is not None:
+        # of earlier rows with this text, as many as the state says hold that digest
+        each = each.unionByName(earlier.join(unlike, "digest").select("digest", "text", "id", F.col("group_size").alias("n")))
+    groups = each.groupBy("digest", "text").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
     return own.join(groups, ["digest", "text"])
 
 

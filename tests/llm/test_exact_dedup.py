@@ -54,3 +54,31 @@ def test_oracle(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert got == sorted(con.execute(x.OP8_SQL).fetchall())
+
+
+def test_a_later_run_hits(spark, docs_of, tmp_path):
+    state = str(tmp_path / "state")
+    first, second = [(1, "a"), (2, "b"), (3, "a"), (4, None)], [(5, "a"), (6, "c"), (0, "b"), (7, "")]
+    docs_of(first).write.parquet(str(tmp_path / "one"))
+    got = x.exact_dedup(spark.read.parquet(str(tmp_path / "one")), state_dir=state).collect()
+    assert sorted(map(tuple, got), key=str) == brute(first)
+    got = x.exact_dedup(docs_of(second), state_dir=state).collect()
+    assert sorted(map(tuple, got), key=str) == [r for r in brute(first + second) if r[0] in (5, 6, 0, 7)]
+    located = {r.digest: r.locator for r in x.known_state(spark, state).collect()}
+    assert sum("/one/" in (v or "") for v in located.values()) >= 1
+
+
+def test_earlier_bytes_are_compared(spark, docs_of, tmp_path, monkeypatch):
+    """One digest for all texts: what the locators name tells a later text apart."""
+    state = str(tmp_path / "state")
+    docs_of([(1, "a"), (2, "a")]).write.parquet(str(tmp_path / "one"))
+    x.exact_dedup(spark.read.parquet(str(tmp_path / "one")), state_dir=state, digest_bits=0).count()
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in x.exact_dedup(docs_of([(5, "z"), (3, "a")]), state_dir=state, digest_bits=0).collect()}
+    assert got == {5: (5, 1), 3: (3, 3)}
+
+
+def test_many_repeated_digests_are_joined(docs_of, monkeypatch):
+    rows = [(i, f"t{i % 20 if i < 60 else 0}") for i in range(100)]
+    monkeypatch.setattr(x, "BROADCAST_DIGESTS", 3)
+    monkeypatch.setattr(x, "HOT_GROUP", 10)
+    assert sorted(map(tuple, x.exact_dedup(docs_of(rows)).collect()), key=str) == brute(rows)
