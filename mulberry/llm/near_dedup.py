@@ -39,6 +39,8 @@ from mulberry.llm.components import connected_components
 #: Words whose hashes a task keeps; beyond it starts afresh.
 KEPT_WORDS = 500_000
 BANDS, ROWS = 40, 5
+#: Identifiers of documents whose sets are wanted that are broadcast at most (8 bytes each); beyond, texts are shuffled to them.
+BROADCAST_IDS = 500_000
 #: Standard errors by which an estimate must miss the threshold for a pair to be dropped without verification.
 SIGMAS = 5.0
 
@@ -89,21 +91,22 @@ def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame({"doc_id": pdf["doc_id"]}).join(pd.DataFrame(out, columns=["n_shingles", "set_hi", "set_lo", "regs"], index=pdf.index))
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    some = slim.filter("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, set_hi long, set_lo long, regs binary")
-    return some
+    return slim.mapInPandas(run, "doc_id long, n_shingles long, set_hi long, set_lo long, regs binary")
 
 
 def shingle_sets(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, set): the full sets as sorted arrays."""
+    """(id, set_hi, set): the full sets as sorted arrays, and the first half of their digests."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(width)
         for pdf in batches:
             for k in range(0, len(pdf), 256):
                 part = pdf.iloc[k : k + 256]
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "set": [shingler.shingles(t).view(np.int64) for t in part["text"]]})
+                sets = [shingler.shingles(t) for t in part["text"]]
+                digests = [int.from_bytes(xxhash.xxh3_128_digest(x.tobytes())[:8], "big", signed=True) for x in sets]
+                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "set_hi": digests, "set": [x.view(np.int64) for x in sets]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, set array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, set_hi long, set array<long>")
 
 
 def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -122,28 +125,39 @@ def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """The full sets of the documents in ``ids`` (column _id)."""
-    return cut(shingle_sets(docs.join(ids.distinct(), F.col(id_col).cast("long") == F.col("_id"), "left_semi"), width, id_col, text_col).dropDuplicates(["id"]))
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str, known: DataFrame | None = None) -> DataFrame:
+    """The full sets (id, set) of the documents in ``ids`` (column _id), those in ``known`` from there.
 
-
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, confirmed on the full sets."""
+    Of unlike texts under one identifier that of the greatest digest counts, as everywhere here.
+    """
+    ids = cut(ids.distinct())
+    missing = ids if known is None else cut(ids.join(known.select(F.col("id").alias("_id")), "_id", "left_anti"))
+    wanted = F.broadcast(missing) if missing.count() <= BROADCAST_IDS else missing
+    made = shingle_sets(docs.join(wanted, F.col(id_col).cast("long") == F.col("_id"), "left_semi"), width, id_col, text_col)
+    made = made.groupBy("id").agg(F.max_by("set", "set_hi").alias("set"))
+    if known is not None:
+        made = made.unionByName(known.join(ids, F.col("id") == F.col("_id"), "left_semi"))
+    return cut(made)
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str, sets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes that are similar enough, confirmed on the full sets; and the sets, if they aren't given."""
     threshold = per_cent / 100
     side = classes.select("id", F.col("n_shingles").alias("n"), "regs")
     with_a = pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
     both = with_a.join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
     near = cut(_estimated(both.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent), threshold))
-    sets = _sets_of(near.select(F.col("a").alias("_id")).union(near.select(F.col("b").alias("_id"))), docs, width, id_col, text_col)
+    if sets is None:
+        sets = _sets_of(near.select(F.col("a").alias("_id")).union(near.select(F.col("b").alias("_id"))), docs, width, id_col, text_col)
     full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return cut(full.filter(100 * shared >= per_cent * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return cut(full.filter(100 * shared >= per_cent * (F.size("sa") + F.size("sb") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))), sets
 
 
-def _across(led: DataFrame, docs: DataFrame, width: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
+def _across(led: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) of one leader and different components that can be similar enough.
 
-    ``led`` has leader, id, component.  With d the difference of a set from the
+    ``led`` has leader, id, component, ``sets`` the sets of all those.  With d the difference of a set from the
     leader's, |x ^ y| = |dx ^ dy|, and x and y are similar enough iff
     |x ^ y| <= k * (|x| + |y|) for k = (1 - t) / (1 + t).  So dx and dy must
     share (gx + gy) / 2 elements or more, where g = |d| - k * |set|.  In any
@@ -153,7 +167,6 @@ def _across(led: DataFrame, docs: DataFrame, width: int, per_cent: int, id_col:
     gx + gy <= 0 both are linked to the leader, thus in one component.
     """
     high, low = 100 + per_cent, 100 - per_cent
-    sets = _sets_of(led.select(F.col("id").alias("_id")).union(led.select(F.col("leader").alias("_id"))), docs, width, id_col, text_col)
     both = led.join(sets, "id").join(sets.select(F.col("id").alias("leader"), F.col("set").alias("led_by")), "leader")
     apart = cut(both.select("leader", "id", "component", F.size("set").cast("long").alias("n"), F.concat(F.array_except("set", "led_by"), F.array_except("led_by", "set")).alias("d")))
     items = apart.select("leader", "id", F.explode("d").alias("e"))
@@ -185,12 +198,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     ``per_cent`` / 100 or more; component_id is the least doc_id reachable.
     Texts of fewer words than ``width`` have their whole sequence as one
     shingle; null and blank texts have none and are linked with nothing.  Rows
-    repeated under one doc_id are one document.  Rows without a doc_id can't be
-    named: they come out with a null component and are kept.  Other columns
-    are not read.
+    repeated under one doc_id are one document; of unlike texts under one, that
+    of the greatest digest of its set is linked, whichever order they come in.
+    Rows without a doc_id can't be named: they come out with a null component
+    and are kept.  Other columns are not read.
     """
-    own = cut(sketches(docs, width, id_col, text_col, bands, rows))
-    classes = cut(own.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("regs").alias("regs")))
+    every = cut(sketches(docs, width, id_col, text_col, bands, rows))
+    own = every.filter("doc_id is not null")
+    unlike = cut(own.groupBy("doc_id").agg(F.min("set_hi").alias("_lo"), F.max("set_hi").alias("_hi")).filter("_lo < _hi").select("doc_id", "_hi"))
+    one = own if unlike.isEmpty() else own.join(unlike, "doc_id", "left").filter("_hi is null or set_hi = _hi").drop("_hi")
+    classes = cut(one.filter("n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("regs").alias("regs")))
     size = 2 * rows
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", 1 + i * size, size)) for i in range(bands)])).alias("band")
     banded = classes.select("id", band)
@@ -201,22 +218,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     leaders = cut(members.groupBy("band").agg(F.max(F.struct("c", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("leader")))
     members = cut(members.select("band", "id").join(leaders, "band"))
     pairs = members.filter("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    links = _links(pairs, classes, docs, width, per_cent, id_col, text_col)
+    links, sets = _links(pairs, classes, docs, width, per_cent, id_col, text_col)
     comps = cut(connected_components(links))
     # buckets that hold several components: compare across those
     placed = cut(members.join(comps, F.col("id") == F.col("vertex"), "left").select("band", "id", "leader", F.coalesce("component", "id").alias("component")))
     split = cut(placed.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")).filter("c0 < c1 and n > 2").select("band"))
     led = cut(placed.join(split, "band").filter("id <> leader").select("leader", "id", "component").distinct())
-    across = _across(led, docs, width, per_cent, id_col, text_col)
-    more = _links(across, classes, docs, width, per_cent, id_col, text_col)
+    sets = _sets_of(led.select(F.col("id").alias("_id")).union(led.select(F.col("leader").alias("_id"))), docs, width, id_col, text_col, sets)
+    more, _ = _links(_across(led, sets, per_cent), classes, docs, width, per_cent, id_col, text_col, sets)
     # the components so far stand for their links
     stars = comps.select(F.col("vertex").alias("u"), F.col("component").alias("v"))
     comps = cut(connected_components(stars.unionByName(more)))
-    named = own.join(classes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"], "left").join(comps, F.col("id") == F.col("vertex"), "left")
+    ids = one.select("doc_id", "set_hi", "set_lo").distinct() if not unlike.isEmpty() else one
+    named = ids.join(classes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"], "left").join(comps, F.col("id") == F.col("vertex"), "left")
     component = F.coalesce("component", "id", "doc_id")
-    out = named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
-    nameless = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(nameless)
+    named = named.select("doc_id", *(["n_shingles"] if unlike.isEmpty() else []), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    if not unlike.isEmpty():  # the rows of one identifier share its component
+        named = own.select("doc_id", "n_shingles").join(named, "doc_id")
+    nameless = every.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return named.select("doc_id", "n_shingles", "component_id", "kept").unionByName(nameless)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

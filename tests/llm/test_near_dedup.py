@@ -63,10 +63,31 @@ def test_chains_of_links(docs_of):
 
 def test_odd_rows(docs_of):
     got = n.near_duplicates(docs_of([(1, "a b c"), (1, "a b c"), (None, "a b c"), (0, "a b c")]), 2).collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(1, 2, 0, False), (1, 2, 0, False), (0, 2, 0, True), (None, None, None, True)], key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 2, 0, False), (1, 2, 0, False), (0, 2, 0, True), (None, 2, None, True)], key=str)
     assert n.near_duplicates(docs_of([])).count() == 0
 
 
+def test_unlike_texts_under_one_identifier(docs_of):
+    """One of them is linked, the same in any order; all rows of the identifier share its component."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "u v w x y z"), (3, "u v w x y z"), (4, "m n")]
+    seen = [sorted(map(tuple, n.near_duplicates(docs_of(r), 2).collect())) for r in (rows, rows[::-1])]
+    assert seen[0] == seen[1]
+    component = {r[0]: r[2] for r in seen[0]}
+    assert len(seen[0]) == 5 and component[4] == 4 and (component[2], component[3]) in ((1, 3), (2, 2))
+
+
+def test_ids_beyond_the_broadcast(docs_of, monkeypatch):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        t = list(base)
+        t[rng.randrange(60)] = f"n{i}"
+        rows.append((i, " ".join(t)))
+    monkeypatch.setattr(n, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, n.near_duplicates(docs_of(rows), 2).collect())) == brute(rows, 2, 80)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]

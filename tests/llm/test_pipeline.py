@@ -36,6 +36,23 @@ def sf(spark, tmp_path_factory):
     return d
 
 
+def test_rows_without_an_identifier_of_their_own(spark, sf):
+    """Decisions take effect on rows whose doc_id is null or shared, and none of their texts gets lost."""
+    rng = random.Random(4)
+    base = rng.choices([f"w{i}" for i in range(500)], k=80)
+    near = [*base[:40], "other", *base[41:]]
+    far = rng.choices([f"v{i}" for i in range(500)], k=80)
+    rude = "scoundrel nitwit dimwit " * 3
+    rows = [(7, " ".join(base)), (None, " ".join(near)), (None, " ".join(far)), (8, " ".join(far[:60])), (8, " ".join(near[::-1])), (None, rude + " ".join(far)), (8, rude)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one = p.drop_toxic(spark, docs, sf)
+    assert one.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in one.collect()) == sorted((i or 0, t) for i, t in rows[:5])
+    two = p.drop_near_copies(spark, p.drop_copies(spark, one, sf), sf)
+    assert two.columns == docs.columns
+    got = [r.text for r in two.collect()]
+    assert len(got) == 4 and (rows[0][1] in got) + (rows[1][1] in got) == 1 and {rows[2][1], rows[3][1], rows[4][1]} <= set(got)
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
