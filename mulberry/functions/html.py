@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mulberry.functions.normalize import collapse, json_genres
+from mulberry.functions.normalize import collapse, json_genres, let
 from mulberry.operators.genres import map_genre
 
 _APART = r"(?is)<(script|style|header|footer|nav)\b.*?</\1\s*>"
@@ -76,7 +76,7 @@ def genre_of_page(page: Column) -> Column:
     body = map_genre(F.lower(visible_text(page)))
 
     def hit(genre: Column, source: str, confidence: float) -> Column:
-        return F.when(genre.isNotNull() & (genre != "미분류"), F.struct(genre.alias("genre"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
+        return let(genre, lambda g: F.when(g.isNotNull() & (g != "미분류"), F.struct(g.alias("genre"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
 
     return F.coalesce(hit(first_mapped(jsonld_genres(page)), "jsonld", 0.95), hit(first_mapped(words), "meta", 0.95), hit(first_mapped(texts), "link", 0.95), hit(body, "body", 0.90))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -177,3 +179,18 @@ def json_genres(text: Column) -> Column:
     v = F.try_variant_get(F.try_parse_json(text), "$.genre", "variant")
     many = F.try_variant_get(v, "$", "array<string>")
     return F.coalesce(many, F.array(F.try_variant_get(v, "$", "string")), F.array().cast("array<string>"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def literal_table(pairs: dict[str, str]) -> Column:
+    """Keys and values in order as one constant, array of struct(k, g)."""
+    return F.from_json(F.lit(json.dumps([{"k": k, "g": g} for k, g in pairs.items()], ensure_ascii=False)), "array<struct<k:string,g:string>>")
+
+
+def literal_words(words: list[str]) -> Column:
+    """Words in order as one constant."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f")

@@ -147,3 +147,68 @@ ARCHIVE_SUFFIXES = [".zip", ".rar", ".7z", ".zipx"]
 SCAN_SUFFIXES = [".txt", ".epub", *ARCHIVE_SUFFIXES]
 PROTECTED_FOLDERS = ["Temp", ".git", "__pycache__", ".vs", "logs", "config"]
 BOX_DRAWING = "┌┐└┘├┤┬┴┼─│╒╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡╢╣╤╥╦╧╨╩╪╫╬"
+
+# Genre of the names that platforms' pages use, in order; the extractors' own list.
+PAGE_GENRES = {
+    "판타지": "판타지", "퓨전판타지": "퓨판", "퓨전 판타지": "퓨판", "퓨전": "퓨판", "현대판타지": "현판", "현대 판타지": "현판", "현판": "현판",
+    "게임판타지": "겜판", "게임 판타지": "겜판", "게임": "겜판", "무협": "무협", "무협 소설": "무협", "전통 무협": "무협", "선협": "선협",
+    "로맨스": "로판", "로맨스판타지": "로판", "로맨스 판타지": "로판", "로판": "로판", "BL": "로판", "언정": "언정", "SF": "SF", "스포츠": "스포츠",
+    "스포츠물": "스포츠", "역사": "역사", "역사물": "역사", "대체역사": "역사", "대체 역사물": "역사", "정통판타지": "판타지", "정통 판타지": "판타지",
+    "미스터리": "미스터리", "소설": "소설", "해외 소설": "소설", "라이트노벨": "판타지", "팬픽": "판타지", "팬픽션": "판타지", "패러디": "패러디",
+    "밀리터리": "밀리터리", "전쟁 밀리터리": "밀리터리", "전쟁": "밀리터리", "현대": "현판",
+}
+
+# Keys of the platforms' names.
+PLATFORM_KEYS = {
+    "리디북스": "ridibooks", "문피아": "munpia", "노벨피아": "novelpia", "조아라": "joara", "네이버시리즈": "naver_series", "카카오페이지": "kakao",
+    "소설넷": "novelnet", "웹툰가이드": "webtoonguide", "미스터블루": "mrblue", "YES24": "yes24", "교보문고": "kyobo", "알라딘": "aladin",
+}
+
+# Orders and lists of single platforms' extractors.
+RIDI_ORDER = ["역사", "스포츠", "무협", "선협", "로판", "겜판", "현판", "퓨판", "SF", "판타지", "미분류"]
+RIDI_LINKS = ["퓨전 판타지", "현대 판타지", "게임 판타지", "로맨스 판타지", "무협", "판타지"]
+RIDI_TEXT = ["퓨전판타지", "퓨전 판타지", "현대판타지", "게임판타지", "로맨스판타지", "판타지", "무협", "로맨스"]
+MUNPIA_MILITARY = ["전쟁·밀리터리", "전쟁 밀리터리", "밀리터리", "전쟁"]
+MUNPIA_HISTORY = ["대체역사", "대체 역사", "역사"]
+MUNPIA_FANTASY = ["판타지", "현대판타지", "퓨전판타지", "퓨전", "현판"]
+MUNPIA_PAIRS = [("현대판타지", "스포츠", "스포츠"), ("현대판타지", "퓨전", "현대판타지"), ("판타지", "퓨전", "퓨전판타지"), ("판타지", "게임", "게임판타지")]
+EBOOK_GENRES = {
+    "소설": "소설", "판타지": "판타지", "로맨스": "로판", "무협": "무협", "BL": "로판", "라이트노벨": "판타지", "추리/미스터리": "미스터리", "SF": "SF",
+    "역사": "역사", "스릴러": "스릴러", "공포": "공포", "시/에세이": "소설", "인문": "소설", "자기계발": "소설",
+}
+NOVELNET_ORDER = [
+    "스포츠", "무협", "선협", "현판", "현대판타지", "현대 판타지", "겜판", "게임판타지", "게임 판타지", "로판", "로맨스판타지", "로맨스 판타지", "로맨스",
+    "퓨판", "퓨전판타지", "퓨전 판타지", "역사", "대체역사", "시대물", "SF", "판타지",
+]
+NOVELPIA_COMPOUND = {
+    "현대판타지": "현판", "현대 판타지": "현판", "로맨스판타지": "로판", "로맨스 판타지": "로판", "퓨전판타지": "퓨판", "퓨전 판타지": "퓨판", "게임판타지": "겜판", "게임 판타지": "겜판",
+}
+NOVELPIA_PAIRS = [("로맨스", "판타지", "로판", "로맨스+판타지"), ("판타지", "퓨전", "퓨판", "판타지+퓨전"), ("무협", "게임", "겜판", "무협+게임"), ("현대", "판타지", "현판", "현대+판타지")]
+NOVELPIA_SINGLE = [
+    "무협", "선협", "로판", "로맨스판타지", "로맨스 판타지", "로맨스", "현판", "현대판타지", "현대 판타지", "현대", "겜판", "게임판타지", "게임 판타지", "게임",
+    "퓨판", "퓨전판타지", "퓨전 판타지", "퓨전", "스포츠", "스포츠물", "역사", "역사물", "SF", "BL", "판타지", "소설",
+]
+WEBTOONGUIDE_ORDER = {
+    "로맨스 판타지": "로판", "로맨스판타지": "로판", "퓨전 판타지": "퓨판", "퓨전판타지": "퓨판", "현대 판타지": "현판", "현대판타지": "현판", "현판": "현판",
+    "게임 판타지": "겜판", "게임판타지": "겜판", "겜판": "겜판", "무협 판타지": "무협", "무협판타지": "무협", "무협": "무협", "로맨스": "로판", "로판": "로판",
+    "BL": "로판", "bl": "로판", "역사": "역사", "액션": "액션", "스릴러": "스릴러", "미스터리": "미스터리", "공포": "공포", "코미디": "코미디", "판타지": "판타지",
+}
+KYOBO_SPECIFIC = {"판타지소설": "판타지", "무협소설": "무협", "로맨스소설": "로판", "역사소설": "역사", "SF소설": "SF", "추리소설": "미스터리", "미스터리소설": "미스터리"}
+
+# What is replaced in the titles of a platform's pages, in order; (?i) where case doesn't matter.
+PAGE_TITLES = {
+    "ridibooks": [(r"(?i)\s*-\s*(판타지|로맨스|로판|무협|BL|현대판타지|퓨전판타지|게임판타지|정통판타지|선협|역사|SF|스포츠|겜판|퓨판|현판)?\s*(웹소설|e북|전자책|소설)?\s*-?\s*리디.*$", "")],
+    "munpia": [
+        (r" - 웹소설 문피아| - 문피아", ""), (r"\s*\[.*?\]\s*", ""), (r"^(개정판|합본|특별판|완전판|무삭제판|리마스터판)\s*[-|]\s*", ""), (r"\s*[-|]\s*(개정판|합본|특별판|완전판|무삭제판|리마스터판)$", ""),
+    ],
+    "naver_series": [
+        (r"\s*[\[\(【<].*?[\]\)】>]\s*", " "), (r"(?i)\s*[-|]\s*(웹소설\s*홈\s*:\s*)?네이버\s*시리즈.*$", ""), (r"(?i)^네이버\s*시리즈\s*$", ""),
+        (r"^(개정판|합본|특별판|완전판|무삭제판|리마스터판)\s*[|]\s*", ""), (r"\s*[|]\s*(개정판|합본|특별판|완전판|무삭제판|리마스터판)$", ""),
+    ],
+    "kakao": [(r"(?i)\s*-\s*(웹소설|웹툰|책)\s*\|?\s*카카오페이지.*$", ""), (r"(?i)\s+\d+화\s*\|?\s*카카오페이지.*$", "")],
+    "novelpia": [(r"^노벨피아\s*-\s*웹소설로\s*꿈꾸는\s*세상!\s*-\s*", ""), (r"\s*-\s*노벨피아$", "")],
+    "webtoonguide": [(r"\[웹소설/소설\]", ""), (r"<([^>]+)>", "$1"), (r"\[단행본\]|\[세트\]", ""), (r"\s*세트\s*$", ""), (r"\s*단행본\s*$", ""), (r"\s*-\s*웹툰의 모든 것!.*$", "")],
+    "yes24": [(r"(?i)\s*-\s*예스24.*$", ""), (r"\s*\|.*$", "")],
+    "kyobo": [(r"(?i)\s*-\s*교보문고.*$", ""), (r"\s*\|.*$", ""), (r"\s+\d+\s*\([^)]+\)\s*$", ""), (r"\s+\d+권?\s*$", ""), (r"\s*\([^)]*(?:완결|완|부)\s*[^)]*\)\s*$", ""), (r"[!?]+$", "")],
+    "aladin": [(r"(?i)\s*-\s*알라딘.*$", ""), (r"\s+\d+-\d+\s*(완결|세트|권)?.*$", ""), (r"\s*/[^|]+$", ""), (r"\s+\(.*?\)$", ""), (r"\s*\|.*$", "")],
+}

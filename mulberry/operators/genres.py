@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mulberry.functions import vocab as V
-from mulberry.functions.normalize import cache_key, first_key
+from mulberry.functions.normalize import cache_key, first_key, let, literal_table
 
 _MAP = {name: genre for genre, names in V.GENRE_MAP.items() for name in names}
 
@@ -18,10 +18,16 @@ def _lookup(c: Column, table: dict[str, str]) -> Column:
 
 def map_genre(c: Column) -> Column:
     """Standard genre of a platform's genre: exact, else the longest contained name; unclassified otherwise."""
-    c = F.trim(F.coalesce(c, F.lit("")))
-    longest = {k: _MAP[k] for k in sorted(_MAP, key=len, reverse=True)}
-    found = F.coalesce(F.when(c != "", F.try_element_at(F.create_map(*[F.lit(x) for kv in _MAP.items() for x in kv]), c)), first_key(c, longest, F.lit(V.UNCLASSIFIED)))
-    return F.when(found.isin(V.MAPPED_GENRES), found).otherwise(V.UNCLASSIFIED)
+    names = literal_table(_MAP)
+    longest = literal_table({k: _MAP[k] for k in sorted(_MAP, key=len, reverse=True)})
+
+    def found(name: Column) -> Column:
+        exact = F.get(F.filter(names, lambda k: k["k"] == name), F.lit(0))
+        inside = F.get(F.filter(longest, lambda k: F.contains(name, k["k"])), F.lit(0))
+        return F.coalesce(exact["g"], inside["g"], F.lit(V.UNCLASSIFIED))
+
+    mapped = let(F.trim(F.coalesce(c, F.lit(""))), found)
+    return let(mapped, lambda g: F.when(g.isin(V.MAPPED_GENRES), g).otherwise(V.UNCLASSIFIED))
 
 
 def specificity(genre: Column) -> Column:

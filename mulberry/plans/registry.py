@@ -15,6 +15,7 @@ from mulberry.functions import matching
 from mulberry.functions import normalize as N
 from mulberry.functions.titles import parse_titles, repair_jamo, standard_name, valid_genre
 from mulberry.operators import archives, cache, genres, inference, keywords, naming, reports, routing
+from mulberry.plans import platform_queries
 from mulberry.plans.catalogue import page_catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,6 +390,10 @@ def page_catalogue_names(spark: SparkSession, sf: str) -> DataFrame:
     return page_catalogue(spark, sf)
 
 
+QUERIES |= {"platform_page_genres": platform_queries.platform_page_genres, "platform_page_titles": platform_queries.platform_page_titles, "page_names": platform_queries.page_names}
+ORACLES |= {"platform_page_genres": platform_queries.PLATFORM_SQL, "platform_page_titles": platform_queries.TITLE_SQL}
+
+
 # --- cache and joins ---------------------------------------------------------------------------
 
 
