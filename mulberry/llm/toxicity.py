@@ -12,6 +12,7 @@ evidence by weights of other folds, so a document never vouches for itself.
 
 from __future__ import annotations
 
+import array
 import math
 import re
 import zlib
@@ -216,11 +217,18 @@ class Decoder:
         return " ".join(map(self.token, self.tokens(text)))
 
 
-def beginnings(word: str) -> Iterator[int]:
+def beginnings(word: str) -> list[int]:
     """Hash places of a word's beginnings of 3 to 8 letters and of the whole word."""
-    for k in range(3, min(len(word), 8) + 1):
-        yield zlib.crc32(word[:k].encode()) % PLACES
-    yield zlib.crc32(f"{word} ".encode()) % PLACES
+    crc = zlib.crc32
+    if not word.isascii():
+        return [crc(x.encode()) % PLACES for x in (*(word[:k] for k in range(3, min(len(word), 8) + 1)), f"{word} ")]
+    raw = word.encode()
+    at = crc(raw[:3])
+    out = [at % PLACES] if len(raw) > 2 else []
+    for k in range(3, min(len(raw), 8)):
+        at = crc(raw[k : k + 1], at)
+        out.append(at % PLACES)
+    return [*out, crc(raw[8:] + b" ", at) % PLACES]
 
 
 def restored(docs: DataFrame, costs: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,7 +253,8 @@ class Evidence:
     names = ("total", "most", "hits", "distinct", "rate")
 
     def __init__(self, weights: np.ndarray, read: Callable[[str], str]):
-        self.weights, self.read = weights.reshape(-1, PLACES), read
+        # arrays of single numbers are faster than those of many for the few places of a token
+        self.weights, self.read = [array.array("f", w.tobytes()) for w in weights.reshape(-1, PLACES)], read
         self.known: list[dict[str, float]] = [{} for _ in self.weights]
 
     def _look_up(self, token: str) -> None:
@@ -254,7 +263,7 @@ class Evidence:
                 k.clear()
         places = [p for w in _WORD.findall(self.read(token)) for p in beginnings(w)]
         for k, w in zip(self.known, self.weights, strict=True):
-            k[token] = float(w[places].max()) if places else 0.0
+            k[token] = max(map(w.__getitem__, places), default=0.0)
 
     def of(self, tokens: list[str], row: int = 0) -> tuple[float, float, float, float, float]:
         known, hits, n = self.known[row], {}, 0
