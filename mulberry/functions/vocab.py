@@ -212,3 +212,20 @@ PAGE_TITLES = {
     "kyobo": [(r"(?i)\s*-\s*교보문고.*$", ""), (r"\s*\|.*$", ""), (r"\s+\d+\s*\([^)]+\)\s*$", ""), (r"\s+\d+권?\s*$", ""), (r"\s*\([^)]*(?:완결|완|부)\s*[^)]*\)\s*$", ""), (r"[!?]+$", "")],
     "aladin": [(r"(?i)\s*-\s*알라딘.*$", ""), (r"\s+\d+-\d+\s*(완결|세트|권)?.*$", ""), (r"\s*/[^|]+$", ""), (r"\s+\(.*?\)$", ""), (r"\s*\|.*$", "")],
 }
+
+# Leading tags of the older normaliser: genres that stay, synonyms, and what translators add.
+TAG_GENRES_KEPT = ["소설", "판타지", "현대", "현판", "무협", "선협", "스포츠", "퓨판", "역사", "로판", "SF", "겜판", "언정", "공포", "패러디"]
+TAG_SYNONYMS = {
+    "신무협": "무협", "퓨전무협": "무협", "퓨전 무협": "무협", "퓨전판타지": "퓨판", "퓨전 판타지": "퓨판", "현대판타지": "현판", "현대 판타지": "현판",
+    "대체역사": "역사", "대체 역사": "역사", "퓨전": "퓨판", "게임": "겜판", "로맨스": "로판", "BL": "로판",
+}
+TRANSLATED = r"(?iU)\s*(?:[Aa][ㅣlI]?번역|AI번역|기계번역|손번역|번역가?|[Aa][lI]?번역)\s*"
+
+# Signs of a name that the older normaliser hasn't seen, and of one that it has.
+RAW_NAME_SIGNS = [
+    r"(?i)(?<!\()(完|완결?|Complete)(?!\))", r"(?<!\+\s)(外|외포|번외|에필로그|외전포함)", r"(?U)\b0\d+", r"[@ⓒ]", r"(?U)[_+](?!\s+(외전|에필|후기))", r"\(외전포함\)", r"\d+-\d+(회|화|권)",
+    r"(?U)\d+-\d+\s+\(완\)\s+[\(\[\{]?(개정판|완전판|수정판)", r"(?U)\d{1,4}부\s+[\(\[\{](개정판|완전판|수정판)", r"(?U)\d{1,4}부\s+\d{1,4}부", r"\d{1,4}부_\d{1,4}부", r"^\(",
+    r"(?U)\(완\)\s*-\s*[가-힣]{2,4}", r"\[[가-힣]{2,4}\]", r"\d{1,4}부,\d{1,4}부", r"\d+\(완\)", r"(?U)[가-힣a-zA-Z]\d+\s*-\s*\d+", r"(?U)\s+\+\s+\w+\s+\+\s+", r"(?U)외전\s+\d+-\d+\s+\(완\)",
+]
+SETTLED_NAME = r"(?U)\d{1,4}부\s+\d{1,4}-\d{1,4}\s+\(완\)\s+\d{1,4}부\s+\d{1,4}-\d{1,4}\s+\(완\)"
+SIDE_RUNS_ON = r"(?iU)(외전|外)\s*(연재\s*중|미완)|\[외전\d+-\d+화?미완\]"

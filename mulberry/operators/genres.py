@@ -166,8 +166,17 @@ def classify(tasks: DataFrame, cache: DataFrame, search: DataFrame, keywords: Da
 
     ``tasks`` has task_id, raw_name, title, genre; ``cache`` key, genre,
     confidence, source; ``search`` and ``keywords`` task_id, genre (and source).
-    Each step is a candidate; the first one that isn't null counts.
+    Each step is a candidate; the first one that isn't null counts.  Of several
+    hits of a task the first with a genre counts (by ``pos``, if there is one,
+    then by genre), and of several entries of a cache key the least.
     """
+
+    def one(df: DataFrame, key: str, *columns: str) -> DataFrame:
+        order = [F.coalesce("genre", F.lit("")) == "", *([F.col("pos")] if "pos" in df.columns else []), F.col("genre"), *map(F.col, columns)]
+        first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct("genre", *columns).alias("x"))).alias("m")
+        return df.groupBy(key).agg(first).select(key, "m.x.*")
+
+    cache, search, keywords = one(cache, "key", "confidence", "source"), one(search, "task_id", "source"), one(keywords, "task_id")
     t = tasks.withColumn("_key", cache_key(F.when(F.col("title") != "", F.col("title")).otherwise(F.col("raw_name"))))
     t = t.join(cache.select(F.col("key").alias("_key"), F.col("genre").alias("_cg"), F.col("confidence").alias("_cc"), F.col("source").alias("_cs")), "_key", "left")
     t = t.join(search.select("task_id", F.col("genre").alias("_sg"), F.col("source").alias("_ss")), "task_id", "left")

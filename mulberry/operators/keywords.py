@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keywords up to which the dictionary is one array literal beside every text; larger ones are joined.
+#: Keywords up to which the dictionary is one array literal beside every text; larger ones are joined by ``contained``.
 ARRAY_KEYWORDS = 5_000
 
 
@@ -20,19 +20,39 @@ def literal_array(table: DataFrame, columns: list[str]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows]).cast(f"array<{kind}>")
 
 
+def contained(texts: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, word): which of ``words`` (column word, any number of them) a text contains.
+
+    A word can only be where its first two letters are, so texts and words meet
+    by those, and by the whole text after that; ``key`` tells the texts apart.
+    """
+    w = words.select("word").filter(F.length("word") > 0).distinct()
+    w = w.withColumn("gram", F.substring("word", 1, 2))
+    slim = texts.select(key, F.col(text).alias("_t")).filter(F.length("_t") > 0)
+    at = F.sequence(F.lit(1), F.length("_t"))
+    grams = F.array_union(F.transform(at, lambda i: F.substr("_t", i, F.lit(2))), F.transform(at, lambda i: F.substr("_t", i, F.lit(1))))
+    maybe = slim.select(key, F.explode(grams).alias("gram")).join(w, "gram").select(key, "word")
+    return maybe.join(slim, key).filter(F.col("_t").contains(F.col("word"))).select(key, "word")
+
+
+def _few(table: DataFrame) -> bool:
+    return len(table.limit(ARRAY_KEYWORDS + 1).select(F.lit(1)).collect()) <= ARRAY_KEYWORDS
+
+
 def keyword_matches(texts: DataFrame, keywords: DataFrame, key: str, text: str, shortest: int = 2) -> DataFrame:
     """(key, genre, keyword, weight): keywords of two letters or more that a text contains, without those within longer ones of the same genre.
 
     A dictionary of bounded size is one constant array, so no row is made for a
-    keyword that isn't there.
+    keyword that isn't there; a larger one is joined.
     """
     rows = keywords.filter(F.length("keyword") >= shortest).select("genre_pos", "genre", "pos", F.lower("keyword").alias("keyword"), "weight")
-    if rows.count() > ARRAY_KEYWORDS:
-        found = texts.select(key, F.lower(text).alias("_t")).join(rows, F.col("_t").contains(F.col("keyword"))).drop("_t")
-        per = found.groupBy(key, "genre").agg(F.collect_list(F.struct("genre_pos", "genre", "pos", "keyword", "weight")).alias("m"))
+    low = texts.select(key, F.lower(text).alias("_low"))
+    if not _few(rows):
+        found = contained(low, rows.select(F.col("keyword").alias("word")), key, "_low").join(rows.withColumnRenamed("keyword", "word"), "word")
+        per = found.groupBy(key, "genre").agg(F.collect_list(F.struct("genre_pos", "genre", "pos", F.col("word").alias("keyword"), "weight")).alias("m"))
     else:
         table = literal_array(rows, ["genre_pos", "genre", "pos", "keyword", "weight"])
-        hit = texts.select(key, F.lower(text).alias("_t")).select(key, F.filter(table, lambda k: F.col("_t").contains(k["keyword"])).alias("m"))
+        hit = low.select(key, F.filter(table, lambda k: F.col("_low").contains(k["keyword"])).alias("m"))
         per = hit.filter(F.size("m") > 0)
     m = F.col("m")
     kept = F.filter(m, lambda a: ~F.exists(m, lambda b: (b["genre"] == a["genre"]) & (b["keyword"] != a["keyword"]) & b["keyword"].contains(a["keyword"])))
@@ -50,10 +70,16 @@ def genre_scores(matches: DataFrame, keywords: DataFrame, key: str, pairs: DataF
 
 def compound_pairs(texts: DataFrame, compounds: DataFrame, key: str, text: str) -> DataFrame:
     """(key, genre, n_pairs): how many pairs of keywords a text has both of."""
-    table = literal_array(compounds.select("genre", F.lower("kw1").alias("a"), F.lower("kw2").alias("b")), ["genre", "a", "b"])
+    pairs = compounds.select("genre", F.lower("kw1").alias("a"), F.lower("kw2").alias("b"))
     low = texts.select(key, F.lower(text).alias("_t"))
-    hits = low.select(key, F.explode(F.filter(table, lambda p: F.col("_t").contains(p["a"]) & F.col("_t").contains(p["b"]))).alias("p"))
-    return hits.groupBy(key, F.col("p.genre").alias("genre")).agg(F.count("*").alias("n_pairs"))
+    if _few(pairs):
+        table = literal_array(pairs, ["genre", "a", "b"])
+        hits = low.select(key, F.explode(F.filter(table, lambda p: F.col("_t").contains(p["a"]) & F.col("_t").contains(p["b"]))).alias("p")).select(key, "p.genre")
+    else:
+        found = contained(low, pairs.select(F.col("a").alias("word")).union(pairs.select("b")), key, "_t")
+        one = found.withColumnRenamed("word", "a").join(pairs, "a")
+        hits = one.join(found.withColumnRenamed("word", "b"), [key, "b"]).select(key, "genre")
+    return hits.groupBy(key, "genre").agg(F.count("*").alias("n_pairs"))
 
 
 def top_genres(scores: DataFrame, key: str, n: int = 3) -> DataFrame:
@@ -80,9 +106,14 @@ def specificity(keywords: DataFrame) -> DataFrame:
 
 def list_scores(texts: DataFrame, keywords: DataFrame, key: str, text: str) -> DataFrame:
     """(key, genre, score): one for each listing of a contained keyword; a keyword listed twice counts twice."""
-    table = literal_array(keywords.select("genre", F.lower("keyword").alias("keyword")), ["genre", "keyword"])
-    hits = texts.select(key, F.lower(text).alias("_t")).select(key, F.explode(F.filter(table, lambda k: F.col("_t").contains(k["keyword"]))).alias("k"))
-    return hits.groupBy(key, F.col("k.genre").alias("genre")).agg(F.count("*").alias("score"))
+    listed = keywords.select("genre", F.lower("keyword").alias("keyword"))
+    low = texts.select(key, F.lower(text).alias("_t"))
+    if _few(listed):
+        table = literal_array(listed, ["genre", "keyword"])
+        hits = low.select(key, F.explode(F.filter(table, lambda k: F.col("_t").contains(k["keyword"]))).alias("k")).select(key, "k.genre")
+    else:
+        hits = contained(low, listed.select(F.col("keyword").alias("word")), key, "_t").join(listed.withColumnRenamed("keyword", "word"), "word").select(key, "genre")
+    return hits.groupBy(key, "genre").agg(F.count("*").alias("score"))
 
 
 def title_keyword_confidence(best: Column) -> Column:

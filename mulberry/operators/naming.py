@@ -8,10 +8,6 @@ from pyspark.sql.window import Window
 
 from mulberry.functions.titles import PARSED, parse_titles, standard_name, valid_genre
 
-#: The highest number a colliding name is given.
-MOST_NUMBERS = 1000
-
-
 def _parts(name: Column) -> tuple[Column, Column]:
     """(stem, suffix) at the last dot that isn't the first character."""
     p = r"(?s)^(.+)(\.[^.]*)$"
@@ -22,23 +18,26 @@ def free_names(new: DataFrame, existing: DataFrame, folder: str = "folder", name
     """Add ``free_name``: the name itself if it is free, else with the first free `` (n)`` before the suffix, in order of ``pos``.
 
     ``existing`` is (folder, name).  The k-th newcomer of a name takes the k-th
-    free number, so gaps are filled.  Null beyond MOST_NUMBERS.
+    free number, so gaps are filled; there is no highest number.
     """
     stem, suffix = _parts(F.col(name))
+    place = Window.partitionBy(folder, name)
     n = new.withColumns({"_stem": stem, "_suffix": suffix})
-    n = n.withColumn("_k", F.row_number().over(Window.partitionBy(folder, name).orderBy(pos)))
+    n = n.withColumn("_at", (F.row_number().over(place.orderBy(pos)) - 1).cast("long"))
     have = existing.select(F.col(folder).alias("_f"), F.col(name).alias("_e")).distinct()
     taken = have.withColumns(dict(zip(("_es", "_ex"), _parts(F.col("_e")), strict=True)))
     # of existing names only those that are the name or a numbered form of it
     numbered = r"(?s)^(.*) \((\d+)\)$"
-    base = taken.select("_f", F.concat(F.regexp_extract("_es", numbered, 1), "_ex").alias("_name"), F.regexp_extract("_es", numbered, 2).alias("_no")).filter(F.col("_no").rlike("^[1-9][0-9]{0,3}$"))
-    plain = taken.select("_f", F.col("_e").alias("_name"), F.lit("0").alias("_no"))
-    used = base.unionByName(plain).groupBy("_f", "_name").agg(F.collect_set(F.col("_no").cast("int")).alias("_used"))
-    j = n.join(used, (F.col(folder) == F.col("_f")) & (F.col(name) == F.col("_name")), "left")
-    free = F.array_except(F.sequence(F.lit(0), F.lit(MOST_NUMBERS)), F.coalesce("_used", F.array().cast("array<int>")))
-    no = F.get(free, F.col("_k") - 1)
-    out = F.when(no == 0, F.col(name)).when(no.isNotNull(), F.concat("_stem", F.lit(" ("), no.cast("string"), F.lit(")"), "_suffix"))
-    return j.withColumn("free_name", out).drop("_stem", "_suffix", "_k", "_f", "_name", "_used")
+    base = taken.select("_f", F.concat(F.regexp_extract("_es", numbered, 1), "_ex").alias("_name"), F.regexp_extract("_es", numbered, 2).alias("_no")).filter(F.col("_no").rlike("^[1-9][0-9]{0,8}$"))
+    used = base.unionByName(taken.select("_f", F.col("_e").alias("_name"), F.lit("0").alias("_no"))).select(F.col("_f").alias(folder), F.col("_name").alias(name), F.col("_no").cast("long").alias("_no")).distinct()
+    used = used.join(new.select(folder, name).distinct(), [folder, name], "left_semi")
+    # as many free numbers lie below a used one as its value less its place among the used
+    used = used.select(folder, name, (F.col("_no") - F.row_number().over(place.orderBy("_no")) + 1).alias("_at"), F.lit(1).cast("long").alias("_used"))
+    both = n.unionByName(used, allowMissingColumns=True)
+    below = F.coalesce(F.sum("_used").over(place.orderBy("_at", F.col("_used").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    both = both.withColumn("_no", F.col("_at") + below).filter("_used is null")
+    out = F.when(F.col("_no") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit(" ("), F.col("_no").cast("string"), F.lit(")"), "_suffix"))
+    return both.withColumn("free_name", out).select(*new.columns, "free_name")
 
 
 def number_duplicates(df: DataFrame, original: str, name: str, pos: str) -> DataFrame:

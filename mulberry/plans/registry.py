@@ -1,6 +1,8 @@
 """The registered queries and, for those that SQL can express, their SQL.
 
-Queries over literal rows write the same rows into both.
+Five queries (platform_fusion, legacy_inference, title_verification,
+fuzzy_matches, title_part_structs) run over literal rows and write the same
+rows into both: SQL can't state their rules shortly.
 """
 
 from __future__ import annotations
@@ -13,9 +15,8 @@ from pyspark.sql import functions as F
 from mulberry.functions import html as H
 from mulberry.functions import matching
 from mulberry.functions import normalize as N
-from mulberry.functions.titles import parse_titles, repair_jamo, standard_name, valid_genre
-from mulberry.operators import archives, cache, genres, inference, keywords, naming, reports, routing
-from mulberry.plans import platform_queries
+from mulberry.operators import cache, genres, inference, keywords, naming, reports, routing
+from mulberry.plans import platform_queries, rule_queries
 from mulberry.plans.catalogue import page_catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,73 +142,8 @@ def json_field(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-_JSON = [(1, '{"genre": "무협"}'), (2, '{"genre": ["판타지", "SF"]}'), (3, "{broken"), (4, '{"name": 1}'), (5, None)]
-
-
-@query(expected([(1, "무협"), (2, "판타지|SF"), (3, ""), (4, ""), (5, "")], "id long, genres string"))
-def json_genre(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame(_JSON, "id long, text string")
-    return df.select("id", F.array_join(N.json_genres(F.col("text")), "|").alias("genres"))
-
-
-_NAMES = [
-    (1, "바보 성녀님은 2회차가 낯설어 1-371 完.txt", "바보 성녀님은 2회차가 낯설어", "", "1-371", True, "", "바보 성녀님은 2회차가 낯설어 1-371 (완)"),
-    (2, "예시 100화 完.txt", "예시", "", "1-100", True, "", "예시 1-100 (완)"),
-    (3, "예시 100화완.txt", "예시", "", "1-100", True, "", "예시 1-100 (완)"),
-    (4, "무엇 1-546 完 2부 212", "무엇", "", "1-546 (완) 2부 1-212", False, "", "무엇 1-546 (완) 2부 1-212"),
-    (5, "ㄷH공ㅂlㄱr", "대공비가", "", "", False, "", "대공비가"),
-    (6, "무엇 1부完", "무엇", "1부", "", True, "", "무엇 1부 (완)"),
-    (7, "회귀했더니 입대 전날 1-529 完 에필 및 외전 포함.txt", "회귀했더니 입대 전날", "", "1-529", True, "에필, 외전", "회귀했더니 입대 전날 1-529 (완) + 에필, 외전"),
-    (8, "[선협] 어살 1-1014 完 (AI번역) @EE", "어살", "", "1-1014", True, "", "[선협] 어살 1-1014 (완)"),
-    (9, "500조 재벌가 천재아들 1-324본편 및 외전 完, 후기 포함", "500조 재벌가 천재아들", "", "1-324", True, "외전, 후기", "500조 재벌가 천재아들 1-324 (완) + 외전, 후기"),
-    (10, "초가류방 - 부황, 자공간유둔량 1-452 (완) + 외전", "초가류방 - 부황, 자공간유둔량", "", "1-452", True, "외전", "초가류방 - 부황, 자공간유둔량 1-452 (완) + 외전"),
-    (11, "[임아소] 신선이 되자, 자손들이 저에게 출산해달라 부탁합니다. (완)", "신선이 되자, 자손들이 저에게 출산해달라 부탁합니다", "", "", True, "", "신선이 되자, 자손들이 저에게 출산해달라 부탁합니다 (완)"),
-    (12, "100층의 올마스터 120 ", "100층의 올마스터", "", "1-120", False, "", "100층의 올마스터 1-120"),
-    (13, "[현대 판타지 AI번역] 무엇 1-10", "무엇", "", "1-10", False, "", "[현판] 무엇 1-10"),
-    (14, "제목 [개정판] 1-5 (완)", "제목", "", "1-5", True, "", "제목 [개정판] 1-5 (완)"),
-    (15, "금병매지 1-20 完", "금병매지", "", "1-20", True, "", "금병매지 1-20 (완)"),
-    (16, "", "", "", "", False, "", ""),
-]
-
-
-def _parsed(spark: SparkSession) -> DataFrame:
-    return parse_titles(spark.createDataFrame([r[:2] for r in _NAMES], "pos long, raw_name string"))
-
-
-@query(expected([(r[0], *r[2:7]) for r in _NAMES], "pos long, title string, volume_info string, range_info string, is_completed boolean, side_story string"))
-def title_parse_golden(spark: SparkSession, sf: str) -> DataFrame:
-    return _parsed(spark).select("pos", "title", "volume_info", "range_info", "is_completed", "side_story")
-
-
-@query(expected([(r[0], r[7]) for r in _NAMES], "pos long, standard_name string"))
-def standard_names(spark: SparkSession, sf: str) -> DataFrame:
-    name = standard_name(valid_genre(F.col("original_genre")), *map(F.col, ("title", "edition_info", "volume_info", "range_info", "is_completed", "side_story")))
-    return _parsed(spark).select("pos", name.alias("standard_name"))
-
-
-@query(expected([(1, "대공비가"), (2, "렙 1"), (3, "km 당"), (4, "해리 porter")], "id long, name string"))
-def visual_jamo_repair(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "ㄷH공ㅂlㄱr"), (2, "ㄹㅔㅂ 1"), (3, "km 당"), (4, "해리 porter")]
-    return spark.createDataFrame(rows, "id long, n string").select("id", repair_jamo(F.col("n")).alias("name"))
-
-
-_FILES = [("나 혼자 소드 마스터 1-1031 (완) + 외전 1-79, 에필.txt", "나 혼자 소드 마스터"), ("눈 감고 3점 슛 1-424 (완).txt", "눈 감고 3점 슛"), ("화산귀환 1-50화.txt", "화산귀환"), ("[판타지] 전지적 독자 시점 1-551 (완).epub", "전지적 독자 시점"), ("금리낭자 1-141 (완).txt", "금리낭자"), ("나혼자만레벨업_001.txt", "나혼자만레벨업")]
-
-
-@query(expected(_FILES, "file string, title string"))
-def plain_titles(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_FILES, "file string, x string").select("file", N.plain_title(F.col("file")).alias("title"))
-
-
 # --- genres ------------------------------------------------------------------------------------
 
-_GENRES = [("현대 판타지", "현판"), ("전쟁·밀리터리", "역사"), ("패러디", "판타지"), ("공포", "미분류"), ("", "미분류"), (None, "미분류"), ("로맨스 판타지 소설", "로판"), ("무협", "무협")]
-
-
-@query(expected(_GENRES, "name string, genre string"))
-def genre_map_exact_or_longest(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_GENRES, "name string, x string").select("name", genres.map_genre(F.col("name")).alias("genre"))
-
 
 _KEYWORDS = [(0, "a", 0, "tion", 2), (0, "a", 1, "ation", 5), (1, "b", 0, "the", 1), (1, "b", 1, "thea", 4), (1, "b", 2, "x", 9), (2, "c", 0, "ing", 3), (2, "c", 1, "eding", 6), (3, "d", 0, "lich", 3), (3, "d", 1, "heit", 3)]
 _KW = "genre_pos int, genre string, pos int, keyword string, weight int"
@@ -261,35 +197,6 @@ def list_scores(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.list_scores(t(spark, sf, "documents"), spark.createDataFrame(_LISTED, "genre string, keyword string"), "doc_id", "text")
 
 
-_AUTHORS = [(0, "김 용", "무협"), (1, "홍길동", "역사"), (2, "김용", "선협"), (3, "이순", "현판")]
-
-
-@query(expected([("김용", "선협"), ("홍 길동", "역사"), ("이순신", "현판"), ("길동", "역사"), ("", None), ("없음", None)], "author string, author_genre string"))
-def author_genres(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame([("김용",), ("홍 길동",), ("이순신",), ("길동",), ("",), ("없음",)], "author string")
-    return keywords.author_genre(df, spark.createDataFrame(_AUTHORS, "pos int, author string, genre string"))
-
-
-_REMAP = [("현판", "축구 감독의 회귀", "스포츠"), ("판타지", "조선 왕조 연대기", "역사"), ("판타지", "회귀한 용사", "퓨판"), ("무협", "축구 감독", "무협"), ("판타지", "VR 게임 레벨업", "겜판"), ("현판", "축구", "현판"), ("판타지", "조선 왕조 마법", "판타지"), ("", "축구 감독", "")]
-
-
-@query(expected(_REMAP, "genre string, title string, remapped string"))
-def title_remap(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame(_REMAP, "genre string, title string, x string")
-    return df.select("genre", "title", genres.remap_by_title(F.col("genre"), F.col("title")).alias("remapped"))
-
-
-_TEXTS = [(1, 0, "무협 소설"), (1, 1, "무협 판타지"), (2, 0, "판타지"), (3, 0, "야구"), (4, 0, "현대 판타지"), (4, 1, "현판 로판"), (4, 2, "로맨스 판타지, 현판"), (5, 0, "nothing")]
-
-
-@query(expected([(1, "무협", 2, 0.74), (2, "판타지", 1, 0.67), (4, "현대판타지", 3, 0.81)], "query_id long, genre string, score long, confidence double"))
-def genre_evidence_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame(_TEXTS, "query_id long, n long, text string").withColumn("key", F.struct("query_id", "n"))
-    e = genres.text_evidence(df, "key", "text").select("key.query_id", "genre", (F.col("key.n") * 100 + F.col("pos")).alias("pos"))
-    out = genres.resolve_evidence(e, "query_id")
-    return out.withColumn("confidence", F.round("confidence", 6))
-
-
 _FUSE = [
     (1, "제목", "리디북스", "판타지", 0.95, False, False), (1, "제목", "문피아", "현판", 0.92, False, False),
     (2, "제목", "네이버시리즈", "판타지", 0.88, False, True), (2, "제목", "카카오페이지", "겜판", 0.90, False, False),
@@ -304,15 +211,6 @@ def platform_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return genres.fuse_platforms(spark.createDataFrame(_FUSE, "query_id long, title string, platform string, genre string, confidence double, needs_sports_check boolean, needs_fantasy_refinement boolean"))
 
 
-_MERGE = [("무협", 0.5, 1, None, None, "무협", 0.5, "keyword_only"), ("미분류", 0.1, 0, "현판", 0.9, "현판", 0.9, "naver_only"), ("무협", 0.5, 3, "무협", 0.6, "무협", 0.8, "both_agree"), ("무협", 0.9, 3, "현판", 0.85, "현판", 0.85, "naver_high_confidence"), ("무협", 0.9, 3, "현판", 0.5, "무협", 0.9, "keyword_high_confidence"), ("무협", 0.9, 1, "현판", 0.7, "현판", 0.63, "naver_higher_confidence"), ("무협", 0.7, 2, "현판", 0.65, "무협", 0.63, "keyword_higher_confidence")]
-
-
-@query(expected([(i, *r[5:]) for i, r in enumerate(_MERGE)], "id long, genre string, confidence double, method string"))
-def merge_results(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame([(i, *r[:5]) for i, r in enumerate(_MERGE)], "id long, kg string, kc double, n int, sg string, sc double")
-    return df.select("id", genres.merge_results(*map(F.col, ("kg", "kc", "n", "sg", "sc"))).alias("r")).select("id", "r.*")
-
-
 # --- search hits and pages ---------------------------------------------------------------------
 
 
@@ -337,37 +235,12 @@ def top3_per_host(spark: SparkSession, sf: str) -> DataFrame:
     return routing.best_hits(p, "g", "page_id", "host").select("page_id", "host")
 
 
-_LINKS = [("https://ssn.so/novel/12345", True), ("https://ssn.so/profile/user1", False), ("https://ssn.so/board/comments/999", False), ("https://other-site.com/info", True)]
-
-
-@query(expected(_LINKS, "link string, kept boolean"))
-def url_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_LINKS, "link string, x boolean").select("link", routing.is_novel_page(F.col("link")).alias("kept"))
-
-
-@query(expected([("리디북스", 1), ("문피아", 2), ("네이버시리즈", 3), ("소설넷", 4), ("카카오페이지", 5), ("노벨피아", 6), ("조아라", 7), ("웹툰가이드", 8), ("미스터블루", 9), ("교보문고", 10), ("YES24", 11), ("알라딘", 12)], "platform string, ord int"))
-def platform_order(spark: SparkSession, sf: str) -> DataFrame:
-    from mulberry.sources.dictionaries import platforms
-
-    return routing.platform_order(platforms(spark)).select("platform", "ord")
-
-
 @query("SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS genre, arg_min(o_orderstatus, o_orderkey) AS query FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY o_custkey")
 def best_first_result(spark: SparkSession, sf: str) -> DataFrame:
     o = t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("genre"), F.col("o_orderstatus").alias("query"))
     return routing.first_result(o, "o_custkey", "o_orderkey")
 
 
-_QUERY_ROWS = [(1, "영마스터3여행기", "", "저자"), (2, "나 혼자 소드 마스터", "부제", ""), (3, "검", None, None)]
-_QUERIES_OUT = [(1, 0, "영마스터3여행기 저자", 1), (1, 1, "영마스터3여행기", 2), (1, 2, "영마스터3여행기", 3), (1, 3, "영마스터 3 여행기", 4), (1, 4, "영마스터 3 여행기 저자", 5), (2, 0, "나 혼자 소드 마스터", 2), (2, 1, "소설 나 혼자 소드 마스터", 3), (2, 2, "부제", 4), (3, 0, "소설 검", 2), (3, 1, "검", 3)]
-
-
-@query(expected(_QUERIES_OUT, "id long, ord int, query string, priority int"))
-def search_queries(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame(_QUERY_ROWS, "id long, title string, subtitle string, author string")
-    return df.select("id", F.posexplode(routing.search_queries(F.col("title"), F.col("subtitle"), F.col("author"))).alias("ord", "q")).select("id", "ord", "q.query", "q.priority")
-
-
 @query("""
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
        len(regexp_extract_all(html, '(?is)<a\\s[^>]*?\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1)) AS n_links FROM pages""")
@@ -390,6 +263,8 @@ def page_catalogue_names(spark: SparkSession, sf: str) -> DataFrame:
     return page_catalogue(spark, sf)
 
 
+QUERIES |= rule_queries.QUERIES
+ORACLES |= rule_queries.ORACLES
 QUERIES |= {"platform_page_genres": platform_queries.platform_page_genres, "platform_page_titles": platform_queries.platform_page_titles, "page_names": platform_queries.page_names}
 ORACLES |= {"platform_page_genres": platform_queries.PLATFORM_SQL, "platform_page_titles": platform_queries.TITLE_SQL}
 
@@ -419,9 +294,9 @@ def cache_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return cache.upsert(_cache(spark, sf), new).select("key", "genre", "source")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
 def unresolved_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return cache.without(t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return cache.without(t(spark, sf, "customer").select("c_custkey"), t(spark, sf, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE lower(trim(p_name)) IN (SELECT lower(trim(p_name)) FROM part WHERE p_size > 45)")
@@ -448,37 +323,6 @@ def duplicate_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return naming.number_duplicates(t(spark, sf, "part").select(F.col("p_partkey").alias("original"), "p_brand"), "original", "p_brand", "original").select("original", "standard_name")
 
 
-_NEW = [(1, "f", "a.txt"), (2, "f", "a.txt"), (3, "f", "b.txt"), (4, "g", "a.txt"), (5, "f", "a.txt")]
-_HAVE = [("f", "a.txt"), ("f", "a (2).txt"), ("f", "a (4).txt")]
-
-
-@query(expected([(1, "a (1).txt"), (2, "a (3).txt"), (3, "b.txt"), (4, "a.txt"), (5, "a (5).txt")], "pos long, free_name string"))
-def collision_numbering(spark: SparkSession, sf: str) -> DataFrame:
-    return naming.free_names(spark.createDataFrame(_NEW, "pos long, folder string, name string"), spark.createDataFrame(_HAVE, "folder string, name string")).select("pos", "free_name")
-
-
-_MEMBERS = [
-    ("one", "content.txt", 1000, False), ("big", "main.txt", 2_000_000, False), ("big", "readme.txt", 100, False), ("big", "info.txt", 50, False),
-    ("dirs", "folder1/image1.jpg", 5, False), ("dirs", "folder1/image2.jpg", 5, False), ("dirs", "folder2/image3.jpg", 5, False),
-    *[("all", f"t{i}.txt", 100_000, False) for i in range(5)], ("all", "image.jpg", 9, False), ("lone", "book.epub", 9, False),
-]
-_METHODS = [("one", "extract_single_file", "content.txt"), ("big", "extract_single_file", "main.txt"), ("dirs", "extract_and_recompress_folders", None), ("all", "extract_all", None), ("lone", "extract_single_file", "book.epub"), ("none", "move_as_is", None)]
-
-
-@query(expected(_METHODS, "archive string, method string, member string"))
-def archive_disposition(spark: SparkSession, sf: str) -> DataFrame:
-    members = spark.createDataFrame(_MEMBERS, "archive string, name string, size long, is_dir boolean")
-    return archives.archive_methods(members, spark.createDataFrame([(m[0],) for m in _METHODS], "archive string"))
-
-
-_FOLDERS = [*[("x/few", f"{i}.txt", True) for i in range(3)], *[("x/many", f"{i}.txt", True) for i in range(4)], ("x/two", "a.zip", True), ("x/two", "b.RAR", True), ("x/two", "c.txt", True), ("x/single", "a.7z", True), ("x/single", "n.txt", True)]
-
-
-@query(expected([*[(f, n, "copy", "") for f, n, _ in _FOLDERS[:3]], *[(f, n, "copy", "many") for f, n, _ in _FOLDERS[3:7]], *[(f, n, "copy", "two") for f, n, _ in _FOLDERS[7:10]], ("x/single", "a.7z", "process_archive", "single"), ("x/single", "n.txt", "copy", "single")], "folder string, name string, action string, destination string"))
-def folder_disposition(spark: SparkSession, sf: str) -> DataFrame:
-    return archives.folder_plan(spark.createDataFrame(_FOLDERS, "folder string, name string, is_file boolean"))
-
-
 # --- inference and matching --------------------------------------------------------------------
 
 _INFER = [(1, "갓겜 이야기", "겜판", "high"), (2, "재벌집 검사", "현판", "high"), (3, "조선의 왕", "역사", "high"), (4, "유조선 선장", None, "low"), (5, "천마님 방송하신다", "현판", "high"), (6, "천마 강림", "무협", "high"), (7, "sss급 무언가", "퓨판", "medium"), (8, "가나다라마바사", None, "low"), (9, "감독 이야기", None, "low"), (10, "1999년의 한국", "현판", "high"), (11, "마나와 엘프", "판타지", "high"), (12, "협 하나", "무협", "medium"), (13, "엘프 하나", None, "low"), (14, "병장의 검", "퓨판", "medium")]
