@@ -11,6 +11,7 @@ from mulberry.functions import normalize as N
 from mulberry.functions import vocab as V
 from mulberry.functions.titles import parse_titles, repair_jamo, standard_name, valid_genre
 from mulberry.operators import archives, genres, keywords, naming, reports, review, routing
+from mulberry.operators.hybrid import hybrid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -372,3 +373,42 @@ UNION ALL SELECT 0, '평균 신뢰도: ' || format('{:.1f}%', (SELECT round(avg(
 def report_text(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").select(F.col("event_type").alias("genre"), F.col("value").alias("confidence"), F.col("event_id").cast("string").alias("filename"))
     return review.report_lines(e).select("section", "line")
+
+
+# --- the second classifier ---------------------------------------------------------------------
+
+_FOUND, _FROM = ["판타지", "현판", "퓨판", "무협", None, "판타지"], ["naver_series_meta", "kakao_tag", "ridibooks_jsonld", "search_titles", "munpia_page"]
+_KEYS, _BYS, _ON_TITLE = ["스포츠", "현판", "퓨판", "겜판", "역사", "미분류", "무협", "판타지"], [None, "선협", None], [None, "SF", None, None]
+_SPECIALS, _COMPOUNDS = [("goldenrod", "로판"), ("ivory", "역사")], [("red", "blue", "스포츠", 0.9), ("misty", "green", "공포", 0.75)]
+_HYBRID = f"""SELECT o_orderkey, p_name AS title, {sql_pick(_FOUND, "o_orderkey")} AS search_genre, (o_custkey * 13 % 100) / 100e0 AS search_confidence, {sql_pick(_FROM, "o_custkey")} AS search_source, {sql_pick(_KEYS, "(o_orderkey + o_custkey)")} AS keyword_genre,
+  (o_orderkey * 7 % 100) / 100e0 AS keyword_confidence, o_custkey % 4 AS n_keywords, {sql_pick(_BYS, "o_orderkey")} AS author_genre, {sql_pick(_ON_TITLE, "o_custkey")} AS title_genre, (o_custkey * 3 % 100) / 100e0 AS title_confidence FROM orders JOIN part ON p_partkey = o_orderkey % 150 + 1"""
+
+
+@query(f"""
+WITH x AS ({_HYBRID}),
+a AS (SELECT *, search_genre AS sg, search_confidence AS sc, keyword_genre AS kg, keyword_confidence AS kc, search_source AS src, replace(search_source, '_', '') AS nm, lower(title) AS low,
+  search_genre IS NOT NULL AND search_confidence >= CASE WHEN search_source = 'search_titles' THEN 0.6e0 ELSE 0.8e0 END AS strong, CASE keyword_genre WHEN '현판' THEN '퓨판' ELSE keyword_genre END AS fg,
+  contains(search_source, 'naver_series') OR contains(search_source, 'kakao') AS gen, contains(search_source, 'ridibooks') AS ridi, CASE WHEN n_keywords <= 1 THEN least(keyword_confidence, 0.6e0) WHEN n_keywords = 2 THEN least(keyword_confidence, 0.75e0) ELSE keyword_confidence END AS k FROM x),
+v AS (SELECT *, CASE fg WHEN '스포츠' THEN contains(low, 'red') OR contains(low, 'blue') WHEN '퓨판' THEN contains(low, 'green') OR contains(low, 'misty') WHEN '판타지' THEN true ELSE kc >= 0.8e0 END AS valid,
+  CASE WHEN sg IS NULL THEN 'keyword_only' WHEN kg = '미분류' THEN 'naver_only' WHEN kg = sg THEN 'both_agree' WHEN sc >= 0.8e0 THEN 'naver_high_confidence' WHEN k >= sc + 0.2e0 THEN 'keyword_high_confidence' WHEN sc > k THEN 'naver_higher_confidence' ELSE 'keyword_higher_confidence' END AS mm FROM a),
+w AS (SELECT *, CASE WHEN mm IN ('naver_only', 'naver_high_confidence', 'naver_higher_confidence') THEN sg ELSE kg END AS mg,
+  round(CASE mm WHEN 'keyword_only' THEN kc WHEN 'naver_only' THEN sc WHEN 'both_agree' THEN least(0.95e0, 1 - (1 - kc) * (1 - sc)) WHEN 'naver_high_confidence' THEN sc WHEN 'keyword_high_confidence' THEN k WHEN 'naver_higher_confidence' THEN sc * 0.9e0 ELSE k * 0.9e0 END, 6) AS mc FROM v),
+s AS (SELECT *, CASE
+  WHEN strong AND (gen OR ridi) AND sg = '현판' AND kg = '스포츠' AND kc >= 0.7e0 THEN 1
+  WHEN strong AND gen AND sg = '판타지' AND fg NOT IN ('퓨판', '판타지', '겜판', '역사') AND kc >= 0.6e0 THEN 2
+  WHEN strong AND gen AND sg = '판타지' AND fg IN ('퓨판', '판타지', '겜판', '역사') AND kc >= CASE fg WHEN '퓨판' THEN 0.6e0 WHEN '판타지' THEN 0.5e0 ELSE 0.7e0 END AND (kg = '현판' OR valid) THEN 3
+  WHEN strong AND ridi AND sg = '퓨판' AND kg IN ('겜판', '역사') AND kc >= 0.7e0 AND valid THEN 4
+  WHEN strong THEN 5 WHEN contains(title, 'goldenrod') THEN 6 WHEN contains(title, 'ivory') THEN 7 WHEN contains(low, 'red') AND contains(low, 'blue') THEN 8 WHEN contains(low, 'misty') AND contains(low, 'green') THEN 9
+  WHEN sg IS NULL AND author_genre IS NOT NULL THEN 10 WHEN sg IS NULL AND title_genre IS NOT NULL AND title_confidence >= 0.8e0 THEN 11 WHEN mc >= 0.4e0 THEN 12 WHEN author_genre IS NOT NULL AND mg = '미분류' THEN 13 ELSE 14 END AS step FROM w)
+SELECT o_orderkey, CASE step WHEN 1 THEN '스포츠' WHEN 2 THEN '퓨판' WHEN 3 THEN fg WHEN 4 THEN kg WHEN 5 THEN sg WHEN 6 THEN '로판' WHEN 7 THEN '역사' WHEN 8 THEN '스포츠' WHEN 9 THEN '공포' WHEN 10 THEN author_genre WHEN 11 THEN title_genre WHEN 12 THEN mg WHEN 13 THEN author_genre ELSE '미분류' END AS genre,
+  round(CASE step WHEN 1 THEN least(sc, kc + 0.1e0) WHEN 2 THEN least(sc, kc) WHEN 3 THEN least(sc, kc) WHEN 4 THEN least(sc, kc) WHEN 5 THEN sc WHEN 6 THEN 0.95e0 WHEN 7 THEN 0.95e0 WHEN 8 THEN 0.9e0 WHEN 9 THEN 0.75e0 WHEN 10 THEN 0.85e0 WHEN 11 THEN title_confidence WHEN 13 THEN 0.85e0 ELSE mc END, 6) AS confidence,
+  CASE step WHEN 1 THEN nm || '_sports_refined' WHEN 2 THEN nm || '_fusion_refined' WHEN 3 THEN nm || '_keyword_refined' WHEN 4 THEN CASE kg WHEN '겜판' THEN 'ridibooks_game_refined' ELSE 'ridibooks_history_refined' END WHEN 5 THEN 'naver_' || src || '_priority' WHEN 6 THEN 'special_case' WHEN 7 THEN 'special_case'
+    WHEN 8 THEN 'compound_pattern' WHEN 9 THEN 'compound_pattern' WHEN 10 THEN 'author_genre_db' WHEN 11 THEN 'title_keyword_analysis' WHEN 12 THEN mm WHEN 13 THEN 'author_genre_db_fallback' ELSE mm || '_low_confidence' END AS method FROM s""")
+def hybrid_genres(spark: SparkSession, sf: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = t(spark, sf, "orders").join(t(spark, sf, "part"), F.col("p_partkey") == o % 150 + 1)
+    rows = rows.select(
+        o, F.col("p_name").alias("title"), pick(_FOUND, o).alias("search_genre"), (c * 13 % 100 / 100.0).alias("search_confidence"), pick(_FROM, c).alias("search_source"), pick(_KEYS, o + c).alias("keyword_genre"),
+        (o * 7 % 100 / 100.0).alias("keyword_confidence"), (c % 4).alias("n_keywords"), pick(_BYS, o).alias("author_genre"), pick(_ON_TITLE, c).alias("title_genre"), (c * 3 % 100 / 100.0).alias("title_confidence"),
+    )
+    return hybrid(rows, _SPECIALS, _COMPOUNDS, _LISTS).select("o_orderkey", "genre", "confidence", "method")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from mulberry.operators import genres, review
+from mulberry.operators import genres, hybrid, review
 from mulberry.sources import files
 
 
@@ -42,3 +42,10 @@ def test_several_hits_of_a_task_are_one_row(spark):
     search = spark.createDataFrame([(1, "", "a"), (1, "무협", "b"), (1, "현판", "c")], "task_id long, genre string, source string")
     words = spark.createDataFrame([(1, "무협"), (1, "SF")], "task_id long, genre string")
     assert [tuple(r)[-3:] for r in genres.classify(tasks, cache, search, words).collect()] == [("무협", "high", "b")]
+
+
+def test_names_of_files_are_classified(spark):
+    kind = "file string, search_genre string, search_confidence double, search_source string, keyword_genre string, keyword_confidence double, n_keywords int, author_genre string, title_genre string, title_confidence double"
+    rows = [("검의 노래 1-10 (완).txt", "현판", 0.9, "kakao_tag", "스포츠", 0.8, 3, None, None, None), ("", None, None, None, "미분류", 0.0, 0, "무협", None, None), ("특별 1-3.txt", None, None, None, "무협", 0.9, 3, None, None, None), ("무엇.txt", None, None, None, "미분류", 0.1, 0, "선협", None, None), ("무엇 둘.txt", None, None, None, "무협", 0.3, 1, None, None, None)]
+    got = hybrid.classify_files(spark.createDataFrame(rows, kind), "file", [("특별", "SF")], [], {}).select("title", "genre", "confidence", "method").collect()
+    assert [tuple(r) for r in got] == [("검의 노래", "스포츠", 0.9, "kakaotag_sports_refined"), ("", "미분류", 0.0, "no_title"), ("특별", "SF", 0.95, "special_case"), ("무엇", "선협", 0.85, "author_genre_db"), ("무엇 둘", "미분류", 0.3, "keyword_only_low_confidence")]
