@@ -412,3 +412,77 @@ def hybrid_genres(spark: SparkSession, sf: str) -> DataFrame:
         (o * 7 % 100 / 100.0).alias("keyword_confidence"), (c % 4).alias("n_keywords"), pick(_BYS, o).alias("author_genre"), pick(_ON_TITLE, c).alias("title_genre"), (c * 3 % 100 / 100.0).alias("title_confidence"),
     )
     return hybrid(rows, _SPECIALS, _COMPOUNDS, _LISTS).select("o_orderkey", "genre", "confidence", "method")
+
+
+# --- names, labels, plans ----------------------------------------------------------------------
+
+_NOTED = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' (완결)' WHEN 1 THEN p_name || '·' || p_brand WHEN 2 THEN 'Solo' ELSE '[19금] ' || p_name END"
+_KNOWN = "CASE p_partkey % 3 WHEN 0 THEN p_name || '.txt' WHEN 1 THEN p_name || ' .ZIP' ELSE p_name || '.jpg' END"
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, p_name, {_NOTED} AS noted, {_KNOWN} AS file FROM part)
+SELECT p_partkey, trim(regexp_replace(replace(replace(replace(noted, ' (완결)', ' '), '[19금] ', ' '), '·', ' '), '\\s+', ' ', 'g')) AS searched, NOT contains(trim(noted), ' ') OR length(replace(noted, ' ', '')) <= 6 AS short,
+  CASE WHEN regexp_matches(file, '(?i)\\.(txt|zip)$') THEN trim(regexp_replace(file, '\\.[^.]*$', '')) ELSE file END AS stem, CASE WHEN regexp_matches(file, '(?i)\\.(txt|zip)$') THEN regexp_extract(file, '\\.[^.]*$', 0) ELSE '' END AS suffix,
+  lower(regexp_replace(noted, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) AS fuzzy, '[무협] ' || p_name AS renamed, CASE WHEN p_partkey % 2 = 0 THEN '[SF] ' || p_name ELSE '[SF] [현판] ' || p_name END AS edited FROM n""")
+def name_functions(spark: SparkSession, sf: str) -> DataFrame:
+    n = t(spark, sf, "part").select("p_partkey", "p_name", F.expr(_NOTED).alias("noted"), F.expr(_KNOWN).alias("file"))
+    stem, suffix = N.split_known_suffix(F.col("file"))
+    tagged = F.concat(F.when(F.col("p_partkey") % 2 == 0, "[무협] ").otherwise("[현판] "), "p_name")
+    return n.select("p_partkey", N.search_title(F.col("noted")).alias("searched"), N.is_short_title(F.col("noted")).alias("short"), stem.alias("stem"), suffix.alias("suffix"), N.fuzzy_title(F.col("noted")).alias("fuzzy"), N.rename_by("[장르] 제목", F.lit("무협"), F.col("p_name")).alias("renamed"), N.edit_genre(tagged, F.lit("무협"), F.lit("SF")).alias("edited"))
+
+
+_SOURCES = ["naver_series_meta", "리디북스_jsonld", "keyword", "cache", "", None, "munpia_meta_path", "other_source", "plain"]
+_LABELS = ["네이버시리즈", "리디북스", "키워드", "캐시", "-", "-", "문피아", "Other", "plain"]
+
+
+@query(f"SELECT o_orderkey, {sql_pick(_LABELS, 'o_orderkey')} AS label FROM orders")
+def source_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "orders").select("o_orderkey", N.source_label(pick(_SOURCES, F.col("o_orderkey"))).alias("label"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, unnest(list_filter(list_transform(string_split(p_brand || ', ' || p_type || ',', ','), lambda x: trim(x)), lambda x: x <> '')) AS a FROM part),
+v AS (SELECT p_partkey, a AS form FROM n UNION SELECT p_partkey, right(a, 3) FROM n WHERE length(a) > 3 UNION SELECT p_partkey, right(a, 2) FROM n WHERE length(a) > 2)
+SELECT p_partkey, form FROM v WHERE form <> 'SS'""")
+def author_forms(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "part").select("p_partkey", F.explode(N.author_variants(F.concat("p_brand", F.lit(", "), "p_type", F.lit(",")), ["SS"])).alias("form"))
+
+
+@query("""
+WITH t AS (SELECT o_orderkey AS task_id, o_orderstatus AS genre, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, o_orderkey % 5 = 0 AS asked, CASE WHEN o_orderkey % 10 = 0 THEN '무협' END AS chosen FROM orders)
+SELECT task_id, CASE WHEN asked AND confidence = 'medium' AND chosen IS NOT NULL THEN chosen ELSE genre END AS genre, CASE WHEN asked AND confidence = 'medium' AND chosen IS NOT NULL THEN 'high' ELSE confidence END AS confidence,
+  CASE WHEN asked AND confidence = 'medium' AND chosen IS NOT NULL THEN '사용자' ELSE '-' END AS source, CASE WHEN asked AND confidence = 'medium' AND chosen IS NULL THEN 'skipped' ELSE 'pending' END AS status FROM t""")
+def user_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    o, k = t(spark, sf, "orders"), F.col("o_orderkey")
+    level = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low")
+    tasks = o.select(k.alias("task_id"), F.col("o_orderstatus").alias("genre"), level.alias("confidence"), F.lit("-").alias("source"), F.lit("pending").alias("status"))
+    return genres.apply_overrides(tasks, o.filter("o_orderkey % 5 = 0").select(k.alias("task_id"), F.when(k % 10 == 0, "무협").alias("selected_genre")))
+
+
+_SITES, _SEEN = ["https://namu.wiki/w/", "https://example.com/", "https://gall.dcinside.com/b/"], ["판타지|소설", "무협", "", "소설"]
+
+
+@query(f"""
+WITH p AS (SELECT page_id, {sql_pick(_SITES, "page_id")} || page_id AS url, {sql_pick(_SEEN, "page_id")} AS seen FROM pages)
+SELECT page_id, seen = '' OR regexp_matches(url, 'namu\\.wiki|dcinside\\.com') AND seen IN ('판타지|소설', '소설') AS scrape FROM p""")
+def scrape_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("page_id")
+    p = t(spark, sf, "pages").select("page_id", F.concat(pick(_SITES, i), i.cast("string")).alias("url"), F.filter(F.split(pick(_SEEN, i), r"\|"), lambda x: x != "").alias("seen"))
+    return p.select("page_id", genres.should_scrape(F.col("url"), F.col("seen")).alias("scrape"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, 'in/' || p_name || ' 1-' || (p_size + 100) || ' 完.txt' AS original_path, p_name || ' 1-' || (p_size + 100) || ' (완)' AS name, p_partkey % 7 = 0 AS skipped, p_partkey % 5 = 0 AS edited FROM part)
+SELECT original_path, CASE WHEN skipped THEN '' WHEN edited THEN 'by hand.txt' ELSE CASE WHEN p_partkey % 2 = 0 THEN '[무협] ' ELSE '' END || name || '.txt' END AS normalized_path, CASE WHEN p_partkey % 2 = 0 THEN '무협' ELSE '' END AS genre, 'none' AS confidence, CASE WHEN skipped THEN 'skipped' ELSE 'pending' END AS status, '' AS error_message FROM n""")
+def mapping_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of files filled in, planned and put into the rows of the mapping file."""
+    i, none = F.col("p_partkey"), F.lit("")
+    file = F.concat("p_name", F.lit(" 1-"), (F.col("p_size") + 100).cast("string"), F.lit(" 完.txt"))
+    empty = {c: none for c in ("title", "author", "volume_info", "range_info", "side_story", "edition_info", "target_path", "error_message")}
+    given = {
+        "task_id": i, "raw_name": file, "original_path": F.concat(F.lit("in/"), file), "current_path": F.concat(F.lit("in/"), file), "genre": F.when(i % 2 == 0, "무협").otherwise(""), "is_completed": F.lit(False),
+        "user_edited": i % 5 == 0, "normalized_name": F.when(i % 5 == 0, "by hand").otherwise(""), "status": F.when(i % 7 == 0, "skipped").otherwise("pending"), "confidence": F.lit("none"),
+    }
+    tasks = t(spark, sf, "part").select(*[c.alias(n) for n, c in (empty | given).items()])
+    return reports.mapping_rows(naming.plan_names(naming.fill_from_names(tasks)))
