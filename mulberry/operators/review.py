@@ -130,3 +130,13 @@ def rewrite(df: DataFrame, path: str) -> None:
     aside = scratch(spark, "rewrite")
     df.write.option("header", True).option("escape", '"').csv(aside)
     spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(aside).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def authors_by_genre(authors: DataFrame) -> DataFrame:
+    """(genre, n_authors): how many authors a genre has."""
+    return authors.groupBy("genre").agg(F.count_distinct("author").alias("n_authors"))
+
+
+def first_errors(tasks: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The first errors of a run, as they are shown: a report's limit."""
+    return tasks.filter(F.coalesce("error_message", F.lit("")) != "").orderBy(order).limit(n)

@@ -486,3 +486,15 @@ def mapping_file(spark: SparkSession, sf: str) -> DataFrame:
     }
     tasks = t(spark, sf, "part").select(*[c.alias(n) for n, c in (empty | given).items()])
     return reports.mapping_rows(naming.plan_names(naming.fill_from_names(tasks)))
+
+
+@query("SELECT CAST(s_nationkey AS VARCHAR) AS genre, count(DISTINCT s_name) AS n_authors FROM supplier GROUP BY 1")
+def genre_author_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return review.authors_by_genre(t(spark, sf, "supplier").select(F.col("s_name").alias("author"), F.col("s_nationkey").cast("string").alias("genre")))
+
+
+@query("SELECT o_orderkey, 'broken ' || o_custkey AS error_message FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 10")
+def shown_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A report's first ten errors; the limit is the feature."""
+    rows = t(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("broken "), F.col("o_custkey").cast("string"))).alias("error_message"))
+    return review.first_errors(rows, "o_orderkey")

@@ -26,3 +26,29 @@ def read_keywords(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     compounds = d.select(F.explode("compounds").alias("genre", "p")).select("genre", F.explode("p").alias("p")).select("genre", F.col("p")[0].alias("kw1"), F.col("p")[1].alias("kw2"), F.col("p")[2].cast("int").alias("score"))
     specials = d.select(F.posexplode(F.map_entries("specials")).alias("pos", "e")).select("pos", F.col("e.key").alias("title"), F.col("e.value").alias("genre"))
     return {"keywords": keywords, "compounds": compounds, "specials": specials}
+
+
+def read_first(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """The JSON of the first of some places that is there, through Spark's file systems; no rows if none is.
+
+    A dictionary may lie beside the data, the program or its parts; which
+    comes first is the caller's order.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(conf).exists(place):
+            return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.createDataFrame([], schema)
+
+
+def read_mapping(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(platform_genre, genre) of a mapping file, an object of names and genres below ``mapping``."""
+    d = read_first(spark, paths, "mapping map<string,string>")
+    return d.select(F.explode("mapping").alias("platform_genre", "genre"))
+
+
+def read_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(key, genre, confidence, source, cached_at) of a cache file, an object of entries below ``entries``."""
+    d = read_first(spark, paths, "entries map<string,struct<genre:string,confidence:string,source:string,cached_at:string>>")
+    return d.select(F.explode("entries").alias("key", "e")).select("key", "e.*")

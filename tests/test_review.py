@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from mulberry.operators import genres, hybrid, review
-from mulberry.sources import files
+from mulberry.sources import dictionaries, files
 
 
 def test_filters_and_signs(spark):
@@ -49,3 +49,11 @@ def test_names_of_files_are_classified(spark):
     rows = [("검의 노래 1-10 (완).txt", "현판", 0.9, "kakao_tag", "스포츠", 0.8, 3, None, None, None), ("", None, None, None, "미분류", 0.0, 0, "무협", None, None), ("특별 1-3.txt", None, None, None, "무협", 0.9, 3, None, None, None), ("무엇.txt", None, None, None, "미분류", 0.1, 0, "선협", None, None), ("무엇 둘.txt", None, None, None, "무협", 0.3, 1, None, None, None)]
     got = hybrid.classify_files(spark.createDataFrame(rows, kind), "file", [("특별", "SF")], [], {}).select("title", "genre", "confidence", "method").collect()
     assert [tuple(r) for r in got] == [("검의 노래", "스포츠", 0.9, "kakaotag_sports_refined"), ("", "미분류", 0.0, "no_title"), ("특별", "SF", 0.95, "special_case"), ("무엇", "선협", 0.85, "author_genre_db"), ("무엇 둘", "미분류", 0.3, "keyword_only_low_confidence")]
+
+
+def test_dictionaries_are_read_from_the_first_place(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"mapping": {"무협 소설": "무협"}, "entries": {"a": {"genre": "SF", "confidence": "high", "source": "x", "cached_at": "2024"}}}', encoding="utf-8")
+    paths = [str(tmp_path / "a.json"), str(tmp_path / "b.json")]
+    assert [tuple(r) for r in dictionaries.read_mapping(spark, paths).collect()] == [("무협 소설", "무협")]
+    assert [tuple(r) for r in dictionaries.read_cache(spark, paths).collect()] == [("a", "SF", "high", "x", "2024")]
+    assert dictionaries.read_mapping(spark, paths[:1]).count() == 0
