@@ -28,7 +28,7 @@ from mulberry.llm.common import cut, stored, table
 #: Labelled rows that are learned from, about, whatever the corpus; they are picked by a hash of the identifier.
 FIT_ROWS = 30_000
 #: Hash places of word beginnings; tokens whose reading a task keeps; characters counted at once.
-PLACES, KEPT_TOKENS, CHARS_AT_ONCE = 1 << 21, 400_000, 4_000_000
+PLACES, KEPT_TOKENS, CHARS_AT_ONCE = 1 << 21, 100_000, 4_000_000
 #: Classes of characters: 0 is whatever parts words, 1-26 a-z, 27-58 the Latin-1 letters, 59 any other letter.
 CLASSES, LAST_LATIN = 64, 0x17F
 _LATIN1 = [c for c in range(0xDF, 0x100) if c != 0xF7]
