@@ -29,6 +29,8 @@ from mulberry.llm.common import cut, stored, table
 FIT_ROWS = 30_000
 #: Hash places of word beginnings; tokens whose reading a task keeps; characters counted at once.
 PLACES, KEPT_TOKENS, CHARS_AT_ONCE = 1 << 21, 100_000, 4_000_000
+#: Rows that a task gives back at once: with whole texts a batch can be large.
+ROWS_OUT = 500
 #: Classes of characters: 0 is whatever parts words, 1-26 a-z, 27-58 the Latin-1 letters, 59 any other letter.
 CLASSES, LAST_LATIN = 64, 0x17F
 _LATIN1 = [c for c in range(0xDF, 0x100) if c != 0xF7]
@@ -400,20 +402,22 @@ def _fold_evidence(readings: DataFrame, places: np.ndarray, weights: np.ndarray)
     return readings.mapInPandas(run, ", ".join(["toxic int", *(f"{c} double" for c in Evidence.names)]))
 
 
-def _scores(docs: DataFrame, costs: np.ndarray, model: tuple, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and the score of the column ``text``."""
+def _scores(docs: DataFrame, costs: np.ndarray, model: tuple, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` and the score of the column ``text``, in batches of ROWS_OUT."""
     held = docs.sparkSession.sparkContext.broadcast((costs, model))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         costs, (places, weights, w, b) = held.value
         decoder = Decoder(costs)
         evidence = Evidence(_dense(places, weights), decoder.token)
-        for pdf in batches:
-            x = np.array([evidence.of(decoder.tokens(t)) for t in pdf["text"]], float).reshape(len(pdf), len(Evidence.names))
-            yield pdf[keep].assign(score=1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))))
+        for batch in batches:
+            for k in range(0, len(batch), ROWS_OUT):
+                pdf = batch.iloc[k : k + ROWS_OUT]
+                x = np.array([evidence.of(decoder.tokens(t)) for t in pdf[text]], float).reshape(len(pdf), len(Evidence.names))
+                yield pdf[keep].assign(score=1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.select(*keep, *[c for c in ["text"] if c not in keep]).mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "score double"]))
+    return docs.select(*keep, *[c for c in [text] if c not in keep]).mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), "score double"]))
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -465,8 +469,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if not isinstance(model, tuple):
         return docs.filter(F.lit(model < 0.5))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text_col)]))
-    return _scores(rows, costs, model, names).filter("score < 0.5").select(*names).toDF(*docs.columns)
+    scored = _scores(docs.toDF(*names), costs, model, names, names[docs.columns.index(text_col)])
+    return scored.filter("score < 0.5").select(*names).toDF(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
