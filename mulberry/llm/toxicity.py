@@ -29,6 +29,8 @@ from mulberry.llm.common import cut, stored, table
 FIT_ROWS = 30_000
 #: Hash places of word beginnings; tokens whose reading a task keeps; characters counted at once.
 PLACES, KEPT_TOKENS, CHARS_AT_ONCE = 1 << 21, 100_000, 4_000_000
+#: Labelled rows that the logistic model's few numbers are fitted to, about; word beginnings are learned from all FIT_ROWS.
+LOGISTIC_ROWS = 8_000
 #: Rows that a task gives back at once: with whole texts a batch can be large.
 ROWS_OUT = 500
 #: Classes of characters: 0 is whatever parts words, 1-26 a-z, 27-58 the Latin-1 letters, 59 any other letter.
@@ -257,12 +259,17 @@ class Evidence:
     def __init__(self, weights: np.ndarray, read: Callable[[str], str]):
         # arrays of single numbers are faster than those of many for the few places of a token
         self.weights, self.read = [array.array("f", w.tobytes()) for w in weights.reshape(-1, PLACES)], read
+        # tokens met since the last turn and before it: what is still met stays
         self.known: list[dict[str, float]] = [{} for _ in self.weights]
+        self.older: list[dict[str, float]] = [{} for _ in self.weights]
 
     def _look_up(self, token: str) -> None:
         if len(self.known[0]) > KEPT_TOKENS:
-            for k in self.known:
-                k.clear()
+            self.known, self.older = [{} for _ in self.weights], self.known
+        if token in self.older[0]:
+            for k, o in zip(self.known, self.older, strict=True):
+                k[token] = o[token]
+            return
         places = [p for w in _WORD.findall(self.read(token)) for p in beginnings(w)]
         for k, w in zip(self.known, self.weights, strict=True):
             k[token] = max(map(w.__getitem__, places), default=0.0)
@@ -273,6 +280,7 @@ class Evidence:
             w = known.get(t)
             if w is None:
                 self._look_up(t)
+                known = self.known[row]
                 w = known[t]
             if w:
                 hits[t] = w
@@ -442,6 +450,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         share = readings.agg(F.avg("toxic")).first()[0]
         return costs, float(share or 0.0)
     places, weights = learned
+    if n > LOGISTIC_ROWS:
+        readings = readings.filter(F.pmod(F.xxhash64("readings"), F.lit(1_000_000)) < int(1_000_000 * LOGISTIC_ROWS / min(n, fit_rows)))
     fit = _fold_evidence(readings, places, weights).toPandas().sort_values([*Evidence.names, "toxic"])
     w, mean, scale = logistic(fit[list(Evidence.names)].to_numpy(), fit["toxic"].to_numpy(dtype=float))
     some = weights[FOLDS] > 0
