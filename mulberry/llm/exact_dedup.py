@@ -18,7 +18,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mulberry.llm.common import scratch, table
@@ -112,7 +113,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark.createDataFrame([], _UPDATE).write.mode("overwrite").parquet(f"{base}/updates/batch=-1")
     before = _written(known_state(spark, base), "digests") if state_dir else None
     arrivals = f"{base}/arrivals/{uuid.uuid4().hex}"
-    read.select("digest", "n_bytes", "id", F.input_file_name().alias("locator"), "sha").write.parquet(arrivals)
+    read.select("digest", "n_bytes", "id", _locator(read).alias("locator"), "sha").write.parquet(arrivals)
     rows = spark.read.schema(_ARRIVAL).parquet(arrivals)
     stream_state(spark, base, files_per_batch)
     state = known_state(spark, base)
@@ -137,6 +138,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias("doc_id"), "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def _locator(df: DataFrame) -> Column:
+    """The file that a row comes from; empty for rows of joins and unions, which come from no one file."""
+    try:
+        df.select(F.input_file_name())
+    except AnalysisException as e:
+        if e.getCondition() != "MULTI_SOURCES_UNSUPPORTED_FOR_EXPRESSION":
+            raise
+        return F.lit("")
+    return F.input_file_name()
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read from there."""
     path = scratch(df.sparkSession, name)
