@@ -31,8 +31,8 @@ FIT_ROWS = 30_000
 PLACES, KEPT_TOKENS, CHARS_AT_ONCE = 1 << 21, 100_000, 4_000_000
 #: Labelled rows that the logistic model's few numbers are fitted to, about; word beginnings are learned from all FIT_ROWS.
 LOGISTIC_ROWS = 8_000
-#: Rows that a task gives back at once: with whole texts a batch can be large.
-ROWS_OUT = 500
+#: Rows that a task gives back at once; digests of toxic texts that are broadcast at most (32 bytes each), more are joined by a shuffle.
+ROWS_OUT, BROADCAST_DIGESTS = 500, 200_000
 #: Classes of characters: 0 is whatever parts words, 1-26 a-z, 27-58 the Latin-1 letters, 59 any other letter.
 CLASSES, LAST_LATIN = 64, 0x17F
 _LATIN1 = [c for c in range(0xDF, 0x100) if c != 0xF7]
@@ -478,9 +478,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     costs, model = fit_toxicity(docs, labels, id_col, text_col, label_col, fit_rows)
     if not isinstance(model, tuple):
         return docs.filter(F.lit(model < 0.5))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    scored = _scores(docs.toDF(*names), costs, model, names, names[docs.columns.index(text_col)])
-    return scored.filter("score < 0.5").select(*names).toDF(*docs.columns)
+    # a text's score depends on nothing but the text, so its digest tells which rows go
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    scored = _scores(docs.select(digest.alias("_digest"), F.col(text_col).alias("text")), costs, model, ["_digest"])
+    gone = stored(scored.filter("score >= 0.5").select("_digest").distinct(), "toxic")
+    if gone.count() <= BROADCAST_DIGESTS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, digest == F.col("_digest"), "left_anti")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
