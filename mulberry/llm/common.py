@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: columns, compressed, where a checkpoint has rows."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder: columns, compressed, where a checkpoint has rows; a folder for each value of ``by``."""
     path = scratch(df.sparkSession, name)
+    if by:
+        df.write.partitionBy(by).parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -6,6 +6,7 @@ from mulberry.llm.bpe import op3_bpe
 from mulberry.llm.chat import OP10_SQL, op10_chat
 from mulberry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from mulberry.llm.html_text import op2_html_text
+from mulberry.llm.lexical import OP11_SQL, op11_lexical_search
 from mulberry.llm.mixing import op5_mixing
 from mulberry.llm.near_dedup import op6_near_dedup
 from mulberry.llm.quality import op9_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_lexical_search": op11_lexical_search,
 }
 
-ORACLES = {"op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL, "op11_lexical_search": OP11_SQL}
