@@ -9,10 +9,12 @@ from mulberry.llm.html_text import op2_html_text
 from mulberry.llm.lexical import OP11_SQL, op11_lexical_search
 from mulberry.llm.mixing import op5_mixing
 from mulberry.llm.near_dedup import op6_near_dedup
+from mulberry.llm.negatives import OP12_SQL, op12_hard_negatives
 from mulberry.llm.quality import op9_quality
 from mulberry.llm.substring_dedup import op4_substring_dedup
 from mulberry.llm.topk import OP7_SQL, op7_topk
 from mulberry.llm.toxicity import op1_toxicity
+from mulberry.llm.vptree import op13_nearest
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
     "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_nearest": op13_nearest,
 }
 
-ORACLES = {"op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL, "op11_lexical_search": OP11_SQL}
+ORACLES = {"op7_topk": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op10_chat": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_hard_negatives": OP12_SQL}
