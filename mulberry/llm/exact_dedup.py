@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mulberry.llm.common import scratch, table
+from mulberry.llm.common import apart, scratch, table
 
 #: Largest number of repeated digests that is broadcast (40 bytes each); more are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
@@ -84,7 +84,7 @@ def stream_state(spark: SparkSession, base: str, files_per_batch: int = 1000) ->
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000, digest_bits: int = 256, state_dir: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 1000, digest_bits: int = 256, state_dir: str | None = None, run_id: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; null counts as the empty text.  Of
@@ -96,7 +96,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With ``state_dir``, a folder that all executors see, what arrived in
     earlier runs counts too: keep_id and group_size are of all arrivals so far.
     Earlier rows must then have come from Parquet files that still hold
-    ``text_col``; only the files that hits name are read again.
+    ``text_col``; only the files that hits name are read again.  A run that
+    died and is started again with the same ``run_id`` and rows goes on where
+    it stopped and counts no row twice; without one, every call is a run of its
+    own.  Runs with one folder must follow each other.
 
     ``digest_bits`` below 256 shortens the digest used as key; collisions are
     then frequent and found by the comparison of bytes (for tests).
@@ -111,10 +114,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = digested(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")))
     # an update of no keys, so the table is there before the first batch
     spark.createDataFrame([], _UPDATE).write.mode("overwrite").parquet(f"{base}/updates/batch=-1")
-    before = _written(known_state(spark, base), "digests") if state_dir else None
-    arrivals = f"{base}/arrivals/{uuid.uuid4().hex}"
-    read.select("digest", "n_bytes", "id", _locator(read).alias("locator"), "sha").write.parquet(arrivals)
-    rows = spark.read.schema(_ARRIVAL).parquet(arrivals)
+    run = run_id or uuid.uuid4().hex
+    before = _once(known_state(spark, base), f"{base}/before/{run}") if state_dir else None
+    rows = _once(read.select("digest", "n_bytes", "id", _locator(read).alias("locator"), "sha"), f"{base}/arrivals/{run}", f"{base}/incoming/{run}")
     stream_state(spark, base, files_per_batch)
     state = known_state(spark, base)
     if state_dir:
@@ -149,6 +151,20 @@ def _locator(df: DataFrame) -> Column:
     return F.input_file_name()
 
 
+def _once(df: DataFrame, path: str, staged: str | None = None) -> DataFrame:
+    """The rows as written to ``path``, by an earlier call if there was one; the folder appears when all rows are in it."""
+    spark = df.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    target, staging = jvm.Path(path), jvm.Path(staged or f"{path}.part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        df.write.mode("overwrite").parquet(staging.toString())
+        fs.mkdirs(target.getParent())
+        if not fs.rename(staging, target):
+            raise OSError(f"{staging.toString()} can't become {path}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared folder and read from there."""
     path = scratch(df.sparkSession, name)
@@ -200,10 +216,11 @@ def kept_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", tex
     identifier and text are told from each other by nothing that matters; one
     of them stays.
     """
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    stay = decisions.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_n"))
-    rows = docs.withColumn("_sha2", sha).join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")))
-    once, often = rows.filter("_n = 1"), rows.filter("_n > 1").dropDuplicates(["_sha", "_id"])
+    sha, own = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), apart(docs)
+    name, digest, copies, mine = (own + c for c in ("id", "sha", "n", "sha2"))
+    stay = decisions.filter("kept").groupBy(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)).agg(F.count("*").alias(copies))
+    rows = docs.withColumn(mine, sha).join(stay, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(mine) == F.col(digest)))
+    once, often = rows.filter(F.col(copies) == 1), rows.filter(F.col(copies) > 1).dropDuplicates([digest, name])
     return once.unionByName(often).select(*docs.columns)
 
 

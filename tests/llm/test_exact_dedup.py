@@ -82,3 +82,28 @@ def test_many_repeated_digests_are_joined(docs_of, monkeypatch):
     monkeypatch.setattr(x, "BROADCAST_DIGESTS", 3)
     monkeypatch.setattr(x, "HOT_GROUP", 10)
     assert sorted(map(tuple, x.exact_dedup(docs_of(rows)).collect()), key=str) == brute(rows)
+
+
+def test_a_run_that_died_is_started_again(spark, tmp_path, monkeypatch):
+    """With a run id no row counts twice, wherever a run stopped; a later run goes on from what all have left."""
+    folder, base = f"{tmp_path}/docs", f"{tmp_path}/state"
+    spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)], "doc_id long, text string").write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    want = sorted(map(tuple, x.exact_dedup(docs).collect()))
+
+    def stopped(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(x, "stream_state", stopped)  # after the arrivals are written
+        with pytest.raises(RuntimeError):
+            x.exact_dedup(docs, state_dir=base, run_id="one")
+    with monkeypatch.context() as m:
+        m.setattr(x, "_told_apart", stopped)  # after the stream
+        with pytest.raises(RuntimeError):
+            x.exact_dedup(docs, state_dir=base, run_id="one")
+    for _ in range(2):
+        assert sorted(map(tuple, x.exact_dedup(docs, state_dir=base, run_id="one").collect())) == want
+    later = spark.createDataFrame([(100, "text 3"), (101, "new")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in x.exact_dedup(later, state_dir=base, run_id="two").collect()}
+    assert got == {100: (100, 3, True), 101: (101, 1, True)}
