@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mulberry.operators.lineage import cut, scratch, shared_dir
 
-__all__ = ["WORD", "cut", "scratch", "shared_dir", "stored", "table", "word_count"]
+__all__ = ["WORD", "apart", "cut", "scratch", "shared_dir", "stored", "table", "word_count"]
 
 #: A word, in the sense of the contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,3 +30,12 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def apart(*frames: DataFrame) -> str:
+    """A beginning for names of helper columns that no column of the frames begins with."""
+    names = [c for df in frames for c in df.columns]
+    out = "_"
+    while any(n.startswith(out) for n in names):
+        out += "_"
+    return out

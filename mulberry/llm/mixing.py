@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mulberry.llm.common import WORD, cut, table, word_count
+from mulberry.llm.common import WORD, apart, cut, table, word_count
 from mulberry.operators.reports import ranked
 
 #: Hash cells a source is cut into, so shards of a source are never more; rows of a shard that are aimed at.
@@ -136,22 +136,24 @@ def mixed_rows(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_co
     of; of rows repeated with the same three, each gets its share once.  Where
     their texts can differ, the plan must have their digests.
     """
-    cols = docs.columns
-    keys = [F.col(id_col), F.col(source_col), word_count(F.col(text_col))]
+    cols, own = docs.columns, apart(docs)
     digest = F.md5(F.col(text_col).cast("binary")) if "digest" in plan.columns else F.lit("")
-    planned = plan.withColumn("digest", F.col("digest") if "digest" in plan.columns else F.lit("")).groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("digest").alias("_d")).agg(F.sum("copies").alias("_c"), F.count("*").alias("_m"), F.collect_list(F.struct("from1", "to1", "from2", "to2")).alias("_p"))
-    parts = F.flatten(F.transform("_p", lambda p: F.array(F.struct(p["from1"].alias("a"), p["to1"].alias("b")), F.struct(p["from2"].alias("a"), p["to2"].alias("b")))))
-    parts = F.filter(parts, lambda p: p["b"] > p["a"])
-    planned = planned.select("_i", "_s", "_z", "_d", "_c", "_m", parts.alias("_p")).filter("_c > 0 or size(_p) > 0")
-    once = docs.withColumns({"_k1": keys[0], "_k2": keys[1], "_k3": keys[2], "_k4": digest})
-    rows = once.join(planned, F.col("_k1").eqNullSafe(F.col("_i")) & F.col("_k2").eqNullSafe(F.col("_s")) & (F.col("_k3") == F.col("_z")) & F.col("_k4").eqNullSafe(F.col("_d")))
-    rows = rows.filter("_m = 1").unionByName(rows.filter("_m > 1").dropDuplicates(["_k1", "_k2", "_k3", "_k4"]))
-    whole = F.struct(F.lit(0).cast("long").alias("a"), F.col("_z").alias("b"))
-    rows = rows.withColumn("_p", F.explode(F.concat(F.array_repeat(whole, F.col("_c").cast("int")), F.col("_p"))))
+    keys = {own + k: c for k, c in (("id", F.col(id_col)), ("source", F.col(source_col)), ("size", word_count(F.col(text_col))), ("digest", digest))}
+    asked = plan.withColumn("digest", F.col("digest") if "digest" in plan.columns else F.lit(""))
+    # spans that repeat are one with their number: a row repeated often has few different ones
+    spans = asked.groupBy("doc_id", "source", "size", "digest", "from1", "to1", "from2", "to2").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    planned = spans.groupBy(*(F.col(c).alias(own + "p" + c) for c in ("doc_id", "source", "size", "digest"))).agg(F.sum("copies").alias(own + "c"), F.sum("n").alias(own + "m"), F.collect_list(F.struct("from1", "to1", "from2", "to2", "n")).alias(own + "p"))
+    parts = F.flatten(F.transform(own + "p", lambda p: F.flatten(F.array_repeat(F.array(F.struct(p["from1"].alias("a"), p["to1"].alias("b")), F.struct(p["from2"].alias("a"), p["to2"].alias("b"))), p["n"].cast("int")))))
+    planned = planned.withColumn(own + "p", F.filter(parts, lambda p: p["b"] > p["a"])).filter((F.col(own + "c") > 0) | (F.size(own + "p") > 0))
+    same = [F.col(k).eqNullSafe(F.col(own + "p" + c)) for k, c in zip(keys, ("doc_id", "source", "size", "digest"), strict=True)]
+    rows = docs.withColumns(keys).join(planned, same[0] & same[1] & (F.col(own + "size") == F.col(own + "psize")) & same[3])
+    rows = rows.filter(F.col(own + "m") == 1).unionByName(rows.filter(F.col(own + "m") > 1).dropDuplicates(list(keys)))
+    whole = F.struct(F.lit(0).cast("long").alias("a"), F.col(own + "size").alias("b"))
+    rows = rows.withColumn(own + "p", F.explode(F.concat(F.array_repeat(whole, F.col(own + "c").cast("int")), F.col(own + "p"))))
     tokens = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    piece = F.array_join(F.slice(tokens, (F.col("_p.a") + 1).cast("int"), (F.col("_p.b") - F.col("_p.a")).cast("int")), "")
-    text = F.when(F.col("_p.b") - F.col("_p.a") == F.col("_z"), F.col(text_col)).otherwise(piece)
-    rows = rows.withColumn(text_col, text)
+    a, b = F.col(own + "p")["a"], F.col(own + "p")["b"]
+    piece = F.array_join(F.slice(tokens, (a + 1).cast("int"), (b - a).cast("int")), "")
+    rows = rows.withColumn(text_col, F.when(b - a == F.col(own + "size"), F.col(text_col)).otherwise(piece))
     if "n_chars" in cols and text_col != "n_chars":
         rows = rows.withColumn("n_chars", F.length(text_col).cast(T.LongType()))
     return rows.select(*cols)

@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, per_cent: int = 80, id_col:
     Rows without a doc_id can't be named: they come out with a null component
     and are kept.  Other columns are not read.
     """
+    docs, id_col, text_col = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text"
     every = cut(sketches(docs, width, id_col, text_col, bands, rows))
     own = every.filter("doc_id is not null")
     unlike = cut(own.groupBy("doc_id").agg(F.min("set_hi").alias("_lo"), F.max("set_hi").alias("_hi")).filter("_lo < _hi").select("doc_id", "_hi"))

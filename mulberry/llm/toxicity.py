@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mulberry.llm.common import cut, stored, table
+from mulberry.llm.common import apart, cut, stored, table
 
 #: Labelled rows that are learned from, about, whatever the corpus; they are picked by a hash of the identifier.
 FIT_ROWS = 30_000
@@ -480,11 +480,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return docs.filter(F.lit(model < 0.5))
     # a text's score depends on nothing but the text, so its digest tells which rows go
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    scored = _scores(docs.select(digest.alias("_digest"), F.col(text_col).alias("text")), costs, model, ["_digest"])
-    gone = stored(scored.filter("score >= 0.5").select("_digest").distinct(), "toxic")
+    name = apart(docs) + "digest"
+    scored = _scores(docs.select(digest.alias("digest"), F.col(text_col).alias("text")), costs, model, ["digest"])
+    gone = stored(scored.filter("score >= 0.5").select(F.col("digest").alias(name)).distinct(), "toxic")
     if gone.count() <= BROADCAST_DIGESTS:
         gone = F.broadcast(gone)
-    return docs.join(gone, digest == F.col("_digest"), "left_anti")
+    return docs.join(gone, digest == F.col(name), "left_anti")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
