@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mulberry.llm.bpe import encode_decode, tokenizer_path
-from mulberry.llm.common import cut, scratch, table
+from mulberry.llm.common import apart, cut, scratch, table
 from mulberry.llm.exact_dedup import exact_dedup, kept_rows
 from mulberry.llm.mixing import mix, mixed_rows
 from mulberry.llm.near_dedup import near_duplicates
@@ -36,14 +36,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that no doc_id names for itself (it is null, or other texts have it
     too) are compared under a hash of their text, above all other identifiers.
     """
-    shared = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
+    columns, helper = docs.columns, apart(docs)
+    name, also, row, gone_id = (helper + c for c in ("id", "also", "row", "gone"))
+    shared = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(name)))
     own = F.col("doc_id").cast("long")
     if not shared.isEmpty():
-        docs = docs.join(shared.withColumn("_also", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-        own = F.when(F.col("_also"), F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 62)) + (1 << 62)).otherwise(own)
-    rows = docs.withColumn("_row", own)
-    gone = near_duplicates(rows, SHINGLE, SIMILAR, id_col="_row").filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row", "_also")
+        docs = docs.join(shared.withColumn(also, F.lit(True)), F.col("doc_id").eqNullSafe(F.col(name)), "left").drop(name)
+        own = F.when(F.col(also), F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 62)) + (1 << 62)).otherwise(own)
+    rows = docs.withColumn(row, own)
+    gone = near_duplicates(rows, SHINGLE, SIMILAR, id_col=row).filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return rows.join(gone, F.col(row) == F.col(gone_id), "left_anti").select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
