@@ -10,7 +10,12 @@ Scripts, hidden elements and the like are never content.  Elements that look
 apart by their name, role or class (menus, comments, adverts) have their
 densities lowered before the largest sum is sought, the more the surer the
 sign.  Where the largest sum lies within one of them all the same, it was no
-sign of anything there; the others are taken out.
+sign of anything there; the others are taken out.  Blocks of one shape that
+repeat beside each other, as readers' comments do, are a weak sign.
+
+The threshold comes from one densest element, so shorter parts of the same
+article beside it can fall below.  What stands beside it without any sign, and
+isn't mostly links, belongs to it, unless the page itself names its article.
 """
 
 from __future__ import annotations
@@ -47,9 +52,13 @@ HEAD_WORDS = frozenset("header masthead topbar".split())
 ARTICLE_WORDS = frozenset("post entry article story content title hentry".split())
 HOLDERS = frozenset("div section article main body td center blockquote dd form aside #root".split())
 NEVER_APART = frozenset("html body main article #root".split())
-#: What is left of a density by the sign: readers' comments, a name or role or class of its own, a class among others.
+#: What is left of a density by the sign: readers' comments, a name or role or class of its own, a class among others or a repeated shape.
 READERS, SURE, UNSURE = 0.0002, 0.05, 0.2
+#: Blocks of one shape beside each other from which they are a list of comments or the like.
+REPEATED = 5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b\s{0,9}(?:=\s{0,9}(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_CLASS = re.compile(r"""\bclass\s{0,9}=\s{0,9}(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _MODIFIER = re.compile(r"\b(?:has|with|no|without|is)[-_]", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -97,7 +106,7 @@ class Dom:
     """
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.sign = ["#root"], [-1], [1.0]
+        self.tag, self.parent, self.sign, self.css = ["#root"], [-1], [1.0], [""]
         self.flow: list[tuple[int, str | None]] = []
         self.body = 0
         self.page = page
@@ -139,6 +148,8 @@ class Dom:
 
     def _add(self, tag: str, attrs: str, parent: int, article: bool) -> int:
         self.tag.append(tag)
+        m = _CLASS.search(attrs) if "class" in attrs.lower() else None
+        self.css.append(m[1] or m[2] or m[3] or "" if m else "")
         self.parent.append(parent)
         self.sign.append(sign(tag, attrs, article))
         return len(self.tag) - 1
@@ -269,6 +280,19 @@ def _densities(dom: Dom, apart: list[bool], chars: list[int], left: list[float])
     return density, total
 
 
+def _repeated(dom: Dom) -> list[int]:
+    """Blocks that stand beside REPEATED or more of the same shape: of one tag and class and with the same children, several, at least one a block, none a heading."""
+    n, children = len(dom.tag), [[] for _ in dom.tag]
+    for x in range(1, n):
+        children[dom.parent[x]].append(x)
+    shapes: dict[tuple, list[int]] = {}
+    for x in range(1, n):
+        own = [dom.tag[c] for c in children[x]]
+        if dom.tag[x] in ("div", "section", "article", "li", "dd") and 2 <= len(own) <= 12 and not HEADINGS & set(own) and {"p", "div", "blockquote"} & set(own):
+            shapes.setdefault((dom.parent[x], dom.tag[x], dom.css[x], tuple(dict.fromkeys((t, dom.css[c]) for t, c in zip(own, children[x], strict=True)))), []).append(x)
+    return [x for same in shapes.values() if len(same) >= REPEATED for x in same]
+
+
 def _apart(dom: Dom, chars: list[int], inside: list[bool]) -> list[bool]:
     """Which nodes are no content by any sign, their own or of one that they are in.
 
@@ -276,11 +300,13 @@ def _apart(dom: Dom, chars: list[int], inside: list[bool]) -> list[bool]:
     densities lowered by the signs, lies within.
     """
     n, parent = len(dom.tag), dom.parent
-    left = list(dom.sign)
+    signs = list(dom.sign)
+    for x in _repeated(dom):
+        signs[x] = min(signs[x], UNSURE)
+    left = list(signs)
     for x in range(1, n):
         left[x] = min(left[x], left[parent[x]])
     never = [v == 0 for v in left]
-    signs = list(dom.sign)
     if any(0 < v < 1 and c for v, c in zip(left, chars, strict=True)):
         _, total = _densities(dom, never, chars, left)
         x = max((x for x in range(n) if inside[x] and dom.tag[x] in HOLDERS), key=lambda x: total[x], default=0)
@@ -332,7 +358,7 @@ def main_text(page: str | None) -> str:
         p = whole[parent[x]]
         if dom.tag[p] == "article" or dom.tag[p] == "main" and dom.tag[x] != "article":
             whole[x] = p
-    x = best[top] = whole[best[top]]
+    winner = x = best[top] = whole[best[top]]
     threshold = density[x]
     while x != top:
         x = parent[x]
@@ -345,18 +371,32 @@ def main_text(page: str | None) -> str:
             elif chars[x] or density[x]:
                 if density[x] >= threshold:
                     content[whole[best[x]]] = True
+    # what has no sign against it and is not mostly links
+    held, linked = list(chars), [0] * n
+    for x in range(n - 1, 0, -1):
+        if not apart[x]:
+            held[parent[x]] += held[x]
+            linked[parent[x]] += held[x] if dom.tag[x] == "a" else linked[x]
+    told = [not apart[x] and held[x] > 0 and 2 * linked[x] <= held[x] for x in range(n)]
     # a title that leads up to the content, in an element beside it
     leads = [False] * n
     for x in range(n - 1, 0, -1):
-        leads[x] = (leads[x] or dom.tag[x] == "h1") and not apart[x]
+        leads[x] = (leads[x] or dom.tag[x] == "h1") and told[x]
         leads[parent[x]] = leads[parent[x]] or leads[x]
     first: dict[int, int] = {}
     for x in range(n - 1, 0, -1):
         if content[x] and not apart[x]:
             first[parent[x]] = x
     for x in range(1, n):
-        if leads[x] and x < first.get(parent[x], 0) and parent[x] not in (0, top):
+        if leads[x] and x < first.get(parent[x], 0) and inside[x]:
             content[x] = True
+    # parts of the article beside its densest one; directly in the body only what follows a title before it, and sections
+    if dom.tag[winner] not in ("article", "main", "body", "#root"):
+        titled = parent[winner] != top
+        for x in range(1, n):
+            if parent[x] == parent[winner] and inside[x] and told[x]:
+                titled = titled or leads[x] and x < winner
+                content[x] = content[x] or titled and x < winner or parent[winner] != top or dom.tag[x] in ("section", "article")
     for x in range(n):
         content[x] = (content[x] or x > 0 and content[parent[x]]) and not apart[x]
     blocks, line = [], []

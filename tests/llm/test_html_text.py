@@ -137,3 +137,42 @@ def test_densities_against_their_definition():
         assert dom.tag[1:] == [t[0] for t in nodes]
         assert got[1:] == pytest.approx([density(t, body) for t in nodes])
         assert sums[1:] == pytest.approx([sum(density(k, body) for k in t[2]) for t in nodes])
+
+
+LONG = [f"Paragraph {i} says a good deal about its matter, in plain words and at some length, so that nobody takes it for a menu." for i in range(12)]
+CONTENT = '<div class="content">' + "".join(f"<p>{p}</p>" for p in LONG) + "</div>"
+MENU, END = '<nav><a href="/a">Home</a> <a href="/b">News</a></nav>', "<footer>Imprint and terms</footer>"
+
+
+@pytest.mark.parametrize(
+    "before,after,more_before,more_after",
+    [
+        ("<h1>A title</h1>", "", ["A title"], []),
+        ('<div class="post-header"><h1>A title</h1></div>', "", ["A title"], []),
+        ('<div class="post-header"><h1>A title</h1><p>By nobody</p></div>', "", ["A title", "By nobody"], []),
+        ("<h1>A title</h1><p>An introduction.</p>", "", ["A title", "An introduction."], []),
+        ("", "<section><h2>Second</h2><p>Short.</p><p>Shorter.</p><p>End.</p></section>", [], ["Second", "Short.", "Shorter.", "End."]),
+        ("", '<section><p>See also <a href="/x">this page</a> of ours, which says more.</p></section>', [], ["See also this page of ours, which says more."]),
+        ("", '<section><a href="/1">One more story</a> <a href="/2">Another story</a></section>', [], []),
+        ('<div class="cookie-notice">We use cookies.</div>', '<div class="sidebar">Beside.</div>', [], []),
+    ],
+)
+def test_parts_of_an_article_beside_its_densest(before, after, more_before, more_after):
+    page = f"<html><body>{MENU}{before}{CONTENT}{after}{END}</body></html>"
+    assert h.main_text(page).split("\n") == [*more_before, *LONG, *more_after]
+
+
+def test_sections_of_one_article():
+    sections = [f"<section><h2>Part {i}</h2>" + "".join(f"<p>{p}</p>" for p in LONG[: 2 + 3 * (i == 2)]) + "</section>" for i in range(6)]
+    text = h.main_text(f"<body>{MENU}<div class=x>{''.join(sections)}</div>{END}</body>").split("\n")
+    assert text == [t for i in range(6) for t in [f"Part {i}", *LONG[: 2 + 3 * (i == 2)]]]
+
+
+def test_comments_without_a_telling_class():
+    said = [f"Reader {i} thinks that this is a long remark about the matter, with more than enough words to look like a paragraph of its own." for i in range(40)]
+    comments = '<div class="x7">' + "".join(f'<div class="k"><b>reader{i}</b><span>2024-01-{i % 28 + 1:02}</span><p>{s}</p></div>' for i, s in enumerate(said)) + "</div>"
+    article = "".join(f"<p>{p} {p}</p>" for p in LONG)
+    assert h.main_text(f"<body>{MENU}<h1>A title</h1><div class=c>{article}</div>{comments}{END}</body>").split("\n") == ["A title", *(f"{p} {p}" for p in LONG)]
+    # a page of nothing but such blocks keeps them
+    blocks = h.main_text(f"<body>{MENU}{comments}{END}</body>")
+    assert all(s in blocks for s in said)
