@@ -112,6 +112,22 @@ GENERIC_EVIDENCE = ["판타지", "소설", "드라마"]
 GENERIC_GENRES = ["소설", "판타지", "미스터리", "드라마"]
 RICH_SITES = ["dcinside.com", "namu.wiki", "arca.live", "instiz.net", "theqoo.net"]
 
+# Words of a title that name a genre by themselves, by genre in order.
+SPECIFIC_KEYWORDS = {
+    "스포츠": [
+        "축구", "야구", "농구", "복싱", "복서", "격투기", "킥복싱", "무에타이", "MMA", "UFC", "태권도", "유도", "배구", "테니스", "골프", "수영", "마라톤",
+        "풋볼", "베이스볼", "바스켓볼", "투수", "타자", "골키퍼", "스트라이커", "리베로", "세터", "스파이커", "호타", "준족",
+    ],
+    "현판": [
+        "아이돌", "작곡가", "가수", "배우", "연예인", "감독", "영화감독", "드라마감독", "애니메이션감독", "프로듀서", "매니저",
+        "한의사", "의사", "변호사", "검사", "도예가", "화가", "요리사", "재벌", "회계사", "교수", "탐정", "징수",
+    ],
+    "역사": [
+        "조선", "고려", "삼국", "삼국지", "고조선", "백제", "신라", "가야", "발해", "고구려", "임진왜란", "병자호란", "갑신정변", "동학농민운동",
+        "광복", "독립운동", "항일", "세계대전", "2차대전", "1차대전", "나폴레옹", "히틀러", "무솔리니",
+    ],
+}
+
 # Patterns of the title parser, by step.
 NOISE = [
     r"@\S+", r"ⓒ\S+", r"©\S+", r"(?<!\S)저자[:\s]*\S+", r"(?<!\S)작가[:\s]*\S+", r"(?<!\S)글[:\s]*\S+", r"(?<!\S)by\s+\S+",

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keywords up to which the dictionary is one array literal beside every text; larger ones are joined by ``contained``.
-ARRAY_KEYWORDS = 5_000
+from mulberry.functions import vocab as V
+from mulberry.operators.dictionary import contained, outermost
+
+#: Keywords up to which a dictionary is one array literal beside every text; larger ones are automata, which walk a text once.
+ARRAY_KEYWORDS = 64
 
 
 def literal_array(table: DataFrame, columns: list[str]) -> Column:
@@ -20,21 +23,6 @@ def literal_array(table: DataFrame, columns: list[str]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows]).cast(f"array<{kind}>")
 
 
-def contained(texts: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word): which of ``words`` (column word, any number of them) a text contains.
-
-    A word can only be where its first two letters are, so texts and words meet
-    by those, and by the whole text after that; ``key`` tells the texts apart.
-    """
-    w = words.select("word").filter(F.length("word") > 0).distinct()
-    w = w.withColumn("gram", F.substring("word", 1, 2))
-    slim = texts.select(key, F.col(text).alias("_t")).filter(F.length("_t") > 0)
-    at = F.sequence(F.lit(1), F.length("_t"))
-    grams = F.array_union(F.transform(at, lambda i: F.substr("_t", i, F.lit(2))), F.transform(at, lambda i: F.substr("_t", i, F.lit(1))))
-    maybe = slim.select(key, F.explode(grams).alias("gram")).join(w, "gram").select(key, "word")
-    return maybe.join(slim, key).filter(F.col("_t").contains(F.col("word"))).select(key, "word")
-
-
 def _few(table: DataFrame) -> bool:
     return len(table.limit(ARRAY_KEYWORDS + 1).select(F.lit(1)).collect()) <= ARRAY_KEYWORDS
 
@@ -42,18 +30,16 @@ def _few(table: DataFrame) -> bool:
 def keyword_matches(texts: DataFrame, keywords: DataFrame, key: str, text: str, shortest: int = 2) -> DataFrame:
     """(key, genre, keyword, weight): keywords of two letters or more that a text contains, without those within longer ones of the same genre.
 
-    A dictionary of bounded size is one constant array, so no row is made for a
-    keyword that isn't there; a larger one is joined.
+    A few keywords are one constant array; of a larger dictionary every text is
+    walked once by an automaton and stays where it is.
     """
     rows = keywords.filter(F.length("keyword") >= shortest).select("genre_pos", "genre", "pos", F.lower("keyword").alias("keyword"), "weight")
     low = texts.select(key, F.lower(text).alias("_low"))
     if not _few(rows):
-        found = contained(low, rows.select(F.col("keyword").alias("word")), key, "_low").join(rows.withColumnRenamed("keyword", "word"), "word")
-        per = found.groupBy(key, "genre").agg(F.collect_list(F.struct("genre_pos", "genre", "pos", F.col("word").alias("keyword"), "weight")).alias("m"))
-    else:
-        table = literal_array(rows, ["genre_pos", "genre", "pos", "keyword", "weight"])
-        hit = low.select(key, F.filter(table, lambda k: F.col("_low").contains(k["keyword"])).alias("m"))
-        per = hit.filter(F.size("m") > 0)
+        found = outermost(low, rows.withColumnRenamed("keyword", "word"), key, "_low").withColumnRenamed("word", "keyword")
+        return found.join(rows.distinct(), ["genre", "keyword"]).select(key, "genre_pos", "genre", "keyword", "weight")
+    table = literal_array(rows, ["genre_pos", "genre", "pos", "keyword", "weight"])
+    per = low.select(key, F.filter(table, lambda k: F.col("_low").contains(k["keyword"])).alias("m")).filter(F.size("m") > 0)
     m = F.col("m")
     kept = F.filter(m, lambda a: ~F.exists(m, lambda b: (b["genre"] == a["genre"]) & (b["keyword"] != a["keyword"]) & b["keyword"].contains(a["keyword"])))
     return per.select(key, F.explode(F.array_distinct(kept)).alias("k")).select(key, "k.genre_pos", "k.genre", "k.keyword", "k.weight")
@@ -128,19 +114,59 @@ def special_title(title: Column, specials: list[tuple[str, str]]) -> Column:
     return out.otherwise(None) if specials else F.lit(None).cast("string")
 
 
+def title_keywords(titles: DataFrame, keywords: DataFrame, key: str, title: str, specific: dict[str, list[str]] | None = None) -> DataFrame:
+    """(key, genre, confidence, matched_keywords, reason): what the words of a title say.
+
+    Particular words (``specific``, of either case) decide by the order of their
+    genres.  Else the genre of the greatest sum of weights of ``keywords``
+    (genre_pos, genre, pos, keyword, weight; of a title's own case) does, of
+    equal sums the first, less sure.  Null and empty titles and titles without
+    such words have no genre.
+    """
+    table = V.SPECIFIC_KEYWORDS if specific is None else specific
+    t = titles.select(key, F.coalesce(F.col(title), F.lit("")).alias("_t"))
+    low = F.lower("_t")
+    sure = F
+    for genre, words in table.items():
+        # an empty list of words decides nothing
+        met = F.filter(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(F.col("_t"), w) | F.contains(low, F.lower(w)))
+        sure = sure.when(F.size(met) > 0, F.struct(F.lit(genre).alias("genre"), F.lit(0.9).alias("confidence"), met.alias("matched_keywords"), F.lit(f"제목에 구체적인 {genre} 키워드 포함").alias("reason")))
+    kind = "struct<genre:string,confidence:double,matched_keywords:array<string>,reason:string>"
+    t = t.withColumn("_s", sure.otherwise(F.lit(None).cast(kind)) if table else F.lit(None).cast(kind))
+    rows = keywords.filter(F.length("keyword") > 0).select("genre_pos", "genre", "pos", "keyword", "weight")
+    open_ = t.filter("_s is null")
+    found = contained(open_, rows.select(F.col("keyword").alias("word")), key, "_t").distinct().join(rows.withColumnRenamed("keyword", "word"), "word")
+    sums = found.groupBy(key, "genre_pos", "genre").agg(F.sum("weight").cast("double").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w")).filter("n > 0")
+    best = sums.groupBy(key).agg(F.max_by(F.struct("genre", "n", "w"), F.struct("n", -F.col("genre_pos"))).alias("_b"))
+    less = F.struct(F.col("_b.genre").alias("genre"), title_keyword_confidence(F.col("_b.n")).alias("confidence"), F.col("_b.w.word").alias("matched_keywords"), F.concat(F.lit("제목에 "), F.col("_b.genre"), F.lit(" 키워드 포함 (낮은 신뢰도)")).alias("reason"))
+    none = F.struct(F.lit(None).cast("string").alias("genre"), F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("matched_keywords"), F.lit("매칭되는 키워드 없음").alias("reason"))
+    out = t.join(best, key, "left").withColumn("_r", F.coalesce("_s", F.when(F.col("_b").isNotNull(), less), none))
+    return out.select(key, "_r.*")
+
+
 def author_genre(df: DataFrame, authors: DataFrame, author: str = "author") -> DataFrame:
     """Add author_genre: of the same name without spaces, else of the first name that contains it or is contained.
 
-    ``authors`` is (pos, author, genre), of bounded size; of a name listed twice
-    the later genre counts, at the first place.
+    ``authors`` is (pos, author, genre), of any size; of a name listed twice the
+    later genre counts, at the first place.
     """
     w = Window.partitionBy("name")
     table = authors.withColumn("name", F.replace(F.col("author"), F.lit(" "), F.lit("")))
     table = table.withColumns({"at": F.min("pos").over(w), "g": F.max_by("genre", "pos").over(w)}).select("name", "at", "g").distinct()
-    one = literal_array(table, ["at", "name", "g"])
     bare = F.replace(F.coalesce(F.col(author), F.lit("")), F.lit(" "), F.lit(""))
     d = df.withColumn("_b", bare)
-    same = F.filter(one, lambda a: a["name"] == F.col("_b"))
-    near = F.filter(one, lambda a: a["name"].contains(F.col("_b")) | F.col("_b").contains(a["name"]))
-    found = F.coalesce(F.get(same, F.lit(0))["g"], F.get(near, F.lit(0))["g"])
-    return d.withColumn("author_genre", F.when(F.col("_b") != "", found)).drop("_b")
+    if _few(table):
+        one = literal_array(table, ["at", "name", "g"])
+        same = F.filter(one, lambda a: a["name"] == F.col("_b"))
+        near = F.filter(one, lambda a: a["name"].contains(F.col("_b")) | F.col("_b").contains(a["name"]))
+        found = F.coalesce(F.get(same, F.lit(0))["g"], F.get(near, F.lit(0))["g"])
+        return d.withColumn("author_genre", F.when(F.col("_b") != "", found)).drop("_b")
+    # each different credit is looked for among the names and each name among the credits
+    asked, names = d.select(F.col("_b").alias("b")).filter("b <> ''").distinct(), table.select("name")
+    has = contained(asked, names.withColumnRenamed("name", "word"), "b", "b").select("b", F.col("word").alias("name"))
+    within = contained(names, asked.withColumnRenamed("b", "word"), "name", "name").select(F.col("word").alias("b"), "name")
+    near = has.unionByName(within).join(table, "name")
+    if blank := table.filter("name = ''").first():  # an empty name is in every credit, as no automaton tells
+        near = near.unionByName(asked.select("b", F.lit("").alias("name"), F.lit(blank["at"]).alias("at"), F.lit(blank["g"]).alias("g")))
+    best = near.groupBy("b").agg(F.min_by("g", F.struct(F.col("name") != F.col("b"), "at")).alias("author_genre"))
+    return d.join(best.withColumnRenamed("b", "_b"), "_b", "left").select(*df.columns, "author_genre")
