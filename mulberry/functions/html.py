@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from mulberry.functions.normalize import collapse, json_genres, let
 from mulberry.operators.genres import map_genre
 
-_APART = r"(?is)<(script|style|header|footer|nav)\b.*?</\1\s*>"
+# What a page leaves open goes on to its end, as it does for a browser: no pattern looks through the rest of a page more than once.
+_APART = r"(?is)<(script|style|header|footer|nav)\b(?:.*?</\1\s*>|.*)"
+_TAG = r"<[^>]*(?:>|\z)"
+_HREF = r"""(?is)\bhref\s*=\s*["']([^"']*)["']"""
 
 
 def unescape(c: Column) -> Column:
@@ -19,45 +22,50 @@ def unescape(c: Column) -> Column:
 
 
 def page_title(page: Column) -> Column:
-    return collapse(unescape(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return collapse(unescape(F.regexp_extract(page, r"(?is)<title[^>]*(?:>(.*?)(?:</title>|\z)|\z)", 1)))
 
 
 def meta(page: Column, name: str) -> Column:
     """Content of the first meta element of a name or property."""
-    tag = F.regexp_extract(page, rf"""(?is)<meta\s[^>]*(?:name|property)\s*=\s*["']{name}["'][^>]*>""", 0)
+    tags = F.regexp_extract_all(page, F.lit(r"(?is)<meta\s[^>]*(?:>|\z)"), F.lit(0))
+    told = rf"""(?is)\s(?:name|property)\s*=\s*["']{name}["']"""
+    tag = F.coalesce(F.get(F.filter(tags, lambda t: t.rlike(told)), F.lit(0)), F.lit(""))
     return unescape(F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["'](.*?)["']""", 1))
 
 
 def heading(page: Column, level: int = 1) -> Column:
-    return collapse(unescape(F.regexp_replace(F.regexp_extract(page, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", 1), "<[^>]*>", "")))
+    return collapse(unescape(F.regexp_replace(F.regexp_extract(page, rf"(?is)<h{level}\b[^>]*(?:>(.*?)(?:</h{level}>|\z)|\z)", 1), _TAG, "")))
 
 
 def links(page: Column) -> Column:
     """Addresses of all links, in page order."""
-    return F.regexp_extract_all(page, F.lit(r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    tags = F.regexp_extract_all(page, F.lit(r"(?is)<a\s[^>]*(?:>|\z)"), F.lit(0))
+    return F.transform(F.filter(tags, lambda t: t.rlike(_HREF)), lambda t: F.regexp_extract(t, _HREF, 1))
 
 
 def link_texts(page: Column) -> Column:
     """array of struct(href, text) of all links."""
-    whole = F.regexp_extract_all(page, F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0))
-    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1).alias("href"), collapse(unescape(F.regexp_replace(a, "<[^>]*>", ""))).alias("text")))
+    whole = F.regexp_extract_all(page, F.lit(r"(?is)<a\s[^>]*(?:>.*?(?:</a>|\z)|\z)"), F.lit(0))
+    return F.transform(whole, lambda a: F.struct(F.regexp_extract(a, _HREF, 1).alias("href"), collapse(unescape(F.regexp_replace(a, _TAG, ""))).alias("text")))
 
 
 def by_class(page: Column, tag: str, css_class: str) -> Column:
     """Text of the first element of a tag and class, which holds no element of that tag."""
-    return collapse(unescape(F.regexp_replace(F.regexp_extract(page, rf"""(?is)<{tag}\s[^>]*class\s*=\s*["'][^"']*\b{css_class}\b[^"']*["'][^>]*>(.*?)</{tag}>""", 1), "<[^>]*>", "")))
+    return collapse(unescape(F.regexp_replace(F.regexp_extract(page, rf"""(?is)<{tag}\s[^<>]*?class\s*=\s*["'][^"'<>]*\b{css_class}\b[^"'<>]*["'][^>]*>(.*?)(?:</{tag}>|\z)""", 1), _TAG, "")))
 
 
 def visible_text(page: Column, most: int | None = None) -> Column:
     """Text without scripts, styles, headers, footers and menus; whole, or its first ``most`` characters (the reference looks for evidence in 3000)."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, r"(?s)<!--.*?-->", " "), _APART, " "), "<[^>]*>", " ")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, r"(?s)<!--(?:.*?-->|.*)", " "), _APART, " "), _TAG, " ")
     text = collapse(unescape(bare))
     return text if most is None else F.substring(text, 1, most)
 
 
 def jsonld(page: Column) -> Column:
     """Texts of the JSON-LD scripts."""
-    return F.regexp_extract_all(page, F.lit(r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"""), F.lit(1))
+    scripts = F.regexp_extract_all(page, F.lit(r"(?is)<script[^>]*(?:>.*?(?:</script>|\z)|\z)"), F.lit(0))
+    told = F.filter(scripts, lambda x: F.regexp_extract(x, r"(?is)\A<script[^>]*", 0).rlike(r"(?i)application/ld\+json"))
+    return F.transform(told, lambda x: F.regexp_extract(x, r"(?is)\A<script[^>]*>(.*?)(?:</script>|\z)", 1))
 
 
 def jsonld_genres(page: Column) -> Column:

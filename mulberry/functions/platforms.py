@@ -8,7 +8,6 @@ Catalyst evaluates only those of a page's own platform.
 from __future__ import annotations
 
 from collections.abc import Callable
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,12 +16,22 @@ from pyspark.sql import types as T
 
 from mulberry.functions import vocab as V
 from mulberry.functions.normalize import collapse, json_genres, let, literal_table, literal_words
+from mulberry.functions.pages import Page, read
 from mulberry.operators.genres import map_genre
 
-#: Parts of class names by which elements are of use to some platform.
+#: Parts of class names by which elements are of use to some platform, and the tags of such elements and of those within them.
 MARKS = ["breadcrumb", "category", "tag", "hash", "genre", "badge", "meta-path", "items", "break-all", "title", "sc-geveer", "sc-jlzhew", "brirua", "sc-cwhptr", "gkqamv"]
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+MARKED, INNER = ["nav", "ol", "ul", "li", "div", "span", "p", "a", "h2"], ["a", "span", "strong", "b", "div"]
+#: Kinds of elements whose text is looked through: tags and parts of the class.  What the outermost of a kind doesn't say, those within it don't.
+KINDS = {
+    "crumbs": (["nav", "ol", "ul", "div"], ["breadcrumb", "category"]),
+    "genre": (["div", "span", "a"], ["genre", "category"]),
+    "hashtags": (["div", "span", "p"], ["tag", "hash"]),
+    "badges": (["span", "div", "a", "li"], ["genre", "tag", "badge"]),
+    "category": (["div", "ul", "nav"], ["category", "breadcrumb"]),
+}
 _TEXT = T.StringType()
+_INT = T.IntegerType()
 
 
 def _rows(*names: str, **more: T.DataType) -> T.ArrayType:
@@ -35,8 +44,9 @@ _FIELDS = {
     "metas": _rows("name", "property", "content"),
     "links": _rows("href", "text"),
     "jsonld": T.ArrayType(_TEXT),
-    "headings": T.ArrayType(_TEXT),
-    "marked": _rows("tag", "css", "text", inner=_rows("tag", "css", "text")),
+    "headings": T.ArrayType(T.StructType([T.StructField("begin", _INT), T.StructField("end", _INT)])),
+    "elements": _rows("tag", "css", begin=_INT, end=_INT, at=_INT, size=_INT, last_link=_INT, letters=_INT, outermost=_INT, marked=T.BooleanType()),
+    "pieces": T.ArrayType(_TEXT),
     "body": _TEXT,
     "text": _TEXT,
 }
@@ -44,89 +54,89 @@ FIELDS = T.StructType([T.StructField(n, k) for n, k in _FIELDS.items()])
 FOUND = "struct<genre:string,raw_genre:string,source:string,confidence:double,needs_sports_check:boolean,needs_history_check:boolean,needs_fantasy_refinement:boolean>"
 
 
-class _Reader(HTMLParser):
-    """Elements as (tag, attributes, begin, end) in page order, where begin and end count the pieces of text met."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = []
-        self.open: list[int] = []
-        self.pieces: list[str] = []
-        self.scripts: dict[int, list[str]] = {}
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.nodes.append([tag, {k: v or "" for k, v in attrs}, len(self.pieces), None])
-        if tag not in _VOID:
-            self.open.append(len(self.nodes) - 1)
-
-    def handle_endtag(self, tag: str) -> None:
-        if any(self.nodes[i][0] == tag for i in self.open[-64:]):
-            while True:
-                node = self.nodes[self.open.pop()]
-                node[3] = len(self.pieces)
-                if node[0] == tag:
-                    break
-
-    def handle_data(self, data: str) -> None:
-        if self.open and self.nodes[self.open[-1]][0] in ("script", "style", "template"):
-            self.scripts.setdefault(self.open[-1], []).append(data)
-        else:
-            self.pieces.append(data)
-
-    def text(self, i: int) -> str:
-        _, _, a, b = self.nodes[i]
-        return "".join(self.pieces[a:b])
-
-
-def _fields(page: str | None) -> dict | None:
-    if page is None:
+def _elements(page: Page) -> list[dict]:
+    """Elements of telling classes and those of use within them, in page order.
+
+    ``size`` counts those of the list within one, ``last_link`` is the place of
+    the last link among them (-1: none), ``letters`` the characters of its text
+    but for white space, ``outermost`` has a bit for each kind of which it is one
+    and lies within no other.
+    """
+    letters = [0]
+    for piece in page.pieces:
+        letters.append(letters[-1] + sum(map(len, piece.split())))
+    out: list[dict] = []
+    open_: list[tuple[dict, int]] = []  # those of the list that go on, and where they end
+    until, within, links = -1, [-1] * len(KINDS), []
+
+    def close(at: int) -> None:
+        while open_ and open_[-1][1] <= at:
+            e = open_.pop()[0]
+            e["size"] = len(out) - 1 - e["at"]
+            e["last_link"] = links[-1] if links and links[-1] > e["at"] else -1
+
+    for i, e in enumerate(page.elements):
+        css = e.attrs.get("class", "")
+        marked = css != "" and e.tag in MARKED and any(m in css.lower() for m in MARKS)
+        if not marked and not (i < until and e.tag in INNER):
+            continue
+        close(i)
+        bits = 0
+        if marked:
+            until = max(until, e.last)
+            for k, (tags, parts) in enumerate(KINDS.values()):
+                if i >= within[k] and e.tag in tags and any(part in css.lower() for part in parts):
+                    bits, within[k] = bits | 1 << k, e.last
+        own = {"tag": e.tag, "css": css, "begin": e.begin, "end": e.end, "at": len(out), "letters": letters[e.end] - letters[e.begin], "outermost": bits, "marked": marked}
+        out.append(own)
+        open_.append((own, e.last))
+        if e.tag == "a":
+            links.append(own["at"])
+    close(len(page.elements))
+    return out
+
+
+def _fields(html: str | None) -> dict | None:
+    if html is None:
         return None
-    r = _Reader()
-    r.feed(page)
-    r.close()
-    nodes = r.nodes
-    for i in r.open:
-        nodes[i][3] = len(r.pieces)
-    for n in nodes:
-        n[3] = n[2] if n[3] is None else n[3]
-
-    def first(tag: str) -> int | None:
-        return next((i for i, n in enumerate(nodes) if n[0] == tag), None)
-
-    title, body = first("title"), first("body")
-    metas = [{k: n[1].get(k, "") for k in ("name", "property", "content")} for n in nodes if n[0] == "meta"]
-    og = next((m["content"].strip() for m in metas if m["property"] == "og:title"), "")
-    marked = []
-    for i, (tag, attrs, _, b) in enumerate(nodes):
-        css = attrs.get("class", "")
-        if css and tag in ("nav", "ol", "ul", "li", "div", "span", "p", "a", "h2") and any(m in css.lower() for m in MARKS):
-            inner = []
-            for j in range(i + 1, len(nodes)):
-                t, x, a, _ = nodes[j]
-                if a > b or a == b and nodes[j][3] > b:
-                    break
-                if t in ("a", "span", "strong", "b", "div"):
-                    inner.append({"tag": t, "css": x.get("class", ""), "text": r.text(j)})
-            marked.append({"tag": tag, "css": css, "text": r.text(i), "inner": inner})
+    page = read(html)
+    nodes = page.elements
+    first = {tag: next((e for e in nodes if e.tag == tag), None) for tag in ("title", "body")}
+    metas = [{k: e.attrs.get(k, "") for k in ("name", "property", "content")} for e in nodes if e.tag == "meta"]
     return {
-        "title": None if title is None else r.text(title),
-        "og_title": og,
+        "title": first["title"] and page.text(first["title"]),
+        "og_title": next((m["content"].strip() for m in metas if m["property"] == "og:title"), ""),
         "metas": metas,
-        "links": [{"href": n[1]["href"], "text": r.text(i).strip()} for i, n in enumerate(nodes) if n[0] == "a" and "href" in n[1]],
-        "jsonld": ["".join(r.scripts.get(i, [])) for i, n in enumerate(nodes) if n[0] == "script" and n[1].get("type") == "application/ld+json"],
-        "headings": [r.text(i).strip() for i, n in enumerate(nodes) if n[0] in ("h1", "h2", "h3")],
-        "marked": marked,
-        "body": None if body is None else r.text(body),
-        "text": "".join(r.pieces),
+        "links": [{"href": e.attrs["href"], "text": page.text(e).strip()} for e in nodes if e.tag == "a" and "href" in e.attrs],
+        "jsonld": [page.raw.get(i, "") for i, e in enumerate(nodes) if e.tag == "script" and e.attrs.get("type") == "application/ld+json"],
+        "headings": [{"begin": e.begin, "end": e.end} for e in nodes if e.tag in ("h1", "h2", "h3")],
+        "elements": _elements(page),
+        "pieces": page.pieces,
+        "body": first["body"] and page.text(first["body"]),
+        "text": "".join(page.pieces),
     }
 
 
 @F.pandas_udf(FIELDS)
 def page_fields(page: pd.Series) -> pd.DataFrame:
-    """Title, metas, links, JSON-LD, headings, elements of telling classes and texts of a page; all null for no page."""
+    """Title, metas, links, JSON-LD, headings, elements of telling classes, pieces of text and texts of a page; all null for no page."""
     return pd.DataFrame([_fields(p) or dict.fromkeys(_FIELDS) for p in page], columns=list(_FIELDS), index=page.index)
 
 
+def text_of(p: Column, e: Column) -> Column:
+    """Text of an element or a heading."""
+    return let(e, lambda x: F.array_join(F.slice(p["pieces"], x["begin"] + 1, x["end"] - x["begin"]), ""))
+
+
+def _inner(p: Column, e: Column) -> Column:
+    """Elements within an element."""
+    return let(e, lambda x: F.slice(p["elements"], x["at"] + 2, x["size"]))
+
+
+#: Characters of the longest name that can be a text as a whole.
+LONGEST_NAME = max(map(len, V.PAGE_GENRES))
+
+
 def _keys() -> Column:
     return literal_table(V.PAGE_GENRES)
 
@@ -164,13 +174,22 @@ def _hit(pair: Column, source: str, confidence: float | Column, flags: str = "")
     return let(pair, lambda x: F.when(x.isNotNull(), value(x)))
 
 
-def _marks(p: Column, tags: list[str], *parts: str, inner: bool = False) -> Column:
-    """Elements of some tags whose class contains one of some parts, regardless of case."""
-    return F.filter(p["inner" if inner else "marked"], lambda m: m["tag"].isin(tags) & F.exists(literal_words(list(parts)), lambda x: F.contains(F.lower(m["css"]), x)))
+def _has_class(m: Column, tags: list[str], parts: list[str]) -> Column:
+    """Of some tags, with a class that contains one of some parts, regardless of case."""
+    return m["tag"].isin(tags) & F.exists(literal_words(parts), lambda x: F.contains(F.lower(m["css"]), x))
+
+
+def _marks(p: Column, tags: list[str], *parts: str) -> Column:
+    return F.filter(p["elements"], lambda m: m["marked"] & _has_class(m, tags, list(parts)))
+
+
+def _outermost(p: Column, kind: str) -> Column:
+    bit = 1 << list(KINDS).index(kind)
+    return F.filter(p["elements"], lambda m: m["outermost"].bitwiseAND(F.lit(bit)) != 0)
 
 
-def _texts(marks: Column, strip: bool = True) -> Column:
-    return F.transform(marks, lambda m: F.trim(m["text"]) if strip else m["text"])
+def _texts(p: Column, marks: Column, strip: bool = True) -> Column:
+    return F.transform(marks, lambda m: F.trim(text_of(p, m)) if strip else text_of(p, m))
 
 
 def _mapped(name: Column) -> Column:
@@ -180,8 +199,8 @@ def _mapped(name: Column) -> Column:
 
 def ridibooks(p: Column, url: Column) -> Column:
     """JSON-LD, last link of a breadcrumb, meta keywords, links, then the text."""
-    crumbs = F.filter(_marks(p, ["nav", "ol", "ul", "div"], "breadcrumb", "category"), lambda m: F.exists(m["inner"], lambda x: x["tag"] == "a"))
-    last = F.transform(crumbs, lambda m: F.trim(F.element_at(F.filter(m["inner"], lambda x: x["tag"] == "a"), -1)["text"]))
+    crumbs = F.array_distinct(F.transform(F.filter(_marks(p, *KINDS["crumbs"][:1], *KINDS["crumbs"][1]), lambda m: m["last_link"] >= 0), lambda m: m["last_link"]))
+    last = F.transform(crumbs, lambda i: F.trim(text_of(p, F.get(p["elements"], i))))
     last = F.transform(last, lambda t: F.trim(F.regexp_replace(t, " 소설| 웹소설| 장르", "")))
     keywords = F.transform(F.filter(p["metas"], lambda m: (m["name"] == "keywords") | (m["property"] == "keywords")), lambda m: m["content"])
     linked = F.filter(literal_words(V.RIDI_LINKS), lambda k: F.exists(p["links"], lambda a: a["text"] == k))
@@ -193,8 +212,8 @@ def ridibooks(p: Column, url: Column) -> Column:
 def munpia(p: Column, url: Column) -> Column:
     """The last part of the path, of several genres there the telling one; then the text."""
     path = _first(_marks(p, ["p"], "meta-path"))
-    parts = F.split(F.trim(path["text"]), ">")
-    strong = _first(F.filter(path["inner"], lambda x: x["tag"] == "strong"))["text"]
+    parts = F.split(F.trim(text_of(p, path)), ">")
+    strong = text_of(p, _first(F.filter(_inner(p, path), lambda x: x["tag"] == "strong")))
     named = F.transform(F.split(F.when(F.size(parts) >= 3, F.element_at(parts, -1)).otherwise(strong), ","), lambda g: F.trim(g))
     genres = let(named, lambda some: let(F.filter(some, lambda g: exact(g).isNotNull()), lambda known: F.when(F.size(known) > 0, known).otherwise(some)))
 
@@ -241,23 +260,23 @@ def novelnet(p: Column, url: Column) -> Column:
     """Meta keywords, links of the product's category, any element of a genre or category, then the text."""
     words = F.filter(p["metas"], lambda m: (m["name"] == "keywords") & (m["content"] != ""))
     by_meta = first_of(words, lambda m: _in_order(F.filter(_longest(), lambda k: F.contains(m["content"], k["k"])), V.NOVELNET_ORDER))
-    product = _first(F.filter(p["marked"], lambda m: (m["tag"] == "div") & F.array_contains(F.split(m["css"], r"\s+"), "product-category")))
-    linked = F.filter(F.transform(F.filter(product["inner"], lambda x: x["tag"] == "a"), lambda a: exact(F.trim(a["text"]))), lambda x: x.isNotNull())
-    by_class = first_of(_texts(_marks(p, ["div", "span", "a"], "genre", "category")), longest)
+    product = _first(F.filter(p["elements"], lambda m: m["marked"] & (m["tag"] == "div") & F.array_contains(F.split(m["css"], r"\s+"), "product-category")))
+    linked = F.filter(F.transform(F.filter(_inner(p, product), lambda x: x["tag"] == "a"), lambda a: exact(F.trim(text_of(p, a)))), lambda x: x.isNotNull())
+    by_class = first_of(_texts(p, _outermost(p, "genre")), longest)
     category = F.coalesce(_in_order(linked, V.NOVELNET_ORDER), by_class)
     return F.coalesce(_hit(by_meta, "소설넷_meta", 0.88), _hit(category, "소설넷_category", 0.88), _hit(longest(p["text"]), "소설넷_page", 0.80))
 
 
 def kakao(p: Column, url: Column) -> Column:
     """Names in the page's spans of one class, then the text."""
-    spans = F.filter(p["marked"], lambda m: (m["tag"] == "span") & (m["css"] == "break-all align-middle"))
-    return F.coalesce(_hit(first_of(_texts(spans), exact), "카카오페이지_tag", 0.90, "sh"), _hit(longest(p["text"]), "카카오페이지_page", 0.85, "sh"))
+    spans = F.filter(p["elements"], lambda m: m["marked"] & (m["tag"] == "span") & (m["css"] == "break-all align-middle") & (m["letters"] <= LONGEST_NAME))
+    return F.coalesce(_hit(first_of(_texts(p, spans), exact), "카카오페이지_tag", 0.90, "sh"), _hit(longest(p["text"]), "카카오페이지_page", 0.85, "sh"))
 
 
 def novelpia(p: Column, url: Column) -> Column:
     """Hashtags: compounds, combinations, single names; then the text."""
-    tags = _marks(p, ["div", "span", "p"], "tag", "hash")
-    in_tags = F.concat(F.array_join(_texts(tags, strip=False), " "), F.lit(" "))
+    tags = _outermost(p, "hashtags")
+    in_tags = F.concat(F.array_join(_texts(p, tags, strip=False), " "), F.lit(" "))
 
     def tagged(word: str) -> Column:
         gap = 48 - len(word)
@@ -275,8 +294,8 @@ def novelpia(p: Column, url: Column) -> Column:
 
 def joara(p: Column, url: Column) -> Column:
     """The first span of the list of items; pages that ask for a log-in say nothing."""
-    items = _first(F.filter(p["marked"], lambda m: (m["tag"] == "div") & F.array_contains(F.split(m["css"], r"\s+"), "items")))
-    span = _first(F.filter(items["inner"], lambda x: x["tag"] == "span"))["text"]
+    items = _first(F.filter(p["elements"], lambda m: m["marked"] & (m["tag"] == "div") & F.array_contains(F.split(m["css"], r"\s+"), "items")))
+    span = text_of(p, _first(F.filter(_inner(p, items), lambda x: x["tag"] == "span")))
     closed = F.lower(F.coalesce(p["title"], F.lit(""))).rlike("로그인|인증|성인|19세|본인확인|adult|login")
     return F.when(~closed, _hit(exact(F.trim(span)), "조아라_selenium", 0.85))
 
@@ -284,8 +303,9 @@ def joara(p: Column, url: Column) -> Column:
 def webtoonguide(p: Column, url: Column) -> Column:
     """Names in the styled elements of the genre box, by an order."""
     box = _first(_marks(p, ["div"], "sc-geveer", "sc-jlzhew", "brirua"))
-    bold = F.transform(F.slice(F.filter(box["inner"], lambda x: x["tag"] == "b"), 1, 1), lambda x: F.trim(x["text"]))
-    rest = F.filter(_texts(_marks(box, ["div"], "sc-cwhptr", "gkqamv", inner=True)), lambda t: (t != "") & (F.length(t) < 30))
+    bold = F.transform(F.slice(F.filter(_inner(p, box), lambda x: x["tag"] == "b"), 1, 1), lambda x: F.trim(text_of(p, x)))
+    styled = F.filter(_inner(p, box), lambda x: (x["letters"] < 30) & _has_class(x, ["div"], ["sc-cwhptr", "gkqamv"]))
+    rest = F.filter(_texts(p, styled), lambda t: (t != "") & (F.length(t) < 30))
     names = F.concat(bold, rest)
     found = F.transform(literal_table(V.WEBTOONGUIDE_ORDER), lambda o: F.struct(_first(F.filter(names, lambda t: F.contains(F.lower(t), F.lower(o["k"])))).alias("k"), o["g"].alias("g")))
     return _hit(_first(F.filter(found, lambda x: x["k"].isNotNull())), "웹툰가이드_selenium", 0.75)
@@ -295,14 +315,14 @@ def mrblue(p: Column, url: Column) -> Column:
     """Metas, tags and badges, categories, then the text."""
     metas = F.filter(p["metas"], lambda m: m["name"].isin("keywords", "description") | (m["property"] == "og:description"))
     by_meta = first_of(metas, lambda m: longest(m["content"]))
-    by_tag = first_of(_texts(_marks(p, ["span", "div", "a", "li"], "genre", "tag", "badge")), lambda t: F.coalesce(exact(t), longest(t)))
-    by_category = first_of(_texts(_marks(p, ["div", "ul", "nav"], "category", "breadcrumb"), strip=False), longest)
+    by_tag = first_of(_texts(p, _outermost(p, "badges")), lambda t: F.coalesce(exact(t), longest(t)))
+    by_category = first_of(_texts(p, _outermost(p, "category"), strip=False), longest)
     return F.coalesce(_hit(by_meta, "미스터블루_meta", 0.85), _hit(by_tag, "미스터블루_tag", 0.85), _hit(by_category, "미스터블루_category", 0.85), _hit(longest(p["text"]), "미스터블루_page", 0.75))
 
 
 def kyobo(p: Column, url: Column) -> Column:
     """The category path: particular kinds of novels from the right, else the longest name, less sure for general ones."""
-    area = _first(_marks(p, ["div", "ul"], "category", "breadcrumb"))["text"]
+    area = text_of(p, _first(_marks(p, ["div", "ul"], "category", "breadcrumb")))
     parts = F.reverse(F.filter(F.transform(F.split(area, ">"), lambda x: F.trim(x)), lambda x: x != ""))
 
     def kind(t: Column) -> Column:
@@ -366,10 +386,10 @@ def clean_page_title(platform: Column, title: Column) -> Column:
 def page_name(platform: Column, p: Column) -> Column:
     """The title that a platform's page is verified by: of og:title, headings and the title element the one its platform goes by, cleaned."""
     og = F.when(p["og_title"] != "", p["og_title"])
-    heading = _first(F.filter(p["marked"], lambda m: (m["tag"] == "h2") & F.array_contains(F.split(m["css"], r"\s+"), "title")))["text"]
+    heading = text_of(p, _first(F.filter(p["elements"], lambda m: m["marked"] & (m["tag"] == "h2") & F.array_contains(F.split(m["css"], r"\s+"), "title"))))
     own = F.when(~og.rlike("네이버|시리즈"), og)
     # headings of the page itself, not of its menus
-    told = _first(F.filter(p["headings"], lambda h: ~F.lower(h).rlike("navigation|nav|bar|menu|header|footer|local|global|series|naver|네이버|시리즈") & (F.length(h) >= 2) & ~((h == F.upper(h)) & (h != F.lower(h)) & (F.length(h) <= 10))))
+    told = _first(F.filter(F.transform(p["headings"], lambda h: F.trim(text_of(p, h))), lambda h: ~F.lower(h).rlike("navigation|nav|bar|menu|header|footer|local|global|series|naver|네이버|시리즈") & (F.length(h) >= 2) & ~((h == F.upper(h)) & (h != F.lower(h)) & (F.length(h) <= 10))))
     named = F.when(platform == "munpia", F.coalesce(F.trim(heading), og, p["title"])).when(platform == "naver_series", F.coalesce(own, told, p["title"])).when(platform.isin("novelpia", "novelnet", "mrblue"), F.coalesce(og, p["title"])).otherwise(p["title"])
     return clean_page_title(platform, named)
 
