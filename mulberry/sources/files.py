@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mulberry.functions import vocab as V
+from mulberry.sources.archives import archive_members
+
+__all__ = ["TASK", "archive_members", "file_name", "parse_listing", "read_csv", "read_list", "scan_files", "task_from_json", "tasks_of", "write_csv", "write_report"]
 
 TASK = "task_id long, original_path string, current_path string, raw_name string, title string, author string, genre string, volume_info string, range_info string, is_completed boolean, side_story string, edition_info string, status string, confidence string, source string, error_message string, normalized_name string, target_path string, user_edited boolean"
 
@@ -69,36 +67,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def archive_members(spark: SparkSession, folder: str) -> DataFrame:
-    """(archive, name, size, is_dir, error) of the members of ZIP files below a folder; other archives and broken ones have one row with an error.
-
-    Only the tables of contents are read from the bytes.
-    """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(F.lower("path").rlike(r"\.(zip|zipx|rar|7z)$")).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    if not path.lower().endswith((".zip", ".zipx")):
-                        raise ValueError("unsupported")
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for m in z.infolist():
-                            name = m.filename
-                            if not m.flag_bits & 0x800:
-                                try:  # names of old Korean archives
-                                    name = name.encode("cp437").decode("cp949")
-                                except UnicodeError:
-                                    pass
-                            rows.append((path, name, m.file_size, m.is_dir(), None))
-                except (ValueError, zipfile.BadZipFile, OSError) as e:
-                    rows.append((path, None, None, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["archive", "name", "size", "is_dir", "error"])
-
-    return f.mapInPandas(run, "archive string, name string, size long, is_dir boolean, error string")
-
-
 def parse_listing(listings: DataFrame, archive: str = "archive", text: str = "listing") -> DataFrame:
     """(archive, name, size, is_dir) of listings in blocks of ``key = value`` lines parted by blank lines."""
     blocks = listings.select(archive, F.explode(F.split(F.col(text), r"\r?\n\s*\r?\n")).alias("b"))
