@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from mulberry.functions.titles import PARSED, parse_titles, standard_name, valid_genre
+from mulberry.operators.numbering import running
+
 
 def _parts(name: Column) -> tuple[Column, Column]:
     """(stem, suffix) at the last dot that isn't the first character."""
@@ -18,33 +19,37 @@ def free_names(new: DataFrame, existing: DataFrame, folder: str = "folder", name
     """Add ``free_name``: the name itself if it is free, else with the first free `` (n)`` before the suffix, in order of ``pos``.
 
     ``existing`` is (folder, name).  The k-th newcomer of a name takes the k-th
-    free number, so gaps are filled; there is no highest number.
+    free number, so gaps are filled; there is no highest number.  Rows are dealt
+    anew three times and written each time, so a name of any number of rows is
+    no task's alone.
     """
     stem, suffix = _parts(F.col(name))
-    place = Window.partitionBy(folder, name)
-    n = new.withColumns({"_stem": stem, "_suffix": suffix})
-    n = n.withColumn("_at", (F.row_number().over(place.orderBy(pos)) - 1).cast("long"))
+    keys = [folder, name]
+    n = running(new.withColumns({"_stem": stem, "_suffix": suffix}), keys, [F.col(pos).asc()], name="_at").withColumn("_at", F.col("_at") - 1)
     have = existing.select(F.col(folder).alias("_f"), F.col(name).alias("_e")).distinct()
     taken = have.withColumns(dict(zip(("_es", "_ex"), _parts(F.col("_e")), strict=True)))
     # of existing names only those that are the name or a numbered form of it
     numbered = r"(?s)^(.*) \((\d+)\)$"
     base = taken.select("_f", F.concat(F.regexp_extract("_es", numbered, 1), "_ex").alias("_name"), F.regexp_extract("_es", numbered, 2).alias("_no")).filter(F.col("_no").rlike("^[1-9][0-9]{0,8}$"))
     used = base.unionByName(taken.select("_f", F.col("_e").alias("_name"), F.lit("0").alias("_no"))).select(F.col("_f").alias(folder), F.col("_name").alias(name), F.col("_no").cast("long").alias("_no")).distinct()
-    used = used.join(new.select(folder, name).distinct(), [folder, name], "left_semi")
+    used = used.join(new.select(folder, name).distinct(), keys, "left_semi")
     # as many free numbers lie below a used one as its value less its place among the used
-    used = used.select(folder, name, (F.col("_no") - F.row_number().over(place.orderBy("_no")) + 1).alias("_at"), F.lit(1).cast("long").alias("_used"))
+    used = running(used, keys, [F.col("_no").asc()], name="_k").select(folder, name, (F.col("_no") - F.col("_k") + 1).alias("_at"), F.lit(1).cast("long").alias("_used"))
     both = n.unionByName(used, allowMissingColumns=True)
-    below = F.coalesce(F.sum("_used").over(place.orderBy("_at", F.col("_used").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    both = both.withColumn("_no", F.col("_at") + below).filter("_used is null")
-    out = F.when(F.col("_no") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit(" ("), F.col("_no").cast("string"), F.lit(")"), "_suffix"))
+    both = running(both, keys, [F.col("_at").asc(), F.col("_used").desc_nulls_last()], F.col("_used"), "_below").filter("_used is null")
+    number = F.col("_at") + F.col("_below")
+    out = F.when(number == 0, F.col(name)).otherwise(F.concat("_stem", F.lit(" ("), number.cast("string"), F.lit(")"), "_suffix"))
     return both.withColumn("free_name", out).select(*new.columns, "free_name")
 
 
 def number_duplicates(df: DataFrame, original: str, name: str, pos: str) -> DataFrame:
-    """(original, standard_name): the second of a name in a batch gets `` (2)``, the third `` (3)``; an original met again keeps the last."""
+    """(original, standard_name): the second of a name in a batch gets `` (2)``, the third `` (3)``; an original met again keeps the last.
+
+    All rows are dealt anew and written once, so a name of any number of rows
+    is no task's alone.
+    """
     stem, suffix = _parts(F.col(name))
-    d = df.withColumns({"_stem": stem, "_suffix": suffix})
-    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("_stem").orderBy(pos)))
+    d = running(df.withColumns({"_stem": stem, "_suffix": suffix}), ["_stem"], [F.col(pos).asc()], name="_n")
     d = d.withColumn("standard_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat("_stem", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), "_suffix")))
     return d.groupBy(original).agg(F.max_by("standard_name", pos).alias("standard_name"))
 
