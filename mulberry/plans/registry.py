@@ -1,9 +1,4 @@
-"""The registered queries and, for those that SQL can express, their SQL.
-
-Five queries (platform_fusion, legacy_inference, title_verification,
-fuzzy_matches, title_part_structs) run over literal rows and write the same
-rows into both: SQL can't state their rules shortly.
-"""
+"""The registered queries and, for those that SQL can express, their SQL."""
 
 from __future__ import annotations
 
@@ -13,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mulberry.functions import html as H
-from mulberry.functions import matching
 from mulberry.functions import normalize as N
-from mulberry.operators import cache, genres, inference, keywords, naming, reports, routing
-from mulberry.plans import platform_queries, rule_queries
+from mulberry.operators import cache, keywords, naming, reports, routing
+from mulberry.plans import decision_queries, platform_queries, rule_queries
 from mulberry.plans.catalogue import page_catalogue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,10 +48,6 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(SELECT {cast} FROM (VALUES {body}) AS raw({', '.join(names)}))"
 
 
-def expected(rows: list[tuple], columns: str) -> str:
-    return f"SELECT * FROM {values(rows, columns)} AS x"
-
-
 # --- reports -----------------------------------------------------------------------------------
 
 
@@ -197,20 +187,6 @@ def list_scores(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.list_scores(t(spark, sf, "documents"), spark.createDataFrame(_LISTED, "genre string, keyword string"), "doc_id", "text")
 
 
-_FUSE = [
-    (1, "제목", "리디북스", "판타지", 0.95, False, False), (1, "제목", "문피아", "현판", 0.92, False, False),
-    (2, "제목", "네이버시리즈", "판타지", 0.88, False, True), (2, "제목", "카카오페이지", "겜판", 0.90, False, False),
-    (3, "제목", "네이버시리즈", "현판", 0.88, True, False), (3, "제목", "노벨피아", "판타지", 0.92, False, False),
-    (4, "제목", "교보문고", "소설", 0.85, False, False), (5, "축구 감독", "조아라", "현판", 0.85, False, False), (6, "제목", "리디북스", "", 0.95, False, False),
-]
-_FUSED = [(1, "문피아", "현판", 0.92), (2, "카카오페이지", "겜판", 0.9), (3, "노벨피아", "판타지", 0.92), (4, "교보문고", "소설", 0.85), (5, "조아라", "스포츠", 0.85)]
-
-
-@query(expected(_FUSED, "query_id long, platform string, genre string, confidence double"))
-def platform_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return genres.fuse_platforms(spark.createDataFrame(_FUSE, "query_id long, title string, platform string, genre string, confidence double, needs_sports_check boolean, needs_fantasy_refinement boolean"))
-
-
 # --- search hits and pages ---------------------------------------------------------------------
 
 
@@ -323,39 +299,5 @@ def duplicate_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return naming.number_duplicates(t(spark, sf, "part").select(F.col("p_partkey").alias("original"), "p_brand"), "original", "p_brand", "original").select("original", "standard_name")
 
 
-# --- inference and matching --------------------------------------------------------------------
-
-_INFER = [(1, "갓겜 이야기", "겜판", "high"), (2, "재벌집 검사", "현판", "high"), (3, "조선의 왕", "역사", "high"), (4, "유조선 선장", None, "low"), (5, "천마님 방송하신다", "현판", "high"), (6, "천마 강림", "무협", "high"), (7, "sss급 무언가", "퓨판", "medium"), (8, "가나다라마바사", None, "low"), (9, "감독 이야기", None, "low"), (10, "1999년의 한국", "현판", "high"), (11, "마나와 엘프", "판타지", "high"), (12, "협 하나", "무협", "medium"), (13, "엘프 하나", None, "low"), (14, "병장의 검", "퓨판", "medium")]
-_INFER_KW = [(0, "판타지", "마나"), (0, "판타지", "엘프"), (1, "무협", "협")]
-
-
-@query(expected([(r[0], *r[2:]) for r in _INFER], "pos long, genre string, confidence string"))
-def legacy_inference(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([r[:2] for r in _INFER], "pos long, raw_name string")
-    return inference.infer_genre(names, spark.createDataFrame(_INFER_KW, "genre_pos int, genre string, keyword string"))
-
-
-_MATCH = [("신세계의 사령술사", "신세계 사령술사 - 판타지 웹소설 - 리디", True), ("마왕", "마왕 2권", True), ("전혀 다른 긴 제목입니다", "무관한 것", False), ("Re 영웅 이야기들", "[완결] Re 영웅 이야기들 - 문피아", True)]
-
-
-@query(expected(_MATCH, "a string, b string, same boolean"))
-def title_verification(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame(_MATCH, "a string, b string, x boolean")
-    return df.select("a", "b", matching.same_title(F.col("a"), F.col("b"), F.lit(""), F.lit("")).alias("same"))
-
-
-_FUZZY = [("영웅왕 그 미래는", "영웅왕 그의 미래는", True), ("영마스터여행기", "영 마스터 여행기", True), ("올 리셋 라이프", "올리셋라이프", True), ("가나다", "라마바", False)]
-
-
-@query(expected(_FUZZY, "a string, b string, matched boolean"))
-def fuzzy_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_FUZZY, "a string, b string, x boolean").select("a", "b", matching.is_fuzzy_match(F.col("a"), F.col("b")).alias("matched"))
-
-
-_PARTS = [("구룡겁 - 천중행,천중화", "구룡겁", None, "천중행, 천중화"), ("초능력 연대기 1부 더 맨이터", "초능력 연대기", "1부 더 맨이터", None), ("초능력 연대기(맨이터)", "초능력 연대기", "맨이터", None), ("제목 (완) - 홍길동", "제목", None, "홍길동"), ("트립한국 1913 1-126화", "트립한국 1913", None, None)]
-
-
-@query(expected(_PARTS, "title string, main_title string, subtitle string, author string"))
-def title_part_structs(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.createDataFrame([(p[0],) for p in _PARTS], "title string")
-    return df.select("title", matching.title_parts(F.col("title")).alias("p")).select("title", "p.*")
+QUERIES |= decision_queries.QUERIES
+ORACLES |= decision_queries.ORACLES

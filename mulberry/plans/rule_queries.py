@@ -12,6 +12,8 @@ from mulberry.functions import vocab as V
 from mulberry.functions.titles import parse_titles, repair_jamo, standard_name, valid_genre
 from mulberry.operators import archives, genres, keywords, naming, reports, review, routing
 from mulberry.operators.hybrid import hybrid
+from mulberry.operators.numbering import running
+from mulberry.sources.dictionaries import platforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,13 +198,9 @@ _PLATFORMS = [(name, rank, place) for name, (rank, place, _) in V.PLATFORMS.item
 WITH p AS (SELECT name, row_number() OVER (ORDER BY rank, place) AS ord FROM (VALUES {sql_rows(_PLATFORMS)}) p(name, rank, place))
 SELECT page_id, name AS platform, CAST(ord AS INTEGER) AS ord, row_number() OVER (PARTITION BY ord ORDER BY page_id) AS turn FROM pages JOIN p ON name = {sql_pick([n for n, *_ in _PLATFORMS], "page_id")}""")
 def platform_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    from mulberry.sources.dictionaries import platforms
-
     order = routing.platform_order(platforms(spark)).select("platform", "ord")
     pages = t(spark, sf, "pages").select("page_id", pick([n for n, *_ in _PLATFORMS], F.col("page_id")).alias("platform"))
-    return pages.join(F.broadcast(order), "platform").withColumn("turn", F.row_number().over(Window.partitionBy("ord").orderBy("page_id")))
+    return running(pages.join(F.broadcast(order), "platform"), ["ord"], [F.col("page_id").asc()], name="turn")
 
 
 _TITLE = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'master' || p_size || '권여행' WHEN 2 THEN '검' ELSE 'solo' END"
@@ -275,18 +273,6 @@ def folder_disposition(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- review ------------------------------------------------------------------------------------
 
-_TAGS = ["[현대 판타지 AI번역] ", "(무협) ", "[판타지.무협] ", "[골든아공간] ", "[BL] ", "[게임·퓨전] ", "", "[신무협, 역사] "]
-_TAGGED = {"[현대 판타지 AI번역] ": "[현판]", "(무협) ": "[무협]", "[판타지.무협] ": "[판타지.무협]", "[BL] ": "[로판]", "[게임·퓨전] ": "[겜판.퓨판]", "[신무협, 역사] ": "[무협.역사]"}
-
-
-@query(f"""
-WITH n AS (SELECT p_partkey, {sql_pick(_TAGS, "p_partkey")} AS tag, p_name FROM part), m AS (SELECT * FROM (VALUES {sql_rows(list(_TAGGED.items()))}) m(tag, category))
-SELECT p_partkey, category, p_name AS rest FROM n LEFT JOIN m USING (tag)""")
-def leading_tags(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.concat(pick(_TAGS, F.col("p_partkey")), "p_name")
-    return t(spark, sf, "part").select("p_partkey", review.leading_tag(head).alias("x")).select("p_partkey", "x.*")
-
-
 _STATES = [" 1-10 (완)", " 1-10 완결", " 100화 연재중", " 1-5 完 외전 연재중", " 미완", " 007", "12 (완)", " 1-20화", " _x", ""]
 
 
@@ -432,15 +418,6 @@ def name_functions(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("p_partkey", N.search_title(F.col("noted")).alias("searched"), N.is_short_title(F.col("noted")).alias("short"), stem.alias("stem"), suffix.alias("suffix"), N.fuzzy_title(F.col("noted")).alias("fuzzy"), N.rename_by("[장르] 제목", F.lit("무협"), F.col("p_name")).alias("renamed"), N.edit_genre(tagged, F.lit("무협"), F.lit("SF")).alias("edited"))
 
 
-_SOURCES = ["naver_series_meta", "리디북스_jsonld", "keyword", "cache", "", None, "munpia_meta_path", "other_source", "plain"]
-_LABELS = ["네이버시리즈", "리디북스", "키워드", "캐시", "-", "-", "문피아", "Other", "plain"]
-
-
-@query(f"SELECT o_orderkey, {sql_pick(_LABELS, 'o_orderkey')} AS label FROM orders")
-def source_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders").select("o_orderkey", N.source_label(pick(_SOURCES, F.col("o_orderkey"))).alias("label"))
-
-
 @query("""
 WITH n AS (SELECT p_partkey, unnest(list_filter(list_transform(string_split(p_brand || ', ' || p_type || ',', ','), lambda x: trim(x)), lambda x: x <> '')) AS a FROM part),
 v AS (SELECT p_partkey, a AS form FROM n UNION SELECT p_partkey, right(a, 3) FROM n WHERE length(a) > 3 UNION SELECT p_partkey, right(a, 2) FROM n WHERE length(a) > 2)
