@@ -37,7 +37,7 @@ from mulberry.llm.common import cut, table
 from mulberry.llm.components import connected_components
 
 #: Words whose hashes a task keeps; beyond it starts afresh.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 BANDS, ROWS = 40, 5
 #: Identifiers of documents whose sets are wanted that are broadcast at most (8 bytes each); beyond, texts are shuffled to them.
 BROADCAST_IDS = 500_000
