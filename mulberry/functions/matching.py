@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from mulberry.functions.normalize import author_variants, collapse, fuzzy_title, length_gap
 
+# Notes beside titles, and the same in parentheses.
 _NOTES = "단행본|완결|연재중|개정판|합본|개정|특별판|19N|19n|19금|15금"
 _NOTES_IN_PARENTHESES = "완결|연재중|개정판|합본|개정|특별판|완|19금|19|15금|15|19N|19n"
 # Substitutions of a platform's title, in order (pattern, replacement).
@@ -32,9 +33,10 @@ PLATFORM_TITLE = [
     (r"[^\w\s가-힣]", ""), (r"\s+", ""),
 ]
 # Particles, longest first.
-PARTICLES = "으로 에서 에게 한테 부터 까지 은 는 이 가 을 를 의 에 와 과 로 도 만".split()
-_NO_AUTHORS = "외전 전기 서 편 기 록 상권 하권 중권".split()
-_NO_SUBTITLES = "완결 완 단행본 연재중 개정판 합본 특별판 19금 15금 19N 19n".split()
+PARTICLES = ["으로", "에서", "에게", "한테", "부터", "까지", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "로", "도", "만"]
+# What follows a dash without being an author, and what stands in parentheses without being a subtitle.
+_NO_AUTHORS = ["외전", "전기", "서", "편", "기", "록", "상권", "하권", "중권"]
+_NO_SUBTITLES = ["완결", "완", "단행본", "연재중", "개정판", "합본", "특별판", "19금", "15금", "19N", "19n"]
 
 
 def platform_title(title: Column) -> Column:
@@ -74,18 +76,23 @@ def same_title(search: Column, page: Column, text: Column, author: Column, stric
     return F.when(particle_only(search, page), True).when(s == p, True).when((s == "") | (p == ""), False).when(short, inside & F.coalesce(by, F.lit(False))).otherwise(inside & (length_gap(s, p) <= 0.3))
 
 
+# Authors after a dash, several and one; a part with its name; names in parentheses, joined and apart; what a main title loses.
+_SEVERAL, _SINGLE = r"\s+[-/]\s+([가-힣]{2,5}(?:\s*[,&]\s*[가-힣]{2,5})+)\s*(?:\(완\))?$", r"\s+[-/]\s+([가-힣]{2,5})\s*(?:\(완\))?$"
+_PART, _JOINED, _APART = r"^(.+?)\s+(\d+부)\s+(.+)$", r"([가-힣a-zA-Z0-9]+)\(([가-힣a-zA-Z0-9\s]+)\)\s*$", r"\s+\(([가-힣a-zA-Z0-9\s]+)\)\s*$"
+_LOST = [(r"\s+\d+[-~]\d+\s*화", ""), (r"\s+\d+[-~]\d+\s*\(완\)", ""), (r"\s+\d+화(?=\s|$)", ""), (r"\s*[\[(](19[Nn]|완결|완|단행본|연재중|개정판|합본|특별판|19금|15금)[\])]\s*", " ")]
+
+
 def title_parts(title: Column) -> Column:
     """struct(main_title, subtitle, author) of a title: an author after a dash, a part with its name, a name in brackets."""
     t = title
-    several, single = r"\s+[-/]\s+([가-힣]{2,5}(?:\s*[,&]\s*[가-힣]{2,5})+)\s*(?:\(완\))?$", r"\s+[-/]\s+([가-힣]{2,5})\s*(?:\(완\))?$"
+    several, single, part, joined, apart = _SEVERAL, _SINGLE, _PART, _JOINED, _APART
     lone = F.regexp_extract(t, single, 1)
     author = F.when(t.rlike(several), F.trim(F.regexp_replace(F.regexp_extract(t, several, 1), r"\s*([,&])\s*", "$1 "))).when(t.rlike(single) & ~lone.isin(_NO_AUTHORS), lone)
     bare = F.when(t.rlike(several), F.regexp_replace(t, several, "")).when(author.isNotNull(), F.regexp_replace(t, single, "")).otherwise(t)
-    part, joined, apart = r"^(.+?)\s+(\d+부)\s+(.+)$", r"([가-힣a-zA-Z0-9]+)\(([가-힣a-zA-Z0-9\s]+)\)\s*$", r"\s+\(([가-힣a-zA-Z0-9\s]+)\)\s*$"
     inner = F.trim(F.regexp_extract(bare, joined, 2))
     sub = F.when(bare.rlike(part), F.concat(F.regexp_extract(bare, part, 2), F.lit(" "), F.trim(F.regexp_extract(bare, part, 3)))).when(bare.rlike(joined) & ~inner.isin(_NO_SUBTITLES), inner)
     main = F.when(bare.rlike(part), F.trim(F.regexp_extract(bare, part, 1))).when(bare.rlike(joined) & ~inner.isin(_NO_SUBTITLES), F.regexp_replace(bare, joined, "$1")).when(bare.rlike(joined), bare).otherwise(F.regexp_replace(bare, apart, ""))
-    for pattern, by in ((r"\s+\d+[-~]\d+\s*화", ""), (r"\s+\d+[-~]\d+\s*\(완\)", ""), (r"\s+\d+화(?=\s|$)", ""), (r"\s*[\[(](19[Nn]|완결|완|단행본|연재중|개정판|합본|특별판|19금|15금)[\])]\s*", " ")):
+    for pattern, by in _LOST:
         main = F.regexp_replace(main, pattern, by)
     return F.struct(collapse(main).alias("main_title"), sub.alias("subtitle"), author.alias("author"))
 

@@ -7,6 +7,7 @@ Catalyst evaluates only those of a page's own platform.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -166,12 +167,12 @@ def first_of(texts: Column, look_up: Callable[[Column], Column]) -> Column:
 
 def _hit(pair: Column, source: str, confidence: float | Column, flags: str = "") -> Column:
     """The result of a rule that found struct(k, g), or null; of general genres flags may ask for another look."""
-
-    def value(x: Column) -> Column:
-        sports, history, fantasy = F.lit("s" in flags) & (x["g"] == "현판"), F.lit("h" in flags) & (x["g"] == "현판"), F.lit("s" in flags) & (x["g"] == "판타지")
-        return F.struct(x["g"].alias("genre"), x["k"].alias("raw_genre"), F.lit(source).alias("source"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence"), sports.alias("needs_sports_check"), history.alias("needs_history_check"), fantasy.alias("needs_fantasy_refinement"))
-
-    return let(pair, lambda x: F.when(x.isNotNull(), value(x)))
+    sure = F.lit(confidence) if isinstance(confidence, float) else confidence
+    value = f"""x -> CASE WHEN x.p IS NOT NULL THEN named_struct(
+        'genre', x.p.g, 'raw_genre', x.p.k, 'source', '{source}', 'confidence', x.c,
+        'needs_sports_check', {"s" in flags} AND x.p.g = '현판', 'needs_history_check', {"h" in flags} AND x.p.g = '현판', 'needs_fantasy_refinement', {"s" in flags} AND x.p.g = '판타지') END"""
+    # one expression of text in place of some hundred calls that build it
+    return F.get(F.call_function("transform", F.array(F.struct(pair.alias("p"), sure.alias("c"))), F.expr(value)), F.lit(0))
 
 
 def _has_class(m: Column, tags: list[str], parts: list[str]) -> Column:
@@ -206,7 +207,13 @@ def ridibooks(p: Column, url: Column) -> Column:
     linked = F.filter(literal_words(V.RIDI_LINKS), lambda k: F.exists(p["links"], lambda a: a["text"] == k))
     told = F.filter(literal_words(V.RIDI_TEXT), lambda k: F.contains(p["text"], k))
     steps = [(F.flatten(F.transform(p["jsonld"], json_genres)), "jsonld", 0.95), (last, "breadcrumb", 0.95), (keywords, "meta", 0.95), (linked, "link", 0.95), (told, "page", 0.90)]
-    return F.coalesce(*[_hit(first_of(texts, _mapped), f"리디북스_{name}", confidence) for texts, name, confidence in steps])
+    # all that the steps look at in their order, with what a find there is worth
+    def worth(texts: Column, name: str, sure: float) -> Column:
+        return F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.struct(t.alias("t"), F.lit(f"리디북스_{name}").alias("source"), F.lit(sure).alias("sure")))
+
+    said = F.flatten(F.array(*[worth(*step) for step in steps]))
+    found = _first(F.filter(F.transform(said, lambda x: F.struct(_mapped(x["t"]).alias("p"), x["source"].alias("source"), x["sure"].alias("sure"))), lambda x: x["p"].isNotNull()))
+    return let(found, lambda x: let(_hit(x["p"], "", x["sure"]), lambda h: F.when(h.isNotNull(), h.withField("source", x["source"]))))
 
 
 def munpia(p: Column, url: Column) -> Column:
@@ -278,17 +285,17 @@ def novelpia(p: Column, url: Column) -> Column:
     tags = _outermost(p, "hashtags")
     in_tags = F.concat(F.array_join(_texts(p, tags, strip=False), " "), F.lit(" "))
 
-    def tagged(word: str) -> Column:
-        gap = 48 - len(word)
-        anywhere = F.contains(p["text"], F.lit(f"#{word}")) | p["text"].rlike(rf"(?s)#\w+.{{0,{gap}}}# {word}|# {word}.{{0,{gap}}}#\w")
-        return F.when(F.size(tags) > 0, F.contains(in_tags, F.lit(f"#{word}")) | F.contains(in_tags, F.lit(f"# {word}"))).otherwise(anywhere)
-
-    def named(word: str, genre: str) -> Column:
-        return F.struct(F.lit(word).alias("k"), F.lit(genre).alias("g"))
-
-    compound = F.coalesce(*[F.when(tagged(k), named(k, g)) for k, g in V.NOVELPIA_COMPOUND.items()])
-    pairs = F.coalesce(*[F.when(tagged(a) & tagged(b), named(raw, g)) for a, b, g, raw in V.NOVELPIA_PAIRS])
-    single = F.coalesce(*[F.when(tagged(k), named(k, V.PAGE_GENRES[k])) for k in V.NOVELPIA_SINGLE if k in V.PAGE_GENRES])
+    def tagged(word: Column) -> Column:
+        hash_, apart = F.concat(F.lit("#"), word), F.concat(F.lit("# "), word)
+        gap = (48 - F.length(word)).cast("string")
+        near = F.concat(F.lit(r"(?s)#\w+.{0,"), gap, F.lit("}"), apart, F.lit("|"), apart, F.lit(".{0,"), gap, F.lit(r"}#\w"))
+        anywhere = F.contains(p["text"], hash_) | F.regexp_like(p["text"], near)
+        return F.when(F.size(tags) > 0, F.contains(in_tags, hash_) | F.contains(in_tags, apart)).otherwise(anywhere)
+
+    compound = _first(F.filter(literal_table(V.NOVELPIA_COMPOUND), lambda x: tagged(x["k"])))
+    listed = F.from_json(F.lit(json.dumps([{"a": a, "b": b, "k": raw, "g": g} for a, b, g, raw in V.NOVELPIA_PAIRS], ensure_ascii=False)), "array<struct<a:string,b:string,k:string,g:string>>")
+    pairs = let(_first(F.filter(listed, lambda x: tagged(x["a"]) & tagged(x["b"]))), lambda x: F.when(x.isNotNull(), F.struct(x["k"].alias("k"), x["g"].alias("g"))))
+    single = _first(F.filter(literal_table({k: V.PAGE_GENRES[k] for k in V.NOVELPIA_SINGLE if k in V.PAGE_GENRES}), lambda x: tagged(x["k"])))
     return F.coalesce(_hit(compound, "노벨피아_hashtag", 0.92), _hit(pairs, "노벨피아_hashtag_analysis", 0.92), _hit(single, "노벨피아_hashtag", 0.92), _hit(longest(p["text"]), "노벨피아_page", 0.80))
 
 

@@ -3,9 +3,9 @@
 UNCLASSIFIED = "미분류"
 
 # Genres that a standard name may carry.
-NAME_GENRES = "소설 판타지 현대 현판 무협 선협 스포츠 퓨판 역사 로판 SF 겜판 언정 공포 패러디 미분류".split()
+NAME_GENRES = ["소설", "판타지", "현대", "현판", "무협", "선협", "스포츠", "퓨판", "역사", "로판", "SF", "겜판", "언정", "공포", "패러디", "미분류"]
 # Genres that a platform's genre may be mapped to.
-MAPPED_GENRES = "현판 퓨판 무협 로판 겜판 판타지 SF 역사 선협 언정 스포츠 소설 미분류".split()
+MAPPED_GENRES = ["현판", "퓨판", "무협", "로판", "겜판", "판타지", "SF", "역사", "선협", "언정", "스포츠", "소설", "미분류"]
 
 # Standard genre of each platform genre, in order.
 GENRE_MAP = {
@@ -40,14 +40,14 @@ TAG_GENRES = {
 }
 
 # How specific a genre is; others 2.
-SPECIFICITY = {1: ["소설"], 2: ["판타지"], 3: "현판 퓨판 겜판 무협 선협 로판 언정 SF 미스터리 밀리터리 패러디".split(), 4: ["역사", "스포츠"]}
+SPECIFICITY = {1: ["소설"], 2: ["판타지"], 3: ["현판", "퓨판", "겜판", "무협", "선협", "로판", "언정", "SF", "미스터리", "밀리터리", "패러디"], 4: ["역사", "스포츠"]}
 
 # Target genre -> (from, least hits, words, words that forbid it), in order.
 TITLE_REMAP = {
-    "스포츠": (["현판", "판타지"], 2, "축구 야구 농구 배구 테니스 골프 선수 코치 감독 호타 준족".split(), "영화 드라마 연극 공연 마왕 용사 마법".split()),
-    "역사": (["판타지", "현판"], 2, "조선 고려 삼국시대 삼국지 왕조 황제 제국 전쟁 임진왜란 병자호란 외교관 봉건 이성계 인조반정".split(), "사이버펑크 네오 미래 SF 우주 마왕 용사 마법 던전 게이트".split()),
-    "겜판": (["판타지", "퓨판"], 2, "게임 VR 가상현실 레벨업 스킬 아이템 NPC 플레이어".split(), []),
-    "퓨판": (["판타지"], 1, "회귀 환생 빙의 차원 이계 전이 귀환".split(), []),
+    "스포츠": (["현판", "판타지"], 2, ["축구", "야구", "농구", "배구", "테니스", "골프", "선수", "코치", "감독", "호타", "준족"], ["영화", "드라마", "연극", "공연", "마왕", "용사", "마법"]),
+    "역사": (["판타지", "현판"], 2, ["조선", "고려", "삼국시대", "삼국지", "왕조", "황제", "제국", "전쟁", "임진왜란", "병자호란", "외교관", "봉건", "이성계", "인조반정"], ["사이버펑크", "네오", "미래", "SF", "우주", "마왕", "용사", "마법", "던전", "게이트"]),
+    "겜판": (["판타지", "퓨판"], 2, ["게임", "VR", "가상현실", "레벨업", "스킬", "아이템", "NPC", "플레이어"], []),
+    "퓨판": (["판타지"], 1, ["회귀", "환생", "빙의", "차원", "이계", "전이", "귀환"], []),
 }
 
 # Platform -> (rank in effective order, place in the list, confidence).
@@ -134,8 +134,8 @@ NOISE = [
     r"(?:www\.)?[\w-]+\.(?:com|net|co\.kr|kr|cafe)", r"네이버\s*카페", r"다음\s*카페", "문피아", "조아라", "카카오페이지", "시리즈",
     r"(?<!\S)번역[:\s]*\S+", r"(?<!\S)역자[:\s]*\S+", r"\[번역\]", r"\(번역\)",
 ]
-TAG_WORDS = "판타지 무협 현판 퓨판 로판 겜판 SF 역사 선협 언정 공포 스포츠 소설 단행본 연재중 미분류".split()
-EDITION_WORDS = "개정판 완전판 수정판 합본 특별판 무삭제판 개정증보판".split()
+TAG_WORDS = ["판타지", "무협", "현판", "퓨판", "로판", "겜판", "SF", "역사", "선협", "언정", "공포", "스포츠", "소설", "단행본", "연재중", "미분류"]
+EDITION_WORDS = ["개정판", "완전판", "수정판", "합본", "특별판", "무삭제판", "개정증보판"]
 ADULT_WORDS = ["19금", "15금", "성인"]
 PLATFORM_TAGS = [
     r"\[임아소\]", r"\[네이버시리즈\]", r"\[카카오페이지\]", r"\[문피아\]", r"\[조아라\]", r"\[리디북스\]", r"\[노벨피아\]",
@@ -148,9 +148,9 @@ COMPLETION = [
     r"\(\s*Complete\s*\)", r"\(\s*END\s*\)", r"\(\s*Fin\s*\)", r"본편\s*완결",
     r"(?<=[0-9화권부편회장])完(?!\S)", r"(?<=[0-9화권부편회장])완(?!\S)", r"(?<=[0-9화권부편회장])완결(?!\S)",
 ]
-SIDE_WORDS = "番外 외전 후기 에필로그 에필 특별편 번외편 스핀오프 후일담 특외 외포 外".split()
-CHINESE_ENDINGS = "지 록 담 기담 전기 열전 비록 야사 연의 지전 기전 행기 유기 몽기 환기 선기".split()
-CHINESE_EXCEPTIONS = "역전기 전기 일기 세기 용기 인기 무도".split()
+SIDE_WORDS = ["番外", "외전", "후기", "에필로그", "에필", "특별편", "번외편", "스핀오프", "후일담", "특외", "외포", "外"]
+CHINESE_ENDINGS = ["지", "록", "담", "기담", "전기", "열전", "비록", "야사", "연의", "지전", "기전", "행기", "유기", "몽기", "환기", "선기"]
+CHINESE_EXCEPTIONS = ["역전기", "전기", "일기", "세기", "용기", "인기", "무도"]
 
 # Letters that look like jamo, and the jamo in Unicode's order of composition.
 LOOKALIKE_JAMO = dict(zip("rRlIHkoijpuhynbm", "ㅏㅏㅣㅣㅐㅏㅐㅑㅓㅔㅕㅗㅛㅜㅠㅡ", strict=True))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mulberry.operators.keywords import list_scores
 
-_SPORTS = "야구 축구 농구 배구 선수 팀 리그 골프 수영 육상 레슬링".split()
+_SPORTS = ["야구", "축구", "농구", "배구", "선수", "팀", "리그", "골프", "수영", "육상", "레슬링"]
 
 # Rules in order. Each group of words needs one of them in the name; (groups, words that forbid it, genre, confidence).
 RULES: list[tuple[list[list[str]], list[str], str | None, str]] = [
@@ -20,25 +20,25 @@ RULES: list[tuple[list[list[str]], list[str], str | None, str]] = [
     ([["게임 마인드", "게임마인드"], ["중세"]], [], "역사", "high"),
     ([["pd"], ["마법"]], [], "퓨판", "high"),
     ([["재벌"], ["검사"]], [], "현판", "high"),
-    ([["/(19[89][0-9]|20[0-9]{2})"], "대한민국 한국 독립 전쟁 대전 어촌 돌아가다 귀향".split()], [], "현판", "high"),
+    ([["/(19[89][0-9]|20[0-9]{2})"], ["대한민국", "한국", "독립", "전쟁", "대전", "어촌", "돌아가다", "귀향"]], [], "현판", "high"),
     ([["조선"]], ["유조선"], "역사", "high"),
     ([["대한제국", "구한말"]], [], "역사", "high"),
     ([["온라인"]], [], "겜판", "medium"),
-    ([["혈"], "21세기 20세기 19세기 2024 2025 2030 현대".split()], [], "현판", "high"),
+    ([["혈"], ["21세기", "20세기", "19세기", "2024", "2025", "2030", "현대"]], [], "현판", "high"),
     ([["천마"], ["유산", "계승"]], [], "퓨판", "high"),
     ([["감전"], ["엔지니어"]], [], "현판", "high"),
     ([["주식"], ["퇴사"]], [], "현판", "high"),
     ([["천마"], ["방송", "중화요리사", "요리사"]], [], "현판", "high"),
-    ([["배우", "아이돌"], "팬 연예계 회사 작곡".split()], [], "현판", "high"),
+    ([["배우", "아이돌"], ["팬", "연예계", "회사", "작곡"]], [], "현판", "high"),
     ([["공학자"], ["영지"]], [], "퓨판", "high"),
     ([["마공학자"]], [], "퓨판", "high"),
     ([["용병"], ["방송"]], [], "현판", "high"),
     ([["파티셰"]], [], "현판", "high"),
-    ([["아이돌"], "그룹 이야기 생활 일상 데뷔 활동".split()], [], "현판", "high"),
-    ([["판사", "변호사"], "일상 생활 법정 재판 사건 의뢰인".split()], [], "현판", "high"),
-    ([["편의점"], "알바 아르바이트 점원 생활 이야기 일상".split()], [], "퓨판", "high"),
+    ([["아이돌"], ["그룹", "이야기", "생활", "일상", "데뷔", "활동"]], [], "현판", "high"),
+    ([["판사", "변호사"], ["일상", "생활", "법정", "재판", "사건", "의뢰인"]], [], "현판", "high"),
+    ([["편의점"], ["알바", "아르바이트", "점원", "생활", "이야기", "일상"]], [], "퓨판", "high"),
     ([["톱스타", "탑스타"]], [], "현판", "high"),
-    ([["회사"], "직장 사원 부장 과장 상사 동료 입사 퇴사 탈주".split()], [], "현판", "high"),
+    ([["회사"], ["직장", "사원", "부장", "과장", "상사", "동료", "입사", "퇴사", "탈주"]], [], "현판", "high"),
     ([["대마법사", "네크로맨서", "드래곤", "마왕", "정령"]], [], "판타지", "high"),
     ([["검황", "천마", "무림", "강호", "검성", "검제", "검마", "곤륜", "점창", "무당파", "소림", "남궁세가", "제갈세가", "팽가", "아미파", "무제", "무신", "호위무사"]], [], "무협", "high"),
     ([["검술명가", "z 시대", "아카데미"]], [], "퓨판", "high"),
@@ -51,18 +51,18 @@ RULES: list[tuple[list[list[str]], list[str], str | None, str]] = [
     ([["열도", "침몰", "작전명", "임진왜란", "병자호란", "바이킹", "1941", "1945", "구한말", "대한제국"]], [], "역사", "high"),
     (
         [
-            "비트코인 걸그룹 국세청 국가실세 게이트 각성자 엔지니어 영화감독 프로듀서 엔터테인먼트 회사원 신입사원 유튜브 유튜버 스트리밍 인공지능 트럭 해킹 해커 핵무기 ceo 대학생 복학생".split()
+            ["비트코인", "걸그룹", "국세청", "국가실세", "게이트", "각성자", "엔지니어", "영화감독", "프로듀서", "엔터테인먼트", "회사원", "신입사원", "유튜브", "유튜버", "스트리밍", "인공지능", "트럭", "해킹", "해커", "핵무기", "ceo", "대학생", "복학생"]
         ],
         [],
         "현판",
         "high",
     ),
-    ([[r"/(?U)\b(s+급|ex급)"], "운빠 운빨 확률 가챠 뽑기 랜덤".split()], [], "겜판", "high"),
+    ([[r"/(?U)\b(s+급|ex급)"], ["운빠", "운빨", "확률", "가챠", "뽑기", "랜덤"]], [], "겜판", "high"),
     ([[r"/(?U)\b(s+급|ex급)"]], [], "퓨판", "medium"),
     ([["헌터"]], [], "퓨판", "medium"),
     ([["혈마"]], [], "무협", "high"),
     ([["감독"], [*_SPORTS, "라운더", "라운드", "마운드", "코트"]], [], "스포츠", "high"),
-    ([["감독"], "영화 프로듀서 엔터테인먼트 배우 연기 촬영".split()], [], "현판", "high"),
+    ([["감독"], ["영화", "프로듀서", "엔터테인먼트", "배우", "연기", "촬영"]], [], "현판", "high"),
     ([["감독"]], [], None, "low"),
     ([["라운더", "라운드", "마운드", "코트", "링", "경기장"]], [], "스포츠", "high"),
     ([["투수", "포수", "유격수", "1루수", "2루수", "3루수", "외야수", "중견수", "타자", "홈런", "공격수", "스트라이커", "수비수", "미들필더", "미드필더", "슈팅", "월클", "복서", "복싱", "킥복싱", "유도", "태권도"]], [], "스포츠", "high"),
@@ -74,8 +74,8 @@ RULES: list[tuple[list[list[str]], list[str], str | None, str]] = [
     ([["재벌"]], [], "현판", "high"),
     ([["백작", "자작", "남작", "공작", "후작", "공녀", "황녀"]], [], "판타지", "medium"),
 ]
-IMMORTAL = "선협 신선 수선 선인 선계 득도".split()
-ALONE_ENOUGH = "무협 선협 로판 SF 스포츠 공포 역사".split()
+IMMORTAL = ["선협", "신선", "수선", "선인", "선계", "득도"]
+ALONE_ENOUGH = ["무협", "선협", "로판", "SF", "스포츠", "공포", "역사"]
 LEGACY_MAP = {"퓨전": "퓨판", "게임": "겜판", "로맨스": "로판", "BL": "로판"}
 
 
