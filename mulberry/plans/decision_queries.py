@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from mulberry.functions import matching
 from mulberry.functions import normalize as N
+from mulberry.functions import rules
 from mulberry.functions import vocab as V
-from mulberry.operators import genres, inference, keywords, review, similarity
+from mulberry.operators import genres, inference, keywords, review, similarity, versions
 from mulberry.plans.rule_queries import pick, sql_pick, sql_rows, t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,18 @@ def title_keyword_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "genre", "confidence", F.array_join("matched_keywords", ",").alias("matched"))
 
 
+@query("""
+WITH v AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS valid_from, arg_max(o_orderpriority, o_orderkey) AS genre FROM orders GROUP BY 1, 2),
+f AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) - 30 AS t FROM orders)
+SELECT o_orderkey, CAST(t AS VARCHAR) AS t, CASE WHEN genre <> '5-LOW' THEN genre END AS genre FROM f ASOF LEFT JOIN v ON o_custkey = k AND t >= valid_from""")
+def genre_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was known of a customer thirty days before each order: versions by order, those of low priority end what was known."""
+    o = t(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    rows = o.select("o_custkey", F.col("day").alias("valid_from"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("genre"), (F.col("o_orderpriority") == "5-LOW").alias("gone"))
+    facts = o.select("o_orderkey", "o_custkey", F.date_sub("day", 30).alias("t"))
+    return versions.as_of_join(facts, rows, "o_custkey", "t", ["genre"], order=["seq"]).select("o_orderkey", F.col("t").cast("string").alias("t"), "genre")
+
+
 # --- platforms ---------------------------------------------------------------------------------
 
 _SITES = list(V.PLATFORMS)
@@ -157,6 +170,21 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "orders").select("o_orderkey", N.source_label(source).alias("label"))
 
 
+_NAMED = """CASE p_partkey % 8 WHEN 0 THEN p_name || ' [1-' || (p_size + 100) || ']' WHEN 1 THEN p_name || p_size || '부 ' || p_size || ' - ' || (p_size + 100) WHEN 2 THEN p_name || '_001_' || (p_size + 100) || ' 외전 1-' || p_size WHEN 3 THEN p_name || ' ' || (p_size + 100) || '화 후기 번외' WHEN 4 THEN p_name || ' (00' || (p_size % 9 + 1) || '회~' || (p_size + 100) || '회) 특외' || p_size || '화'
+  WHEN 5 THEN p_name || ' (~' || (p_size + 100) || ') 에필로그후기' WHEN 6 THEN p_name || '1-' || (p_size + 100) || '+추가외전' ELSE p_name END"""
+
+
+@query(f"""
+SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN p_name || ' ' || p_size || '부' ELSE p_name END AS title,
+  CASE p_partkey % 8 WHEN 1 THEN p_size || '-' || (p_size + 100) WHEN 4 THEN (p_size % 9 + 1) || '-' || (p_size + 100) WHEN 7 THEN NULL ELSE '1-' || (p_size + 100) END AS range_info,
+  CASE p_partkey % 8 WHEN 2 THEN '외전 1-' || p_size WHEN 3 THEN '번외,후기' WHEN 4 THEN '특외 ' || p_size WHEN 5 THEN '에필,후기' WHEN 6 THEN '외전,추가외전' ELSE '' END AS extras FROM part""")
+def range_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts with ranges, parts and side stories in eight ways of writing, read by the rule tables."""
+    names = t(spark, sf_dir, "part").select("p_partkey", F.expr(_NAMED).alias("name"))
+    read = names.select("p_partkey", rules.range_and_extras(rules.standard_symbols(F.col("name"))).alias("r"))
+    return read.select("p_partkey", "r.title", "r.range_info", F.array_join("r.extras", ",").alias("extras"))
+
+
 # --- titles ------------------------------------------------------------------------------------
 
 _PAGE = "CASE p_partkey % 6 WHEN 0 THEN p_name || ' 12권' WHEN 1 THEN '[단행본] ' || p_name WHEN 2 THEN p_name || ' - 문피아' WHEN 3 THEN p_name || ' ' || p_brand WHEN 4 THEN p_brand || p_name || p_brand || p_brand ELSE p_type END"
