@@ -53,7 +53,7 @@ def parts(words: DataFrame) -> list[DataFrame]:
     return [w.filter(F.pmod(F.xxhash64("word"), F.lit(n)) == i) for i in range(n)]
 
 
-def _walker(part: DataFrame, kind: str, each: Callable[[ahocorasick.Automaton, dict[str, list[str]], str], list]) -> Column:
+def _walker(part: DataFrame, kind: str, each: Callable[[ahocorasick.Automaton, dict[str, list], str], list]) -> Column:
     """A function of texts that calls ``each`` with a part's automaton and words and every text that isn't null."""
     context = part.sparkSession.sparkContext
     sent = context.broadcast({r["word"]: r["genres"] for r in part.collect()})
@@ -83,6 +83,11 @@ def _outermost_in(a: ahocorasick.Automaton, genres: dict[str, list[str]], text:
     return sorted({(g, w) for w in found for g in genres[w]} - covered)
 
 
+def walked(words: DataFrame, kind: str, each: Callable[[ahocorasick.Automaton, dict[str, list], str], list]) -> list[Callable[[Column], Column]]:
+    """Functions from a text to what ``each`` makes of an automaton, of what column genre lists for each of its words, and of the text: one for each part of the dictionary; null texts have null."""
+    return [_walker(part, kind, each) for part in parts(words)]
+
+
 def contained(texts: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
     """(key, word): which of ``words`` (column word, any number of them) a text contains; ``key`` tells the texts apart.
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mulberry.operators.first_rule import fixed_rule
 from mulberry.operators.keywords import list_scores
 
 _SPORTS = ["야구", "축구", "농구", "배구", "선수", "팀", "리그", "골프", "수영", "육상", "레슬링"]
@@ -79,33 +78,23 @@ ALONE_ENOUGH = ["무협", "선협", "로판", "SF", "스포츠", "공포", "역
 LEGACY_MAP = {"퓨전": "퓨판", "게임": "겜판", "로맨스": "로판", "BL": "로판"}
 
 
-def _has_one(low: Column, words: list[str]) -> Column:
-    plain, patterns = [w for w in words if not w.startswith("/")], [w[1:] for w in words if w.startswith("/")]
-    tests = [low.rlike(p) for p in patterns]
-    if plain:
-        tests.append(F.exists(F.array(*map(F.lit, plain)), lambda w: low.contains(w)))
-    return reduce(lambda a, b: a | b, tests)
+#: The rules as terms (rule, group, word, pattern); group 0 forbids.
+TERMS = [(i, j, w.removeprefix("/"), w.startswith("/")) for i, (groups, forbidden, *_) in enumerate(RULES, 1) for j, g in enumerate([forbidden, *groups]) for w in g]
 
 
-def rule_of(name: Column) -> Column:
+def rule_of(spark: SparkSession, name: Column) -> Column:
     """struct(rule, genre, confidence) of the first rule that fits; null if none does.
 
     Rule 0: names of Hangul alone, of immortals or else longer than six
     letters, which may be transcribed and say nothing.
     """
+    kind = "struct<rule:long,genre:string,confidence:string>"
     low = F.lower(name)
     hangul = low.rlike("^[가-힣]+$")
-
-    def out(i: int, genre: str | None, confidence: str) -> Column:
-        return F.struct(F.lit(i).alias("rule"), F.lit(genre).cast("string").alias("genre"), F.lit(confidence).alias("confidence"))
-
-    found = F.when(hangul & _has_one(low, IMMORTAL), out(0, "선협", "high")).when(hangul & (F.length(low) > 6), out(0, None, "low"))
-    for i, (groups, forbidden, genre, confidence) in enumerate(RULES, 1):
-        fits = reduce(lambda a, b: a & b, [_has_one(low, g) for g in groups])
-        if forbidden:
-            fits = fits & ~_has_one(low, forbidden)
-        found = found.when(fits, out(i, genre, confidence))
-    return found
+    zero = F.when(F.exists(F.array(*map(F.lit, IMMORTAL)), lambda w: low.contains(w)), F.struct(F.lit(0), F.lit("선협"), F.lit("high")).cast(kind)).when(F.length(low) > 6, F.struct(F.lit(0), F.lit(None), F.lit("low")).cast(kind))
+    says = F.array(*[F.struct(F.lit(i), F.lit(genre), F.lit(confidence)).cast(kind) for i, (*_, genre, confidence) in enumerate(RULES, 1)])
+    # rules are numbered from 1 without gaps
+    return F.coalesce(F.when(hangul, zero), F.get(says, fixed_rule(spark, TERMS)(low).cast("int") - 1))
 
 
 def infer_genre(names: DataFrame, keywords: DataFrame, key: str = "pos", name: str = "raw_name") -> DataFrame:
@@ -113,7 +102,7 @@ def infer_genre(names: DataFrame, keywords: DataFrame, key: str = "pos", name: s
 
     ``keywords`` is (genre_pos, genre, keyword); ties go to the first genre.
     """
-    ruled = names.select(key, F.col(name).alias("_n"), rule_of(F.col(name)).alias("_r"))
+    ruled = names.select(key, F.col(name).alias("_n"), rule_of(names.sparkSession, F.col(name)).alias("_r"))
     open_names = ruled.filter("_r is null").select(key, "_n")
     scores = list_scores(open_names, keywords, key, "_n")
     order = keywords.groupBy("genre").agg(F.min("genre_pos").alias("genre_pos"))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mulberry.functions import matching
+from mulberry.functions import html, matching
 from mulberry.functions import normalize as N
 from mulberry.functions import rules
 from mulberry.functions import vocab as V
-from mulberry.operators import genres, inference, keywords, review, similarity, versions
+from mulberry.operators import first_rule, genres, inference, keywords, review, similarity, versions
 from mulberry.plans.rule_queries import pick, sql_pick, sql_rows, t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,24 @@ def legacy_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.infer_genre(names, spark.createDataFrame(_OWN, "genre_pos int, genre string, keyword string"))
 
 
+_TITLE = """lower(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')))"""
+
+
+@query(f"""
+WITH n AS (SELECT page_id, {_TITLE} AS title FROM pages), i AS (SELECT item_id, regexp_split_to_array(lower(text), '[^a-z]+') AS l FROM benchmark), s AS (SELECT item_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS word FROM i),
+w AS (SELECT item_id * 1000 + pos // 4 AS rule, CASE pos % 4 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS grp, word FROM s WHERE word <> ''),
+h AS (SELECT page_id, rule, count(DISTINCT grp) FILTER (grp > 0) AS met, min(grp) AS least FROM n JOIN w ON contains(title, word) GROUP BY 1, 2),
+o AS (SELECT rule, count(DISTINCT grp) AS needs FROM w WHERE grp > 0 GROUP BY 1)
+SELECT page_id, min(rule) AS rule FROM h JOIN o USING (rule) WHERE met = needs AND least > 0 GROUP BY 1""")
+def ordered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that the title of each page fits; four words of a benchmark item make a rule: one of the first two and the third must be there, the fourth must not."""
+    words = t(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "word")).filter("word <> ''")
+    grp = F.when(F.col("pos") % 4 == 2, 2).when(F.col("pos") % 4 == 3, 0).otherwise(1)
+    terms = words.select((F.col("item_id") * 1000 + F.floor(F.col("pos") / 4)).alias("rule"), grp.alias("grp"), "word", F.lit(False).alias("pattern"))
+    pages = t(spark, sf_dir, "pages").select("page_id", F.lower(html.page_title(F.col("html"))).alias("title"))
+    return first_rule.first_rule(pages, terms, "page_id", "title")
+
+
 _HEADS, _TAILS = [*V.TAG_SYNONYMS, *V.TAG_GENRES_KEPT, "골든아공간", "Brand"], ["", " AI번역", "손번역", " 번역가", "A번역"]
 _TAG = f"{sql_pick(_HEADS, 'p_partkey')} || {sql_pick(_TAILS, 'p_size')} || {sql_pick(['', '.', ' , ', '·'], '(p_partkey // 3)')} || CASE WHEN (p_partkey // 3) % 4 > 0 THEN {sql_pick(_HEADS, '(p_partkey // 5 + p_size)')} ELSE '' END"
 _BARE = r"trim(regexp_replace(x, '(?i)\s*(A[ㅣlI]?번역|AI번역|기계번역|손번역|번역가?|A[lI]?번역)\s*', '', 'g'))"
