@@ -103,7 +103,9 @@ def fuse_platforms(evidence: DataFrame, key: str = "query_id", title: str = "tit
     kind = "struct<platform:string,genre:string,confidence:double>"
     empty = F.lit(None).cast(kind)
     ridi_and_munpia = F.exists("rows", lambda r: r["platform"] == "리디북스") & F.exists("rows", lambda r: r["platform"] == "문피아")
-    per = per.withColumn("_two", ridi_and_munpia)
+    # what a title makes of a result is worked out once a result, before the fold
+    after = F.transform("rows", lambda r: r.withField("after", remap_by_title(r["genre"], F.col("_title"))))
+    per = per.withColumn("_two", ridi_and_munpia).withColumn("rows", after)
     start = F.struct(F.lit(False).alias("done"), *[empty.alias(n) for n in ("out", "ridi", "modern", "fantasy", "novel")])
 
     def held(r: Column, genre: Column | None = None, confidence: Column | None = None) -> Column:
@@ -118,7 +120,7 @@ def fuse_platforms(evidence: DataFrame, key: str = "query_id", title: str = "tit
 
         g, two = r["genre"], F.col("_two")
         better = F.when(a["ridi"].isNull() | (specificity(g) > specificity(a["ridi"]["genre"])), held(r)).otherwise(a["ridi"])
-        after = remap_by_title(g, F.col("_title"))
+        after = r["after"]
         mine = held(r, after, remapped_confidence(g, after, r["confidence"]))
         takes_modern = a["modern"].isNotNull() & after.isin("스포츠", "역사")
         takes_fantasy = a["fantasy"].isNotNull() & after.isin("역사", "겜판", "퓨판", "스포츠")

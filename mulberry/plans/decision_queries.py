@@ -88,23 +88,40 @@ _GENRES = ["판타지", "현판", "무협", "소설", "스포츠", "", "역사",
 _RANKED = [(p, rank * 100 + place) for p, (rank, place, _) in V.PLATFORMS.items()]
 _SPECIFIC = [(g, n) for n, gs in V.SPECIFICITY.items() for g in gs]
 _AT, _G = "(l_linenumber * 5 + l_orderkey)", "(l_partkey + l_linenumber)"
+_TITLES = ["제목", "축구 감독", "조선의 황제", "VR 게임 스킬", "회귀한 기사", "마왕과 야구 선수", "소설 속 전쟁 제국", "title"]
+_MOVES = [(i, target, least) for i, (target, (_, least, *_)) in enumerate(V.TITLE_REMAP.items())]
+_FROM = [(target, g) for target, (gs, *_) in V.TITLE_REMAP.items() for g in gs]
+_HITS = [(target, w.lower(), forbids) for target, (*_, ws, fs) in V.TITLE_REMAP.items() for words, forbids in ((ws, False), (fs, True)) for w in words]
 
 
 @query(f"""
-WITH e AS (SELECT l_orderkey AS query_id, {sql_pick(_SITES, _AT)} AS platform, {sql_pick(_GENRES, _G)} AS genre, round(l_discount * 10, 2) AS c, l_returnflag = 'R' AS sports, l_returnflag = 'A' AS fantasy
-  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_discount) AS l_discount, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)),
-p(platform, turn) AS (VALUES {sql_rows(_RANKED)}), s(genre, n) AS (VALUES {sql_rows(_SPECIFIC)}),
-r AS (SELECT e.*, turn, coalesce(n, 2) AS n, sports AND genre = '현판' AS holds_modern, fantasy AND genre = '판타지' AS holds_fantasy,
-  bool_or(platform = '리디북스') OVER q AND bool_or(platform = '문피아') OVER q AS two FROM e JOIN p USING (platform) LEFT JOIN s USING (genre) WHERE coalesce(genre, '') <> '' WINDOW q AS (PARTITION BY query_id)),
-b AS (SELECT *, coalesce(bool_or(holds_fantasy AND NOT holds_modern) OVER (PARTITION BY query_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS had_fantasy FROM r),
-x AS (SELECT *, CASE WHEN two THEN CASE WHEN platform IN ('리디북스', '문피아') THEN n * 1000 - turn END
-    WHEN holds_modern THEN 2e6 + turn WHEN holds_fantasy THEN 1e6 + turn WHEN had_fantasy AND genre = '판타지' THEN NULL WHEN genre = '소설' THEN -turn ELSE 9e6 - turn END AS worth FROM b)
-SELECT query_id, arg_max(platform, worth) AS platform, arg_max(genre, worth) AS genre, arg_max(c, worth) AS confidence FROM x GROUP BY 1""")
+WITH RECURSIVE e AS (SELECT l_orderkey AS query_id, {sql_pick(_TITLES, "(l_orderkey // 7)")} AS title, {sql_pick(_SITES, _AT)} AS platform, {sql_pick(_GENRES, _G)} AS genre, round(l_discount * 10, 2) AS c, l_returnflag = 'R' AS sports, l_returnflag = 'A' AS fantasy FROM lineitem),
+p(platform, turn) AS (VALUES {sql_rows(_RANKED)}), s(genre, n) AS (VALUES {sql_rows(_SPECIFIC)}), m(pos, target, least) AS (VALUES {sql_rows(_MOVES)}), o(target, genre) AS (VALUES {sql_rows(_FROM)}), w(target, word, forbids) AS (VALUES {sql_rows(_HITS)}),
+d AS (SELECT DISTINCT title, genre FROM e),
+h AS (SELECT title, genre, target, pos FROM d JOIN o USING (genre) JOIN m USING (target) JOIN w USING (target) GROUP BY ALL
+  HAVING count(*) FILTER (NOT forbids AND (contains(lower(title), word) OR contains(replace(lower(title), ' ', ''), word))) >= any_value(least) AND count(*) FILTER (forbids AND contains(lower(title), word)) = 0),
+t AS (SELECT title, genre, arg_min(target, pos) AS target FROM h GROUP BY 1, 2),
+r AS (SELECT query_id, {{'platform': platform, 'genre': genre, 'c': c}} AS own, {{'platform': platform, 'genre': coalesce(target, genre), 'c': CASE WHEN target IS NULL OR target = genre THEN c ELSE greatest(0.85e0, c - 0.03e0) END}} AS mine, coalesce(n, 2) AS n,
+    sports AND genre = '현판' AS holds_modern, fantasy AND genre = '판타지' AS holds_fantasy, platform IN ('리디북스', '문피아') AS first_two,
+    bool_or(platform = '리디북스') OVER q AND bool_or(platform = '문피아') OVER q AS two, row_number() OVER (PARTITION BY query_id ORDER BY turn, genre, c, sports, fantasy) AS i
+  FROM e JOIN p USING (platform) LEFT JOIN s USING (genre) LEFT JOIN t USING (title, genre) WHERE coalesce(genre, '') <> '' WINDOW q AS (PARTITION BY query_id)),
+a AS (SELECT query_id, 0::BIGINT AS i, false AS done, NULL::STRUCT(platform VARCHAR, genre VARCHAR, c DOUBLE) AS out, NULL::STRUCT(platform VARCHAR, genre VARCHAR, c DOUBLE) AS ridi, 0 AS ridi_n, NULL::STRUCT(platform VARCHAR, genre VARCHAR, c DOUBLE) AS modern, NULL::STRUCT(platform VARCHAR, genre VARCHAR, c DOUBLE) AS fantasy, NULL::STRUCT(platform VARCHAR, genre VARCHAR, c DOUBLE) AS novel FROM r GROUP BY 1
+  UNION ALL
+  SELECT query_id, i, does IN ('best', 'own', 'mine'), CASE does WHEN 'best' THEN CASE WHEN ridi IS NULL OR n > ridi_n THEN own ELSE ridi END WHEN 'own' THEN own WHEN 'mine' THEN mine END, CASE does WHEN 'ridi' THEN own ELSE ridi END, CASE does WHEN 'ridi' THEN n ELSE ridi_n END,
+    CASE does WHEN 'modern' THEN own ELSE modern END, CASE does WHEN 'fantasy' THEN own ELSE fantasy END, CASE does WHEN 'novel' THEN coalesce(novel, mine) ELSE novel END
+  FROM (SELECT r.query_id, r.i, r.own, r.mine, r.n, a.ridi, a.ridi_n, a.modern, a.fantasy, a.novel,
+      CASE WHEN two AND first_two AND own.platform = '리디북스' THEN 'ridi' WHEN two AND first_two THEN 'best' WHEN holds_modern THEN 'modern' WHEN holds_fantasy THEN 'fantasy'
+        WHEN a.modern IS NOT NULL AND own.genre IN ('스포츠', '역사') OR a.fantasy IS NOT NULL AND own.genre IN ('역사', '겜판', '퓨판', '스포츠') THEN 'own' WHEN a.fantasy IS NOT NULL AND own.genre = '판타지' THEN ''
+        WHEN a.ridi IS NOT NULL AND a.ridi.genre <> '소설' AND a.ridi_n >= n THEN '' WHEN a.modern IS NOT NULL AND mine.genre IN ('스포츠', '역사') OR a.fantasy IS NOT NULL AND mine.genre IN ('역사', '겜판', '퓨판', '스포츠') THEN 'mine'
+        WHEN mine.genre = '소설' THEN 'novel' ELSE 'mine' END AS does
+    FROM a JOIN r ON r.query_id = a.query_id AND r.i = a.i + 1 WHERE NOT a.done)),
+l AS (SELECT query_id, arg_max(coalesce(out, ridi, modern, fantasy, novel), i) AS o FROM (SELECT query_id, i, out, ridi, modern, fantasy, novel FROM a WHERE i > 0) GROUP BY 1)
+SELECT query_id, o.platform AS platform, o.genre AS genre, round(o.c, 6) AS confidence FROM l""")
 def platform_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The results of up to seven platforms for each order, fused."""
-    line = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_discount", "l_returnflag")))
-    platform, genre = pick(_SITES, F.col("l_linenumber") * 5 + F.col("l_orderkey")), pick(_GENRES, F.col("l_partkey") + F.col("l_linenumber"))
-    rows = line.select(F.col("l_orderkey").alias("query_id"), F.lit("title").alias("title"), platform.alias("platform"), genre.alias("genre"), F.round(F.col("l_discount") * 10, 2).alias("confidence"), (F.col("l_returnflag") == "R").alias("needs_sports_check"), (F.col("l_returnflag") == "A").alias("needs_fantasy_refinement"))
+    """All results that lines of an order give of platforms, fused under the order's title."""
+    line, key = t(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    title, platform, genre = pick(_TITLES, F.floor(key / 7)), pick(_SITES, F.col("l_linenumber") * 5 + key), pick(_GENRES, F.col("l_partkey") + F.col("l_linenumber"))
+    rows = line.select(key.alias("query_id"), title.alias("title"), platform.alias("platform"), genre.alias("genre"), F.round(F.col("l_discount") * 10, 2).alias("confidence"), (F.col("l_returnflag") == "R").alias("needs_sports_check"), (F.col("l_returnflag") == "A").alias("needs_fantasy_refinement"))
     return genres.fuse_platforms(rows)
 
 
