@@ -72,7 +72,7 @@ def similar_titles(left: DataFrame, right: DataFrame, bar: float = 0.85) -> Data
 
 
 def best_titles(left: DataFrame, right: DataFrame, left_title: str, right_id: str, right_title: str, bar: float = 0.85) -> DataFrame:
-    """``left`` with match_id, match_title and ratio: the row of ``right`` whose title is most like a row's own, null where none reaches the bar.
+    """``left`` with match_id, match_title, ratio and n_links: the row of ``right`` whose title is most like a row's own, null where none reaches the bar, and how many different titles of ``right`` reach it.
 
     Titles compare as ``fuzzy_title`` has them; of equal ratios the least title
     counts, of rows of one title the least identifier.  Null titles and empty
@@ -83,7 +83,7 @@ def best_titles(left: DataFrame, right: DataFrame, left_title: str, right_id: st
     known = right.select(F.col(right_id).alias("match_id"), F.col(right_title).alias("match_title"), fuzzy_title(F.col(right_title)).alias("t")).filter("t <> ''")
     known = cut(known.groupBy("t").agg(F.min(F.struct("match_id", "match_title")).alias("m")))
     pairs = similar_titles(rows.select(F.col(own + "t").alias("t")).filter("t <> ''"), known.select("t"), bar)
-    best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "b")).alias("x"))
-    best = best.select(F.col("a"), F.col("x.b").alias("t"), (-F.col("x.minus")).alias("ratio")).join(known, "t")
-    best = best.select(F.col("a").alias(own + "a"), F.col("m.match_id").alias("match_id"), F.col("m.match_title").alias("match_title"), "ratio")
-    return rows.join(best, F.col(own + "t") == F.col(own + "a"), "left").select(*(rows[c] for c in left.columns), "match_id", "match_title", "ratio")
+    best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("ratio")).alias("minus"), "b")).alias("x"), F.count("*").alias("n"))
+    best = best.select(F.col("a"), F.col("x.b").alias("t"), (-F.col("x.minus")).alias("ratio"), "n").join(known, "t")
+    best = best.select(F.col("a").alias(own + "a"), F.col("m.match_id").alias("match_id"), F.col("m.match_title").alias("match_title"), "ratio", F.col("n").alias(own + "n"))
+    return rows.join(best, F.col(own + "t") == F.col(own + "a"), "left").select(*(rows[c] for c in left.columns), "match_id", "match_title", "ratio", F.coalesce(own + "n", F.lit(0)).cast("long").alias("n_links"))

@@ -8,3 +8,11 @@ def test_fusion_takes_every_line_and_the_order_s_title(spark, tmp_path):
     rows = [(7, 2, 3, 0.05, "N"), (7, 2, 8, 0.05, "N")]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [tuple(r) for r in d.platform_fusion(spark, str(tmp_path)).collect()] == [(7, "노벨피아", "스포츠", 0.85)]
+
+
+def test_fuzzy_matches_count_every_link(spark, tmp_path):
+    """Each asked title is linked with both titles a letter apart, and the one that has no like with none."""
+    rows = [(1, "Brand#1", "small red ring one"), (2, "Brand#1", "small red ring ona"), (3, "zq", "wvy")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: (r.match_id, r.n_links) for r in d.fuzzy_matches(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2), 2: (2, 2), 3: (None, 0)} and "fuzzy_matches" in d.ORACLES
