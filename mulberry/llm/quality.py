@@ -12,15 +12,19 @@ figures and means are DataFrame expressions over all documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mulberry.llm.common import cut, table, word_count
-from mulberry.llm.toxicity import logistic
 
-#: Labelled rows learned from, about; paths that are broadcast at most (beyond, a salted join); salts.
-FIT_ROWS, BROADCAST_PATHS, SALTS = 60_000, 100_000, 64
+#: Paths that are broadcast at most (beyond, a salted join); salts.
+BROADCAST_PATHS, SALTS = 100_000, 64
+#: Penalty of squared weights, rounds of Newton's method at most, and the parts of one in which slopes and curvatures are summed (integers: in any order the same sum).
+RIDGE, ROUNDS, SLOPE_PARTS, CURVE_PARTS = 1.0, 50, 2.0**30, 2.0**20
 #: Strengths of the priors are kept within these bounds.
 WEAKEST, STRONGEST = 2.0, 1e6
 
@@ -64,12 +68,56 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+def _moments(rows: DataFrame, x: list[Column]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard deviations, by exact sums."""
+
+    def means(of: list[Column]) -> np.ndarray:
+        return np.array([float(v) for v in rows.agg(*[F.sum(c.cast("decimal(38,18)")) / F.count("*") for c in of]).first()])
+
+    mean = means(x)
+    return mean, np.sqrt(means([(c - float(m)) * (c - float(m)) for c, m in zip(x, mean, strict=True)])) + 1e-9
+
+
+def _logistic(rows: DataFrame, x: list[Column]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Newton's method on all ``rows`` (column good): a round sums slopes and curvatures where rows lie; (weights with the intercept last, means, scales)."""
+    mean, scale = _moments(rows, x)
+    k = len(x) + 1
+    upper = np.triu_indices(k)
+    w, penalty = np.zeros(k), np.full(k, RIDGE)
+    penalty[-1] = 1e-6
+    seen = rows.select("good", *[c.alias(f"x{i}") for i, c in enumerate(x)])
+    for _ in range(ROUNDS):
+
+        def sums(batches: Iterator[pd.DataFrame], w: np.ndarray = w) -> Iterator[pd.DataFrame]:
+            slope, curve = np.zeros(k, dtype=np.int64), np.zeros(len(upper[0]), dtype=np.int64)
+            for pdf in batches:
+                a = pdf.to_numpy(dtype=float)
+                z = np.hstack([(a[:, 1:] - mean) / scale, np.ones((len(a), 1))])
+                p = 1 / (1 + np.exp(-np.clip((z * w).sum(1), -30, 30)))
+                slope += np.rint(z * (a[:, :1] - p[:, None]) * SLOPE_PARTS).astype(np.int64).sum(0)
+                bent = z * (p * (1 - p))[:, None]
+                curve += np.rint(bent[:, upper[0]] * z[:, upper[1]] * CURVE_PARTS).astype(np.int64).sum(0)
+            both = np.concatenate([slope, curve])
+            yield pd.DataFrame({"at": range(len(both)), "v": both})
+
+        parts = seen.mapInPandas(sums, "at int, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).orderBy("at")
+        got = np.array([float(r["v"]) for r in parts.collect()])  # a value for each weight and each two of them
+        h = np.zeros((k, k))
+        h[upper] = got[k:] / CURVE_PARTS
+        h = h + np.triu(h, 1).T + np.diag(penalty)
+        d = np.linalg.solve(h, got[:k] / SLOPE_PARTS - penalty * w)
+        w = w + d
+        if np.abs(d).max() < 1e-8:
+            break
+    return w, mean, scale
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of ``docs``: doc_id, own, host_mean, path_mean, score, kept.
 
     own is the document's own probability of good quality, host_mean and
     path_mean are the shrunken means of the others of its host and path, score
-    combines them, kept is score >= 0.5.  Labels are learned from rows with
+    combines them, kept is score >= 0.5.  Labels are learned from all rows with
     crc32(doc_id) mod 5 <> 0; those of others are never looked at.  Null
     hosts and paths are groups of their own.  Null and empty texts have figures
     of zero words and are scored like others.  Without labels of both kinds own
@@ -77,29 +125,24 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col(text_col).alias("text"))
     named = figures(F.col("text"))
-    slim = cut(slim.select("doc_id", "host", "path", *[c.alias(k) for k, c in named.items()]))
+    slim = slim.select("doc_id", "host", "path", *[c.alias(k) for k, c in named.items()])
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).filter("doc_id is not null and good is not null").filter(~held_out)
-    known = known.groupBy("doc_id").agg(F.max("good").alias("good"))
-    n = known.count()
-    if n > fit_rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
-    fit = slim.join(F.broadcast(known), "doc_id").select("good", *named).toPandas().sort_values(["good", *named])
-    y = fit["good"].to_numpy(dtype=float)
-    if len(y) and 0 < y.sum() < len(y):
-        x = _bent(fit[list(named)].to_numpy(dtype=float))
-        w, mean, scale = logistic(x, y)
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("good").alias("good"))
+    slim = cut(slim.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id"))
+    fit = slim.filter("good is not null")
+    n, good = fit.agg(F.count("*"), F.sum(F.col("good").cast("long"))).first()
+    if n and 0 < good < n:
+        x = [F.col(c) for c in named] + [F.sqrt(F.greatest(F.col(c), F.lit(0.0))) for c in named]
+        w, mean, scale = _logistic(fit, x)
         z = F.lit(float(w[-1] - (w[:-1] * mean / scale).sum()))
-        k = len(named)
-        for i, c in enumerate(named):
-            z = z + F.col(c) * float(w[i] / scale[i]) + F.sqrt(F.greatest(F.col(c), F.lit(0.0))) * float(w[k + i] / scale[k + i])
+        for c, v in zip(x, w[:-1] / scale, strict=True):
+            z = z + c * float(v)
         own = 1 / (1 + F.exp(-F.greatest(F.lit(-15.0), F.least(F.lit(15.0), z))))
     else:
-        own = F.lit(float(y.mean()) if len(y) else 0.5)
-    # what is known of a document: the label of those learned from (fit_rows rows at most, about), else its evidence
-    labelled = known.select(F.col("doc_id").alias("_id"), F.col("good").cast("double").alias("_good"))
-    rows = slim.select("doc_id", "host", "path", own.alias("own")).join(F.broadcast(labelled), F.col("doc_id") == F.col("_id"), "left")
-    rows = cut(rows.select("doc_id", "host", "path", "own", F.coalesce("_good", "own").alias("says")))
+        own = F.lit(good / n if n else 0.5)
+    # what is known of a document: the label of a labelled one, else its evidence
+    rows = cut(slim.select("doc_id", "host", "path", own.alias("own"), F.coalesce(F.col("good").cast("double"), own).alias("says")))
     paths = cut(rows.groupBy("host", "path").agg(F.sum(F.col("says").cast("decimal(38,12)")).cast("double").alias("s"), F.count("*").alias("n")))
     total = paths.agg(F.sum("s"), F.sum("n"), F.count("*")).first()
     prior = float(total[0] / total[1]) if total[1] else 0.5
@@ -122,10 +165,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     return joined.select("doc_id", "own", "host_mean", "path_mean", score.alias("score")).withColumn("kept", F.col("score") >= 0.5)
 
 
-def _bent(x: np.ndarray) -> np.ndarray:
-    """The figures and their square roots."""
-    return np.hstack([x, np.sqrt(np.maximum(x, 0))])
-
-
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

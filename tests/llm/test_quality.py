@@ -102,3 +102,24 @@ def test_many_paths_are_salted(spark, docs_of, monkeypatch):
     one = sorted(map(tuple, q.score_quality(docs_of(rows), none).collect()))
     monkeypatch.setattr(q, "BROADCAST_PATHS", 1)
     assert sorted(map(tuple, q.score_quality(docs_of(rows), none).collect())) == one
+
+
+def test_every_label_counts(spark, docs_of):
+    """More labels than a fit once took: the good ones of one path all raise its mean, and the weights are those of Newton's method over all rows."""
+    from pyspark.sql import functions as F
+
+    from mulberry.llm.toxicity import logistic
+
+    n = 90_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("river stone "), F.repeat(F.lit("! "), (F.col("id") % 7).cast("int")), F.lit("end")).alias("text"), F.lit("a").alias("lang"), F.lit("h").alias("source"))
+    labels = docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(10)) < F.col("doc_id") % 7).cast("int").alias("quality"))
+    got = q.score_quality(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    learned = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i in got["doc_id"]])
+    assert learned.sum() > 60_000
+    x = spark.createDataFrame(got[["doc_id", "text"]]).select("doc_id", *[c.alias(k) for k, c in q.figures(F.col("text")).items()]).toPandas().set_index("doc_id").loc[got["doc_id"]].to_numpy(dtype=float)
+    x = np.hstack([x, np.sqrt(np.maximum(x, 0))])
+    w, mean, scale = logistic(x[learned], got["quality"].to_numpy(dtype=float)[learned])
+    own = 1 / (1 + np.exp(-((x - mean) / scale @ w[:-1] + w[-1])))
+    assert np.abs(own - got["own"]).max() < 1e-5
+    says = np.where(learned, got["quality"], got["own"])
+    assert abs(got["path_mean"].mean() - says.mean()) < 1e-3
