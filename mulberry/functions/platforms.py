@@ -8,7 +8,7 @@ Catalyst evaluates only those of a page's own platform.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from mulberry.functions import vocab as V
 from mulberry.functions.normalize import collapse, json_genres, let, literal_table, literal_words
 from mulberry.functions.pages import Page, read
+from mulberry.functions.slices import slices
 from mulberry.operators.genres import map_genre
 
 #: Parts of class names by which elements are of use to some platform, and the tags of such elements and of those within them.
@@ -119,9 +120,11 @@ def _fields(html: str | None) -> dict | None:
 
 
 @F.pandas_udf(FIELDS)
-def page_fields(page: pd.Series) -> pd.DataFrame:
+def page_fields(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Title, metas, links, JSON-LD, headings, elements of telling classes, pieces of text and texts of a page; all null for no page."""
-    return pd.DataFrame([_fields(p) or dict.fromkeys(_FIELDS) for p in page], columns=list(_FIELDS), index=page.index)
+    for batch in pages:
+        for some in slices(batch):
+            yield pd.DataFrame([_fields(p) or dict.fromkeys(_FIELDS) for p in some], columns=list(_FIELDS), index=some.index)
 
 
 def text_of(p: Column, e: Column) -> Column:

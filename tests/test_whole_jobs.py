@@ -16,3 +16,16 @@ def test_fuzzy_matches_count_every_link(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.p_partkey: (r.match_id, r.n_links) for r in d.fuzzy_matches(spark, str(tmp_path)).collect()}
     assert got == {1: (1, 2), 2: (2, 2), 3: (None, 0)} and "fuzzy_matches" in d.ORACLES
+
+
+def test_pages_and_texts_come_out_in_slices(spark):
+    """A worker makes the fields of some pages at a time, not of a whole batch; none is left out."""
+    import pandas as pd
+
+    from mulberry.functions.platforms import page_fields
+    from mulberry.functions.slices import SLICE_CHARS, slices
+
+    pages = pd.Series(["<title>t</title><p>" + "가" * 10_000, None, ""] * 200)
+    some = list(page_fields.func(iter([pages])))
+    assert len(some) > 2 and sum(map(len, some)) == 600 and max(f["text"].str.len().sum() for f in some) <= SLICE_CHARS + 20_000
+    assert [len(s) for s in slices(pd.Series(["x" * 5, "y" * 900, None, "z"]), 500)] == [2, 2] and not list(slices(pd.Series([], dtype=object)))
