@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mulberry.functions.slices import slices
 from mulberry.operators.lineage import cut
 
 #: Letters of the words of a part, about.  Automata that a worker keeps.
@@ -63,7 +64,8 @@ def _walker(part: DataFrame, kind: str, each: Callable[[ahocorasick.Automaton, d
     def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             a = _automaton(name, sent.value)
-            yield pd.Series([None if t is None else each(a, sent.value, t) for t in texts], dtype=object)
+            for some in slices(texts):
+                yield pd.Series([None if t is None else each(a, sent.value, t) for t in some], dtype=object)
 
     return walk
 

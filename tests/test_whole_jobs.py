@@ -29,3 +29,17 @@ def test_pages_and_texts_come_out_in_slices(spark):
     some = list(page_fields.func(iter([pages])))
     assert len(some) > 2 and sum(map(len, some)) == 600 and max(f["text"].str.len().sum() for f in some) <= SLICE_CHARS + 20_000
     assert [len(s) for s in slices(pd.Series(["x" * 5, "y" * 900, None, "z"]), 500)] == [2, 2] and not list(slices(pd.Series([], dtype=object)))
+
+
+def test_dictionary_walks_come_out_in_slices(spark, monkeypatch):
+    """Rows of matches leave a worker some texts at a time, in the order of the texts; nulls stay null."""
+    from pyspark.sql import functions as F
+
+    from mulberry.functions.slices import SLICE_CHARS
+    from mulberry.operators import dictionary
+
+    words = spark.createDataFrame([("stone",), ("river",)], "word string")
+    texts = spark.range(40).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.repeat(F.lit("x"), SLICE_CHARS // 3), F.when(F.col("id") % 2 == 0, "river").otherwise("stone"))).alias("t")).coalesce(1)
+    walk = dictionary.walked(words, "array<struct<at:int,word:string>>", lambda a, _, t: [(len(t), w) for _, w in a.iter(t)])[0]
+    got = {r.id: r.m and [x.word for x in r.m] for r in texts.select("id", walk(F.col("t")).alias("m")).collect()}
+    assert got == {i: None if i % 7 == 0 else ["river" if i % 2 == 0 else "stone"] for i in range(40)}
