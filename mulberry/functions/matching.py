@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from mulberry.functions.normalize import author_variants, collapse, fuzzy_title, length_gap
+from mulberry.functions.normalize import author_variants, collapse, fuzzy_title, length_gap, let
 
 # Notes beside titles, and the same in parentheses.
 _NOTES = "단행본|완결|연재중|개정판|합본|개정|특별판|19N|19n|19금|15금"
@@ -55,25 +55,35 @@ def _without_suffixes(title: Column) -> Column:
 
 def particle_only(a: Column, b: Column) -> Column:
     """True if the titles differ by one particle inside Hangul; of the same length, if they are equal without spaces."""
-    x, y = _without_suffixes(a), _without_suffixes(b)
-    longer, shorter = F.when(F.length(x) > F.length(y), x).otherwise(y), F.when(F.length(x) > F.length(y), y).otherwise(x)
-    tests = []
-    for p in PARTICLES:
-        at = F.instr(longer, p)  # the first one only
-        rest = F.concat(F.substring(longer, F.lit(1), at - 1), F.substring(longer, at + len(p), F.length(longer)))
-        before, after = F.substring(longer, at - 1, F.lit(1)), F.substring(longer, at + len(p), F.lit(1))
-        tests.append((at > 1) & (rest == shorter) & before.rlike("[가-힣]") & ((after == "") | after.rlike("[가-힣]")))
-    gap = F.length(longer) - F.length(shorter)
-    return F.when(gap == 0, x == y).when(gap > 2, False).otherwise(F.array_contains(F.array(*tests), True))
+
+    def differ(longer: Column, shorter: Column) -> Column:
+        tests = []
+        for p in PARTICLES:
+            at = F.instr(longer, p)  # the first one only
+            rest = F.concat(F.substring(longer, F.lit(1), at - 1), F.substring(longer, at + len(p), F.length(longer)))
+            before, after = F.substring(longer, at - 1, F.lit(1)), F.substring(longer, at + len(p), F.lit(1))
+            tests.append((at > 1) & (rest == shorter) & before.rlike("[가-힣]") & ((after == "") | after.rlike("[가-힣]")))
+        gap = F.length(longer) - F.length(shorter)
+        return F.when(gap == 0, longer == shorter).when(gap > 2, False).otherwise(F.array_contains(F.array(*tests), True))
+
+    # titles are cleaned once, however often the tests look at them
+    both = F.struct(_without_suffixes(a).alias("x"), _without_suffixes(b).alias("y"))
+    by_length = let(both, lambda t: F.when(F.length(t["x"]) > F.length(t["y"]), F.struct(t["x"].alias("longer"), t["y"].alias("shorter"))).otherwise(F.struct(t["y"].alias("longer"), t["x"].alias("shorter"))))
+    return let(by_length, lambda t: differ(t["longer"], t["shorter"]))
 
 
 def same_title(search: Column, page: Column, text: Column, author: Column, strict: bool = True) -> Column:
     """Whether a page's title is the searched one: but for a particle, equal, or contained with little besides; short titles need the author on the page."""
-    s, p = platform_title(search), platform_title(page)
-    inside = p.contains(s) | s.contains(p)
-    by = F.exists(author_variants(author), lambda v: text.contains(v))
-    short = (F.length(s) <= 6) & F.lit(strict)
-    return F.when(particle_only(search, page), True).when(s == p, True).when((s == "") | (p == ""), False).when(short, inside & F.coalesce(by, F.lit(False))).otherwise(inside & (length_gap(s, p) <= 0.3))
+
+    def compared(s: Column, p: Column) -> Column:
+        inside = p.contains(s) | s.contains(p)
+        by = F.exists(author_variants(author), lambda v: text.contains(v))
+        short = (F.length(s) <= 6) & F.lit(strict)
+        return F.when(s == p, True).when((s == "") | (p == ""), False).when(short, inside & F.coalesce(by, F.lit(False))).otherwise(inside & (length_gap(s, p) <= 0.3))
+
+    # each title is brought to its normal form once
+    both = F.struct(platform_title(search).alias("s"), platform_title(page).alias("p"))
+    return F.when(particle_only(search, page), True).otherwise(let(both, lambda t: compared(t["s"], t["p"])))
 
 
 # Authors after a dash, several and one; a part with its name; names in parentheses, joined and apart; what a main title loses.

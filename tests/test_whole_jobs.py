@@ -31,6 +31,17 @@ def test_pages_and_texts_come_out_in_slices(spark):
     assert [len(s) for s in slices(pd.Series(["x" * 5, "y" * 900, None, "z"]), 500)] == [2, 2] and not list(slices(pd.Series([], dtype=object)))
 
 
+def test_titles_are_cleaned_once(spark):
+    """The plan holds each substitution of a title once a title, not once a test."""
+    from pyspark.sql import functions as F
+
+    from mulberry.functions import matching
+
+    df = spark.range(1).select(F.col("id").cast("string").alias("a"), F.concat("id", F.lit("b")).alias("b"))
+    plan = df.select(matching.same_title(F.col("a"), F.col("b"), F.lit(""), F.lit("")).alias("same"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") + plan.count("RegExpReplace") <= 2 * (len(matching.PLATFORM_TITLE) + 3)
+
+
 def test_dictionary_walks_come_out_in_slices(spark, monkeypatch):
     """Rows of matches leave a worker some texts at a time, in the order of the texts; nulls stay null."""
     from pyspark.sql import functions as F
