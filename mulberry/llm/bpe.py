@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from mulberry.llm.common import table
 
 #: Words whose tokens a task keeps, letters of the longest of those, and bytes beyond the lookahead that are merged at once.
-KEPT_WORDS, KEPT_LETTERS, STRIDE = 300_000, 40, 256
+KEPT_WORDS, KEPT_LETTERS, STRIDE = 75_000, 40, 256
 #: Characters of a text that are normalised and split at once, and letters from which a word at the end of a window is read piecemeal.
 WINDOW, LONG = 1 << 16, 1024
 #: What a window may begin with: no such character joins with those before it.
