@@ -10,18 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mulberry.llm.bpe import encode_decode, tokenizer_path
-from mulberry.llm.common import apart, cut, scratch, table
+from mulberry.llm.common import apart, cut, scratch, stored, table
 from mulberry.llm.exact_dedup import exact_dedup, kept_rows
 from mulberry.llm.mixing import mix, mixed_rows
-from mulberry.llm.near_dedup import near_duplicates
+from mulberry.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from mulberry.llm.toxicity import without_toxic
 
 #: Words of a shingle and similarity (per cent) from which two documents are near-duplicates.
 SHINGLE, SIMILAR = 5, 80
+#: Rows of texts that an executor and its workers hand each other at once, at most.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers and back in batches of BATCH_ROWS at most; the setting stays, as stages run when their rows are written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(spark.conf.get(name))
+    if most <= 0 or most > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is scored toxic go, each row by its own text."""
+    small_batches(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -36,6 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that no doc_id names for itself (it is null, or other texts have it
     too) are compared under a hash of their text, above all other identifiers.
     """
+    small_batches(spark)
     columns, helper = docs.columns, apart(docs)
     name, also, row, gone_id = (helper + c for c in ("id", "also", "row", "gone"))
     shared = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias(name)))
@@ -44,7 +56,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         docs = docs.join(shared.withColumn(also, F.lit(True)), F.col("doc_id").eqNullSafe(F.col(name)), "left").drop(name)
         own = F.when(F.col(also), F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 62)) + (1 << 62)).otherwise(own)
     rows = docs.withColumn(row, own)
-    gone = near_duplicates(rows, SHINGLE, SIMILAR, id_col=row).filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = stored(near_duplicates(rows, SHINGLE, SIMILAR, id_col=row).filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "near-copies")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return rows.join(gone, F.col(row) == F.col(gone_id), "left_anti").select(*columns)
 
 
@@ -55,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded text of each row."""
+    small_batches(spark)
     return encode_decode(docs, tokenizer_path())
 
 

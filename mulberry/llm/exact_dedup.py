@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from mulberry.llm.common import apart, scratch, table
 
-#: Largest number of repeated digests that is broadcast (40 bytes each); more are joined by a shuffle.
+#: Largest number of repeated digests that is broadcast (40 bytes each), and of rows that go (80 bytes each); more are joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
 #: Rows from which a digest is hot: where repeated digests are joined by a shuffle, hot ones are still broadcast, as long as they are that few.
 HOT_GROUP = 10_000
@@ -112,8 +112,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return df.withColumn("sha", F.sha2("text", 256)).withColumn("digest", F.substring("sha", 1, digest_bits // 4)).withColumn("n_bytes", F.octet_length("text").cast("long") if digest_bits == 256 else F.lit(0).cast("long"))
 
     read = digested(docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")))
-    # an update of no keys, so the table is there before the first batch
-    spark.createDataFrame([], _UPDATE).write.mode("overwrite").parquet(f"{base}/updates/batch=-1")
+    # an update of no keys, so the table is there before the first batch; a frame of Python rows would start workers on the executors
+    spark.range(0).select(*[F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in _UPDATE.split(", "))]).write.mode("overwrite").parquet(f"{base}/updates/batch=-1")
     run = run_id or uuid.uuid4().hex
     before = _once(known_state(spark, base), f"{base}/before/{run}") if state_dir else None
     rows = _once(read.select("digest", "n_bytes", "id", _locator(read).alias("locator"), "sha"), f"{base}/arrivals/{run}", f"{base}/incoming/{run}")
@@ -212,16 +212,25 @@ def _told_apart(read: DataFrame, repeated: DataFrame, n: int, earlier: DataFrame
 def kept_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, one of each group of equal texts.
 
-    ``decisions`` is the result of :func:`exact_dedup`.  Rows that repeat both
-    identifier and text are told from each other by nothing that matters; one
-    of them stays.
+    ``decisions`` is the result of :func:`exact_dedup` over the same rows.  Rows
+    that repeat both identifier and text are told from each other by nothing
+    that matters; one of them stays.  Only rows that go or repeat are looked
+    up, so while those are BROADCAST_DIGESTS at most no text is shuffled or
+    sorted, but of rows that repeat.
     """
     sha, own = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), apart(docs)
     name, digest, copies, mine = (own + c for c in ("id", "sha", "n", "sha2"))
-    stay = decisions.filter("kept").groupBy(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)).agg(F.count("*").alias(copies))
-    rows = docs.withColumn(mine, sha).join(stay, F.col(id_col).eqNullSafe(F.col(name)) & (F.col(mine) == F.col(digest)))
-    once, often = rows.filter(F.col(copies) == 1), rows.filter(F.col(copies) > 1).dropDuplicates([digest, name])
-    return once.unionByName(often).select(*docs.columns)
+    pairs = decisions.groupBy(F.col("doc_id").alias(name), F.col("text_sha256").alias(digest)).agg(F.sum(F.col("kept").cast("long")).alias(copies))
+    odd = _written(pairs.filter(F.col(copies) != 1), "odd")
+    n = {r["often"]: r["count"] for r in odd.groupBy((F.col(copies) > 1).alias("often")).count().collect()}
+    on = F.col(id_col).eqNullSafe(F.col(name)) & (F.col(mine) == F.col(digest))
+    rows = docs.withColumn(mine, sha)
+    once = rows.join(F.broadcast(odd) if sum(n.values()) <= BROADCAST_DIGESTS else odd, on, "left_anti").select(*docs.columns)
+    if not n.get(True):
+        return once
+    often = odd.filter(F.col(copies) > 1)
+    often = rows.join(F.broadcast(often) if n[True] <= BROADCAST_DIGESTS else often, on).dropDuplicates([digest, name])
+    return once.unionByName(often.select(*docs.columns))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

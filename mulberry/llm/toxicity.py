@@ -23,11 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mulberry.functions.slices import SLICE_CHARS
 from mulberry.llm.common import apart, cut, stored, table
 
 #: Labelled rows that are learned from, about, whatever the corpus; they are picked by a hash of the identifier.
 FIT_ROWS = 30_000
-#: Hash places of word beginnings; tokens whose reading a task keeps; characters counted at once.
+#: Hash places of word beginnings; tokens whose reading a task keeps; characters joined to be counted, SLICE_CHARS at a time.
 PLACES, KEPT_TOKENS, CHARS_AT_ONCE = 1 << 21, 100_000, 4_000_000
 #: Labelled rows that the logistic model's few numbers are fitted to, about; word beginnings are learned from all FIT_ROWS.
 LOGISTIC_ROWS = 8_000
@@ -89,6 +90,19 @@ def class_table() -> np.ndarray:
     return t
 
 
+def count_trigrams(text: str, classes: np.ndarray, total: np.ndarray) -> None:
+    """Add the text's trigrams of classes to ``total``, SLICE_CHARS characters at a time."""
+    last, c = 1, np.empty(0, np.int64)
+    for k in range(0, len(text), SLICE_CHARS):
+        cp = np.frombuffer(text[k : k + SLICE_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = classes[np.minimum(cp, LAST_LATIN + 1)]
+        kept = (new > 0) | (np.concatenate(([last], new[:-1])) > 0)  # a gap counts once
+        # the last two classes go on into the next slice
+        last, c = int(new[-1]), np.concatenate((c[-2:], new[kept]))
+        if len(c) > 2:
+            total += np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=CLASSES**3)
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(code, n): how often three classes of characters follow each other, over the whole of all texts.
 
@@ -99,14 +113,10 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         classes, total = class_table(), np.zeros(CLASSES**3, np.int64)
 
         def add(parts: list[str]) -> None:
-            cp = np.frombuffer(" ".join(["", *parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            c = classes[np.minimum(cp, LAST_LATIN + 1)]
-            c = c[(c > 0) | (np.concatenate(([1], c[:-1])) > 0)]  # a gap counts once
-            if len(c) > 2:
-                total[:] += np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=CLASSES**3)
+            count_trigrams(" ".join(["", *parts, ""]), classes, total)
 
+        held, size = [], 0
         for pdf in batches:
-            held, size = [], 0
             for text in pdf["text"]:
                 if text:
                     held.append(text)
@@ -114,7 +124,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     if size > CHARS_AT_ONCE:
                         add(held)
                         held, size = [], 0
-            add(held)
+        add(held)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"code": at.astype(np.int32), "n": total[at]})
 

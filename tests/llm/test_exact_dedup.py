@@ -43,6 +43,27 @@ def test_rows_that_stay(docs_of):
     assert [r.text for r in kept.collect() if r.doc_id is None] == ["z"]
 
 
+def test_texts_that_stay_are_not_shuffled(spark, docs_of, monkeypatch):
+    """Few rows go, so the others stay where they lie, with no sort or shuffle of texts; where many go, the same rows stay."""
+    docs = docs_of([(i, f"t{i if i > 5 else 0}") for i in range(30)])
+    want = sorted((i, f"t{i if i > 5 else 0}") for i in range(5, 30))
+    decisions = x.exact_dedup(docs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = x.kept_rows(docs, decisions)
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == want
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Sort" not in plan
+        monkeypatch.setattr(x, "BROADCAST_DIGESTS", 0)
+        assert sorted((r.doc_id, r.text) for r in x.kept_rows(docs, decisions).collect()) == want
+        docs = docs_of(ROWS)
+        kept = x.kept_rows(docs, x.exact_dedup(docs)).collect()
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "z"), (2, "a"), (4, ""), (6, "B"), (7, "a "), (8, "b" * 100_000), (9, "é")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_empty(docs_of):
     docs = docs_of([])
     d = x.exact_dedup(docs)

@@ -58,6 +58,18 @@ def test_rows_without_an_identifier_of_their_own(spark, sf):
     assert got == sorted((i or 0, t) for i, t in (rows[0], *rows[2:5]))
 
 
+def test_near_copies_go_without_a_shuffle_of_texts(spark, sf):
+    """Few identifiers go, so the rows that stay are neither sorted nor shuffled, whatever Spark would broadcast by itself."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id is not null")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = p.drop_near_copies(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 

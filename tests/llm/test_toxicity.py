@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -163,3 +164,17 @@ def test_rows_are_judged_by_their_own_text(spark, docs_of):
     assert (None, calm) in got and (None, rude) not in got and (1, calm) in got and (1, rude) not in got and (5000, None) in got
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.without_toxic(docs, none).count() == docs.count()
+
+
+def test_trigrams_are_counted_in_bounded_memory():
+    """A slice of the joined texts at a time, with the counts of the whole."""
+    text = " " + "a ß, word  and\n\n- another é€ " * 150_000
+    classes, total = t.class_table(), np.zeros(t.CLASSES**3, np.int64)
+    tracemalloc.start()
+    t.count_trigrams(text, classes, total)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32e6
+    c = classes[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), t.LAST_LATIN + 1)]
+    c = c[(c > 0) | (np.concatenate(([1], c[:-1])) > 0)]
+    assert (total == np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=t.CLASSES**3)).all()
