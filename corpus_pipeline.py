@@ -20,6 +20,8 @@ from mulberry.llm.toxicity import without_toxic
 SHINGLE, SIMILAR = 5, 80
 #: Rows of texts that an executor and its workers hand each other at once, at most.
 BATCH_ROWS = 500
+#: Half the words whose tokens an encoding task keeps: fewer than by itself, as workers and executor hold what earlier stages left them.
+KEPT_WORDS = 25_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -70,7 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded text of each row."""
     small_batches(spark)
-    return encode_decode(docs, tokenizer_path())
+    return encode_decode(docs, tokenizer_path(), kept_words=KEPT_WORDS)
 
 
 STAGES = [

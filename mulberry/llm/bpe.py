@@ -56,7 +56,8 @@ class Vocabulary:
     def __init__(self, spec: str):
         d = json.loads(spec)
         model = d["model"]
-        self.spec = spec
+        # all that the library is asked is its normaliser, so it gets no vocabulary to hold beside this one
+        self.spec = json.dumps(d | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None})
         self.suffix = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
         self.special = {a["content"]: a["id"] for a in d["added_tokens"]}
@@ -335,14 +336,16 @@ def _read_spec(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", kept_words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Whole texts are encoded; null is the empty text, which has no tokens, and
     the digests of nothing.  Digests are built up piece by piece, so a text's
     ids are never held together.  Repeated rows give repeated rows; other
-    columns are not read.
+    columns are not read.  A task keeps the tokens of twice ``kept_words``
+    words at most, which is a matter of time and memory only.
     """
+    most = kept_words or KEPT_WORDS
     held = docs.sparkSession.sparkContext.broadcast(_read_spec(docs.sparkSession, tokenizer_path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,7 +383,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     if special:
                         got = digest_piece([v.special[w]])
                     elif whole and len(w) <= KEPT_LETTERS:
-                        if len(known) >= KEPT_WORDS:
+                        if len(known) >= most:
                             known, older = {}, known
                         got = known[w] = older.get(w) or digest_piece([v.ids[t] for t in encoder.word(w)])
                     else:

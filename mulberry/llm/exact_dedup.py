@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from mulberry.llm.common import apart, scratch, table
 
@@ -37,7 +38,11 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # all stores of an executor share one bound of memory, however many partitions it has
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+    # a store takes an eighth of its buffer at the first row, 1 MB of the default
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    # stores of a run that is over are closed by the next maintenance
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
@@ -51,8 +56,8 @@ def known_state(spark: SparkSession, base: str) -> DataFrame:
     return found.groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max_by("locator", "group_size").alias("locator"))
 
 
-def stream_state(spark: SparkSession, base: str, files_per_batch: int = 1000) -> None:
-    """Drain what has newly arrived below ``base``/arrivals in micro-batches into the state.
+def stream_state(spark: SparkSession, base: str, files_per_batch: int = 1000) -> StreamingQuery:
+    """Drain what has newly arrived below ``base``/arrivals in micro-batches into the state; the query, which is over then.
 
     Each micro-batch adds the changed keys to a table of updates, one folder a
     batch that a repeated batch overwrites.
@@ -65,7 +70,7 @@ def stream_state(spark: SparkSession, base: str, files_per_batch: int = 1000) ->
         batch.write.mode("overwrite").parquet(f"{base}/updates/batch={number}")
 
     try:
-        (
+        query = (
             spark.readStream.schema(_ARRIVAL)
             .option("maxFilesPerTrigger", files_per_batch)
             .option("recursiveFileLookup", "true")
@@ -77,8 +82,9 @@ def stream_state(spark: SparkSession, base: str, files_per_batch: int = 1000) ->
             .option("checkpointLocation", f"{base}/checkpoint")
             .trigger(availableNow=True)
             .start()
-            .awaitTermination()
         )
+        query.awaitTermination()
+        return query
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -128,3 +128,18 @@ def test_a_run_that_died_is_started_again(spark, tmp_path, monkeypatch):
     later = spark.createDataFrame([(100, "text 3"), (101, "new")], "doc_id long, text string")
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in x.exact_dedup(later, state_dir=base, run_id="two").collect()}
     assert got == {100: (100, 3, True), 101: (101, 1, True)}
+
+
+def test_many_stores_take_little_memory(spark, docs_of, tmp_path):
+    """Stores of a few rows share an executor: what each sets aside at its first row is small."""
+    name, n = "spark.sql.shuffle.partitions", 48
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        rows = spark.range(2000).selectExpr("sha2(string(id), 256) digest", "1L n_bytes", "id", "'' locator", "'' sha")
+        rows.write.parquet(f"{tmp_path}/arrivals/a")
+        state = [p["stateOperators"][0] for p in x.stream_state(spark, str(tmp_path)).recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.set(name, before)
+    assert max(s["numRowsTotal"] for s in state) == 2000
+    assert max(s["memoryUsedBytes"] for s in state) < n * 600_000
