@@ -39,7 +39,7 @@ def similarity_title(title: Column) -> Column:
 
 def fuzzy_title(title: Column) -> Column:
     """Letters and digits only, lower case."""
-    return F.lower(F.regexp_replace(title, r"(?U)[^\w가-힣]", ""))
+    return F.lower(F.regexp_replace(title, r"[^\p{L}\p{N}_]", ""))
 
 
 def search_title(title: Column) -> Column:

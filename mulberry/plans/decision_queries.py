@@ -253,8 +253,8 @@ _BARE_TITLE = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}_]', '', 'g'))"
 
 
 @query(f"""
-WITH RECURSIVE p AS (SELECT p_partkey, concat_ws(' ', p_brand, p_name) AS title, CAST(p_partkey % 9 + 1 AS INTEGER) AS pos FROM part), q AS (SELECT p_partkey, substr(title, 1, pos) || 'x' || substr(title, pos + 2) AS asked FROM p),
-l AS (SELECT p_partkey, asked, {_BARE_TITLE.format("asked")} AS a FROM q), k AS (SELECT {_BARE_TITLE.format("title")} AS b, arg_min(title, p_partkey) AS match_title, min(p_partkey) AS match_id FROM p GROUP BY 1),
+WITH RECURSIVE p AS (SELECT p_partkey, concat_ws(' ', p_brand, p_name) AS title, CAST(p_partkey % 9 + 1 AS INTEGER) AS pos FROM part), q AS (SELECT p_partkey, title, substr(title, 1, pos) || 'x' || substr(title, pos + 2) AS asked FROM p),
+l AS (SELECT p_partkey, asked, {_BARE_TITLE.format("asked")} AS a, {_BARE_TITLE.format("title")} AS own FROM q), k AS (SELECT {_BARE_TITLE.format("title")} AS b, arg_min(title, p_partkey) AS match_title, min(p_partkey) AS match_id FROM p GROUP BY 1),
 la AS (SELECT a, letter, count(*) AS n FROM (SELECT a, unnest(string_split(a, '')) AS letter FROM (SELECT DISTINCT a FROM l WHERE a <> '')) GROUP BY 1, 2), lb AS (SELECT b, letter, count(*) AS n FROM (SELECT b, unnest(string_split(b, '')) AS letter FROM k WHERE b <> '') GROUP BY 1, 2),
 c AS MATERIALIZED (SELECT a, b FROM la JOIN lb USING (letter) GROUP BY 1, 2 HAVING 2 * sum(least(la.n, lb.n)) >= 0.85 * (length(a) + length(b))),
 s AS (SELECT a AS x, b AS y, a, b, 0::BIGINT AS met FROM c
@@ -263,11 +263,20 @@ s AS (SELECT a AS x, b AS y, a, b, 0::BIGINT AS met FROM c
   FROM (SELECT a, b, x, y, -f.i AS i, f.n AS n, instr(y, substr(x, -f.i, f.n)) AS j
     FROM (SELECT *, list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(list_filter(range(1, length(x) - i + 2), lambda n: contains(y, substr(x, i, n))), lambda n: {{'n': n, 'i': -i}})))) AS f FROM s WHERE x <> '' AND y <> '') WHERE f IS NOT NULL)),
 r AS (SELECT a, b, 2e0 * sum(met) / (length(a) + length(b)) AS ratio FROM s GROUP BY 1, 2 HAVING 2e0 * sum(met) / (length(a) + length(b)) >= 0.85),
-m AS (SELECT a, arg_min(b, (-ratio, b)) AS b, max(ratio) AS ratio, count(*) AS n FROM r GROUP BY 1)
-SELECT p_partkey, asked, match_id, match_title, ratio, coalesce(n, 0) AS n_links FROM l LEFT JOIN m USING (a) LEFT JOIN k USING (b)""")
+m AS (SELECT a, arg_min(b, (-ratio, b)) AS b, max(ratio) AS ratio, count(*) AS n FROM r GROUP BY 1),
+i AS (SELECT a, min(p_partkey) AS class_id FROM l WHERE a <> '' GROUP BY 1), o AS (SELECT b AS own, match_id AS title_id FROM k WHERE b <> ''),
+e AS (SELECT a, class_id AS p_partkey, match_id AS link_id, match_title AS link_title, ratio AS link_ratio FROM r JOIN i USING (a) JOIN k USING (b))
+SELECT p_partkey, asked, match_id, match_title, ratio, coalesce(n, 0) AS n_links, class_id, title_id, link_id, link_title, link_ratio
+FROM l LEFT JOIN m USING (a) LEFT JOIN k USING (b) LEFT JOIN i USING (a) LEFT JOIN o USING (own) LEFT JOIN e USING (a, p_partkey)""")
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brands and names of all parts, a letter each changed, against all of them: the best match of each, and to how many different titles it has links."""
+    """The brands and names of all parts, a letter each changed, against all of them: every link between different titles, and what titles the parts have.
+
+    Parts that ask the same are a class (class_id), parts of one title another
+    (title_id, which link_id and match_id name).  The part that names a class has
+    a row a link, each other one a row.
+    """
     p = t(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("title"))
     at = (F.col("p_partkey") % 9 + 1).cast("int")
-    asked = p.select("p_partkey", F.concat(F.substring("title", F.lit(1), at), F.lit("x"), F.substring("title", at + F.lit(2), F.length("title"))).alias("asked"))
-    return similarity.best_titles(asked, p, "asked", "p_partkey", "title").select("p_partkey", "asked", "match_id", "match_title", "ratio", "n_links")
+    asked = F.concat(F.substring("title", F.lit(1), at), F.lit("x"), F.substring("title", at + F.lit(2), F.length("title")))
+    rows = similarity.title_classes(p, "p_partkey", "title", "title_id").select("p_partkey", asked.alias("asked"), "title_id")
+    return similarity.linked_titles(rows, p, "p_partkey", "asked", "p_partkey", "title").select("p_partkey", "asked", "match_id", "match_title", "ratio", "n_links", "class_id", "title_id", "link_id", "link_title", "link_ratio")
