@@ -76,7 +76,8 @@ def similar_titles(left: DataFrame, right: DataFrame, bar: float = 0.85) -> Data
     lengths = 2 * PARTS * F.least("n_a", "n_b") >= whole * (F.col("n_a") + F.col("n_b"))
     met = x.join(y, "key").filter(lengths & (F.col("t_a") != F.col("t_b")))
     near = met.filter(2 * PARTS * F.size(F.array_intersect("s_a", "s_b")) >= whole * (F.col("n_a") + F.col("n_b"))).select("t_a", "t_b").distinct()
-    scored = near.select(F.col("t_a").alias("a"), F.col("t_b").alias("b"), _ratio(F.col("t_a"), F.col("t_b")).alias("ratio")).filter(F.col("ratio") >= bar)
+    # as nondeterministic, the ratio is worked out once a pair, not before pairs are made distinct and again after
+    scored = near.select(F.col("t_a").alias("a"), F.col("t_b").alias("b"), _ratio.asNondeterministic()(F.col("t_a"), F.col("t_b")).alias("ratio")).filter(F.col("ratio") >= bar)
     same = a.select("t").join(b.select("t"), "t").select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("ratio"))
     return scored.unionByName(same)
 
